@@ -143,14 +143,14 @@ def billing_daily(spark, sf_dir):
     return rollups.billing_daily(tables.billing_records(spark, sf_dir))
 
 
-@register("batch_compact", with_views("telemetry") + """SELECT device_id || ':' || CAST(epoch_ms(time) - epoch_ms(time) % 300000 AS VARCHAR) AS batch_id,
+@register("batch_compact", with_views("telemetry") + """SELECT device_id || ':' || CAST((epoch_us(time) // 1000) - (epoch_us(time) // 1000) % 300000 AS VARCHAR) AS batch_id,
        device_id, metric_id,
-       make_timestamp((epoch_ms(time) - epoch_ms(time) % 300000) * 1000) AS batch_start,
-       make_timestamp((epoch_ms(time) - epoch_ms(time) % 300000) * 1000) + INTERVAL 300 SECOND AS batch_end,
+       make_timestamp(((epoch_us(time) // 1000) - (epoch_us(time) // 1000) % 300000) * 1000) AS batch_start,
+       make_timestamp(((epoch_us(time) // 1000) - (epoch_us(time) // 1000) % 300000) * 1000) + INTERVAL 300 SECOND AS batch_end,
        CAST(MIN(metric_value) AS DOUBLE) AS min_value, CAST(MAX(metric_value) AS DOUBLE) AS max_value,
        CAST(SUM(metric_value) AS DOUBLE) / COUNT(*) AS avg_value, CAST(SUM(metric_value) AS DOUBLE) AS sum_value,
        COUNT(*) AS event_count
-FROM telemetry GROUP BY device_id, epoch_ms(time) - epoch_ms(time) % 300000, metric_id""", bench=True)
+FROM telemetry GROUP BY device_id, (epoch_us(time) // 1000) - (epoch_us(time) // 1000) % 300000, metric_id""", bench=True)
 def batch_compact(spark, sf_dir):
     """Five-minute per-device per-metric summaries."""
     return rollups.batch_compact(tables.telemetry(spark, sf_dir))

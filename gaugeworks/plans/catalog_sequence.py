@@ -169,7 +169,7 @@ def _batches(spark, sf_dir) -> DataFrame:
                     F.when(start >= F.lit("2024-01-29").cast("timestamp_ntz"), "OPEN").otherwise("CLOSED").alias("state"))
 
 
-_BATCHES_SQL = """b0 AS (SELECT DISTINCT device_id, epoch_ms(time) - epoch_ms(time) % 300000 AS start_ms FROM telemetry),
+_BATCHES_SQL = """b0 AS (SELECT DISTINCT device_id, (epoch_us(time) // 1000) - (epoch_us(time) // 1000) % 300000 AS start_ms FROM telemetry),
 batches AS (SELECT device_id || ':' || CAST(start_ms AS VARCHAR) AS id, device_id,
                    make_timestamp(start_ms * 1000) AS batch_start,
                    make_timestamp(start_ms * 1000) + INTERVAL 5 MINUTE AS batch_end,

@@ -50,7 +50,7 @@ VIEWS = {
     "payloads": f"""payloads AS (
   SELECT event_id, 'dev-' || CAST(user_id AS VARCHAR) AS device_id,
          CAST(user_id AS VARCHAR) || ':' || CAST({K} % 10 AS VARCHAR) AS nonce,
-         epoch_ms(ts) AS ts_ms, epoch_ms(ts) + {K} * 100 AS received_ms, {K} AS k
+         epoch_us(ts) // 1000 AS ts_ms, epoch_us(ts) // 1000 + {K} * 100 AS received_ms, {K} AS k
   FROM events)""",
 }
 
