@@ -1 +1,303 @@
-"""Queries: folds."""
+"""Queries: ordered folds and binary/text sources.
+
+Fold queries without an oracle are checked in ``tests/`` against plain
+Python models; the driver records a rows-only check for them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scan
+from ..functions.timebuckets import epoch_ms, time_bucket
+from ..operators import folds
+from ..operators import validation as V
+from ..sources import frames, payloads, tables, trace
+from .oracle_views import with_views
+from .registry import register
+
+HOUR_MS = 3_600_000
+
+# --------------------------------------------------------------------------- payloads
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    """Signed bodies built from ``payloads``: envelopes, flat bodies and faults."""
+    p = tables.payloads(spark, sf_dir)
+    k = F.col("k")
+    sig = F.when(k % 100 == 1, F.substring(F.sha2(F.col("nonce"), 512), 1, 126)).otherwise(F.sha2(F.col("nonce"), 512))
+    pk = F.when(k % 100 == 3, F.substring(F.sha2(F.col("device_id"), 256), 1, 62)).otherwise(F.sha2(F.col("device_id"), 256))
+    inner = F.struct(F.col("device_id").alias("deviceId"), F.col("ts_ms").alias("timestamp"),
+                     F.when(k % 100 != 8, F.col("nonce")).alias("nonce"),
+                     F.create_map(F.lit("energy_kwh"), (k / 10).cast("string")).alias("metrics"), sig.alias("signature"))
+    envelope = F.to_json(F.struct(inner.alias("payload"),
+                                  F.when(k % 100 != 2, pk).alias("publicKey")))
+    flat = F.to_json(F.struct(inner["deviceId"].alias("deviceId"), inner["timestamp"].alias("timestamp"),
+                              inner["nonce"].alias("nonce"), inner["metrics"].alias("metrics"),
+                              inner["signature"].alias("signature"), F.when(k % 3 == 1, pk).alias("publicKey")))
+    body = F.when(k % 3 == 0, envelope).otherwise(flat)
+    # A numeric deviceId (wrong JSON type) for every hundredth-and-seventh payload.
+    body = F.when(k % 100 == 7, F.regexp_replace(body, r'"deviceId":"dev-(\d+)"', '"deviceId":$1')).otherwise(body)
+    return p.select("event_id", "received_ms", body.alias("body"), (k % 100 != 4).alias("signature_ok"))
+
+
+@register("payload_envelope")
+def payload_envelope(spark, sf_dir):
+    """Parse envelope/flat bodies into typed payload columns."""
+    parsed = payloads.parse_bodies(_bodies(spark, sf_dir))
+    return parsed.select("event_id", "malformed", "device_id", "nonce", F.length("signature").alias("signature_len"),
+                         "ts_ms", "public_key")
+
+
+@register("payload_verdict")
+def payload_verdict(spark, sf_dir):
+    """Ordered verdict; replay (one-hour window at driver scale) only among passing rows."""
+    parsed = payloads.parse_bodies(_bodies(spark, sf_dir))
+    v = payloads.payload_verdicts(parsed, window_ms=HOUR_MS, replay_window_ms=HOUR_MS)
+    return v.select("event_id", "nonce", "verdict")
+
+
+@register("nonce_replay")
+def nonce_replay(spark, sf_dir):
+    """Greedy replay guard per nonce (one-hour window at driver scale)."""
+    p = tables.payloads(spark, sf_dir).select("event_id", "nonce", "ts_ms")
+    return folds.replay_guard(p, "nonce", "ts_ms", ["ts_ms", "event_id"], window_ms=HOUR_MS)
+
+
+@register("stream_dedup_batch", with_views("payloads") + """SELECT nonce, arg_min(event_id, (ts_ms, event_id)) AS first_event_id,
+       MIN(ts_ms) AS first_ts_ms, COUNT(*) - 1 AS replays
+FROM payloads GROUP BY nonce""")
+def stream_dedup_batch(spark, sf_dir):
+    """R4 batch twin without expiry: the first claim per nonce; later claims are replays."""
+    p = tables.payloads(spark, sf_dir)
+    return p.groupBy("nonce").agg(F.min_by("event_id", F.struct("ts_ms", "event_id")).alias("first_event_id"),
+                                  F.min("ts_ms").alias("first_ts_ms"),
+                                  (F.count(F.lit(1)) - 1).alias("replays"))
+
+
+# --------------------------------------------------------------------------- reorder
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """Per device frames numbered 1..n by event id, delivered in reversed runs
+    of five; every frame whose ``k % 50 == 0`` is lost."""
+    t = tables.telemetry(spark, sf_dir).select("device_id", "event_id", "time", "k")
+    n = scan.row_number_in_order(t, "device_id", ["event_id"], chunk=time_bucket("1 day", "time"), out="frame_seq")
+    return (n.where(F.col("k") % 50 != 0)
+             .select("device_id", "frame_seq", "event_id",
+                     (F.floor((F.col("frame_seq") - 1) / 5) * 10 - F.col("frame_seq") % 5).alias("arrival")))
+
+
+@register("reorder_deliver")
+def reorder_deliver(spark, sf_dir):
+    """Bounded reorder buffer (256) per device."""
+    return folds.reorder_buffer(_frames(spark, sf_dir), window=folds.REORDER_WINDOW)
+
+
+@register("reorder_prefix", with_views("telemetry", extra="""
+f AS (SELECT device_id, k, row_number() OVER (PARTITION BY device_id ORDER BY event_id) AS frame_seq FROM telemetry),
+kept AS (SELECT DISTINCT device_id, frame_seq FROM f WHERE k % 50 <> 0),
+isl AS (SELECT device_id, frame_seq - row_number() OVER (PARTITION BY device_id ORDER BY frame_seq) AS island FROM kept),
+run AS (SELECT device_id, COUNT(*) AS delivered FROM isl WHERE island = 0 GROUP BY device_id)""") + """SELECT d.device_id, CAST(COALESCE(run.delivered, 0) AS BIGINT) AS delivered
+FROM (SELECT DISTINCT device_id FROM kept) d LEFT JOIN run ON d.device_id = run.device_id""")
+def reorder_prefix(spark, sf_dir):
+    """W8 with an unlimited buffer: delivered count = run of 1, 2, 3, ... per device."""
+    return folds.reorder_prefix(_frames(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- limiters and meters
+
+
+@register("rate_limit")
+def rate_limit(spark, sf_dir):
+    """Token bucket per device; rates per hour at driver scale (``unit_s=3600``)."""
+    t = tables.telemetry(spark, sf_dir)
+    tiers = F.array(F.lit("free"), F.lit("standard"), F.lit("enterprise"))
+    req = t.select("device_id", "event_id", epoch_ms("time").alias("time_ms"),
+                   F.element_at(tiers, (F.col("user_id") % 3 + 1).cast("int")).alias("billing_tier"),
+                   ((F.col("k") % 100) / 100.0).alias("compliance"))
+    return folds.token_bucket(req, order=["time_ms", "event_id"], unit_s=3600.0).select(
+        "device_id", "event_id", "allowed", "tokens_remaining", "max_tokens", "reset_at_ms")
+
+
+@register("login_limit")
+def login_limit(spark, sf_dir):
+    """Login attempts per IP, one-hour window at driver scale."""
+    t = tables.telemetry(spark, sf_dir)
+    req = t.select(F.concat(F.lit("ip-"), (F.col("user_id") % 20).cast("string")).alias("ip"), "event_id",
+                   epoch_ms("time").alias("time_ms"))
+    return folds.login_limiter(req, order=["time_ms", "event_id"], window_ms=HOUR_MS)
+
+
+@register("storage_meter")
+def storage_meter(spark, sf_dir):
+    """Metered storage per device (TTL, burst and capacity checks)."""
+    t = tables.telemetry(spark, sf_dir)
+    b = t.select("device_id", "event_id", F.unix_seconds(F.col("time").cast("timestamp")).alias("time_s"),
+                 (F.col("k") * 15).cast("bigint").alias("n_events"))
+    return folds.storage_meter(b, order=["time_s", "event_id"]).select(
+        "device_id", "event_id", "result", "usage_bytes", "metered_entries")
+
+
+@register("state_replay")
+def state_replay(spark, sf_dir):
+    """W6 replay: final state per entity when illegal requests are ignored."""
+    from .catalog_validation import _history
+    return folds.replay_states(_history(spark, sf_dir), V.TRANSITIONS, V.INITIAL_STATE)
+
+
+# --------------------------------------------------------------------------- billing cycles
+
+
+def _cycle_requests(spark, sf_dir):
+    r = tables.billing_records(spark, sf_dir)
+    cycle = F.when(F.col("record_id") % 17 == 0, F.concat(F.lit("missing:"), F.col("cycle_id"))).otherwise(F.col("cycle_id"))
+    req = r.select(F.col("record_id").alias("request_order"), cycle.alias("cycle_id"),
+                   F.concat(F.lit("key-"), (F.col("record_id") % 5000).cast("string")).alias("idempotency_key"))
+    acct_no = F.regexp_replace("account_id", "acct-", "").cast("bigint")
+    cycles = (r.select("cycle_id", acct_no.alias("acct_no")).distinct()
+               .select("cycle_id", F.when(F.col("acct_no") % 10 == 0, "SETTLED").otherwise("OPEN").alias("state"),
+                       F.lit(1).alias("lock_version")))
+    return req, cycles
+
+
+@register("cycle_finalize", with_views("billing_records", extra="""
+req AS (SELECT record_id AS request_order,
+               CASE WHEN record_id % 17 = 0 THEN 'missing:' || cycle_id ELSE cycle_id END AS cycle_id,
+               'key-' || CAST(record_id % 5000 AS VARCHAR) AS idempotency_key FROM billing_records),
+cyc AS (SELECT DISTINCT cycle_id, CASE WHEN CAST(replace(account_id, 'acct-', '') AS BIGINT) % 10 = 0 THEN 'SETTLED' ELSE 'OPEN' END AS state
+        FROM billing_records),
+r AS (SELECT req.*, cyc.state AS initial_state FROM req LEFT JOIN cyc ON req.cycle_id = cyc.cycle_id),
+cas AS (SELECT cycle_id, MIN(request_order) AS cas_order, arg_min(idempotency_key, request_order) AS cas_key
+        FROM r WHERE initial_state = 'OPEN' GROUP BY cycle_id),
+cas2 AS (SELECT *, row_number() OVER (PARTITION BY cas_key ORDER BY cas_order) = 1 AS fresh FROM cas),
+j AS (SELECT r.*, cas2.cas_order, cas2.fresh FROM r LEFT JOIN cas2 ON r.cycle_id = cas2.cycle_id)""") + """SELECT request_order, cycle_id, idempotency_key,
+       CASE WHEN initial_state IS NULL THEN 'not_found'
+            WHEN cas_order IS NOT NULL AND request_order = cas_order AND fresh THEN 'finalized'
+            WHEN cas_order IS NOT NULL AND request_order = cas_order THEN 'duplicate_replay'
+            ELSE 'not_open' END AS outcome,
+       COALESCE(initial_state IS NOT NULL AND cas_order IS NOT NULL AND request_order = cas_order AND fresh, false) AS finalized,
+       CASE WHEN initial_state IS NULL THEN NULL
+            WHEN cas_order IS NOT NULL THEN CASE WHEN fresh THEN 'FINALIZED' ELSE 'FINALIZING' END
+            ELSE initial_state END AS observed_state
+FROM j""")
+def cycle_finalize(spark, sf_dir):
+    """Finalize requests applied in order; CAS winner per cycle, first key wins."""
+    req, cycles = _cycle_requests(spark, sf_dir)
+    return folds.finalize_cycles(req, cycles)
+
+
+# --------------------------------------------------------------------------- admin actions
+
+_ING = "['PENDING', 'TENTATIVE', 'SETTLED', 'ROLLED_BACK', 'RECONCILING', 'FAILED', 'GAP_DETECTED']"
+_ACTIONS = "['onchain_rejection', 'force_settle', 'force_rollback', 'complete_reconciliation', 'fail_reconciliation']"
+
+
+@register("admin_actions", with_views("telemetry", extra=f"""
+rq AS (SELECT event_id AS request_id, device_id, {_ING}[user_id % 7 + 1] AS stored_state,
+              {_ACTIONS}[k % 5 + 1] AS action FROM telemetry),
+steps AS (SELECT * FROM (VALUES
+  ('onchain_rejection', 'TENTATIVE', 1, 'TENTATIVE', 'ROLLED_BACK'), ('onchain_rejection', 'TENTATIVE', 2, 'ROLLED_BACK', 'RECONCILING'),
+  ('force_rollback', 'TENTATIVE', 1, 'TENTATIVE', 'ROLLED_BACK'), ('force_rollback', 'TENTATIVE', 2, 'ROLLED_BACK', 'RECONCILING'),
+  ('force_settle', 'TENTATIVE', 1, 'TENTATIVE', 'SETTLED'),
+  ('complete_reconciliation', 'RECONCILING', 1, 'RECONCILING', 'PENDING'),
+  ('fail_reconciliation', 'RECONCILING', 1, 'RECONCILING', 'FAILED')) s(action, required, step, from_state, to_state))""") + """SELECT rq.request_id, rq.device_id, rq.action, CAST(COALESCE(s.step, 0) AS INTEGER) AS step,
+       COALESCE(s.from_state, rq.stored_state) AS from_state, s.to_state, s.step IS NOT NULL AS applied
+FROM rq LEFT JOIN steps s ON rq.action = s.action AND rq.stored_state = s.required""")
+def admin_actions(spark, sf_dir):
+    """Admin and on-chain actions against the stored state; applied actions
+    become one or two history rows, refused ones one row with ``applied = false``."""
+    t = tables.telemetry(spark, sf_dir)
+    states = F.array(*[F.lit(s) for s in V.INGESTION_STATES])
+    acts = F.array(*[F.lit(a) for a in ("onchain_rejection", "force_settle", "force_rollback",
+                                          "complete_reconciliation", "fail_reconciliation")])
+    rq = t.select(F.col("event_id").alias("request_id"), "device_id",
+                  F.element_at(states, (F.col("user_id") % 7 + 1).cast("int")).alias("stored_state"),
+                  F.element_at(acts, (F.col("k") % 5 + 1).cast("int")).alias("action"))
+    steps = V.config_table(spark, [
+        ("onchain_rejection", "TENTATIVE", 1, "TENTATIVE", "ROLLED_BACK"),
+        ("onchain_rejection", "TENTATIVE", 2, "ROLLED_BACK", "RECONCILING"),
+        ("force_rollback", "TENTATIVE", 1, "TENTATIVE", "ROLLED_BACK"),
+        ("force_rollback", "TENTATIVE", 2, "ROLLED_BACK", "RECONCILING"),
+        ("force_settle", "TENTATIVE", 1, "TENTATIVE", "SETTLED"),
+        ("complete_reconciliation", "RECONCILING", 1, "RECONCILING", "PENDING"),
+        ("fail_reconciliation", "RECONCILING", 1, "RECONCILING", "FAILED"),
+    ], "action string, required string, step int, from_state string, to_state string")
+    j = rq.join(V.bounded_broadcast(steps),
+                (rq.action == steps.action) & (rq.stored_state == steps.required), "left")
+    return j.select(rq.request_id, rq.device_id, rq.action, F.coalesce(steps.step, F.lit(0)).alias("step"),
+                    F.coalesce(steps.from_state, rq.stored_state).alias("from_state"), steps.to_state,
+                    steps.step.isNotNull().alias("applied"))
+
+
+# --------------------------------------------------------------------------- trace, frames, proofs, fragments
+
+
+def _trace_lines(spark, sf_dir) -> DataFrame:
+    e = tables.read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    ms = epoch_ms("ts").cast("string")
+    text = (F.when(k % 13 == 0, F.lit(""))
+             .when(k % 9 == 0, ms)
+             .otherwise(F.concat(ms, F.lit(","), F.lit("dev-"), F.col("user_id").cast("string"))))
+    data = e.select((F.col("event_id") + 1).alias("line_no"), text.alias("text"))
+    header = spark.createDataFrame([(0, "timestampMs,deviceId")], "line_no long, text string")
+    return header.unionByName(data).withColumn("line_chunk", F.floor(F.col("line_no") / 4096))
+
+
+@register("trace_offsets", """WITH d AS (
+  SELECT event_id, CAST(epoch_us(ts) // 1000 AS DOUBLE) AS timestamp_ms,
+         CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 9 = 0 THEN NULL ELSE 'dev-' || CAST(user_id AS VARCHAR) END AS device_raw
+  FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 13 <> 0),
+n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM d)
+SELECT row_index, timestamp_ms, COALESCE(device_raw, 'trace-device-' || CAST(row_index AS VARCHAR)) AS device_id,
+       timestamp_ms - (SELECT MIN(timestamp_ms) FROM d) AS offset_ms
+FROM n""")
+def trace_offsets(spark, sf_dir):
+    """Trace CSV lines (header, blanks, missing devices) to offsets."""
+    return trace.parse_trace(_trace_lines(spark, sf_dir))
+
+
+@register("frame_decode")
+def frame_decode(spark, sf_dir):
+    """Binary frames (built from readings, some truncated) decoded per metric."""
+    t = tables.telemetry(spark, sf_dir)
+    mids = F.expr("transform(array_repeat(0, cast(k % 4 as int)), (x, i) -> metric_id * 10 + i)")
+    vals = F.expr("transform(array_repeat(0, cast(k % 4 as int)), (x, i) -> cast(metric_value as double) + i)")
+    rd = t.select(F.col("event_id").alias("frame_id"), "device_id", F.col("event_id").alias("seq"),
+                  (epoch_ms("time") / 1000.0).alias("ts"), mids.alias("metric_ids"), vals.alias("values"), "k")
+    enc = frames.frames_from_readings(rd).join(rd.select("frame_id", "k"), "frame_id")
+    cut = enc.select("frame_id", F.when(F.col("k") % 23 == 0, F.expr("substring(frame, 1, length(frame) - 5)"))
+                     .otherwise(F.col("frame")).alias("frame"))
+    return frames.decode_frames(cut)
+
+
+@register("proof_audit")
+def proof_audit(spark, sf_dir):
+    """Range-proof audit (every fifth proof forged, some with lower >= upper)."""
+    t = tables.telemetry(spark, sf_dir)
+    lower = (F.col("k") * 10).cast("bigint")
+    upper = F.when(F.col("k") % 11 == 0, lower).otherwise(lower + 1000)
+    commitment = F.unhex(F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 32))
+    suffix = F.concat_ws(":", F.lit(""), F.col("device_id"), lower.cast("string"), upper.cast("string")).cast("binary")
+    challenge = F.unhex(F.substring(F.sha2(F.concat(commitment, suffix), 512), 1, 32))
+    forged = F.unhex(F.substring(F.sha2(F.concat(commitment, suffix), 256), 1, 32))
+    response = F.unhex(F.sha2(F.col("device_id"), 256))
+    proof = F.concat(commitment, F.when(F.col("k") % 5 == 0, forged).otherwise(challenge), response)
+    p = t.select("event_id", "device_id", lower.alias("lower"), upper.alias("upper"), proof.alias("proof"))
+    return p.select("event_id", "device_id", "lower", "upper",
+                    V.range_proof_ok(F.col("proof"), F.col("device_id"), F.col("lower"), F.col("upper")).alias("verified"))
+
+
+@register("fragment_reassembly")
+def fragment_reassembly(spark, sf_dir):
+    """R9 batch twin: conversation turns as chunks of one connection; every
+    third turn lacks its terminator; turns are 10 s apart (30 s timeout)."""
+    c = tables.read_table(spark, sf_dir, "conversations")
+    chunk = F.when(F.col("turn") % 3 == 2, F.encode("text", "UTF-8")).otherwise(
+        F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("00"))))
+    d = c.select(F.concat(F.lit("conn-"), F.col("conv_id").cast("string")).alias("connection_id"),
+                 (F.col("turn") * 10000).alias("time_ms"), chunk.alias("chunk"))
+    out = folds.reassemble(d)
+    return out.select("connection_id", "event_pos", "kind", F.length("payload").alias("payload_bytes"), "buffer_bytes")
