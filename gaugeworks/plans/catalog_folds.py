@@ -53,7 +53,7 @@ def payload_envelope(spark, sf_dir):
 @register("payload_verdict")
 def payload_verdict(spark, sf_dir):
     """Ordered verdict; replay (one-hour window at driver scale) only among passing rows."""
-    parsed = payloads.parse_bodies(_bodies(spark, sf_dir))
+    parsed = payloads.parse_bodies(_bodies(spark, sf_dir)).drop("body")
     v = payloads.payload_verdicts(parsed, window_ms=HOUR_MS, replay_window_ms=HOUR_MS)
     return v.select("event_id", "nonce", "verdict")
 

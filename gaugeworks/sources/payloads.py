@@ -34,10 +34,14 @@ def parse_bodies(bodies: DataFrame, text: str = "body") -> DataFrame:
     """Flatten envelope or flat bodies into payload columns plus
     ``malformed`` (typed fields missing; the flat branch does not check
     ``timestamp``) and ``public_key`` (NULL when absent or not a string)."""
-    v = F.try_parse_json(F.col(text))
+    # Parse once into a column; every field test below reads the parsed value.
+    bodies = bodies.withColumn("_v", F.try_parse_json(F.col(text)))
+    v = F.col("_v")
+    bodies = bodies.withColumn("_p", F.when(F.variant_get(v, "$.payload", "variant").isNotNull(),
+                                            F.variant_get(v, "$.payload", "variant")).otherwise(v))
     enveloped = F.coalesce(_type_of(v, "$.payload") == F.lit("OBJECT"), F.lit(False))
     has_payload_key = F.variant_get(v, "$.payload", "variant").isNotNull()
-    p = F.when(has_payload_key, F.variant_get(v, "$.payload", "variant")).otherwise(v)
+    p = F.col("_p")
     typed = _is_string(p, "$.deviceId") & _is_string(p, "$.nonce") & _is_string(p, "$.signature")
     malformed = (v.isNull()
                  | (has_payload_key & ~(enveloped & typed & _is_number(p, "$.timestamp")))
@@ -50,22 +54,33 @@ def parse_bodies(bodies: DataFrame, text: str = "body") -> DataFrame:
         F.variant_get(p, "$.signature", "string").alias("signature"),
         F.try_variant_get(p, "$.timestamp", "bigint").alias("ts_ms"),
         F.when(_is_string(v, "$.publicKey"), F.variant_get(v, "$.publicKey", "string")).alias("public_key"),
-    )
+    ).drop("_v", "_p")
 
 
 def payload_verdicts(parsed: DataFrame, received_ms: str = "received_ms", signature_ok: str = "signature_ok",
                      window_ms: int = V.NONCE_WINDOW_MS, replay_window_ms: int | None = None) -> DataFrame:
     """Ordered verdict; the nonce is claimed only by payloads that pass
-    every other check (replay guard W1 over those rows, keyed by nonce)."""
-    from ..operators.folds import replay_guard
+    every other check (replay guard W1 over those rows, keyed by nonce).
+    Returns ``(event_id, nonce, received_ms, replay, verdict)``."""
+    from ..operators.folds import keyed_fold
     pre = V.verdict(F.col("malformed"), F.col("public_key"), F.col("signature"), F.col("ts_ms"),
                     F.col(received_ms), F.col(signature_ok))
-    d = parsed.withColumn("_pre", pre)
-    passing = d.where(F.col("_pre") == "valid")
-    claimed = replay_guard(passing, key="nonce", time_ms=received_ms, order=[received_ms, "event_id"],
-                           window_ms=replay_window_ms or window_ms)
-    rejected = d.where(F.col("_pre") != "valid").withColumn("replay", F.lit(False))
-    out = claimed.unionByName(rejected)
-    verdict = F.when(F.col("_pre") != "valid", F.col("_pre")).when(
+    window = replay_window_ms or window_ms
+    # Only the columns the fold and verdict need travel through Python.
+    d = parsed.select("event_id", "nonce", received_ms, pre.alias("_pre")).withColumn("_eligible", F.col("_pre") == "valid")
+
+    def step(expires, now, eligible):
+        if not eligible:
+            return expires, (False,)
+        if expires is not None and expires > now:
+            return expires, (True,)
+        return now + window, (False,)
+
+    # One ordered pass per nonce; rows that failed earlier checks pass through
+    # without claiming the nonce.
+    out = keyed_fold(d.withColumn("_nonce_key", F.coalesce("nonce", F.lit(""))), "_nonce_key",
+                     [received_ms, "event_id"], [received_ms, "_eligible"], [("replay", "boolean")],
+                     lambda: None, step)
+    verdict = F.when(~F.col("_eligible"), F.col("_pre")).when(
         F.col("replay"), F.lit("Nonce already consumed (replay detected)")).otherwise(F.lit("valid"))
-    return out.withColumn("verdict", verdict).drop("_pre")
+    return out.withColumn("verdict", verdict).drop("_pre", "_eligible", "_nonce_key")
