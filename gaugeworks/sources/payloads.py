@@ -39,7 +39,7 @@ def parse_bodies(bodies: DataFrame, text: str = "body") -> DataFrame:
     v = F.col("_v")
     bodies = bodies.withColumn("_p", F.when(F.variant_get(v, "$.payload", "variant").isNotNull(),
                                             F.variant_get(v, "$.payload", "variant")).otherwise(v))
-    enveloped = F.coalesce(_type_of(v, "$.payload") == F.lit("OBJECT"), F.lit(False))
+    enveloped = F.coalesce(_type_of(v, "$.payload").startswith("OBJECT"), F.lit(False))
     has_payload_key = F.variant_get(v, "$.payload", "variant").isNotNull()
     p = F.col("_p")
     typed = _is_string(p, "$.deviceId") & _is_string(p, "$.nonce") & _is_string(p, "$.signature")
