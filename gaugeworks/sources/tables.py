@@ -26,6 +26,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A driver table as a file stream (the folder holds one file per table, so
+    the file name selects the table)."""
+    schema = read_table(spark, sf_dir, name).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(sf_dir)
+
+
 def _k(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("int")
 
@@ -44,7 +54,11 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``metric_value`` is ``decimal(18,2)`` so sums are exact and independent of
     the order in which partial aggregates are merged.
     """
-    ev = read_table(spark, sf_dir, "events")
+    return telemetry_from(read_table(spark, sf_dir, "events"))
+
+
+def telemetry_from(ev: DataFrame) -> DataFrame:
+    """The telemetry projection of an ``events`` DataFrame (batch or stream)."""
     k = _k(F.col("props"))
     return ev.select(
         F.col("event_id"),
@@ -63,7 +77,10 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger stream: ``sequence`` with gaps, arrival order ``(arrival_ts, arrival_id)``."""
-    ev = read_table(spark, sf_dir, "events")
+    return ledger_from(read_table(spark, sf_dir, "events"))
+
+
+def ledger_from(ev: DataFrame) -> DataFrame:
     return (ev.where(_k(F.col("props")) % 25 != 0)
               .select(F.lit("ledger").alias("stream_id"),
                       F.col("event_id").alias("sequence"),
@@ -122,7 +139,10 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return payloads_from(read_table(spark, sf_dir, "events"))
+
+
+def payloads_from(ev: DataFrame) -> DataFrame:
     k = _k(F.col("props"))
     ts_ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
     return ev.select(
