@@ -117,7 +117,7 @@ def decimal_string_to_units(s, decimals: int = TARGET_DECIMALS) -> Column:
     neg = s.startswith("-")
     body = F.regexp_replace(s, r"^[+-]", "")
     whole = F.split(body, r"\.").getItem(0)
-    frac = F.coalesce(F.split(body, r"\.").getItem(1), F.lit(""))
+    frac = F.coalesce(F.get(F.split(body, r"\."), 1), F.lit(""))
     whole = F.when(whole == "", F.lit("0")).otherwise(whole)
     frac7 = F.rpad(F.substring(frac, 1, decimals), decimals, "0")
     mag = (dec(whole) * pow10(decimals) + dec(frac7)).cast(D38)

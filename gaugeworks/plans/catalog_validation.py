@@ -141,11 +141,10 @@ def agg_freshness(spark, sf_dir):
     """P20: per-device rollup watermark against the newest reading (2 h limit, inclusive)."""
     t = tables.telemetry(spark, sf_dir)
     per = t.groupBy("device_id").agg(F.max("time").alias("last_refresh"))
-    # ``now`` is the single global max: a one-row aggregate joined back, not a cross product.
-    now = t.agg(F.max("time").alias("now")).withColumn("_k", F.lit(1))
-    j = per.withColumn("_k", F.lit(1)).join(F.broadcast(now), "_k")
-    age, fresh = V.freshness(F.col("last_refresh"), F.col("now"))
-    return j.select("device_id", "last_refresh", age.alias("age_ms"), fresh.alias("fresh"))
+    # ``now`` is one value (the newest reading), fetched once and used as a literal.
+    now = t.agg(F.max("time")).first()[0]
+    age, fresh = V.freshness(F.col("last_refresh"), F.lit(now).cast("timestamp_ntz"))
+    return per.select("device_id", "last_refresh", age.alias("age_ms"), fresh.alias("fresh"))
 
 
 # --------------------------------------------------------------------------- hashing and sampling
