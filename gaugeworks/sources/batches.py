@@ -54,47 +54,55 @@ def _ord(*parts) -> Column:
 def issues(parsed: DataFrame) -> DataFrame:
     """One row per failed check with its full path, in validation order.
 
-    ``ord`` sorts issues as the validator reports them: batch id, the device
-    array size, then per device its id, reading array size and each reading's
-    fields in schema order.
+    All checks of a batch are built as one array with higher-order functions
+    over the parsed struct (``transform`` with element indexes) and exploded
+    once, so the JSON is parsed and scanned a single time. ``ord`` sorts
+    issues as the validator reports them: batch id, the device array size,
+    then per device its id, reading array size and each reading's fields in
+    schema order.
     """
-    t = "batch.telemetry"
-    base = parsed.select(F.col(f"{t}.batchId").alias("batch_id"), F.col(f"{t}.devices").alias("devices"))
+    t = F.col("batch.telemetry")
+    batch_id = t["batchId"]
+    devices = F.coalesce(t["devices"], F.array())
+
+    def nonempty(x):
+        return F.length(F.coalesce(x, F.lit(""))) < 1
+
     top = F.array(
-        _issue(F.length(F.coalesce("batch_id", F.lit(""))) < 1, F.lit("telemetry.batchId"), "too_small", MSG_MIN_STRING,
-               _ord(0, -1, -1, 0)),
-        _issue(F.size("devices") > MAX_DEVICES_PER_BATCH, F.lit("telemetry.devices"), "too_big", MSG_TOO_MANY_DEVICES,
+        _issue(nonempty(batch_id), F.lit("telemetry.batchId"), "too_small", MSG_MIN_STRING, _ord(0, -1, -1, 0)),
+        _issue(F.size(devices) > MAX_DEVICES_PER_BATCH, F.lit("telemetry.devices"), "too_big", MSG_TOO_MANY_DEVICES,
                _ord(1, -1, -1, 0)),
     )
-    top_rows = base.select("batch_id", F.explode(F.filter(top, lambda x: x.isNotNull())).alias("i"))
-    dev = base.select("batch_id", F.posexplode("devices").alias("d", "device"))
-    dpath = F.concat(F.lit("telemetry.devices["), F.col("d").cast("string"), F.lit("]"))
-    dev_checks = F.array(
-        _issue(F.length(F.coalesce("device.deviceId", F.lit(""))) < 1, F.concat(dpath, F.lit(".deviceId")),
-               "too_small", MSG_MIN_STRING, _ord(2, F.col("d"), -1, 0)),
-        _issue(F.size("device.readings") > MAX_READINGS_PER_DEVICE, F.concat(dpath, F.lit(".readings")),
-               "too_big", MSG_TOO_MANY_READINGS, _ord(2, F.col("d"), -1, 1)),
-    )
-    dev_rows = dev.select("batch_id", F.explode(F.filter(dev_checks, lambda x: x.isNotNull())).alias("i"))
-    rd = dev.select("batch_id", "d", F.posexplode("device.readings").alias("r", "reading"))
-    rpath = F.concat(F.lit("telemetry.devices["), F.col("d").cast("string"), F.lit("].readings["),
-                     F.col("r").cast("string"), F.lit("]"))
-    v, ra = F.col("reading.value"), F.col("reading.recordedAt")
-    rd_checks = F.array(
-        _issue(F.length(F.coalesce("reading.metricId", F.lit(""))) < 1, F.concat(rpath, F.lit(".metricId")),
-               "too_small", MSG_MIN_STRING, _ord(2, F.col("d"), F.col("r"), 0)),
-        _issue(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.concat(rpath, F.lit(".value")),
-               "not_finite", MSG_NOT_FINITE, _ord(2, F.col("d"), F.col("r"), 1)),
-        _issue(F.length(F.coalesce("reading.unit", F.lit(""))) < 1, F.concat(rpath, F.lit(".unit")),
-               "too_small", MSG_MIN_STRING, _ord(2, F.col("d"), F.col("r"), 2)),
-        _issue(ra != F.floor(ra), F.concat(rpath, F.lit(".recordedAt")), "invalid_type", MSG_NOT_INT,
-               _ord(2, F.col("d"), F.col("r"), 3)),
-        _issue(ra < 0, F.concat(rpath, F.lit(".recordedAt")), "too_small", MSG_NEGATIVE,
-               _ord(2, F.col("d"), F.col("r"), 4)),
-    )
-    rd_rows = rd.select("batch_id", F.explode(F.filter(rd_checks, lambda x: x.isNotNull())).alias("i"))
-    out = top_rows.unionByName(dev_rows).unionByName(rd_rows)
-    return out.select("batch_id", "i.path", "i.code", "i.message", F.col("i.ord").alias("ord"))
+
+    def reading_issues(r, d, i):
+        rpath = F.concat(F.lit("telemetry.devices["), d.cast("string"), F.lit("].readings["), i.cast("string"), F.lit("]"))
+        v, ra = r["value"], r["recordedAt"]
+        return F.array(
+            _issue(nonempty(r["metricId"]), F.concat(rpath, F.lit(".metricId")), "too_small", MSG_MIN_STRING,
+                   _ord(2, d, i, 0)),
+            _issue(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.concat(rpath, F.lit(".value")),
+                   "not_finite", MSG_NOT_FINITE, _ord(2, d, i, 1)),
+            _issue(nonempty(r["unit"]), F.concat(rpath, F.lit(".unit")), "too_small", MSG_MIN_STRING, _ord(2, d, i, 2)),
+            _issue(ra != F.floor(ra), F.concat(rpath, F.lit(".recordedAt")), "invalid_type", MSG_NOT_INT,
+                   _ord(2, d, i, 3)),
+            _issue(ra < 0, F.concat(rpath, F.lit(".recordedAt")), "too_small", MSG_NEGATIVE, _ord(2, d, i, 4)),
+        )
+
+    def device_issues(dev, d):
+        dpath = F.concat(F.lit("telemetry.devices["), d.cast("string"), F.lit("]"))
+        readings = F.coalesce(dev["readings"], F.array())
+        own = F.array(
+            _issue(nonempty(dev["deviceId"]), F.concat(dpath, F.lit(".deviceId")), "too_small", MSG_MIN_STRING,
+                   _ord(2, d, -1, 0)),
+            _issue(F.size(readings) > MAX_READINGS_PER_DEVICE, F.concat(dpath, F.lit(".readings")), "too_big",
+                   MSG_TOO_MANY_READINGS, _ord(2, d, -1, 1)),
+        )
+        return F.concat(own, F.flatten(F.transform(readings, lambda r, i: reading_issues(r, d, i))))
+
+    every = F.concat(top, F.flatten(F.transform(devices, device_issues)))
+    found = F.filter(every, lambda x: x.isNotNull())
+    return (parsed.select(batch_id.alias("batch_id"), F.explode(found).alias("i"))
+                  .select("batch_id", "i.path", "i.code", "i.message", F.col("i.ord").alias("ord")))
 
 
 def issue_budget(issue_rows: DataFrame, max_bytes: int = ISSUE_BYTES_BUDGET) -> DataFrame:
