@@ -330,3 +330,78 @@ def kv_list_to_map(flat: Column, drop_key: str = "seq") -> Column:
     n = F.least(F.size(keys), F.size(vals))
     m = F.map_from_arrays(F.slice(keys, 1, n), F.slice(vals, 1, n))
     return F.map_filter(m, lambda k, v: k != drop_key)
+
+
+# --------------------------------------------------------------------------- W6 replay without Python
+
+
+def _all_states() -> list[str]:
+    seen: list[str] = []
+    for pairs in TRANSITIONS.values():
+        for a, b in pairs:
+            for s in (a, b):
+                if s not in seen:
+                    seen.append(s)
+    for s in INITIAL_STATE.values():
+        if s not in seen:
+            seen.append(s)
+    return seen
+
+
+def replay_state_machine(history: DataFrame, keys=("machine", "entity"), order: str = "seq",
+                         chunk: Column | None = None) -> DataFrame:
+    """W6 replay as a parallel composition of transition functions.
+
+    A request ``to`` acts on the state set as ``f(s) = to if (s, to) is legal
+    else s``; such maps compose associatively. Per (entity, chunk) the
+    chunk's requests (a bounded list, sorted by ``order``) are folded with
+    ``aggregate`` into one state map; per entity the chunk maps are chained in
+    chunk order to get each chunk's start state; a second ``aggregate`` over
+    each chunk counts applied requests from its start state. Everything
+    runs as JVM expressions; a hot entity is split into chunks.
+    Returns ``(keys..., final_state, applied, refused)``.
+    """
+    keys = list(keys)
+    states = _all_states()
+    names = F.array(*[F.lit(s) for s in states])
+    legal_keys = [f"{m}|{a}|{b}" for m, pairs in TRANSITIONS.items() for a, b in pairs]
+    legal = F.create_map(*[x for k in legal_keys for x in (F.lit(k), F.lit(True))])
+    init = F.create_map(*[x for m, s in INITIAL_STATE.items() for x in (F.lit(m), F.lit(states.index(s)))])
+    machine = F.col(keys[0])
+
+    def is_legal(m, state_idx, to):
+        key = F.concat(m, F.lit("|"), F.element_at(names, state_idx + 1), F.lit("|"), to)
+        return F.coalesce(F.try_element_at(legal, key), F.lit(False))
+
+    def to_idx(to):
+        return (F.array_position(names, to) - 1).cast("int")
+
+    d = history.withColumn("_chunk", chunk if chunk is not None else F.floor(F.col(order) / 4096))
+    per_chunk = d.groupBy(*keys, "_chunk").agg(
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("to_state").alias("to")))).alias("_reqs"))
+    identity = F.sequence(F.lit(0), F.lit(len(states) - 1))
+    fmap = F.aggregate("_reqs", identity,
+                       lambda acc, x: F.transform(acc, lambda v: F.when(is_legal(machine, v, x["to"]), to_idx(x["to"]))
+                                                  .otherwise(v)))
+    per_chunk = per_chunk.withColumn("_f", fmap)
+    chains = per_chunk.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_chunk", "_f"))).alias("_maps"))
+    start0 = F.element_at(init, machine)
+    walked = F.aggregate(
+        "_maps",
+        F.struct(start0.alias("cur"), F.array().cast("array<struct<c:bigint,s:int>>").alias("starts")),
+        lambda acc, m: F.struct(F.element_at(m["_f"], acc["cur"] + 1).alias("cur"),
+                                F.concat(acc["starts"], F.array(F.struct(m["_chunk"].cast("bigint").alias("c"),
+                                                                         acc["cur"].alias("s")))).alias("starts")))
+    starts = chains.select(*keys, F.inline(walked["starts"])).withColumnRenamed("c", "_chunk")
+    j = per_chunk.join(starts, [*keys, "_chunk"])
+    counted = F.aggregate("_reqs", F.struct(F.col("s").alias("st"), F.lit(0).alias("ok"), F.lit(0).alias("no")),
+                          lambda acc, x: F.when(is_legal(machine, acc["st"], x["to"]),
+                                                F.struct(to_idx(x["to"]).alias("st"), (acc["ok"] + 1).alias("ok"),
+                                                         acc["no"].alias("no")))
+                          .otherwise(F.struct(acc["st"].alias("st"), acc["ok"].alias("ok"), (acc["no"] + 1).alias("no"))))
+    c = j.select(*keys, "_chunk", counted.alias("_r"))
+    return (c.groupBy(*keys)
+             .agg(F.max_by("_r.st", "_chunk").alias("_st"), F.sum("_r.ok").cast("bigint").alias("applied"),
+                  F.sum("_r.no").cast("bigint").alias("refused"))
+             .select(*keys, F.element_at(names, F.col("_st") + 1).alias("final_state"), "applied", "refused"))

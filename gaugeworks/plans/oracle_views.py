@@ -55,9 +55,9 @@ VIEWS = {
 }
 
 
-def with_views(*names: str, extra: str = "") -> str:
+def with_views(*names: str, extra: str = "", recursive: bool = False) -> str:
     """``WITH`` prefix defining the named views (and optional extra CTEs)."""
     parts = [VIEWS[n] for n in names]
     if extra:
         parts.append(extra.strip().rstrip(","))
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
