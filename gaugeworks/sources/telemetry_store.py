@@ -90,3 +90,29 @@ def compact_layout(spark: SparkSession, src: str, dst: str, older_than_day: str)
 def compression_ratio(before_bytes: Column, after_bytes: Column) -> Column:
     """``(1 - after/before) * 100``."""
     return (F.lit(1.0) - after_bytes / before_bytes) * 100
+
+
+def drop_expired_partitions(spark: SparkSession, path: str, now: str, retention_days: int = 365) -> list[str]:
+    """Delete ``day=`` directories older than the retention boundary.
+
+    Only directory names are listed (no data is read); deletion goes through
+    the Hadoop FileSystem of the path, so it works on any shared file system
+    Spark can write to. Returns the deleted partition values.
+    """
+    import datetime as dt
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    boundary = (dt.datetime.fromisoformat(now) - dt.timedelta(days=retention_days)).date()
+    dropped = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("day="):
+            day = dt.date.fromisoformat(name[4:])
+            if day < boundary:
+                fs.delete(status.getPath(), True)
+                dropped.append(name[4:])
+    return sorted(dropped)
