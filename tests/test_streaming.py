@@ -125,3 +125,28 @@ def test_refresh_from_raw_rebuilds_touched_buckets(spark):
     got = spark.read.parquet(roll).drop("day")
     batch = rollups.device_rollup(tel, "1h")
     assert _rows(got) == _rows(batch)
+
+
+def test_gap_resync_timer_fires_once(spark):
+    import time as _time
+    from gaugeworks.streaming.resync import resync_requests
+    src = tempfile.mkdtemp(prefix="gw-r8-")
+    schema = "entity string, to_state string, time_ms long"
+    t0 = 1_700_000_000_000  # event times near epoch 0 read as "no watermark yet"
+    spark.createDataFrame([("A", "GAP_DETECTED", t0), ("B", "GAP_DETECTED", t0), ("B", "PENDING", t0 + 30_000)],
+                          schema).coalesce(1).write.parquet(f"{src}/f1")
+    _time.sleep(1.1)
+    spark.createDataFrame([("C", "TENTATIVE", t0 + 200_000)], schema).coalesce(1).write.parquet(f"{src}/f2")
+    _time.sleep(1.1)
+    # Timers fire in the batch after the one that moved the watermark.
+    spark.createDataFrame([("D", "TENTATIVE", t0 + 300_000)], schema).coalesce(1).write.parquet(f"{src}/f3")
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(src).withColumn("t", F.timestamp_millis("time_ms")).withWatermark("t", "0 seconds"))
+    out = tempfile.mkdtemp(prefix="gw-r8-out-") + "/t"
+    q = (resync_requests(s).writeStream.format("parquet").option("path", out)
+          .option("checkpointLocation", tempfile.mkdtemp(prefix="gw-ckpt-")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    req = [(r.entity, r.at_ms) for r in got.where(F.col("kind") == "resync_request").collect()]
+    assert req == [("A", t0 + 60_000)]
+    assert got.where(F.col("kind") == "transition").count() == 5
