@@ -25,7 +25,8 @@ def enrich_records(records: DataFrame, accounts: DataFrame, nations: DataFrame |
     acc = accounts.select("account_id", "address", "c_custkey")
     out = records.join(acc, "account_id", "left")
     if nations is not None:
-        out = out.join(F.broadcast(nations), "c_nationkey", "left")
+        from .validation import bounded_broadcast
+        out = out.join(bounded_broadcast(nations, 1000), "c_nationkey", "left")
     return out
 
 

@@ -245,23 +245,36 @@ def assign_tier(readings: DataFrame, tiers=DEFAULT_TIERS, value: str = "value",
 
 
 def assign_tier_asof(readings: DataFrame, versions: DataFrame, time: str = "time",
-                     value: str = "value") -> DataFrame:
+                     value: str = "value", max_versions: int = 10_000) -> DataFrame:
     """J3 history: each reading uses the latest version with ``valid_from <= time``.
 
     Version intervals ``[valid_from, next valid_from)`` come from ``lead``
-    over the version table (one row per version). The config table is
-    bounded, so it is broadcast after the size check; readings before the
-    first version fall back to the first (current default) version.
+    over the version table (one row per version). Readings before the first
+    version fall back to the first (current default) version. A config table
+    within ``max_versions`` rows is broadcast and matched by range; a larger
+    one is exploded into (version, day) rows and equi-joined on the day, so
+    the join never degenerates into a cross product.
     """
     w = Window.orderBy("valid_from")
     iv = versions.select("version_id", "valid_from", F.lead("valid_from").over(w).alias("valid_to"),
                          F.row_number().over(w).alias("_ord"), "tiers")
-    iv = bounded_broadcast(iv, 10_000)
-    cond = (((F.col(time) >= F.col("valid_from")) | (F.col("_ord") == 1))
-            & (F.col("valid_to").isNull() | (F.col(time) < F.col("valid_to"))))
-    return (readings.join(iv, cond, "left")
-                    .withColumn("tier", pick_tier(F.col(value), F.col("tiers")))
-                    .drop("tiers", "valid_from", "valid_to", "_ord"))
+    in_version = (((F.col(time) >= F.col("valid_from")) | (F.col("_ord") == 1))
+                  & (F.col("valid_to").isNull() | (F.col(time) < F.col("valid_to"))))
+    n = iv.limit(max_versions + 1).count()
+    if n <= max_versions:
+        joined = readings.join(F.broadcast(iv), in_version, "left")
+    else:
+        bounds = readings.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+        lo, hi = F.lit(bounds["lo"]).cast("timestamp_ntz"), F.lit(bounds["hi"]).cast("timestamp_ntz")
+        first_day = F.to_date(F.when(F.col("_ord") == 1, F.least("valid_from", lo)).otherwise(F.col("valid_from")))
+        last_day = F.to_date(F.coalesce("valid_to", hi))
+        days = iv.withColumn("_day", F.explode(F.sequence(first_day, F.greatest(first_day, last_day))))
+        joined = (readings.withColumn("_day", F.to_date(time))
+                          .join(days, "_day", "left")
+                          .where(F.col("version_id").isNull() | in_version)
+                          .drop("_day"))
+    return (joined.withColumn("tier", pick_tier(F.col(value), F.col("tiers")))
+                  .drop("tiers", "valid_from", "valid_to", "_ord"))
 
 
 # --------------------------------------------------------------------------- state machines

@@ -191,3 +191,20 @@ def test_trace_parsing(spark):
     bad = spark.createDataFrame([(0, "1000,a"), (1, "oops,b")], "line_no long, text string")
     with pytest.raises(Exception):
         trace.parse_trace(bad).collect()
+
+
+def test_tier_asof_large_config_uses_day_join(spark):
+    """Above the broadcast bound the as-of join goes through (version, day) rows."""
+    import datetime as dt
+    readings = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 5), 1200.0), (2, dt.datetime(2024, 1, 12), 1200.0), (3, dt.datetime(2024, 1, 25), 1200.0),
+         (4, dt.datetime(2023, 12, 1), 1200.0)],
+        "id long, time timestamp_ntz, value double")
+    tiers_wide = [("TIER_1", 0.0, 1000.0), ("TIER_2", 1001.0, 50000.0), ("TIER_3", 10001.0, None)]
+    tiers_narrow = [("TIER_1", 0.0, 1000.0), ("TIER_2", 1001.0, 1100.0), ("TIER_3", 10001.0, None)]
+    versions = V.tier_versions(spark, [("v1", dt.datetime(2024, 1, 1), tiers_wide),
+                                       ("v2", dt.datetime(2024, 1, 10), tiers_narrow),
+                                       ("v3", dt.datetime(2024, 1, 20), tiers_wide)])
+    small = {r.id: (r.version_id, r.tier) for r in V.assign_tier_asof(readings, versions).collect()}
+    large = {r.id: (r.version_id, r.tier) for r in V.assign_tier_asof(readings, versions, max_versions=1).collect()}
+    assert small == large == {1: ("v1", "TIER_2"), 2: ("v2", "UNKNOWN_TIER"), 3: ("v3", "TIER_2"), 4: ("v1", "TIER_2")}
