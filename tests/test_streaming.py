@@ -150,3 +150,46 @@ def test_gap_resync_timer_fires_once(spark):
     req = [(r.entity, r.at_ms) for r in got.where(F.col("kind") == "resync_request").collect()]
     assert req == [("A", t0 + 60_000)]
     assert got.where(F.col("kind") == "transition").count() == 5
+
+
+def test_token_bucket_stream_with_state_ttl_equals_batch(spark, event_files):
+    """The stream keeps per-device bucket state with an event-time TTL."""
+    src, schema, _ = event_files
+    tiers = F.array(F.lit("free"), F.lit("standard"), F.lit("enterprise"))
+
+    def requests(df):
+        return df.select("device_id", "event_id", F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 1000)
+                         .cast("bigint").alias("time_ms"),
+                         F.element_at(tiers, (F.col("user_id") % 3 + 1).cast("int")).alias("billing_tier"),
+                         ((F.col("k") % 100) / 100.0).alias("compliance"))
+
+    spec = folds.token_bucket_spec(unit_s=3600.0)
+    s = requests(tables.telemetry_from(_stream(spark, src, schema)))
+    s = s.withColumn("et", F.timestamp_millis("time_ms")).withWatermark("et", "1 hour")
+    stream = stateful.stream_fold(s, "device_id", ["time_ms", "event_id"], spec,
+                                  timeout_ms=3600 * 3600 * 1000, event_time_ms="time_ms").drop("et")
+    out = tempfile.mkdtemp(prefix="gw-r7-") + "/t"
+    q = (stream.writeStream.format("parquet").option("path", out)
+               .option("checkpointLocation", tempfile.mkdtemp(prefix="gw-ckpt-")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    batch = folds.keyed_fold(requests(tables.telemetry(spark, SF_SMALL)), "device_id", ["time_ms", "event_id"], *spec)
+    cols = ["device_id", "event_id", "allowed", "tokens_remaining", "max_tokens", "reset_at_ms"]
+    assert _rows(spark.read.parquet(out), cols) == _rows(batch, cols)
+
+
+def test_sync_state_and_config_reload(spark):
+    out = tempfile.mkdtemp(prefix="gw-s10-") + "/t"
+    w = sinks.sync_state_sink(out)
+    w(spark.createDataFrame([(5,), (9,)], "sequence long"), 0)
+    w(spark.createDataFrame([(7,)], "sequence long"), 1)
+    r = spark.read.parquet(out).first()
+    assert (r.sync_id, r.last_synced, r.epoch_id) == ("ledger", 9, 1)
+    seen = []
+    cfg_path = tempfile.mkdtemp(prefix="gw-r12-") + "/cfg"
+    spark.createDataFrame([("v1",)], "version_id string").write.parquet(cfg_path)
+    apply = sinks.with_current_config(lambda s: s.read.parquet(cfg_path),
+                                      lambda b, c, e: seen.append((e, c.first().version_id, b.count())))
+    apply(spark.range(3), 0)
+    spark.createDataFrame([("v2",)], "version_id string").write.mode("overwrite").parquet(cfg_path)
+    apply(spark.range(2), 1)
+    assert seen == [(0, "v1", 3), (1, "v2", 2)]
