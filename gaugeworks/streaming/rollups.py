@@ -98,8 +98,8 @@ def counter_flush(stream: DataFrame, labels, watermark: str = "2 minutes", perio
 # --------------------------------------------------------------------------- R2 adaptive refresh
 
 
-def refresh_from_raw(spark: SparkSession, raw_path: str, rollup_paths: dict, batch: DataFrame,
-                     now, retention_days: int = 365, margin_days: int = 5) -> dict:
+def refresh_from_raw(spark: SparkSession, raw_path: str, rollup_paths: dict, batch: DataFrame | None,
+                     now, retention_days: int = 365, margin_days: int = 5, bounds: tuple | None = None) -> dict:
     """R2 for one micro-batch of newly stored readings.
 
     For each view: the touched range is ``[bucket(min time), bucket(max
@@ -109,7 +109,10 @@ def refresh_from_raw(spark: SparkSession, raw_path: str, rollup_paths: dict, bat
     replace the stored ones. Returns the refreshed ranges.
     """
     from datetime import timedelta
-    mm = batch.agg(F.min("time").alias("mn"), F.max("time").alias("mx")).first()
+    if bounds is not None:
+        mm = {"mn": bounds[0], "mx": bounds[1]}
+    else:
+        mm = batch.agg(F.min("time").alias("mn"), F.max("time").alias("mx")).first()
     if mm is None or mm["mn"] is None:
         return {}
     boundary = now - timedelta(days=retention_days - margin_days)
@@ -144,3 +147,52 @@ def refresh_from_raw(spark: SparkSession, raw_path: str, rollup_paths: dict, bat
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
         done[res] = (start, end)
     return done
+
+
+# --------------------------------------------------------------------------- R3 refresh every N inserts
+
+
+def ingest_with_refresh(raw_path: str, rollup_paths: dict, counter_path: str, every: int = 10_000,
+                        now=None, retention_days: int = 365, margin_days: int = 5):
+    """R3 + R2 as one ``foreachBatch`` writer.
+
+    Each micro-batch is appended to the raw store (S2); a one-row counter
+    table keeps the running insert count and the time range touched since
+    the last refresh. When the count crosses a multiple of ``every`` the
+    touched range is refreshed from the raw store (R2) and the range resets.
+    The raw rows of an epoch go to their own folder (overwritten when the
+    epoch is replayed) and the counter skips epochs it already counted, so a
+    replay changes nothing.
+    """
+    from ..sources.telemetry_store import write_telemetry
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        import datetime as dt
+        spark = batch.sparkSession
+        try:
+            c = spark.read.parquet(counter_path).first()
+        except Exception:
+            c = None
+        if c is not None and c["epoch_id"] >= epoch_id:
+            return  # this epoch was already applied
+        total = c["total"] if c is not None else 0
+        lo = c["pending_min"] if c is not None else None
+        hi = c["pending_max"] if c is not None else None
+        stats = batch.agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("mn"), F.max("time").alias("mx")).first()
+        if stats["n"] == 0:
+            return
+        # One folder per epoch, overwritten if the epoch is replayed: idempotent.
+        write_telemetry(batch, f"{raw_path}/epoch={epoch_id}", mode="overwrite")
+        lo = stats["mn"] if lo is None else min(lo, stats["mn"])
+        hi = stats["mx"] if hi is None else max(hi, stats["mx"])
+        refreshed = False
+        if (total + stats["n"]) // every > total // every:
+            refresh_from_raw(spark, raw_path, rollup_paths, None, now or dt.datetime.utcnow(),
+                             retention_days, margin_days, bounds=(lo, hi))
+            lo = hi = None
+            refreshed = True
+        spark.createDataFrame([(epoch_id, total + stats["n"], lo, hi, refreshed)],
+                              "epoch_id long, total long, pending_min timestamp_ntz, pending_max timestamp_ntz, "
+                              "refreshed boolean").write.mode("overwrite").parquet(counter_path)
+
+    return write

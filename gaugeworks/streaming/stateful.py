@@ -76,3 +76,42 @@ def dedup_within_watermark(df: DataFrame, key: str = "nonce", time_col: str = "t
 def event_time(df: DataFrame, ms_col: str, out: str = "event_time") -> DataFrame:
     """A ``timestamp`` column from epoch milliseconds (watermarks need ``timestamp``)."""
     return df.withColumn(out, F.timestamp_millis(F.col(ms_col)))
+
+
+def stream_reassemble(df: DataFrame, conn: str = "connection_id", time_ms: str = "time_ms", chunk: str = "chunk",
+                      timeout_ms: int | None = None) -> DataFrame:
+    """Fragment reassembly per connection over a stream.
+
+    The partial buffer, timer and closed flag live in the state store (the
+    buffer is bounded by the 64 KiB limit). With ``timeout_ms`` (and a
+    watermark on the input) an idle partial message is also cleared when the
+    watermark passes its deadline, emitting ``partial_message_timeout``.
+    """
+    from ..operators.folds import MESSAGE_TIMEOUT_MS, REASSEMBLY_OUT, reassembly_spec
+    start, step = reassembly_spec(timeout_ms=timeout_ms or MESSAGE_TIMEOUT_MS)
+    out_schema = T._parse_datatype_string(REASSEMBLY_OUT)
+    state_schema = T.StructType([T.StructField("blob", T.BinaryType(), True)])
+    cols = ["connection_id", "event_pos", "kind", "payload", "buffer_bytes"]
+
+    def func(key, pdfs, state):
+        cid = key[0]
+        if state.hasTimedOut:
+            st = pickle.loads(state.get[0])
+            state.remove()
+            if st["buf"]:
+                yield pd.DataFrame([(cid, st["pos"], "partial_message_timeout", None, len(st["buf"]))], columns=cols)
+            return
+        st = pickle.loads(state.get[0]) if state.exists else start()
+        pdf = pd.concat([p for p in pdfs], ignore_index=True).sort_values(time_ms, kind="mergesort")
+        out = []
+        for now, data in zip(pdf[time_ms].tolist(), pdf[chunk].tolist()):
+            st, events = step(st, now, data)
+            out.extend((cid, st["pos"], kind, payload, size) for kind, payload, size in events)
+        state.update((pickle.dumps(st),))
+        if timeout_ms is not None and st["armed"] is not None:
+            state.setTimeoutTimestamp(max(st["armed"] + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=cols).astype({"event_pos": "int64", "buffer_bytes": "Int64"})
+
+    timeout = "EventTimeTimeout" if timeout_ms is not None else "NoTimeout"
+    return df.groupBy(conn).applyInPandasWithState(func, out_schema, state_schema, "append", timeout)
