@@ -89,3 +89,31 @@ def prev_in_order(df: DataFrame, keys, order_col: str, value: str, chunk: Column
     return (d.join(prv, [*keys, "_chunk"], "left")
              .withColumn(out, F.coalesce("_in_prev", "_prev_chunk_last"))
              .drop("_chunk", "_in_prev", "_prev_chunk_last"))
+
+
+def global_row_number(df: DataFrame, order: Sequence[str], num_chunks: int | None = None,
+                      out: str = "position", rel_error: float = 0.001) -> DataFrame:
+    """1-based position of each row in a global order, without a single-task window.
+
+    The leading order column is cut into about ``num_chunks`` ranges of
+    similar size at its approximate quantiles (``approxQuantile``: one pass,
+    the cut points come back to the driver). The chunk of a row is a
+    deterministic expression of its value, so a retried task lands every row
+    in the same chunk; ``row_number_in_order`` then numbers chunks in
+    parallel and adds the counts of earlier chunks. ``order`` must be unique.
+    """
+    spark = df.sparkSession
+    n = num_chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    lead = order[0]
+    dtype = dict(df.dtypes)[lead]
+    numeric = F.col(lead)
+    if dtype.startswith("timestamp"):
+        numeric = F.unix_micros(F.col(lead).cast("timestamp"))
+    elif dtype == "date":
+        numeric = F.unix_date(F.col(lead))
+    probe = df.select(numeric.cast("double").alias("_v"))
+    cuts = sorted(set(probe.approxQuantile("_v", [i / n for i in range(1, n)], rel_error))) if n > 1 else []
+    chunk = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= numeric.cast("double"))) if cuts \
+        else F.lit(0)
+    d = df.withColumn("_all", F.lit(1))
+    return row_number_in_order(d, ["_all"], order, chunk=chunk, out=out).drop("_all")

@@ -69,14 +69,19 @@ def sequence_gaps(log: DataFrame, stream: str = "stream_id", seq: str = "sequenc
                      (F.col(seq) - F.col("_prev") - 1).alias("missing_count")))
 
 
-def every_nth(df: DataFrame, order: list[str], n: int, chunk: Column, keys: list[str] | None = None) -> DataFrame:
-    """Rows whose 1-based global (or per-key) position is a multiple of ``n``."""
-    keys = keys or []
+def every_nth(df: DataFrame, order: list[str], n: int, chunk: Column | None = None,
+              keys: list[str] | None = None) -> DataFrame:
+    """Rows whose 1-based global (or per-key) position is a multiple of ``n``.
+
+    Global positions come from balanced range partitions plus per-partition
+    offsets (``scan.global_row_number``); per-key positions from the chunked
+    row number.
+    """
     if not keys:
-        df = df.withColumn("_all", F.lit(1))
-    numbered = scan.row_number_in_order(df, keys or ["_all"], order, chunk=chunk, out="position")
-    out = numbered.where(F.col("position") % n == 0)
-    return out.drop("_all") if not keys else out
+        numbered = scan.global_row_number(df, order, out="position")
+    else:
+        numbered = scan.row_number_in_order(df, keys, order, chunk=chunk, out="position")
+    return numbered.where(F.col("position") % n == 0)
 
 
 def catchup_plan(spark, ledger_seqs: DataFrame, from_ledger: int, to_ledger: int,

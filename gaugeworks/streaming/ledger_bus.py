@@ -28,8 +28,8 @@ def publish(spark: SparkSession, path: str, payloads: DataFrame) -> DataFrame:
         base = spark.read.schema(LOG_SCHEMA).parquet(path).agg(F.max("seq")).first()[0] or 0
     except Exception:
         base = 0
-    from ..functions.scan import row_number_in_order
-    rows = row_number_in_order(payloads.withColumn("_all", F.lit(1)), ["_all"], ["order"], out="_rn")
+    from ..functions.scan import global_row_number
+    rows = global_row_number(payloads, ["order"], out="_rn")
     out = rows.select((F.col("_rn") + F.lit(base)).alias("seq"), "payload")
     out.write.mode("append").parquet(path)
     return out
