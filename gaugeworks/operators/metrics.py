@@ -40,6 +40,8 @@ def exact_percentiles(df: DataFrame, keys, value: str, chunk_width: float | None
     Not ``percentile_disc`` (that picks ``ceil(q*n)-1``). Steps: counts per
     (group, value) (partial agg), running count over a group's distinct
     values, then the first value whose running count exceeds the index.
+    ``chunk_width`` splits a group's value range into chunks ranked in
+    parallel (a large group is not sorted in one task).
     """
     keys = _cols(keys)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -62,11 +64,12 @@ def exact_percentiles(df: DataFrame, keys, value: str, chunk_width: float | None
     return (hit.groupBy(*keys).pivot("_q", list(PERCENTILES)).agg(F.first(value)))
 
 
-def latency_summary(samples: DataFrame, keys, value: str = "latency_ms", exact_sum_scale: int = 6) -> DataFrame:
+def latency_summary(samples: DataFrame, keys, value: str = "latency_ms", exact_sum_scale: int = 6,
+                    chunk_width: float = 1.0) -> DataFrame:
     """p50/p90/p95/p99, min, max, avg, count per group (zeros for no samples
     are produced by the caller's left join to the group list)."""
     keys = _cols(keys)
-    pct = exact_percentiles(samples, keys, value)
+    pct = exact_percentiles(samples, keys, value, chunk_width=chunk_width)
     basic = samples.groupBy(*keys).agg(
         F.min(value).alias("min_ms"), F.max(value).alias("max_ms"),
         (F.sum(F.col(value).cast(f"decimal(38,{exact_sum_scale})")).cast("double") / F.count(F.lit(1))).alias("avg_ms"),
@@ -74,7 +77,7 @@ def latency_summary(samples: DataFrame, keys, value: str = "latency_ms", exact_s
     return basic.join(pct, keys)
 
 
-def run_metrics(outcomes: DataFrame, keys, p99_target_ms: float = P99_TARGET_MS) -> DataFrame:
+def run_metrics(outcomes: DataFrame, keys, p99_target_ms: float = P99_TARGET_MS, chunk_width: float = 1.0) -> DataFrame:
     """Counts, error rate, throughput per run; latency over samples > 0."""
     keys = _cols(keys)
     o = F.col("outcome")
@@ -84,7 +87,7 @@ def run_metrics(outcomes: DataFrame, keys, p99_target_ms: float = P99_TARGET_MS)
         F.count_if((o != "accepted") & (o != "rejected")).alias("errors"),
         ((F.unix_micros(F.max("time").cast("timestamp")) - F.unix_micros(F.min("time").cast("timestamp"))) / 1e6)
         .alias("duration_sec"))
-    lat = exact_percentiles(outcomes.where(F.col("latency_ms") > 0), keys, "latency_ms").select(
+    lat = exact_percentiles(outcomes.where(F.col("latency_ms") > 0), keys, "latency_ms", chunk_width).select(
         *keys, F.col("p95_ms"), F.col("p99_ms"))
     total = F.col("accepted") + F.col("rejected") + F.col("errors")
     return (g.join(lat, keys, "left")
