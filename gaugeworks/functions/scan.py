@@ -92,7 +92,7 @@ def prev_in_order(df: DataFrame, keys, order_col: str, value: str, chunk: Column
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], num_chunks: int | None = None,
-                      out: str = "position", rel_error: float = 0.001) -> DataFrame:
+                      out: str = "position", rel_error: float = 0.01) -> DataFrame:
     """1-based position of each row in a global order, without a single-task window.
 
     The leading order column is cut into about ``num_chunks`` ranges of
