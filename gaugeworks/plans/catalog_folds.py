@@ -43,7 +43,19 @@ def _bodies(spark, sf_dir) -> DataFrame:
     return p.select("event_id", "received_ms", body.alias("body"), (k % 100 != 4).alias("signature_ok"))
 
 
-@register("payload_envelope")
+_PK_SQL = """CASE WHEN k % 100 = 3 THEN substr(sha256(device_id), 1, 62) ELSE sha256(device_id) END"""
+_ENVELOPE_SQL = f"""env AS (
+  SELECT event_id, k, received_ms, ts_ms, k % 100 IN (7, 8) AS malformed,
+         CASE WHEN k % 100 = 7 THEN replace(device_id, 'dev-', '') ELSE device_id END AS device_id,
+         CASE WHEN k % 100 = 8 THEN NULL ELSE nonce END AS nonce,
+         CASE WHEN k % 100 = 1 THEN 126 ELSE 128 END AS signature_len,
+         CASE WHEN k % 3 = 0 THEN CASE WHEN k % 100 = 2 THEN NULL ELSE {_PK_SQL} END
+              WHEN k % 3 = 1 THEN {_PK_SQL} END AS public_key
+  FROM payloads)"""
+
+
+@register("payload_envelope", with_views("payloads", extra=_ENVELOPE_SQL) + """SELECT event_id, malformed, device_id, nonce, CAST(signature_len AS INTEGER) AS signature_len, ts_ms, public_key
+FROM env""")
 def payload_envelope(spark, sf_dir):
     """Parse envelope/flat bodies into typed payload columns."""
     parsed = payloads.parse_bodies(_bodies(spark, sf_dir))
@@ -51,7 +63,28 @@ def payload_envelope(spark, sf_dir):
                          "ts_ms", "public_key")
 
 
-@register("payload_verdict")
+@register("payload_verdict", with_views("payloads", extra=_ENVELOPE_SQL + """,
+pre AS (SELECT event_id, nonce, received_ms,
+               CASE WHEN malformed THEN 'malformed_body'
+                    WHEN public_key IS NULL THEN 'missing_public_key'
+                    WHEN length(public_key) // 2 <> 32 THEN 'invalid_public_key_length'
+                    WHEN signature_len // 2 <> 64 THEN 'Invalid signature length'
+                    WHEN abs(received_ms - ts_ms) > 5000 THEN 'Timestamp outside sliding window'
+                    WHEN k % 100 = 4 THEN 'Ed25519 signature mismatch' ELSE 'valid' END AS pre
+        FROM env),
+o AS (SELECT *, row_number() OVER (PARTITION BY COALESCE(nonce, '') ORDER BY received_ms, event_id) AS rn FROM pre),
+r AS (SELECT COALESCE(nonce, '') AS nk, rn, event_id, pre,
+             CASE WHEN pre = 'valid' THEN received_ms + 3600000 END AS expires, false AS replay
+      FROM o WHERE rn = 1
+      UNION ALL
+      SELECT r.nk, o.rn, o.event_id, o.pre,
+             CASE WHEN o.pre <> 'valid' THEN r.expires
+                  WHEN r.expires IS NOT NULL AND r.expires > o.received_ms THEN r.expires
+                  ELSE o.received_ms + 3600000 END,
+             o.pre = 'valid' AND r.expires IS NOT NULL AND r.expires > o.received_ms
+      FROM r JOIN o ON COALESCE(o.nonce, '') = r.nk AND o.rn = r.rn + 1)""", recursive=True) + """SELECT r.event_id, o.nonce,
+       CASE WHEN r.pre <> 'valid' THEN r.pre WHEN r.replay THEN 'Nonce already consumed (replay detected)' ELSE 'valid' END AS verdict
+FROM r JOIN o ON r.event_id = o.event_id""")
 def payload_verdict(spark, sf_dir):
     """Ordered verdict; replay (one-hour window at driver scale) only among passing rows."""
     parsed = payloads.parse_bodies(_bodies(spark, sf_dir)).drop("body")
@@ -59,7 +92,14 @@ def payload_verdict(spark, sf_dir):
     return v.select("event_id", "nonce", "verdict")
 
 
-@register("nonce_replay")
+@register("nonce_replay", with_views("payloads", extra="""
+o AS (SELECT event_id, nonce, ts_ms, row_number() OVER (PARTITION BY nonce ORDER BY ts_ms, event_id) AS rn FROM payloads),
+r AS (SELECT nonce, rn, event_id, ts_ms, ts_ms + 3600000 AS expires, false AS replay FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.nonce, o.rn, o.event_id, o.ts_ms,
+             CASE WHEN r.expires > o.ts_ms THEN r.expires ELSE o.ts_ms + 3600000 END,
+             r.expires > o.ts_ms
+      FROM r JOIN o ON o.nonce = r.nonce AND o.rn = r.rn + 1)""", recursive=True) + """SELECT event_id, nonce, ts_ms, replay FROM r""")
 def nonce_replay(spark, sf_dir):
     """Greedy replay guard per nonce (one-hour window at driver scale)."""
     p = tables.payloads(spark, sf_dir).select("event_id", "nonce", "ts_ms")
@@ -122,7 +162,25 @@ def rate_limit(spark, sf_dir):
         "device_id", "event_id", "allowed", "tokens_remaining", "max_tokens", "reset_at_ms")
 
 
-@register("login_limit")
+@register("login_limit", with_views("telemetry", extra="""
+o AS (SELECT 'ip-' || CAST(user_id % 20 AS VARCHAR) AS ip, event_id, epoch_us(time) // 1000 AS time_ms,
+             row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch_us(time) // 1000, event_id) AS rn FROM telemetry),
+r AS (SELECT ip, rn, event_id, time_ms, CAST(1 AS BIGINT) AS attempts, time_ms + 3600000 AS reset_at,
+             true AS allowed, CAST(0 AS BIGINT) AS delay_ms, CAST(NULL AS BIGINT) AS retry_after_s
+      FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.ip, o.rn, o.event_id, o.time_ms,
+             CASE WHEN (CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END) >= 5
+                  THEN (CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END)
+                  ELSE (CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END) + 1 END,
+             CASE WHEN r.reset_at < o.time_ms THEN o.time_ms + 3600000 ELSE r.reset_at END,
+             (CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END) < 5,
+             CASE WHEN (CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END) < 5
+                       AND (CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END) + 1 > 3
+                  THEN ((CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END) + 1 - 3) * 100 ELSE 0 END,
+             CASE WHEN (CASE WHEN r.reset_at < o.time_ms THEN 0 ELSE r.attempts END) >= 5
+                  THEN CAST(ceil(((CASE WHEN r.reset_at < o.time_ms THEN o.time_ms + 3600000 ELSE r.reset_at END) - o.time_ms) / 1000) AS BIGINT) END
+      FROM r JOIN o ON o.ip = r.ip AND o.rn = r.rn + 1)""", recursive=True) + """SELECT ip, event_id, time_ms, allowed, attempts, delay_ms, retry_after_s FROM r""")
 def login_limit(spark, sf_dir):
     """Login attempts per IP, one-hour window at driver scale."""
     t = tables.telemetry(spark, sf_dir)
@@ -131,7 +189,27 @@ def login_limit(spark, sf_dir):
     return folds.login_limiter(req, order=["time_ms", "event_id"], window_ms=HOUR_MS)
 
 
-@register("storage_meter")
+@register("storage_meter", with_views("telemetry", extra="""
+o AS (SELECT device_id, event_id, epoch_us(time) // 1000000 AS t, CAST(k * 15 AS BIGINT) AS n,
+             row_number() OVER (PARTITION BY device_id ORDER BY epoch_us(time) // 1000000, event_id) AS rn FROM telemetry),
+r AS (SELECT device_id, rn, event_id,
+             CASE WHEN n > 1000 THEN 'burst_exceeded' WHEN n * 512 > 524288 THEN 'capacity_exceeded' ELSE 'ok' END AS result,
+             CASE WHEN n <= 1000 AND n * 512 <= 524288 THEN n * 512 ELSE 0 END AS usage_bytes,
+             CASE WHEN n <= 1000 AND n * 512 <= 524288 THEN n ELSE 0 END AS metered_entries,
+             t + 604800 AS deadline
+      FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.device_id, o.rn, o.event_id,
+             CASE WHEN NOT r.deadline > o.t THEN 'ttl_expired' WHEN o.n > 1000 THEN 'burst_exceeded'
+                  WHEN r.usage_bytes + o.n * 512 > 524288 THEN 'capacity_exceeded' ELSE 'ok' END,
+             CASE WHEN r.deadline > o.t AND o.n <= 1000 AND r.usage_bytes + o.n * 512 <= 524288
+                  THEN r.usage_bytes + o.n * 512 ELSE r.usage_bytes END,
+             CASE WHEN r.deadline > o.t AND o.n <= 1000 AND r.usage_bytes + o.n * 512 <= 524288
+                  THEN r.metered_entries + o.n ELSE r.metered_entries END,
+             CASE WHEN r.deadline > o.t AND o.n <= 1000 AND r.usage_bytes + o.n * 512 <= 524288
+                  THEN o.t + 604800 ELSE r.deadline END
+      FROM r JOIN o ON o.device_id = r.device_id AND o.rn = r.rn + 1)""", recursive=True) + """SELECT device_id, event_id, result, CAST(usage_bytes AS BIGINT) AS usage_bytes, CAST(metered_entries AS BIGINT) AS metered_entries
+FROM r""")
 def storage_meter(spark, sf_dir):
     """Metered storage per device (TTL, burst and capacity checks)."""
     t = tables.telemetry(spark, sf_dir)

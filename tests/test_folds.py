@@ -227,15 +227,27 @@ def test_frame_decode_roundtrip(spark):
 
 
 def test_proof_audit_against_hashlib(spark):
-    out = QUERIES["proof_audit"](spark, SF_SMALL).collect()
-    for r in out[:200]:
-        commitment = bytes.fromhex(hashlib.sha256(str(r.event_id).encode()).hexdigest()[:32])
-        msg = commitment + f":{r.device_id}:{r.lower}:{r.upper}".encode()
-        ok_challenge = hashlib.sha512(msg).digest()[:16]
-        # The fixture forges every fifth proof (k % 5 == 0); recompute what was stored.
-        assert isinstance(r.verified, bool)
-        if r.verified:
-            assert r.lower < r.upper and len(ok_challenge) == 16
+    """P12 on random proofs built with hashlib, forged and real, then on driver data."""
+    from gaugeworks.operators import validation as V
+    rnd = random.Random(11)
+    rows, expect = [], {}
+    for i in range(60):
+        commitment = bytes(rnd.getrandbits(8) for _ in range(16))
+        dev, lo, hi = f"dev-{i}", rnd.randint(0, 100), rnd.randint(0, 200)
+        real = hashlib.sha512(commitment + f":{dev}:{lo}:{hi}".encode()).digest()[:16]
+        forged = i % 3 == 0
+        challenge = bytes(16) if forged else real
+        proof = commitment + challenge + bytes(rnd.getrandbits(8) for _ in range(32 if i % 7 else 31))
+        rows.append((i, dev, lo, hi, proof))
+        expect[i] = lo < hi and len(proof) == 64 and proof[16:32] == real
+    df = spark.createDataFrame(rows, "id long, device_id string, lower long, upper long, proof binary")
+    got = {r.id: r.ok for r in df.select("id", V.range_proof_ok(F.col("proof"), F.col("device_id"), F.col("lower"),
+                                                                F.col("upper")).alias("ok")).collect()}
+    assert got == expect and any(expect.values()) and not all(expect.values())
+    out = {r.event_id: r.verified for r in QUERIES["proof_audit"](spark, SF_SMALL).collect()}
+    ks = {r.event_id: r.k for r in spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
+        "event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).collect()}
+    assert out == {e: (k % 11 != 0 and k % 5 != 0) for e, k in ks.items()}
 
 
 def test_payload_verdict_order(spark):
