@@ -362,16 +362,19 @@ def _all_states() -> list[str]:
 
 
 def replay_state_machine(history: DataFrame, keys=("machine", "entity"), order: str = "seq",
-                         chunk: Column | None = None) -> DataFrame:
-    """W6 replay as a parallel composition of transition functions.
+                         chunk: Column | None = None, fanout: int = 1000) -> DataFrame:
+    """W6 replay as a parallel prefix over transition maps.
 
     A request ``to`` acts on the state set as ``f(s) = to if (s, to) is legal
-    else s``; such maps compose associatively. Per (entity, chunk) the
-    chunk's requests (a bounded list, sorted by ``order``) are folded with
-    ``aggregate`` into one state map; per entity the chunk maps are chained in
-    chunk order to get each chunk's start state; a second ``aggregate`` over
-    each chunk counts applied requests from its start state. Everything
-    runs as JVM expressions; a hot entity is split into chunks.
+    else s``; such maps compose associatively. Requests are grouped by
+    ``order // fanout`` (``order`` is unique, so a group holds at most
+    ``fanout`` requests) and folded with ``aggregate`` into one state map;
+    groups of at most ``fanout`` maps are composed level by level until each
+    entity has one map. Start states then flow back down: a child's start is
+    its parent's start pushed through the composition of its earlier
+    siblings. A last ``aggregate`` per bottom group counts applied and refused
+    requests. All lists are bounded by ``fanout``, whatever the size of one
+    entity's history; everything runs as JVM expressions.
     Returns ``(keys..., final_state, applied, refused)``.
     """
     keys = list(keys)
@@ -381,6 +384,7 @@ def replay_state_machine(history: DataFrame, keys=("machine", "entity"), order:
     legal = F.create_map(*[x for k in legal_keys for x in (F.lit(k), F.lit(True))])
     init = F.create_map(*[x for m, s in INITIAL_STATE.items() for x in (F.lit(m), F.lit(states.index(s)))])
     machine = F.col(keys[0])
+    identity = F.sequence(F.lit(0), F.lit(len(states) - 1))
 
     def is_legal(m, state_idx, to):
         key = F.concat(m, F.lit("|"), F.element_at(names, state_idx + 1), F.lit("|"), to)
@@ -389,32 +393,49 @@ def replay_state_machine(history: DataFrame, keys=("machine", "entity"), order:
     def to_idx(to):
         return (F.array_position(names, to) - 1).cast("int")
 
-    d = history.withColumn("_chunk", chunk if chunk is not None else F.floor(F.col(order) / 4096))
-    per_chunk = d.groupBy(*keys, "_chunk").agg(
+    def compose(first, then):
+        return F.transform(first, lambda v: F.element_at(then, v + 1))
+
+    top = history.agg(F.max(order)).first()[0] or 0
+    levels = 1
+    while fanout ** levels <= top:
+        levels += 1
+
+    # Level 0: requests -> one map per (entity, order // fanout).
+    base = history.withColumn("_c0", F.floor(F.col(order) / fanout))
+    lvl0 = base.groupBy(*keys, "_c0").agg(
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("to_state").alias("to")))).alias("_reqs"))
-    identity = F.sequence(F.lit(0), F.lit(len(states) - 1))
-    fmap = F.aggregate("_reqs", identity,
-                       lambda acc, x: F.transform(acc, lambda v: F.when(is_legal(machine, v, x["to"]), to_idx(x["to"]))
-                                                  .otherwise(v)))
-    per_chunk = per_chunk.withColumn("_f", fmap)
-    chains = per_chunk.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_chunk", "_f"))).alias("_maps"))
-    start0 = F.element_at(init, machine)
-    walked = F.aggregate(
-        "_maps",
-        F.struct(start0.alias("cur"), F.array().cast("array<struct<c:bigint,s:int>>").alias("starts")),
-        lambda acc, m: F.struct(F.element_at(m["_f"], acc["cur"] + 1).alias("cur"),
-                                F.concat(acc["starts"], F.array(F.struct(m["_chunk"].cast("bigint").alias("c"),
-                                                                         acc["cur"].alias("s")))).alias("starts")))
-    starts = chains.select(*keys, F.inline(walked["starts"])).withColumnRenamed("c", "_chunk")
-    j = per_chunk.join(starts, [*keys, "_chunk"])
-    counted = F.aggregate("_reqs", F.struct(F.col("s").alias("st"), F.lit(0).alias("ok"), F.lit(0).alias("no")),
+    lvl0 = lvl0.withColumn("_f", F.aggregate(
+        "_reqs", identity,
+        lambda acc, x: F.transform(acc, lambda v: F.when(is_legal(machine, v, x["to"]), to_idx(x["to"])).otherwise(v))))
+    # Upper levels: at most ``fanout`` child maps per parent, with exclusive prefixes.
+    uppers = []
+    child = lvl0.select(*keys, F.col("_c0").alias("_c"), "_f")
+    for _ in range(1, levels + 1):
+        grouped = (child.withColumn("_p", F.floor(F.col("_c") / fanout))
+                        .groupBy(*keys, "_p")
+                        .agg(F.sort_array(F.collect_list(F.struct(F.col("_c").alias("c"), F.col("_f").alias("f")))).alias("_kids")))
+        walked = F.aggregate(
+            "_kids", F.struct(identity.alias("m"), F.array().cast("array<struct<c:bigint,pre:array<int>>>").alias("pre")),
+            lambda acc, k: F.struct(compose(acc["m"], k["f"]).alias("m"),
+                                    F.concat(acc["pre"], F.array(F.struct(k["c"].cast("bigint").alias("c"),
+                                                                          acc["m"].alias("pre")))).alias("pre")))
+        grouped = grouped.withColumn("_w", walked)
+        uppers.append(grouped.select(*keys, "_p", F.col("_w.pre").alias("_pre")))
+        child = grouped.select(*keys, F.col("_p").alias("_c"), F.col("_w.m").alias("_f"))
+    # ``child`` now has one map per entity; start states flow down the levels.
+    starts = child.select(*keys, F.col("_c").alias("_p"), F.element_at(init, machine).alias("_s"))
+    for up in reversed(uppers):
+        kids = up.join(starts, [*keys, "_p"]).select(*keys, "_s", F.inline("_pre"))
+        starts = kids.select(*keys, F.col("c").alias("_p"), F.element_at(F.col("pre"), F.col("_s") + 1).alias("_s"))
+    j = lvl0.join(starts.withColumnRenamed("_p", "_c0"), [*keys, "_c0"])
+    counted = F.aggregate("_reqs", F.struct(F.col("_s").alias("st"), F.lit(0).alias("ok"), F.lit(0).alias("no")),
                           lambda acc, x: F.when(is_legal(machine, acc["st"], x["to"]),
                                                 F.struct(to_idx(x["to"]).alias("st"), (acc["ok"] + 1).alias("ok"),
                                                          acc["no"].alias("no")))
                           .otherwise(F.struct(acc["st"].alias("st"), acc["ok"].alias("ok"), (acc["no"] + 1).alias("no"))))
-    c = j.select(*keys, "_chunk", counted.alias("_r"))
+    c = j.select(*keys, "_c0", counted.alias("_r"))
     return (c.groupBy(*keys)
-             .agg(F.max_by("_r.st", "_chunk").alias("_st"), F.sum("_r.ok").cast("bigint").alias("applied"),
+             .agg(F.max_by("_r.st", "_c0").alias("_st"), F.sum("_r.ok").cast("bigint").alias("applied"),
                   F.sum("_r.no").cast("bigint").alias("refused"))
              .select(*keys, F.element_at(names, F.col("_st") + 1).alias("final_state"), "applied", "refused"))

@@ -272,7 +272,7 @@ def state_replay(spark, sf_dir):
     """W6 replay: final state per entity when illegal requests are ignored
     (composition of transition maps, no per-row Python)."""
     from .catalog_validation import _history
-    return V.replay_state_machine(_history(spark, sf_dir), chunk=F.floor(F.col("seq") / 1000))
+    return V.replay_state_machine(_history(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------- billing cycles
