@@ -130,7 +130,34 @@ def _frames(spark, sf_dir) -> DataFrame:
                      (F.floor((F.col("frame_seq") - 1) / 5) * 10 - F.col("frame_seq") % 5).alias("arrival")))
 
 
-@register("reorder_deliver")
+@register("reorder_deliver", with_views("telemetry", extra="""
+f AS (SELECT device_id, event_id, k, row_number() OVER (PARTITION BY device_id ORDER BY event_id) AS frame_seq FROM telemetry),
+fr AS (SELECT device_id, frame_seq, event_id,
+              CAST(floor((frame_seq - 1) / 5) AS BIGINT) * 10 - frame_seq % 5 AS arrival
+       FROM f WHERE k % 50 <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY arrival) AS rn FROM fr),
+r AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS frame_seq, CAST(NULL AS BIGINT) AS event_id,
+             CAST(NULL AS BIGINT) AS arrival, CAST(0 AS BIGINT) AS delivered, CAST([] AS BIGINT[]) AS buf,
+             CAST(0 AS BIGINT) AS drops, CAST(NULL AS VARCHAR) AS status, CAST([] AS BIGINT[]) AS released,
+             CAST(NULL AS BIGINT) AS evicted
+      FROM fr
+      UNION ALL
+      SELECT device_id, rn, frame_seq, event_id, arrival,
+             CASE WHEN dup THEN delivered WHEN nxt THEN frame_seq + run ELSE delivered END,
+             CASE WHEN dup THEN buf WHEN nxt THEN list_filter(buf, lambda x: x > frame_seq + run)
+                  WHEN evict THEN list_filter(added, lambda x: x <> top) ELSE added END,
+             drops + CASE WHEN NOT dup AND NOT nxt AND evict THEN 1 ELSE 0 END,
+             CASE WHEN dup THEN 'duplicate' WHEN nxt THEN 'delivered' ELSE 'buffered' END,
+             CASE WHEN nxt THEN range(frame_seq, frame_seq + run + 1) ELSE CAST([] AS BIGINT[]) END,
+             CASE WHEN NOT dup AND NOT nxt AND evict THEN top END
+      FROM (SELECT *, len(added) > 256 AS evict, list_max(added) AS top,
+                   COALESCE(list_position(list_transform(later, lambda x, i: x = frame_seq + i), false) - 1, len(later)) AS run
+            FROM (SELECT r.device_id, o.rn, o.frame_seq, o.event_id, o.arrival, r.delivered, r.buf, r.drops,
+                         o.frame_seq <= r.delivered AS dup, o.frame_seq = r.delivered + 1 AS nxt,
+                         list_distinct(list_append(r.buf, o.frame_seq)) AS added,
+                         list_sort(list_filter(r.buf, lambda x: x > o.frame_seq)) AS later
+                  FROM r JOIN o ON o.device_id = r.device_id AND o.rn = r.rn + 1)))""", recursive=True) + """SELECT device_id, frame_seq, event_id, arrival, status, released, evicted, delivered AS delivered_mark, drops
+FROM r WHERE rn > 0""")
 def reorder_deliver(spark, sf_dir):
     """Bounded reorder buffer (256) per device."""
     return folds.reorder_buffer(_frames(spark, sf_dir), window=folds.REORDER_WINDOW)
