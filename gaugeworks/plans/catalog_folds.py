@@ -445,7 +445,32 @@ def proof_audit(spark, sf_dir):
                     V.range_proof_ok(F.col("proof"), F.col("device_id"), F.col("lower"), F.col("upper")).alias("verified"))
 
 
-@register("fragment_reassembly")
+@register("fragment_reassembly", """WITH RECURSIVE c AS (
+  SELECT 'conn-' || CAST(conv_id AS VARCHAR) AS connection_id, turn * 10000 AS now_ms,
+         strlen(text) + CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS clen, turn % 3 <> 2 AS term,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+  FROM conversations),
+r AS (SELECT DISTINCT connection_id, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS buf, CAST(NULL AS BIGINT) AS armed,
+             false AS closed, false AS fired, CAST(0 AS BIGINT) AS fired_buf, false AS was_closed, false AS too_big,
+             CAST(0 AS BIGINT) AS big_buf, CAST(NULL AS BIGINT) AS msg
+      FROM c
+      UNION ALL
+      SELECT connection_id, pos,
+             CASE WHEN closed0 OR too_big THEN 0 WHEN term THEN 0 ELSE buf1 + clen END,
+             CASE WHEN closed0 OR too_big OR term THEN NULL WHEN buf1 + clen > 0 AND armed1 IS NULL THEN now_ms ELSE armed1 END,
+             closed0 OR too_big, fired, fired_buf, closed0, too_big, buf1,
+             CASE WHEN NOT closed0 AND NOT too_big AND term THEN buf1 + clen - 1 END
+      FROM (SELECT *, NOT closed0 AND buf1 + clen > 65536 AS too_big FROM (
+              SELECT r.connection_id, c.pos, c.now_ms, c.clen, c.term, r.closed AS closed0,
+                     r.armed IS NOT NULL AND c.now_ms - r.armed >= 30000 AS fired, r.buf AS fired_buf,
+                     CASE WHEN r.armed IS NOT NULL AND c.now_ms - r.armed >= 30000 THEN 0 ELSE r.buf END AS buf1,
+                     CASE WHEN r.armed IS NOT NULL AND c.now_ms - r.armed >= 30000 THEN NULL ELSE r.armed END AS armed1
+              FROM r JOIN c ON c.connection_id = r.connection_id AND c.pos = r.pos + 1)))
+SELECT connection_id, pos AS event_pos, 'partial_message_timeout' AS kind, CAST(NULL AS INTEGER) AS payload_bytes,
+       fired_buf AS buffer_bytes FROM r WHERE pos >= 0 AND fired
+UNION ALL SELECT connection_id, pos, 'closed', NULL, 0 FROM r WHERE pos >= 0 AND was_closed
+UNION ALL SELECT connection_id, pos, 'partial_message_too_large', NULL, big_buf FROM r WHERE pos >= 0 AND too_big
+UNION ALL SELECT connection_id, pos, 'message', CAST(msg AS INTEGER), NULL FROM r WHERE pos >= 0 AND msg IS NOT NULL""")
 def fragment_reassembly(spark, sf_dir):
     """R9 batch twin: conversation turns as chunks of one connection; every
     third turn lacks its terminator; turns are 10 s apart (30 s timeout)."""
