@@ -229,7 +229,7 @@ def compliance_score(spark, sf_dir):
     return M.compliance_scores(subs, window=50, chunk=time_bucket("1 day", "time"))
 
 
-@register("storage_usage", with_views("telemetry") + """SELECT device_id, SUM(512 * (k % 8) + (event_id % 3) * 100) AS usage_bytes,
+@register("storage_usage", with_views("telemetry") + """SELECT device_id, CAST(SUM(512 * (k % 8) + (event_id % 3) * 100) AS BIGINT) AS usage_bytes,
        CAST(SUM(floor((512 * (k % 8) + (event_id % 3) * 100) / 512)) AS BIGINT) AS metered_entries
 FROM telemetry GROUP BY device_id""")
 def storage_usage(spark, sf_dir):
@@ -239,7 +239,7 @@ def storage_usage(spark, sf_dir):
     return M.storage_usage(allocs)
 
 
-@register("peak_per_second", with_views("telemetry") + """SELECT MAX(n) AS peak_per_second, COUNT(*) AS active_seconds, SUM(n) AS events FROM (
+@register("peak_per_second", with_views("telemetry") + """SELECT MAX(n) AS peak_per_second, COUNT(*) AS active_seconds, CAST(SUM(n) AS BIGINT) AS events FROM (
   SELECT floor(CAST(('0x' || substr(sha256('tok-' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 * 121) AS sec,
          COUNT(*) AS n
   FROM telemetry GROUP BY 1)""")

@@ -55,7 +55,7 @@ def event_append(spark, sf_dir):
 
 @register("event_page", with_views("event_log") + """SELECT tenant_id, sequence, event_type, page_pos FROM (
   SELECT tenant_id, arrival + 1 AS sequence, event_type,
-         row_number() OVER (PARTITION BY tenant_id ORDER BY arrival + 1) AS page_pos
+         CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY arrival + 1) AS INTEGER) AS page_pos
   FROM event_log WHERE arrival + 1 > 2) WHERE page_pos <= 3""")
 def event_page(spark, sf_dir):
     """The page after cursor 2 (limit 3) for every tenant."""

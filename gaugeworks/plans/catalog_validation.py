@@ -355,7 +355,7 @@ def batch_issues(spark, sf_dir):
 @register("issue_budget", with_views("telemetry", extra=_ISSUES_SQL + """,
 run AS (SELECT *, 1 + SUM(strlen(path) + 2 + 1) OVER (PARTITION BY batch_id ORDER BY ord
                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM iss)""") + """SELECT batch_id, COUNT(*) AS error_count,
-       to_json(COALESCE(list(path ORDER BY ord) FILTER (WHERE bytes <= 4096), [])) AS paths_json,
+       CAST(to_json(COALESCE(list(path ORDER BY ord) FILTER (WHERE bytes <= 4096), [])) AS VARCHAR) AS paths_json,
        MAX(bytes) > 4096 AS truncated
 FROM run GROUP BY batch_id""")
 def issue_budget(spark, sf_dir):
@@ -388,7 +388,7 @@ def refresh_clamp(spark, sf_dir):
 tx AS (SELECT record_id,
               list_distinct([account_id, device_id, account_id] || CASE WHEN record_id % 2 = 0 THEN [cycle_id] ELSE [] END) AS rk,
               list_distinct(CASE WHEN record_id % 3 = 0 THEN [cycle_id, cycle_id] ELSE [cycle_id, account_id] END) AS wk
-       FROM billing_records)""") + """SELECT record_id, len(rk) AS read_count, len(wk) AS write_count,
+       FROM billing_records)""") + """SELECT record_id, CAST(len(rk) AS INTEGER) AS read_count, CAST(len(wk) AS INTEGER) AS write_count,
        CAST((len(rk) + len(wk)) * 100 + ceil((len(rk) + len(wk)) * 64 / 1024) * 100 AS BIGINT) AS fee,
        CAST(floor(((len(rk) + len(wk)) * 100 + ceil((len(rk) + len(wk)) * 64 / 1024) * 100) * 3) AS BIGINT) AS max_fee,
        CAST(floor(((len(rk) + len(wk)) * 100 + ceil((len(rk) + len(wk)) * 64 / 1024) * 100) * 1.2) AS BIGINT) AS recommended_fee
