@@ -52,6 +52,23 @@ def _rows(cols, rows, approx):
     return sorted(tuple(_norm(r[i], approx) for i in order) for r in rows)
 
 
+# Spark simple type -> DuckDB type name, for the schema check.
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "timestamp_ntz": "TIMESTAMP", "date": "DATE", "binary": "BLOB", "float": "FLOAT",
+            "array<bigint>": "BIGINT[]", "array<string>": "VARCHAR[]"}
+
+
+def type_mismatches(spark_schema, duck_columns, duck_types):
+    got = dict(zip(duck_columns, [str(t).replace(" ", "") for t in duck_types]))
+    bad = []
+    for f in spark_schema.fields:
+        t = f.dataType.simpleString()
+        want = TYPE_MAP.get(t, t.upper()).replace(" ", "")
+        if got.get(f.name) != want:
+            bad.append((f.name, t, got.get(f.name)))
+    return bad
+
+
 def duck(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -82,7 +99,8 @@ def compare(spark, name, sf_dir, con):
         out["status"] = "ROWCOUNT"
         return out
     if _rows(scols, srows, False) == _rows(dcols, drows, False):
-        out["status"] = "ok"
+        bad = type_mismatches(sdf.schema, dcols, res.types)
+        out["status"] = "ok" if not bad else f"TYPES {bad}"
     elif _rows(scols, srows, True) == _rows(dcols, drows, True):
         out["status"] = "APPROX"
     else:
