@@ -158,10 +158,8 @@ def tx_outcome(submissions: DataFrame, confirmations: DataFrame | None = None) -
     ``ERR:``; other errors fail as they are; no error is ``submitted``,
     upgraded to ``confirmed`` when a confirmation exists.
     """
-    bad_seq = F.col("error").rlike("(?i)tx_bad_seq")
     g = submissions.groupBy("tx_id").agg(
         F.max_by(F.struct("attempt", "error"), "attempt").alias("last"),
-        F.min("attempt").alias("first_attempt"),
         F.count(F.lit(1)).alias("attempts"))
     last_err = F.col("last.error")
     status = F.when(last_err.isNull(), F.lit("submitted")).otherwise(F.lit("failed"))
@@ -175,7 +173,6 @@ def tx_outcome(submissions: DataFrame, confirmations: DataFrame | None = None) -
                   .withColumn("status", F.when((F.col("status") == "submitted") & F.col("_confirmed"), F.lit("confirmed"))
                                          .otherwise(F.col("status")))
                   .drop("_confirmed"))
-    del bad_seq
     return out
 
 

@@ -128,7 +128,6 @@ def seq_drift(spark, sf_dir):
 
 # --------------------------------------------------------------------------- money functions
 
-_D = "CAST({} AS HUGEINT)"
 
 
 @register("money_rescale", with_views("billing_records") + """SELECT record_id, usage_amount AS raw_value, CAST(record_id % 12 AS INTEGER) AS source_decimals,

@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.timebuckets import epoch_ms
 from ..operators import folds
 from ..session import checkpoint_root
 from ..sources import tables
