@@ -280,3 +280,33 @@ def partition_advice(spark, sf_dir):
     bad = F.col("total_bytes").isNull() | (F.col("total_bytes") == 0) | F.col("span_secs").isNull() | (F.col("span_secs") <= 0)
     return j.select("region", "chunk_start", "total_bytes",
                     F.when(bad, F.lit(86400.0)).otherwise(secs).alias("interval_seconds"))
+
+
+@register("compliance_expiry", with_views("outcomes", extra="""
+o AS (SELECT 'dev-' || CAST(e.user_id AS VARCHAR) AS device_id, o.event_id, epoch_us(o.time) // 1000 AS time_ms,
+             o.outcome = 'accepted' AS success,
+             row_number() OVER (PARTITION BY e.user_id ORDER BY epoch_us(o.time) // 1000, o.event_id) AS rn
+      FROM outcomes o JOIN events e ON o.event_id = e.event_id),
+r AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS succ,
+             CAST(0 AS BIGINT) AS total, CAST(NULL AS BIGINT) AS last_ms
+      FROM o
+      UNION ALL
+      SELECT device_id, rn, event_id,
+             CASE WHEN t1 >= 50 THEN 0 ELSE s1 END, CASE WHEN t1 >= 50 THEN 0 ELSE t1 END, time_ms
+      FROM (SELECT o.device_id, o.rn, o.event_id, o.time_ms,
+                   CASE WHEN r.last_ms IS NOT NULL AND o.time_ms - r.last_ms >= 3600000 THEN 0 ELSE r.succ END
+                     + CASE WHEN o.success THEN 1 ELSE 0 END AS s1,
+                   CASE WHEN r.last_ms IS NOT NULL AND o.time_ms - r.last_ms >= 3600000 THEN 0 ELSE r.total END + 1 AS t1
+            FROM r JOIN o ON o.device_id = r.device_id AND o.rn = r.rn + 1))""", recursive=True) + """SELECT device_id, event_id, CASE WHEN total = 0 THEN 0.5 ELSE succ / total END AS score, total AS window_total
+FROM r WHERE rn > 0""")
+def compliance_expiry(spark, sf_dir):
+    """A19 with expiry: score after each submission; counters clear at 50
+    submissions (driver scale) or after one hour without a write."""
+    from ..functions.timebuckets import epoch_ms
+    from ..operators import folds
+    e = tables.read_table(spark, sf_dir, "events").select("event_id", "user_id")
+    o = tables.outcomes(spark, sf_dir).join(e, "event_id")
+    subs = o.select(F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"), "event_id",
+                    epoch_ms("time").alias("time_ms"), (F.col("outcome") == "accepted").alias("success"))
+    out = folds.compliance_with_expiry(subs, order=["time_ms", "event_id"], window=50, ttl_ms=3_600_000)
+    return out.select("device_id", "event_id", "score", "window_total")
