@@ -17,7 +17,7 @@ registry.load_all()
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
                 "FlatMapGroupsInPandasWithState", "PythonMapInArrow")
 # Operators that are Python by design (ordered folds, binary decoding, sources with a driver-side bound).
-PYTHON_BY_DESIGN = {"reorder_deliver", "rate_limit", "login_limit", "storage_meter", "state_replay",
+PYTHON_BY_DESIGN = {"reorder_deliver", "rate_limit", "login_limit", "storage_meter",
                     "nonce_replay", "payload_verdict", "fragment_reassembly", "frame_decode", "compliance_expiry"}
 SIDE_EFFECTING = {"stream_usage_1h", "stream_seq_gaps", "stream_first_claims"}
 
