@@ -58,3 +58,15 @@ def test_event_page_keyset(spark):
     assert analytics.event_page(ev, "t1", after_seq=250).count() == 0
     p = analytics.event_page(ev, "t1", 0, 100)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in p
+
+
+def test_generated_batches_are_contiguous(spark):
+    import datetime as dt
+    from gaugeworks.operators import sequence
+    fl = spark.createDataFrame([("d1", dt.datetime(2024, 1, 1, 0, 0), dt.datetime(2024, 1, 1, 1, 0))],
+                               "device_id string, first_start timestamp_ntz, last_start timestamp_ntz")
+    b = sequence.generate_batches(fl)
+    rows = sorted(b.collect(), key=lambda r: r.batch_start)
+    assert len(rows) == 13 and rows[0].id == "d1:1704067200000"
+    audit = {r.status for r in sequence.batch_contiguity(b.withColumn("state", F.lit("OPEN"))).collect()}
+    assert audit == {"contiguous", "last"}
