@@ -43,6 +43,13 @@ def windowed_rollup(stream: DataFrame, resolution: str, watermark: str | None =
     return _finalize(g, ["bucket", "device_id"])
 
 
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # no table yet
+        return None
+
+
 def merge_rollup(path: str, keys=("bucket", "device_id")):
     """``foreachBatch`` sink replacing rows by key in a day-partitioned table.
 
@@ -57,16 +64,15 @@ def merge_rollup(path: str, keys=("bucket", "device_id")):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("day", F.to_date("bucket"))
-        if new.isEmpty():
+        # The days a micro-batch touches are few (bounded by the watermark
+        # delay); as literals they prune the table to those partitions.
+        days = [r.day for r in new.select("day").distinct().collect()]
+        if not days:
             return
         merged = new
-        try:
-            old = spark.read.parquet(path)
-        except Exception:  # first batch: no table yet
-            old = None
+        old = _read_or_none(spark, path)
         if old is not None:
-            days = new.select("day").distinct()
-            keep = (old.join(days, "day", "left_semi")
+            keep = (old.where(F.col("day").isin(days))
                        .join(new.select(*keys), keys, "left_anti"))
             merged = keep.unionByName(new)
         merged = merged.checkpoint(eager=True)
@@ -98,6 +104,29 @@ def counter_flush(stream: DataFrame, labels, watermark: str = "2 minutes", perio
 # --------------------------------------------------------------------------- R2 adaptive refresh
 
 
+def _floor(t, res: str):
+    """Bucket start of a Python datetime (Monday weeks, calendar months)."""
+    from datetime import timedelta
+    if res == "15m":
+        return t.replace(minute=t.minute - t.minute % 15, second=0, microsecond=0)
+    if res == "1h":
+        return t.replace(minute=0, second=0, microsecond=0)
+    day = t.replace(hour=0, minute=0, second=0, microsecond=0)
+    if res == "1d":
+        return day
+    if res == "1w":
+        return day - timedelta(days=day.weekday())
+    return day.replace(day=1)
+
+
+def _next(t, res: str):
+    from datetime import timedelta
+    if res == "1mo":
+        return t.replace(year=t.year + (t.month == 12), month=t.month % 12 + 1)
+    return t + {"15m": timedelta(minutes=15), "1h": timedelta(hours=1), "1d": timedelta(days=1),
+                "1w": timedelta(days=7)}[res]
+
+
 def refresh_from_raw(spark: SparkSession, raw_path: str, rollup_paths: dict, batch: DataFrame | None,
                      now, retention_days: int = 365, margin_days: int = 5, bounds: tuple | None = None) -> dict:
     """R2 for one micro-batch of newly stored readings.
@@ -105,44 +134,40 @@ def refresh_from_raw(spark: SparkSession, raw_path: str, rollup_paths: dict, bat
     For each view: the touched range is ``[bucket(min time), bucket(max
     time) + 1 bucket)`` (A9), clamped to the retention-safe boundary (F12)
     and then rounded up to a bucket edge, so no bucket is rebuilt from part
-    of its rows. Buckets in the range are recomputed from the raw table and
-    replace the stored ones. Returns the refreshed ranges.
+    of its rows. Buckets in the range are recomputed from the raw table
+    (pruned to the range) and replace the stored ones; only the day
+    partitions of the range are read and rewritten.
     """
     from datetime import timedelta
     if bounds is not None:
-        mm = {"mn": bounds[0], "mx": bounds[1]}
+        mn, mx = bounds
     else:
         mm = batch.agg(F.min("time").alias("mn"), F.max("time").alias("mx")).first()
-    if mm is None or mm["mn"] is None:
+        mn, mx = (mm["mn"], mm["mx"]) if mm is not None else (None, None)
+    if mn is None:
         return {}
     boundary = now - timedelta(days=retention_days - margin_days)
     done = {}
     raw = spark.read.parquet(raw_path)
     for res, path in rollup_paths.items():
-        bounds = (spark.createDataFrame([(mm["mn"], mm["mx"], boundary)],
-                                        "mn timestamp_ntz, mx timestamp_ntz, b timestamp_ntz")
-                  .select(time_bucket(res, "mn").alias("lo"),
-                          (time_bucket(res, "mx") + F.expr(f"INTERVAL '{RESOLUTIONS[res]}'")).cast("timestamp_ntz").alias("hi"),
-                          F.col("b"))
-                  .first())
-        start = bounds["lo"]
-        if start < bounds["b"]:
-            # Round the clamped start up to the next bucket edge.
-            edge = spark.createDataFrame([(bounds["b"],)], "b timestamp_ntz").select(time_bucket(res, "b").alias("e")).first()["e"]
-            start = edge if edge == bounds["b"] else spark.createDataFrame([(edge,)], "e timestamp_ntz").select(
-                (F.col("e") + F.expr(f"INTERVAL '{RESOLUTIONS[res]}'")).cast("timestamp_ntz").alias("n")).first()["n"]
-        end = bounds["hi"]
+        start, end = _floor(mn, res), _next(_floor(mx, res), res)
+        if start < boundary:
+            edge = _floor(boundary, res)
+            start = edge if edge == boundary else _next(edge, res)
         if start >= end:
             continue
-        rows = raw.where((F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(end)))
+        s_lit, e_lit = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+        rows = raw.where((F.col("time") >= s_lit) & (F.col("time") < e_lit))
         fresh = _finalize(rollup_state(rows, res), ["bucket", "device_id"]).withColumn("day", F.to_date("bucket"))
-        try:
-            old = spark.read.parquet(path)
-            keep = old.where((F.col("bucket") < F.lit(start)) | (F.col("bucket") >= F.lit(end))) \
-                      .join(fresh.select("day").distinct(), "day", "left_semi")
+        days = []
+        d = _floor(start, res)
+        while d < end:  # bucket start days of the range
+            days.append(d.date())
+            d = _next(d, res) if res in ("1d", "1w", "1mo") else _next(_floor(d, "1d"), "1d")
+        old = _read_or_none(spark, path)
+        if old is not None:
+            keep = old.where(F.col("day").isin(days) & ((F.col("bucket") < s_lit) | (F.col("bucket") >= e_lit)))
             fresh = keep.unionByName(fresh)
-        except Exception:
-            pass
         fresh = fresh.checkpoint(eager=True)
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
         done[res] = (start, end)

@@ -23,11 +23,26 @@ def _read_or_none(spark, path: str):
 
 
 def insert_ignore_sink(path: str, keys: list[str], order: str | None = None, partition_by: list[str] | None = None):
-    """``foreachBatch`` writer with ``ON CONFLICT (keys) DO NOTHING`` semantics."""
+    """``foreachBatch`` writer with ``ON CONFLICT (keys) DO NOTHING`` semantics.
+
+    With ``partition_by`` (columns that are part of the key and partition the
+    target) only the target partitions present in the batch are read.
+    """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         target = _read_or_none(spark, path)
+        if target is not None and partition_by:
+            # Keys can only collide inside the partitions the batch touches.
+            parts = batch.select(*partition_by).distinct().collect()
+            cond = None
+            for r in parts:
+                c = None
+                for col in partition_by:
+                    e = F.col(col) == F.lit(r[col])
+                    c = e if c is None else c & e
+                cond = c if cond is None else cond | c
+            target = target.where(cond if cond is not None else F.lit(False))
         rows = insert_ignore(batch, target, keys, order) if target is not None else \
             insert_ignore(batch, batch.limit(0), keys, order)
         rows = rows.checkpoint(eager=True)
