@@ -288,3 +288,27 @@ def test_state_replay_levels_with_small_fanout(spark):
             final[e], no[e] = cur, no.get(e, 0) + 1
     got = {r.entity: (r.final_state, r.applied, r.refused) for r in V.replay_state_machine(df, fanout=4).collect()}
     assert got == {e: (final[e], ok.get(e, 0), no.get(e, 0)) for e in final}
+
+
+def test_idle_session_split_matches_unsplit_on_a_hot_key(spark):
+    """One hot nonce / IP / device: the session-split folds equal the plain folds."""
+    rnd = random.Random(9)
+    t, rows = 0, []
+    for i in range(3000):
+        t += rnd.choice([100, 900, 4000, 5000, 6000, 61_000, 3_700_000])
+        rows.append(("hot", t, i))
+    df = spark.createDataFrame(rows, "k string, t long, id long")
+    split = folds.idle_sessions(df, "k", "t", 5000)
+    assert split.select("_session").distinct().count() > 100
+    a = {r.id: r.replay for r in folds.replay_guard(df, "k", "t", ["t", "id"], 5000).collect()}
+    b = {r.id: r.replay for r in folds.replay_guard(df, "k", "t", ["t", "id"], 5000, split_idle=False).collect()}
+    assert a == b == model_replay(rows, 5000)
+    lg = df.withColumnRenamed("k", "ip").withColumnRenamed("t", "time_ms")
+    a = {r.id: (r.allowed, r.attempts) for r in folds.login_limiter(lg, order=["time_ms", "id"]).collect()}
+    b = {r.id: (r.allowed, r.attempts) for r in folds.login_limiter(lg, order=["time_ms", "id"], split_idle=False).collect()}
+    assert a == b
+    tb = lg.withColumnRenamed("ip", "device_id").withColumn("billing_tier", F.lit("free")).withColumn("compliance", F.lit(0.99))
+    cols = ("allowed", "tokens_remaining", "max_tokens", "reset_at_ms")
+    a = {r.id: tuple(r[c] for c in cols) for r in folds.token_bucket(tb, order=["time_ms", "id"]).collect()}
+    b = {r.id: tuple(r[c] for c in cols) for r in folds.token_bucket(tb, order=["time_ms", "id"], split_idle=False).collect()}
+    assert a == b
