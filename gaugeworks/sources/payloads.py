@@ -62,7 +62,7 @@ def payload_verdicts(parsed: DataFrame, received_ms: str = "received_ms", signat
     """Ordered verdict; the nonce is claimed only by payloads that pass
     every other check (replay guard W1 over those rows, keyed by nonce).
     Returns ``(event_id, nonce, received_ms, replay, verdict)``."""
-    from ..operators.folds import keyed_fold
+    from ..operators.folds import _session_fold
     pre = V.verdict(F.col("malformed"), F.col("public_key"), F.col("signature"), F.col("ts_ms"),
                     F.col(received_ms), F.col(signature_ok))
     window = replay_window_ms or window_ms
@@ -76,11 +76,13 @@ def payload_verdicts(parsed: DataFrame, received_ms: str = "received_ms", signat
             return expires, (True,)
         return now + window, (False,)
 
-    # One ordered pass per nonce; rows that failed earlier checks pass through
-    # without claiming the nonce.
-    out = keyed_fold(d.withColumn("_nonce_key", F.coalesce("nonce", F.lit(""))), "_nonce_key",
-                     [received_ms, "event_id"], [received_ms, "_eligible"], [("replay", "boolean")],
-                     lambda: None, step)
+    # One ordered pass per nonce (split at gaps of one window, after which no
+    # claim can still be unexpired); rows that failed earlier checks pass
+    # through without claiming the nonce.
+    out = _session_fold(d.withColumn("_nonce_key", F.coalesce("nonce", F.lit(""))), "_nonce_key",
+                        [received_ms, "event_id"],
+                        ([received_ms, "_eligible"], [("replay", "boolean")], (lambda: None), step),
+                        received_ms, window, strict=False)
     verdict = F.when(~F.col("_eligible"), F.col("_pre")).when(
         F.col("replay"), F.lit("Nonce already consumed (replay detected)")).otherwise(F.lit("valid"))
     return out.withColumn("verdict", verdict).drop("_pre", "_eligible", "_nonce_key")
