@@ -128,13 +128,13 @@ def ingest_counter(spark, sf_dir):
              .agg(F.count(F.lit(1)).alias("increments")))
 
 
-@register("gauge_last", with_views("telemetry", extra=_LABELS_SQL) + """SELECT date_trunc('hour', time) AS flush_window, tenant, device_tier, region,
+@register("gauge_last", with_views("telemetry", extra=_LABELS_SQL) + """SELECT date_trunc('minute', time) AS flush_window, tenant, device_tier, region,
        arg_max(k * 1024, (time, event_id)) AS buffer_bytes
 FROM lab GROUP BY 1, 2, 3, 4""")
 def gauge_last(spark, sf_dir):
-    """Last connection-buffer gauge value per label set and window."""
+    """Last connection-buffer gauge value per label set and 60 s flush."""
     d = _labelled(spark, sf_dir).withColumn("buffer_bytes", F.col("k") * 1024)
-    return (d.groupBy(time_bucket("1 hour", "time").alias("flush_window"), "tenant", "device_tier", "region")
+    return (d.groupBy(time_bucket("1 minute", "time").alias("flush_window"), "tenant", "device_tier", "region")
              .agg(F.max_by("buffer_bytes", F.struct("time", "event_id")).alias("buffer_bytes")))
 
 
