@@ -274,6 +274,30 @@ def assign_tier_asof(readings: DataFrame, versions: DataFrame, time: str = "time
                   .drop("tiers", "valid_from", "valid_to", "_ord"))
 
 
+def assign_tier_per_batch(readings: DataFrame, versions: DataFrame, batch: str = "batch_id", time: str = "time",
+                          value: str = "value") -> DataFrame:
+    """J3 (batch-consistent): every reading of a batch uses one config version.
+
+    The version captured at the batch's first reading is compared with the
+    one active at its last reading; when they differ the batch is redone
+    under the newer one and counts as a config transition (A17
+    ``config_transition_events``). Batch bounds are one aggregate row per
+    batch; the version lookup is an as-of join of that small table.
+    """
+    bounds = readings.groupBy(batch).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    start = assign_tier_asof(bounds.withColumn(value, F.lit(0.0)), versions, "_t0", value) \
+        .select(batch, "_t0", "_t1", F.col("version_id").alias("start_version"))
+    end = assign_tier_asof(start.withColumn(value, F.lit(0.0)), versions, "_t1", value) \
+        .select(batch, "start_version", F.col("version_id").alias("end_version"))
+    tiers = versions.select(F.col("version_id").alias("end_version"), "tiers")
+    per_batch = end.join(bounded_broadcast(tiers, 10_000), "end_version", "left")
+    return (readings.join(per_batch, batch)
+                    .withColumn("tier", pick_tier(F.col(value), F.col("tiers")))
+                    .withColumn("transitioned", F.col("start_version") != F.col("end_version"))
+                    .withColumnRenamed("end_version", "version_id")
+                    .drop("tiers"))
+
+
 # --------------------------------------------------------------------------- state machines
 
 

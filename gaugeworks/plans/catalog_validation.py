@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timebuckets import epoch_ms
+from ..functions.timebuckets import epoch_ms, time_bucket
 from ..operators import validation as V
 from ..sources import batches, tables
 from .oracle_views import K, with_views
@@ -223,6 +223,30 @@ def tier_asof(spark, sf_dir):
     return V.assign_tier_asof(r, versions).select("event_id", "time", "value", "version_id", "tier")
 
 
+def _version_sql(t: str) -> str:
+    return f"CASE WHEN {t} >= TIMESTAMP '2024-01-20' THEN 'v3' WHEN {t} >= TIMESTAMP '2024-01-10' THEN 'v2' ELSE 'v1-default' END"
+
+
+@register("tier_batch_pinned", with_views("telemetry", extra=f"""
+b AS (SELECT date_trunc('hour', time) AS batch_start, MIN(time) AS t0, MAX(time) AS t1 FROM telemetry GROUP BY 1),
+bv AS (SELECT batch_start, {_version_sql('t0')} AS start_version, {_version_sql('t1')} AS version_id FROM b)""") + f"""SELECT t.event_id, bv.batch_start, CAST(t.metric_value * 25 AS DOUBLE) AS value, bv.version_id,
+       CASE bv.version_id WHEN 'v3' THEN {_tier_sql('CAST(t.metric_value * 25 AS DOUBLE)', '1500')}
+                          WHEN 'v2' THEN {_tier_sql('CAST(t.metric_value * 25 AS DOUBLE)', '50000')}
+                          ELSE {_tier_sql('CAST(t.metric_value * 25 AS DOUBLE)', '10000')} END AS tier,
+       bv.start_version <> bv.version_id AS transitioned
+FROM telemetry t JOIN bv ON date_trunc('hour', t.time) = bv.batch_start""")
+def tier_batch_pinned(spark, sf_dir):
+    """Hourly batches tiered under one config version each (redone under
+    the newer version when it changed during the batch)."""
+    import datetime as dt
+    t = tables.telemetry(spark, sf_dir)
+    r = t.select("event_id", time_bucket("1h", "time").alias("batch_start"), "time",
+                 (F.col("metric_value") * 25).cast("double").alias("value"))
+    versions = V.tier_versions(spark, [(v, dt.datetime.fromisoformat(vf), tiers) for v, vf, tiers in _TIER_VERSIONS])
+    out = V.assign_tier_per_batch(r, versions, batch="batch_start")
+    return out.select("event_id", "batch_start", "value", "version_id", "tier", "transitioned")
+
+
 # --------------------------------------------------------------------------- state machines
 
 _ING = "['PENDING', 'TENTATIVE', 'SETTLED', 'ROLLED_BACK', 'RECONCILING', 'FAILED', 'GAP_DETECTED']"
