@@ -208,3 +208,16 @@ def test_tier_asof_large_config_uses_day_join(spark):
     small = {r.id: (r.version_id, r.tier) for r in V.assign_tier_asof(readings, versions).collect()}
     large = {r.id: (r.version_id, r.tier) for r in V.assign_tier_asof(readings, versions, max_versions=1).collect()}
     assert small == large == {1: ("v1", "TIER_2"), 2: ("v2", "UNKNOWN_TIER"), 3: ("v3", "TIER_2"), 4: ("v1", "TIER_2")}
+
+
+def test_batch_pinned_tier_redoes_batch_after_version_change(spark):
+    import datetime as dt
+    tiers_wide = [("TIER_1", 0.0, 1000.0), ("TIER_2", 1001.0, 50000.0), ("TIER_3", 10001.0, None)]
+    tiers_narrow = [("TIER_1", 0.0, 1000.0), ("TIER_2", 1001.0, 1100.0), ("TIER_3", 10001.0, None)]
+    versions = V.tier_versions(spark, [("v1", dt.datetime(2024, 1, 1), tiers_wide),
+                                       ("v2", dt.datetime(2024, 1, 10), tiers_narrow)])
+    readings = spark.createDataFrame(
+        [(1, "b1", dt.datetime(2024, 1, 9, 23, 59), 1200.0), (2, "b1", dt.datetime(2024, 1, 10, 0, 1), 1200.0),
+         (3, "b0", dt.datetime(2024, 1, 5), 1200.0)], "id long, batch_id string, time timestamp_ntz, value double")
+    got = {r.id: (r.version_id, r.tier, r.transitioned) for r in V.assign_tier_per_batch(readings, versions).collect()}
+    assert got == {1: ("v2", "UNKNOWN_TIER", True), 2: ("v2", "UNKNOWN_TIER", True), 3: ("v1", "TIER_2", False)}
