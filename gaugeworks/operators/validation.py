@@ -383,13 +383,13 @@ def _all_states() -> list[str]:
 
 
 def replay_state_machine(history: DataFrame, keys=("machine", "entity"), order: str = "seq",
-                         chunk: Column | None = None, fanout: int = 1000) -> DataFrame:
+                         chunk_ids: int = 100_000, fanout: int = 1000) -> DataFrame:
     """W6 replay as a parallel prefix over transition maps.
 
     A request ``to`` acts on the state set as ``f(s) = to if (s, to) is legal
     else s``; such maps compose associatively. Requests are grouped by
-    ``order // fanout`` (``order`` is unique, so a group holds at most
-    ``fanout`` requests) and folded with ``aggregate`` into one state map;
+    ``order // chunk_ids`` (``order`` is unique, so a group holds at most
+    ``chunk_ids`` requests) and folded with ``aggregate`` into one state map;
     groups of at most ``fanout`` maps are composed level by level until each
     entity has one map. Start states then flow back down: a child's start is
     its parent's start pushed through the composition of its earlier
@@ -417,13 +417,13 @@ def replay_state_machine(history: DataFrame, keys=("machine", "entity"), order:
     def compose(first, then):
         return F.transform(first, lambda v: F.element_at(then, v + 1))
 
-    top = history.agg(F.max(order)).first()[0] or 0
+    top = (history.agg(F.max(order)).first()[0] or 0) // chunk_ids
     levels = 1
     while fanout ** levels <= top:
         levels += 1
 
-    # Level 0: requests -> one map per (entity, order // fanout).
-    base = history.withColumn("_c0", F.floor(F.col(order) / fanout))
+    # Level 0: requests -> one map per (entity, order // chunk_ids).
+    base = history.withColumn("_c0", F.floor(F.col(order) / chunk_ids))
     lvl0 = base.groupBy(*keys, "_c0").agg(
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("to_state").alias("to")))).alias("_reqs"))
     lvl0 = lvl0.withColumn("_f", F.aggregate(

@@ -49,7 +49,7 @@ def event_append(spark, sf_dir):
     stored = log.where(F.col("arrival") < 3)
     incoming = log.where(F.col("arrival") >= 3).select("tenant_id", "arrival", "event_type")
     out = sequence.append_sequences(stored, incoming, "tenant_id", ["arrival"],
-                                    chunk=F.floor(F.col("arrival") / 2))
+                                    chunk=F.floor(F.col("arrival") / 100_000))
     return out.select("tenant_id", "arrival", "event_type", "sequence")
 
 

@@ -300,7 +300,7 @@ FROM history h LEFT JOIN allowed a ON h.machine = a.machine AND h.from_state = a
 def state_audit(spark, sf_dir):
     """Legality and continuity of each recorded step (chunked lag)."""
     return V.audit_history(_history(spark, sf_dir), V.transition_table(spark),
-                           chunk=F.floor(F.col("seq") / 1000))
+                           chunk=F.floor(F.col("seq") / 100_000))
 
 
 # --------------------------------------------------------------------------- nested batches

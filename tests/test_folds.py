@@ -272,7 +272,7 @@ def test_payload_verdict_order(spark):
 
 
 def test_state_replay_levels_with_small_fanout(spark):
-    """Three levels of composition (fanout 4) give the same result as the model."""
+    """Several levels of composition (chunks of 4 ids, fanout 4) give the same result as the model."""
     from gaugeworks.operators import validation as V
     rnd = random.Random(5)
     names = V.INGESTION_STATES
@@ -286,7 +286,8 @@ def test_state_replay_levels_with_small_fanout(spark):
             final[e], ok[e] = to, ok.get(e, 0) + 1
         else:
             final[e], no[e] = cur, no.get(e, 0) + 1
-    got = {r.entity: (r.final_state, r.applied, r.refused) for r in V.replay_state_machine(df, fanout=4).collect()}
+    got = {r.entity: (r.final_state, r.applied, r.refused)
+           for r in V.replay_state_machine(df, chunk_ids=4, fanout=4).collect()}
     assert got == {e: (final[e], ok.get(e, 0), no.get(e, 0)) for e in final}
 
 
