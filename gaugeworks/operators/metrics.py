@@ -191,3 +191,13 @@ def compare_to_baseline(current: DataFrame, keys, baseline: dict = BASELINE, max
     frac = F.when(b == 0, F.when(delta > 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(delta / F.abs(b))
     return cur.select(*keys, "metric", b.alias("baseline"), "current", frac.alias("regression_pct"),
                       (frac > max_regression).alias("regressed"))
+
+
+def approx_percentiles(df: DataFrame, keys, value: str, accuracy: int = 10_000) -> DataFrame:
+    """A11 fast path: ``percentile_approx`` per group (one partial aggregate,
+    fixed-size sketches), for dashboards where the exact index rule is not
+    required."""
+    keys = _cols(keys)
+    qs = list(PERCENTILES.values())
+    return (df.groupBy(*keys).agg(F.percentile_approx(value, qs, accuracy).alias("_p"))
+              .select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(PERCENTILES)]))

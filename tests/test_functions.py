@@ -221,3 +221,22 @@ def test_batch_pinned_tier_redoes_batch_after_version_change(spark):
          (3, "b0", dt.datetime(2024, 1, 5), 1200.0)], "id long, batch_id string, time timestamp_ntz, value double")
     got = {r.id: (r.version_id, r.tier, r.transitioned) for r in V.assign_tier_per_batch(readings, versions).collect()}
     assert got == {1: ("v2", "UNKNOWN_TIER", True), 2: ("v2", "UNKNOWN_TIER", True), 3: ("v1", "TIER_2", False)}
+
+
+def test_approx_percentiles_close_to_exact(spark):
+    df = spark.range(0, 10_000).select(F.lit("g").alias("g"), (F.col("id") % 997).cast("double").alias("v"))
+    exact = metrics.exact_percentiles(df, "g", "v", chunk_width=50.0).first()
+    approx = metrics.approx_percentiles(df, "g", "v").first()
+    for name in metrics.PERCENTILES:
+        assert abs(exact[name] - approx[name]) <= 10
+
+
+def test_trace_file_read_in_file_order(spark, tmp_path):
+    lines = ["timestampMs,deviceId", "", "2000,a"] + [f"{1000 + i},d{i % 3}" for i in range(5000)] + ["1500"]
+    p = tmp_path / "trace.csv"
+    p.write_text("\n".join(lines) + "\n")
+    out = sorted(trace.parse_trace(trace.read_lines(spark, str(p))).collect(), key=lambda r: r.row_index)
+    assert len(out) == 5002
+    assert (out[0].device_id, out[0].offset_ms) == ("a", 1000.0)
+    assert (out[1].device_id, out[1].offset_ms) == ("d0", 0.0)
+    assert out[-1].device_id == "trace-device-5001" and out[-1].offset_ms == 500.0
