@@ -39,14 +39,21 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     names = [n for n in BENCH_QUERIES if n in QUERIES]
     QUERIES["usage_1mo"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    times = {}
+    times, failed = {}, {}
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # keep timing the rest; report the failure
+            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            continue
         times[name] = round(time.perf_counter() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+    result = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
+              "queries": times, "sf": float(m.group(1)) if m else sf_dir}
+    if failed:
+        result["failed"] = failed
+    print(json.dumps(result))
     spark.stop()
 
 
