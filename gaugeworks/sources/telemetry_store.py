@@ -116,3 +116,25 @@ def drop_expired_partitions(spark: SparkSession, path: str, now: str, retention_
                 fs.delete(status.getPath(), True)
                 dropped.append(name[4:])
     return sorted(dropped)
+
+
+BILLING_CHUNK_DAYS = 7
+
+
+def write_billing_records(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Billing records in 7-day chunks of ``time`` (``chunk`` = days since
+    the epoch // 7), clustered by account and newest time first inside a
+    chunk; a missing status is ``pending``."""
+    out = (df.withColumn("status", F.coalesce(F.col("status"), F.lit("pending")))
+             .withColumn("chunk", F.floor(F.unix_date(F.to_date("time")) / BILLING_CHUNK_DAYS).cast("int")))
+    (out.repartition("chunk")
+        .sortWithinPartitions("account_id", F.col("time").desc())
+        .write.mode(mode).partitionBy("chunk").option("compression", "zstd").parquet(path))
+
+
+def billing_range(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Half-open time filter plus the ``chunk`` filter for partition pruning."""
+    s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    lo = F.floor(F.unix_date(F.to_date(s)) / BILLING_CHUNK_DAYS)
+    hi = F.floor(F.unix_date(F.to_date(e)) / BILLING_CHUNK_DAYS)
+    return df.where((F.col("time") >= s) & (F.col("time") < e) & (F.col("chunk") >= lo) & (F.col("chunk") <= hi))

@@ -75,3 +75,18 @@ def test_known_state_guard(spark):
     import pytest
     with pytest.raises(Exception):
         billing.guard_known_state(df).collect()
+
+
+def test_billing_store_weekly_chunks_and_pruning(spark):
+    from gaugeworks.sources.telemetry_store import billing_range, write_billing_records
+    path = tempfile.mkdtemp(prefix="gw-s4-") + "/b"
+    recs = tables.billing_records(spark, SF_SMALL)
+    write_billing_records(recs, path)
+    back = spark.read.parquet(path)
+    assert back.count() == recs.count()
+    sel = billing_range(back, "1998-01-01 00:00:00", "1998-02-01 00:00:00")
+    p = sel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in p and "chunk" in p[p.index("PartitionFilters"):].split("]")[0]
+    expected = recs.where((F.col("time") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+                          & (F.col("time") < F.lit("1998-02-01").cast("timestamp_ntz"))).count()
+    assert sel.count() == expected > 0
