@@ -151,3 +151,25 @@ def refresh_bounds(telemetry: DataFrame, since: str | Column) -> DataFrame:
         for res, width in RESOLUTIONS.items()])
     return (mm.select("rows_since", F.inline(per_view))
               .select("resolution", "rows_since", "range_start", "range_end"))
+
+
+def materialize(telemetry: DataFrame, base_path: str, resolutions=("15m", "1h", "1d", "1w", "1mo")) -> dict:
+    """Write the rollup views as day-partitioned Parquet tables.
+
+    The 15-minute state is built once from raw rows and checkpointed (to the
+    shared ``spark.checkpoint.dir``), so the raw scan runs once and the
+    coarser views are re-aggregations of a much smaller table. Returns
+    ``{resolution: path}``.
+    """
+    s15 = rollup_state(telemetry, "15m").checkpoint(eager=True)
+    s1h = rollup_from_state(s15, "1h")
+    s1d = rollup_from_state(s1h, "1d").checkpoint(eager=True)
+    states = {"15m": s15, "1h": s1h, "1d": s1d, "1w": rollup_from_state(s1d, "1w"),
+              "1mo": rollup_from_state(s1d, "1mo")}
+    paths = {}
+    for res in resolutions:
+        path = f"{base_path.rstrip('/')}/{res}"
+        (_finalize(states[res], ["bucket", "device_id"]).withColumn("day", F.to_date("bucket"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+        paths[res] = path
+    return paths

@@ -70,3 +70,13 @@ def test_generated_batches_are_contiguous(spark):
     assert len(rows) == 13 and rows[0].id == "d1:1704067200000"
     audit = {r.status for r in sequence.batch_contiguity(b.withColumn("state", F.lit("OPEN"))).collect()}
     assert audit == {"contiguous", "last"}
+
+
+def test_materialize_all_views(spark):
+    tel = tables.telemetry(spark, SF_SMALL)
+    paths = rollups.materialize(tel, tempfile.mkdtemp(prefix="gw-mat-"))
+    for res, path in paths.items():
+        got = spark.read.parquet(path).drop("day")
+        want = rollups.device_rollup(tel, res)
+        assert sorted(tuple(r) for r in got.select(*sorted(got.columns)).collect()) == \
+               sorted(tuple(r) for r in want.select(*sorted(want.columns)).collect()), res
