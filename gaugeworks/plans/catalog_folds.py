@@ -38,7 +38,7 @@ def _bodies(spark, sf_dir) -> DataFrame:
                               inner["nonce"].alias("nonce"), inner["metrics"].alias("metrics"),
                               inner["signature"].alias("signature"), F.when(k % 3 == 1, pk).alias("publicKey")))
     body = F.when(k % 3 == 0, envelope).otherwise(flat)
-    # A numeric deviceId (wrong JSON type) for every hundredth-and-seventh payload.
+    # A numeric deviceId (wrong JSON type) where k % 100 == 7.
     body = F.when(k % 100 == 7, F.regexp_replace(body, r'"deviceId":"dev-(\d+)"', '"deviceId":$1')).otherwise(body)
     return p.select("event_id", "received_ms", body.alias("body"), (k % 100 != 4).alias("signature_ok"))
 
