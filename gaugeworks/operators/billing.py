@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 
+# Reconciliation error text (the address follows).
+NO_NATIVE_BALANCE = "No native balance found for "
 # Billing-cycle states and legal transitions.
 CYCLE_STATES = ("OPEN", "FINALIZING", "FINALIZED", "SETTLED")
 CYCLE_TRANSITIONS = (("OPEN", "FINALIZING"), ("FINALIZING", "FINALIZED"), ("FINALIZED", "SETTLED"))
@@ -73,7 +75,7 @@ def reconcile(accounts: DataFrame, balances: DataFrame) -> DataFrame:
         (disc != 0).alias("corrected"),
         F.when(onchain.isNull(), F.lit(None).cast("bigint"))
          .when(disc != 0, onchain).otherwise(F.col("local_balance")).alias("resulting_local_balance"),
-        F.when(F.col("native_balance").isNull(), F.concat(F.lit("No native balance found for "), F.col("address")))
+        F.when(F.col("native_balance").isNull(), F.concat(F.lit(NO_NATIVE_BALANCE), F.col("address")))
          .alias("error"),
     )
 

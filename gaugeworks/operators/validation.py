@@ -44,6 +44,32 @@ TRANSITIONS = {
 INITIAL_STATE = {"ingestion": "PENDING", "billing_cycle": "OPEN", "batch": "OPEN"}
 INGESTION_STATES = ["PENDING", "TENTATIVE", "SETTLED", "ROLLED_BACK", "RECONCILING", "FAILED", "GAP_DETECTED"]
 
+# Payload verdict reasons, in check order.
+REASON_MALFORMED = "malformed_body"
+REASON_MISSING_KEY = "missing_public_key"
+REASON_KEY_LENGTH = "invalid_public_key_length"
+REASON_SIGNATURE_LENGTH = "Invalid signature length"
+REASON_STALE = "Timestamp outside sliding window"
+REASON_SIGNATURE_MISMATCH = "Ed25519 signature mismatch"
+REASON_REPLAY = "Nonce already consumed (replay detected)"
+VALID = "valid"
+PUBLIC_KEY_BYTES = 32
+SIGNATURE_BYTES = 64
+
+# Certificate verdict reasons (serial goes between the two parts).
+CERT_OUTSIDE_WINDOW = "Certificate is outside validity window"
+CERT_NOT_LISTED = ("Serial ", " not found in hardware whitelist")
+CERT_REVOKED = "Certificate revoked in database"
+
+# Submission errors.
+BAD_SEQ_PATTERN = "(?i)tx_bad_seq"
+BAD_SEQ_PREFIX = "ERR:"
+
+# Tenant schema naming.
+TENANT_PREFIX = "tenant_"
+TENANT_MAX_CHARS = 48
+TENANT_INVALID = "Invalid tenant id"
+
 # Sampling rule.
 SAMPLE_DOMAIN_ALWAYS = "blockchain"
 SAMPLE_HIGH_PRIORITY = 2
@@ -87,15 +113,15 @@ def verdict(malformed: Column, public_key: Column, signature: Column, ts_ms: Col
             signature_ok: Column, replay: Column | None = None) -> Column:
     """First failing check wins; ``replay`` is evaluated only for rows that
     pass the rest (so a failing payload never claims its nonce)."""
-    v = (F.when(malformed, F.lit("malformed_body"))
-          .when(public_key.isNull(), F.lit("missing_public_key"))
-          .when(hex_decoded_length(public_key) != 32, F.lit("invalid_public_key_length"))
-          .when(hex_decoded_length(signature) != 64, F.lit("Invalid signature length"))
-          .when(~is_fresh(ts_ms, received_ms), F.lit("Timestamp outside sliding window"))
-          .when(~signature_ok, F.lit("Ed25519 signature mismatch")))
+    v = (F.when(malformed, F.lit(REASON_MALFORMED))
+          .when(public_key.isNull(), F.lit(REASON_MISSING_KEY))
+          .when(hex_decoded_length(public_key) != PUBLIC_KEY_BYTES, F.lit(REASON_KEY_LENGTH))
+          .when(hex_decoded_length(signature) != SIGNATURE_BYTES, F.lit(REASON_SIGNATURE_LENGTH))
+          .when(~is_fresh(ts_ms, received_ms), F.lit(REASON_STALE))
+          .when(~signature_ok, F.lit(REASON_SIGNATURE_MISMATCH)))
     if replay is not None:
-        v = v.when(replay, F.lit("Nonce already consumed (replay detected)"))
-    return v.otherwise(F.lit("valid"))
+        v = v.when(replay, F.lit(REASON_REPLAY))
+    return v.otherwise(F.lit(VALID))
 
 
 def metric_range_table(spark: SparkSession) -> DataFrame:
@@ -129,11 +155,11 @@ def range_proof_ok(proof: Column, device_id: Column, lower: Column, upper: Colum
 
 def tenant_schema_name(tenant_id: Column, on_invalid: str = "null") -> Column:
     """Strip ``[^a-zA-Z0-9_]``, keep 48 chars, prefix ``tenant_``; empty is invalid."""
-    clean = F.substring(F.regexp_replace(tenant_id, r"[^a-zA-Z0-9_]", ""), 1, 48)
+    clean = F.substring(F.regexp_replace(tenant_id, r"[^a-zA-Z0-9_]", ""), 1, TENANT_MAX_CHARS)
     bad = F.length(clean) == 0
-    invalid = (F.raise_error(F.lit("Invalid tenant id")) if on_invalid == "raise"
+    invalid = (F.raise_error(F.lit(TENANT_INVALID)) if on_invalid == "raise"
                else F.lit(None).cast("string"))
-    return F.when(bad, invalid).otherwise(F.concat(F.lit("tenant_"), clean))
+    return F.when(bad, invalid).otherwise(F.concat(F.lit(TENANT_PREFIX), clean))
 
 
 def scoped(df: DataFrame, tenant_id: str, col: str = "tenant_id") -> DataFrame:
@@ -144,9 +170,10 @@ def scoped(df: DataFrame, tenant_id: str, col: str = "tenant_id") -> DataFrame:
 def cert_verdict(certs: DataFrame, whitelist: DataFrame, now: Column) -> DataFrame:
     """Outside validity window, not whitelisted, revoked, ok (first wins)."""
     j = certs.join(whitelist.select("serial", "revoked", F.lit(True).alias("_listed")), "serial", "left")
-    reason = (F.when((F.col("valid_from") > now) | (F.col("valid_to") < now), F.lit("Certificate is outside validity window"))
-               .when(F.col("_listed").isNull(), F.concat(F.lit("Serial "), F.col("serial"), F.lit(" not found in hardware whitelist")))
-               .when(F.col("revoked"), F.lit("Certificate revoked in database")))
+    reason = (F.when((F.col("valid_from") > now) | (F.col("valid_to") < now), F.lit(CERT_OUTSIDE_WINDOW))
+               .when(F.col("_listed").isNull(),
+                     F.concat(F.lit(CERT_NOT_LISTED[0]), F.col("serial"), F.lit(CERT_NOT_LISTED[1])))
+               .when(F.col("revoked"), F.lit(CERT_REVOKED)))
     return j.select("serial", "device_id", reason.isNull().alias("verified"), reason.alias("reason"))
 
 
@@ -164,7 +191,7 @@ def tx_outcome(submissions: DataFrame, confirmations: DataFrame | None = None) -
     last_err = F.col("last.error")
     status = F.when(last_err.isNull(), F.lit("submitted")).otherwise(F.lit("failed"))
     err = (F.when(last_err.isNull(), F.lit(None).cast("string"))
-            .when(last_err.rlike("(?i)tx_bad_seq"), F.concat(F.lit("ERR:"), last_err))
+            .when(last_err.rlike(BAD_SEQ_PATTERN), F.concat(F.lit(BAD_SEQ_PREFIX), last_err))
             .otherwise(last_err))
     out = g.select("tx_id", "attempts", status.alias("status"), err.alias("error"))
     if confirmations is not None:
@@ -180,7 +207,7 @@ def retry_attempts(first_errors: DataFrame, retry_error: Column) -> DataFrame:
     """Build the submission log: attempt 1, plus attempt 2 only when attempt 1
     failed with a bad-sequence error."""
     a1 = first_errors.select("tx_id", F.lit(1).alias("attempt"), F.col("error"))
-    a2 = (first_errors.where(F.col("error").rlike("(?i)tx_bad_seq"))
+    a2 = (first_errors.where(F.col("error").rlike(BAD_SEQ_PATTERN))
                       .select("tx_id", F.lit(2).alias("attempt"), retry_error.alias("error")))
     return a1.unionByName(a2)
 

@@ -67,7 +67,7 @@ def payload_verdicts(parsed: DataFrame, received_ms: str = "received_ms", signat
                     F.col(received_ms), F.col(signature_ok))
     window = replay_window_ms or window_ms
     # Only the columns the fold and verdict need travel through Python.
-    d = parsed.select("event_id", "nonce", received_ms, pre.alias("_pre")).withColumn("_eligible", F.col("_pre") == "valid")
+    d = parsed.select("event_id", "nonce", received_ms, pre.alias("_pre")).withColumn("_eligible", F.col("_pre") == V.VALID)
 
     def step(expires, now, eligible):
         if not eligible:
@@ -84,5 +84,5 @@ def payload_verdicts(parsed: DataFrame, received_ms: str = "received_ms", signat
                         ([received_ms, "_eligible"], [("replay", "boolean")], (lambda: None), step),
                         received_ms, window, strict=False)
     verdict = F.when(~F.col("_eligible"), F.col("_pre")).when(
-        F.col("replay"), F.lit("Nonce already consumed (replay detected)")).otherwise(F.lit("valid"))
+        F.col("replay"), F.lit(V.REASON_REPLAY)).otherwise(F.lit(V.VALID))
     return out.withColumn("verdict", verdict).drop("_pre", "_eligible", "_nonce_key")

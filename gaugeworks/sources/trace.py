@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scan
 
+# Name given to a trace row without a device id (row index follows).
+MISSING_DEVICE_PREFIX = "trace-device-"
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with an order key: ``monotonically_increasing_id`` grows with the
@@ -44,6 +47,6 @@ def parse_trace(lines: DataFrame, on_bad: str = "raise") -> DataFrame:
     d = scan.global_row_number(d.drop("line_chunk"), ["line_no"], out="_rn")
     min_ts = d.agg(F.min("timestamp_ms")).first()[0]
     return d.select((F.col("_rn") - 1).alias("row_index"), "timestamp_ms",
-                    F.coalesce("device_raw", F.concat(F.lit("trace-device-"), (F.col("_rn") - 1).cast("string")))
+                    F.coalesce("device_raw", F.concat(F.lit(MISSING_DEVICE_PREFIX), (F.col("_rn") - 1).cast("string")))
                     .alias("device_id"),
                     (F.col("timestamp_ms") - F.lit(min_ts)).alias("offset_ms"))
