@@ -54,7 +54,8 @@ def exact_percentiles(df: DataFrame, keys, value: str, chunk_width: float | None
     offs = per_chunk.select(*keys, "_chunk", F.coalesce(F.sum("_chunk_n").over(across), F.lit(0)).alias("_off"))
     cum = (counts.join(offs, [*keys, "_chunk"])
                  .select(*keys, value, (F.col("_off") + F.col("_in_cum")).alias("_cum"), F.col("_c")))
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Group sizes from the per-chunk summary (a small table), not another pass over the rows.
+    n = per_chunk.groupBy(*keys).agg(F.sum("_chunk_n").alias("_n"))
     targets = n.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(name).alias("_q"),
                  F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n"))).cast("bigint").alias("_idx"))
