@@ -46,14 +46,44 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to an existing session (idempotent)."""
+    """Apply the runtime SQL settings to an existing session (idempotent)
+    and make the package importable in the executors' Python workers."""
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
                 "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(key, DEFAULT_CONF[key])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Zip this package once per application and add it with ``addPyFile``.
+
+    Python work in tasks (folds, decoders, pandas UDFs) imports the package
+    inside the executors' Python workers; Spark distributes the zip to every
+    executor and puts it on the workers' ``sys.path``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="gaugeworks-pyfiles-"), "gaugeworks.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
