@@ -33,3 +33,20 @@ def test_entry_contract(spark):
     o = entry.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 80
+
+
+def test_queries_run_from_another_working_directory(tmp_path):
+    """Python workers import the package from the shipped zip, not from the cwd."""
+    import subprocess
+    import sys
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util\n"
+        "spec = importlib.util.spec_from_file_location('e', '/root/repo/__spark_entry__.py')\n"
+        "e = importlib.util.module_from_spec(spec); spec.loader.exec_module(e)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "q = e.queries()\n"
+        "print('ROWS', q['nonce_replay'](s, '/root/testdata/sf0.001').count(), q['frame_decode'](s, '/root/testdata/sf0.001').count())\n")
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert "ROWS 1000" in out.stdout, out.stderr[-2000:]
