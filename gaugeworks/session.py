@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # 128 MiB input splits keep scan tasks well inside executor memory.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    # Remove checkpoint files once nothing references them (sink scratch data).
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
