@@ -70,7 +70,7 @@ def encoder(path: str, kind: str, id_bytes: int = 4) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file (kept between tasks)."""
     key = (path, kind, id_bytes)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, kind)
+        _ENCODERS[key] = ChunkEncoder(*key)
     return _ENCODERS[key]
 
 
