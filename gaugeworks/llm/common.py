@@ -39,7 +39,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, packing, simhash, tokenfile
+from . import html, langid, linededup, packing, phrases, pieces, simhash, tokenfile, vectors, warc
 from .common import table
 from .tokens import token_ids
 
@@ -25,12 +25,39 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back by verified boundary chains."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate classes of all documents."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to SentencePiece ids and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -43,7 +70,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("part")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op6_simhash_near_dedup, op9_language_id, op10_token_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_harmonic_packing, op3_warc_archive, op4_html_main_text, op5_embedding_near_dedup, op6_simhash_near_dedup,
+    op7_sentencepiece, op8_phrase_fingerprints, op9_language_id, op10_token_files)}
 
 ORACLE = {
     "op1_line_dedup": f"""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import spread, staged, text_bytes
 from .components import components
+from .disjoint import union
 
 #: Shards beyond this many fingerprints are split by trie node pairs (a task size, not a cap).
 SHARD_ROWS = 20_000
@@ -65,22 +66,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), text_bytes(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
 
-def _union(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Merge the sets of x[i] and y[i]; ``label`` maps each entry to its set's smallest entry."""
-    while True:
-        a, b = label[x], label[y]
-        apart = a != b
-        if not apart.any():
-            return label
-        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-
-
 def _steps(total: np.ndarray) -> list[tuple[int, int]]:
     """Cut a run of pairs into pieces whose expansions stay under STEP_PAIRS."""
     done = np.cumsum(total)
@@ -126,7 +111,7 @@ def trie_forest(root: np.ndarray, key: np.ndarray, pairs: np.ndarray, max_bits:
         d, u, v, diff = stack.pop()
         if d == len(levels) - 1:
             apart = u != v
-            label = _union(label, u[apart], v[apart])
+            label = union(label, u[apart], v[apart])
             continue
         total = count[d][u] * count[d][v]
         cuts = _steps(total)

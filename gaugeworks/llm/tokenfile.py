@@ -126,7 +126,7 @@ def write_tokens(tokens: DataFrame, path: str, id_col: str = "doc_id", id_bytes:
             yield pa.RecordBatch.from_arrays([pa.array([encode_block(part, numbers, arrays)], pa.binary())], names=["block"])
 
     blocks = tokens.select(F.col(id_col).cast("bigint").alias("number"), "ids") \
-        .repartitionByRange(files, "number", "ids").sortWithinPartitions("number", "ids").mapInArrow(encode, "block binary")
+        .repartitionByRange(files, "number").sortWithinPartitions("number", "ids").mapInArrow(encode, "block binary")
     # the text writer copies the bytes as they are and closes each block with the separator
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/files")
 

@@ -1,7 +1,8 @@
 """Tokenizer access inside tasks.
 
 A text is cut where no token can cross: in front of each run of white space
-(byte-level kind) or at white space (word kind, which drops it). Each distinct
+(byte-level kind) or at white space (word kind, which drops it), and after a
+run of plain letters that ends at a full stop or the like. Each distinct
 chunk goes through the tokenizers library once per worker and its ids are kept
 in a bounded table, so whole texts are encoded at dictionary speed with ids
 equal to those of ``encode`` on the whole text (``tests/llm``).
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import batched, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,12 +22,16 @@ from .common import text_bytes
 
 # Unicode White_Space, the set of the tokenizers' \s (Python's \s has four more control characters).
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_STOPS = ".,;:!?"
 _CHUNK = {
-    "byte": re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+"),
-    "word": re.compile(f"[^{_WS}]+"),
+    "byte": re.compile(f"[{_WS}]*[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+"),
+    "word": re.compile(f"[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[^{_WS}]+"),
 }
-#: Most chunks kept per worker; the table starts anew beyond it (memory bound, not a result bound).
-CACHE_CHUNKS = 250_000
+#: Most chunks kept per worker; the later half goes beyond it (memory bound, not a result bound).
+CACHE_CHUNKS = 500_000
+#: Characters whose chunks are looked up together.
+_TOGETHER = 1 << 20
 END_ID = 2
 
 
@@ -44,23 +50,34 @@ class ChunkEncoder:
         self._split = _CHUNK[kind].findall
         self._known: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        new = [c for c in set(chunks) if c not in self._known]
-        if len(self._known) + len(new) > CACHE_CHUNKS:
-            self._known.clear()
-            new = list(set(chunks))
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for c, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False)):
+    def _learn(self, new: set[str]) -> None:
+        for part in batched(new, 8192):
+            for c, e in zip(part, self._tok.encode_batch_fast(list(part), add_special_tokens=False)):
                 self._known[c] = np.array(e.ids, self._dtype).tobytes()
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        out, lo = [], 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= _TOGETHER):
+                chars += len(texts[hi])
+                hi += 1
+            chunks = [self._split(t) for t in texts[lo:hi]]
+            need = set().union(*chunks)
+            new = need.difference(self._known)
+            if len(self._known) + len(new) > CACHE_CHUNKS:
+                # frequent chunks are met early: keep the earlier half
+                self._known = dict(islice(self._known.items(), CACHE_CHUNKS // 2))
+                new = need.difference(self._known)
+            self._learn(new)
+            known = self._known
+            out += [b"".join([known[c] for c in x]) for x in chunks]
+            lo = hi
+        return out
+
     def encode(self, text: str) -> bytes:
-        chunks = self._split(text)
-        try:
-            return b"".join([self._known[c] for c in chunks])
-        except KeyError:
-            self._learn(chunks)
-            return b"".join([self._known[c] for c in chunks])
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[tuple[str, str, int], ChunkEncoder] = {}
@@ -85,9 +102,9 @@ def token_ids(docs: DataFrame, path: str, kind: str, id_col: str = "doc_id", tex
     end = b"" if end_id is None else np.array([end_id], f"<u{id_bytes}").tobytes()
 
     def run(batches):
-        enc = encoder(path, kind, id_bytes).encode
+        enc = encoder(path, kind, id_bytes).encode_all
         for b in batches:
-            ids = [enc(t.decode("utf-8", "replace")) + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in enc([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // id_bytes for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=[id_col, "n_ids", "ids"])
