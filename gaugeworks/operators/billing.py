@@ -27,8 +27,7 @@ def enrich_records(records: DataFrame, accounts: DataFrame, nations: DataFrame |
     acc = accounts.select("account_id", "address", "c_custkey")
     out = records.join(acc, "account_id", "left")
     if nations is not None:
-        from .validation import bounded_broadcast
-        out = out.join(bounded_broadcast(nations, 1000), "c_nationkey", "left")
+        out = out.join(nations, "c_nationkey", "left")
     return out
 
 

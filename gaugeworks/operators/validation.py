@@ -1,10 +1,9 @@
 """Ingest validation and audit checks.
 
 Every check is a native column expression or a join against a table of
-bounded, fixed size (metric ranges, transition tables, tier configs). Those
-tables are broadcast explicitly because their size is a property of the
-configuration, not of the data; ``bounded_broadcast`` verifies the bound
-before hinting and falls back to a shuffle join when it does not hold.
+fixed size (metric ranges, transition tables), which is a property of the
+configuration, not of the data. They are joined without hints: Spark broadcasts a
+side whose size is under ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -58,7 +57,7 @@ SIGNATURE_BYTES = 64
 
 # Certificate verdict reasons (serial goes between the two parts).
 CERT_OUTSIDE_WINDOW = "Certificate is outside validity window"
-CERT_NOT_LISTED = ("Serial ", " not found in hardware whitelist")
+CERT_NOT_LISTED = "Serial %s not found in hardware whitelist"
 CERT_REVOKED = "Certificate revoked in database"
 
 # Submission errors.
@@ -76,19 +75,6 @@ SAMPLE_HIGH_PRIORITY = 2
 SAMPLE_ALWAYS_OPERATION = "billing_finalize"
 BASELINE_SAMPLE_RATIO = 0.1
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. Above the bound the plain
-    DataFrame is returned and Spark plans a shuffle join (or AQE broadcasts
-    it if its runtime size turns out small).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def config_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
@@ -132,7 +118,7 @@ def metric_range_table(spark: SparkSession) -> DataFrame:
 def out_of_range(readings: DataFrame, ranges: DataFrame, name: str = "metric_name",
                  value: str = "value") -> DataFrame:
     """P10: readings outside their metric's bounds (metrics without bounds are not checked)."""
-    j = readings.join(bounded_broadcast(ranges), name)
+    j = readings.join(ranges, name)
     return j.where((F.col(value) < F.col("lower_bound")) | (F.col(value) > F.col("upper_bound")))
 
 
@@ -172,7 +158,7 @@ def cert_verdict(certs: DataFrame, whitelist: DataFrame, now: Column) -> DataFra
     j = certs.join(whitelist.select("serial", "revoked", F.lit(True).alias("_listed")), "serial", "left")
     reason = (F.when((F.col("valid_from") > now) | (F.col("valid_to") < now), F.lit(CERT_OUTSIDE_WINDOW))
                .when(F.col("_listed").isNull(),
-                     F.concat(F.lit(CERT_NOT_LISTED[0]), F.col("serial"), F.lit(CERT_NOT_LISTED[1])))
+                     F.format_string(CERT_NOT_LISTED, F.col("serial")))
                .when(F.col("revoked"), F.lit(CERT_REVOKED)))
     return j.select("serial", "device_id", reason.isNull().alias("verified"), reason.alias("reason"))
 
@@ -268,37 +254,32 @@ def assign_tier(readings: DataFrame, tiers=DEFAULT_TIERS, value: str = "value",
                            pick_tier(F.col(value), tiers_literal(tiers)).alias("tier"))
 
 
-def assign_tier_asof(readings: DataFrame, versions: DataFrame, time: str = "time",
-                     value: str = "value", max_versions: int = 10_000) -> DataFrame:
+def _version_history(versions: DataFrame) -> Column:
+    """All config versions as one sorted array: a scalar subquery, evaluated once a job."""
+    rows = F.struct("valid_from", "version_id", "tiers")
+    return versions.agg(F.array_sort(F.collect_list(rows)).alias("history")).scalar()
+
+
+def _version_at(history: str, time: str) -> Column:
+    """The latest version with ``valid_from <= time`` by binary search in the
+    sorted array; before the first version the first one, none without versions."""
+    mid = "(s.lo + s.hi + 1) div 2"
+    place = (f"aggregate(sequence(0, cast(ceil(log2(size({history}) + 1)) as int)), struct(0L AS lo, cast(size({history}) as bigint) AS hi), "
+             f"(s, i) -> IF(s.lo >= s.hi, s, IF(get({history}, cast({mid} - 1 as int)).valid_from <= `{time}`, "
+             f"struct({mid} AS lo, s.hi AS hi), struct(s.lo AS lo, {mid} - 1 AS hi)))).lo")
+    return F.expr(f"get({history}, cast(greatest({place}, 1L) - 1 as int))")
+
+
+def assign_tier_asof(readings: DataFrame, versions: DataFrame, time: str = "time", value: str = "value") -> DataFrame:
     """J3 history: each reading uses the latest version with ``valid_from <= time``.
 
-    Version intervals ``[valid_from, next valid_from)`` come from ``lead``
-    over the version table (one row per version). Readings before the first
-    version fall back to the first (current default) version. A config table
-    within ``max_versions`` rows is broadcast and matched by range; a larger
-    one is exploded into (version, day) rows and equi-joined on the day, so
-    the join never degenerates into a cross product.
+    Readings before the first version fall back to the first (current default)
+    version. The versions are one sorted array that each reading searches, so
+    there is no join and no shuffle of readings.
     """
-    w = Window.orderBy("valid_from")
-    iv = versions.select("version_id", "valid_from", F.lead("valid_from").over(w).alias("valid_to"),
-                         F.row_number().over(w).alias("_ord"), "tiers")
-    in_version = (((F.col(time) >= F.col("valid_from")) | (F.col("_ord") == 1))
-                  & (F.col("valid_to").isNull() | (F.col(time) < F.col("valid_to"))))
-    n = iv.limit(max_versions + 1).count()
-    if n <= max_versions:
-        joined = readings.join(F.broadcast(iv), in_version, "left")
-    else:
-        bounds = readings.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
-        lo, hi = F.lit(bounds["lo"]).cast("timestamp_ntz"), F.lit(bounds["hi"]).cast("timestamp_ntz")
-        first_day = F.to_date(F.when(F.col("_ord") == 1, F.least("valid_from", lo)).otherwise(F.col("valid_from")))
-        last_day = F.to_date(F.coalesce("valid_to", hi))
-        days = iv.withColumn("_day", F.explode(F.sequence(first_day, F.greatest(first_day, last_day))))
-        joined = (readings.withColumn("_day", F.to_date(time))
-                          .join(days, "_day", "left")
-                          .where(F.col("version_id").isNull() | in_version)
-                          .drop("_day"))
-    return (joined.withColumn("tier", pick_tier(F.col(value), F.col("tiers")))
-                  .drop("tiers", "valid_from", "valid_to", "_ord"))
+    found = readings.withColumn("_history", _version_history(versions)).withColumn("_version", _version_at("_history", time))
+    return (found.withColumn("version_id", F.col("_version.version_id"))
+                 .withColumn("tier", pick_tier(F.col(value), F.col("_version.tiers"))).drop("_history", "_version"))
 
 
 def assign_tier_per_batch(readings: DataFrame, versions: DataFrame, batch: str = "batch_id", time: str = "time",
@@ -309,20 +290,16 @@ def assign_tier_per_batch(readings: DataFrame, versions: DataFrame, batch: str =
     one active at its last reading; when they differ the batch is redone
     under the newer one and counts as a config transition (A17
     ``config_transition_events``). Batch bounds are one aggregate row per
-    batch; the version lookup is an as-of join of that small table.
+    batch; both versions are found in the sorted version array.
     """
-    bounds = readings.groupBy(batch).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
-    start = assign_tier_asof(bounds.withColumn(value, F.lit(0.0)), versions, "_t0", value) \
-        .select(batch, "_t0", "_t1", F.col("version_id").alias("start_version"))
-    end = assign_tier_asof(start.withColumn(value, F.lit(0.0)), versions, "_t1", value) \
-        .select(batch, "start_version", F.col("version_id").alias("end_version"))
-    tiers = versions.select(F.col("version_id").alias("end_version"), "tiers")
-    per_batch = end.join(bounded_broadcast(tiers, 10_000), "end_version", "left")
+    bounds = readings.groupBy(batch).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1")) \
+        .withColumn("_history", _version_history(versions))
+    per_batch = bounds.select(batch, _version_at("_history", "_t0")["version_id"].alias("start_version"), _version_at("_history", "_t1").alias("_last"))
     return (readings.join(per_batch, batch)
-                    .withColumn("tier", pick_tier(F.col(value), F.col("tiers")))
-                    .withColumn("transitioned", F.col("start_version") != F.col("end_version"))
-                    .withColumnRenamed("end_version", "version_id")
-                    .drop("tiers"))
+                    .withColumn("tier", pick_tier(F.col(value), F.col("_last.tiers")))
+                    .withColumn("version_id", F.col("_last.version_id"))
+                    .withColumn("transitioned", F.col("start_version") != F.col("version_id"))
+                    .drop("_last"))
 
 
 # --------------------------------------------------------------------------- state machines
@@ -335,14 +312,14 @@ def transition_table(spark: SparkSession) -> DataFrame:
 
 def illegal_transitions(requests: DataFrame, allowed: DataFrame) -> DataFrame:
     """Requests whose ``(machine, from, to)`` is not a legal transition."""
-    return requests.join(bounded_broadcast(allowed), ["machine", "from_state", "to_state"], "left_anti")
+    return requests.join(allowed, ["machine", "from_state", "to_state"], "left_anti")
 
 
 def audit_history(history: DataFrame, allowed: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Each step must be legal and start where the previous step ended
     (the first step starts at the machine's initial state)."""
     from ..functions import scan
-    legal = bounded_broadcast(allowed).select("machine", "from_state", "to_state", F.lit(True).alias("_legal"))
+    legal = allowed.select("machine", "from_state", "to_state", F.lit(True).alias("_legal"))
     d = scan.prev_in_order(history, ["machine", "entity"], "seq", "to_state", chunk=chunk, out="_prev_to")
     init = None
     for m, s in INITIAL_STATE.items():
@@ -385,12 +362,12 @@ def fee_estimate(read_keys: Column, write_keys: Column):
 
 
 def kv_list_to_map(flat: Column, drop_key: str = "seq") -> Column:
-    """F16: ``[k1, v1, k2, v2, ...]`` -> map without ``drop_key``."""
-    keys = F.filter(flat, lambda x, i: i % 2 == 0)
-    vals = F.filter(flat, lambda x, i: i % 2 == 1)
-    n = F.least(F.size(keys), F.size(vals))
-    m = F.map_from_arrays(F.slice(keys, 1, n), F.slice(vals, 1, n))
-    return F.map_filter(m, lambda k, v: k != drop_key)
+    """F16: ``[k1, v1, k2, v2, ...]`` -> map without ``drop_key``; of a repeated key the last value counts, a key without value gets the empty string."""
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(flat) - 1, F.lit(0)), F.lit(2)),
+                        lambda i: F.struct(F.get(flat, i).alias("key"), F.coalesce(F.get(flat, i + 1), F.lit("")).alias("value")))
+    pairs = F.filter(pairs, lambda p: p["key"].isNotNull() & (p["key"] != drop_key))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i, F.lit(0))), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
 
 
 # --------------------------------------------------------------------------- W6 replay without Python

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import billing
-from ..operators.validation import bounded_broadcast
 from ..sources import tables
 from .oracle_views import with_views
 from .registry import register
@@ -43,7 +42,7 @@ def billing_enriched(spark, sf_dir):
         tables.read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "left")
     nations = tables.read_table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    acc = acc.join(bounded_broadcast(nations, 1000), "c_nationkey", "left")
+    acc = acc.join(nations, "c_nationkey", "left")
     return (recs.join(acc.select("account_id", "address", "n_name"), "account_id", "left")
                 .select("record_id", "account_id", "device_id", "cycle_id", "usage_amount", "address", "n_name"))
 

@@ -379,7 +379,7 @@ def admin_actions(spark, sf_dir):
         ("complete_reconciliation", "RECONCILING", 1, "RECONCILING", "PENDING"),
         ("fail_reconciliation", "RECONCILING", 1, "RECONCILING", "FAILED"),
     ], "action string, required string, step int, from_state string, to_state string")
-    j = rq.join(V.bounded_broadcast(steps),
+    j = rq.join(steps,
                 (rq.action == steps.action) & (rq.stored_state == steps.required), "left")
     return j.select(rq.request_id, rq.device_id, rq.action, F.coalesce(steps.step, F.lit(0)).alias("step"),
                     F.coalesce(steps.from_state, rq.stored_state).alias("from_state"), steps.to_state,

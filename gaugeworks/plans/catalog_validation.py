@@ -345,48 +345,109 @@ def batch_flatten(spark, sf_dir):
     return batches.flatten(batches.parse_batches(_batch_docs(spark, sf_dir)))
 
 
-_ISSUES_SQL = _READINGS_SQL + """,
-docs AS (SELECT DISTINCT event_id, CASE WHEN k % 47 = 0 THEN '' ELSE 'b-' || CAST(event_id AS VARCHAR) END AS batch_id,
-                CASE WHEN k % 31 = 0 THEN '' ELSE device_id END AS device_id FROM telemetry),
+def _reading(**fields) -> str:
+    """JSON of a sound reading with fields replaced by JSON text, or left out with None."""
+    base = {"metricId": '"m"', "value": "1.5", "unit": '"u"', "recordedAt": "7"} | fields
+    return "{" + ",".join(f'"{k}":{v}' for k, v in base.items() if v is not None) + "}"
+
+
+def _document(*readings: str, device: str = '"d"') -> str:
+    return f'{{"telemetry":{{"batchId":"b","devices":[{{"deviceId":{device},"readings":[{",".join(readings)}]}}]}}}}'
+
+
+_R0 = "telemetry.devices[0].readings[0]"
+_MIN = "String must contain at least 1 character(s)"
+
+
+def _typed(path: str, expected: str, received: str) -> tuple:
+    return path, "invalid_type", "Required" if received == "undefined" else f"Expected {expected}, received {received}", received
+
+
+# Documents with every fault (written for event ids by remainder 100) and the
+# issues each must give, in order, stated by hand from the validation rules.
+_FAULTY: dict[int, tuple[str, list[tuple]]] = {
+    1: ("not json", [_typed("(root)", "object", "undefined")]),
+    2: ("[1]", [_typed("(root)", "object", "array")]),
+    3: ("null", [_typed("(root)", "object", "null")]),
+    4: ("{}", [_typed("telemetry", "object", "undefined")]),
+    5: ('{"telemetry":7}', [_typed("telemetry", "object", "number")]),
+    6: ('{"telemetry":{}}', [_typed("telemetry.batchId", "string", "undefined"), _typed("telemetry.devices", "array", "undefined")]),
+    7: ('{"telemetry":{"batchId":null,"devices":{}}}', [_typed("telemetry.batchId", "string", "null"), _typed("telemetry.devices", "array", "object")]),
+    8: ('{"telemetry":{"batchId":"","devices":[3,null,{}]}}', [
+        ("telemetry.batchId", "too_small", _MIN, None), _typed("telemetry.devices[0]", "object", "number"),
+        _typed("telemetry.devices[1]", "object", "null"), _typed("telemetry.devices[2].deviceId", "string", "undefined"),
+        _typed("telemetry.devices[2].readings", "array", "undefined")]),
+    9: (_document("true", device="null"), [_typed("telemetry.devices[0].deviceId", "string", "null"), _typed(_R0, "object", "boolean")]),
+    10: (_document(_reading(metricId="5", value='"x"', unit="false", recordedAt='"x"')), [
+        _typed(f"{_R0}.metricId", "string", "number"), _typed(f"{_R0}.value", "number", "string"),
+        _typed(f"{_R0}.unit", "string", "boolean"), _typed(f"{_R0}.recordedAt", "number", "string")]),
+    11: (_document("{}"), [_typed(f"{_R0}.{f}", "", "undefined") for f in ("metricId", "value", "unit", "recordedAt")]),
+    12: (_document(_reading(value="1e999", recordedAt="-1.5")), [
+        (f"{_R0}.value", "not_finite", "Number must be finite", None),
+        (f"{_R0}.recordedAt", "invalid_type", "Expected integer, received float", "float"),
+        (f"{_R0}.recordedAt", "too_small", "Number must be greater than or equal to 0", None)]),
+    13: ('{"telemetry":{"batchId":"b","devices":[' + ",".join(['{"deviceId":"d","readings":[]}'] * 101) + "]}}", [
+        ("telemetry.devices", "too_big", "Array must contain at most 100 element(s)", None)]),
+    14: (_document(*[_reading()] * 51), [("telemetry.devices[0].readings", "too_big", "Array must contain at most 50 element(s)", None)]),
+    15: (_document(*[_reading(metricId='""', unit='""', recordedAt="-1")] * 50), [
+        (f"telemetry.devices[0].readings[{i}].{f}", "too_small", m, None) for i in range(50)
+        for f, m in (("metricId", _MIN), ("unit", _MIN), ("recordedAt", "Number must be greater than or equal to 0"))]),
+    16: (_document(*[_reading()] * 50), []),
+}
+
+
+def _checked_docs(spark, sf_dir) -> DataFrame:
+    """Batch documents of all events, some of them replaced by faulty ones."""
+    base = _batch_docs(spark, sf_dir)
+    doc = F.col("doc")
+    for n, (text, _) in _FAULTY.items():
+        doc = F.when(F.col("event_id") % 100 == n, F.lit(text)).otherwise(doc)
+    return base.select("event_id", doc.alias("doc"))
+
+
+def _sql_text(x) -> str:
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+_FAULTY_SQL = ",\n".join(f"({n}, {i}, {', '.join(map(_sql_text, issue))})" for n, (_, expected) in _FAULTY.items() for i, issue in enumerate(expected))
+_SOUND_SQL = f"event_id % 100 NOT IN ({', '.join(map(str, _FAULTY))})"
+
+_ISSUES_SQL = _READINGS_SQL + f""",
+docs AS (SELECT DISTINCT event_id, k % 47 = 0 AS no_batch, k % 31 = 0 AS no_device FROM telemetry WHERE {_SOUND_SQL}),
+sound AS (SELECT * FROM rd WHERE {_SOUND_SQL}),
+faulty AS (SELECT * FROM (VALUES {_FAULTY_SQL}) f(n, place, path, code, message, received)),
 iss AS (
-  SELECT batch_id, 'telemetry.batchId' AS path, 'too_small' AS code, 'String must contain at least 1 character(s)' AS message,
-         [0, -1, -1, 0] AS ord FROM docs WHERE batch_id = ''
+  SELECT event_id, 'telemetry.batchId' AS path, 'too_small' AS code, '{_MIN}' AS message, NULL::VARCHAR AS received, 0 AS ord FROM docs WHERE no_batch
   UNION ALL
-  SELECT batch_id, 'telemetry.devices[0].deviceId', 'too_small', 'String must contain at least 1 character(s)', [2, 0, -1, 0]
-  FROM docs WHERE device_id = ''
+  SELECT event_id, 'telemetry.devices[0].deviceId', 'too_small', '{_MIN}', NULL, 1 FROM docs WHERE no_device
   UNION ALL
-  SELECT batch_id, 'telemetry.devices[0].readings[' || CAST(reading_index AS VARCHAR) || '].metricId', 'too_small',
-         'String must contain at least 1 character(s)', [2, 0, CAST(reading_index AS INTEGER), 0] FROM rd WHERE metric_id = ''
+  SELECT event_id, 'telemetry.devices[0].readings[' || CAST(reading_index AS VARCHAR) || '].' || u.field, u.code, u.message, u.received,
+         10 + CAST(reading_index AS INTEGER) * 10 + u.place
+  FROM sound, LATERAL (
+    SELECT 'metricId' AS field, 'too_small' AS code, '{_MIN}' AS message, NULL::VARCHAR AS received, 0 AS place WHERE metric_id = ''
+    UNION ALL SELECT 'value', 'not_finite', 'Number must be finite', NULL, 1 WHERE isinf(value) OR isnan(value)
+    UNION ALL SELECT 'unit', 'too_small', '{_MIN}', NULL, 2 WHERE unit = ''
+    UNION ALL SELECT 'recordedAt', 'invalid_type', 'Expected integer, received float', 'float', 3 WHERE recorded_at <> floor(recorded_at)
+    UNION ALL SELECT 'recordedAt', 'too_small', 'Number must be greater than or equal to 0', NULL, 4 WHERE recorded_at < 0) u
   UNION ALL
-  SELECT batch_id, 'telemetry.devices[0].readings[' || CAST(reading_index AS VARCHAR) || '].value', 'not_finite',
-         'Number must be finite', [2, 0, CAST(reading_index AS INTEGER), 1] FROM rd WHERE isinf(value) OR isnan(value)
-  UNION ALL
-  SELECT batch_id, 'telemetry.devices[0].readings[' || CAST(reading_index AS VARCHAR) || '].unit', 'too_small',
-         'String must contain at least 1 character(s)', [2, 0, CAST(reading_index AS INTEGER), 2] FROM rd WHERE unit = ''
-  UNION ALL
-  SELECT batch_id, 'telemetry.devices[0].readings[' || CAST(reading_index AS VARCHAR) || '].recordedAt', 'invalid_type',
-         'Expected integer, received float', [2, 0, CAST(reading_index AS INTEGER), 3] FROM rd WHERE recorded_at <> floor(recorded_at)
-  UNION ALL
-  SELECT batch_id, 'telemetry.devices[0].readings[' || CAST(reading_index AS VARCHAR) || '].recordedAt', 'too_small',
-         'Number must be greater than or equal to 0', [2, 0, CAST(reading_index AS INTEGER), 4] FROM rd WHERE recorded_at < 0)"""
+  SELECT t.event_id, f.path, f.code, f.message, f.received, f.place FROM telemetry t JOIN faulty f ON t.event_id % 100 = f.n)"""
 
 
-@register("batch_issues", with_views("telemetry", extra=_ISSUES_SQL) + "SELECT batch_id, path, code, message FROM iss")
+@register("batch_issues", with_views("telemetry", extra=_ISSUES_SQL) + "SELECT event_id, path, code, message, received FROM iss")
 def batch_issues(spark, sf_dir):
-    """One issue row per failed check with its full path."""
-    return batches.issues(batches.parse_batches(_batch_docs(spark, sf_dir))).select("batch_id", "path", "code", "message")
+    """One issue row per failed check with its full path and the type received."""
+    return batches.issues(_checked_docs(spark, sf_dir)).select("event_id", "path", "code", "message", "received")
 
 
 @register("issue_budget", with_views("telemetry", extra=_ISSUES_SQL + """,
-run AS (SELECT *, 1 + SUM(strlen(path) + 2 + 1) OVER (PARTITION BY batch_id ORDER BY ord
-                                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM iss)""") + """SELECT batch_id, COUNT(*) AS error_count,
+run AS (SELECT *, 1 + SUM(strlen(path) + 2 + 1) OVER (PARTITION BY event_id ORDER BY ord
+                                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM iss)""") + """SELECT event_id, COUNT(*) AS error_count,
        CAST(to_json(COALESCE(list(path ORDER BY ord) FILTER (WHERE bytes <= 4096), [])) AS VARCHAR) AS paths_json,
        MAX(bytes) > 4096 AS truncated
-FROM run GROUP BY batch_id""")
+FROM run GROUP BY event_id""")
 def issue_budget(spark, sf_dir):
-    """Paths kept from the front within a 4096-byte JSON budget per batch."""
-    iss = batches.issues(batches.parse_batches(_batch_docs(spark, sf_dir)))
-    return batches.issue_budget(iss)
+    """Paths kept from the front within a 4096-byte JSON budget per document."""
+    return batches.issue_budget(batches.issues(_checked_docs(spark, sf_dir)))
 
 
 # --------------------------------------------------------------------------- helpers over data

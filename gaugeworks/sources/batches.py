@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MAX_DEVICES_PER_BATCH = 100
 MAX_READINGS_PER_DEVICE = 50
 ISSUE_BYTES_BUDGET = 4096
+MSG_REQUIRED = "Required"
 MSG_MIN_STRING = "String must contain at least 1 character(s)"
 MSG_NOT_FINITE = "Number must be finite"
 MSG_NOT_INT = "Expected integer, received float"
@@ -42,86 +43,136 @@ def flatten(parsed: DataFrame) -> DataFrame:
                     F.col("reading.unit").alias("unit"), F.col("reading.recordedAt").alias("recorded_at"))
 
 
-def _issue(cond: Column, path: Column, code: str, message: str, order: Column) -> Column:
-    return F.when(cond, F.struct(path.alias("path"), F.lit(code).alias("code"),
-                                 F.lit(message).alias("message"), order.alias("ord")))
+def _kind(x: Column) -> Column:
+    """JSON type name of a VARIANT; a missing value is ``undefined``."""
+    t = F.schema_of_variant(x)
+    return (F.when(x.isNull(), "undefined").when(t == "VOID", "null").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
+             .when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number"))
 
 
-def _ord(*parts) -> Column:
-    return F.array(*[F.lit(p) if isinstance(p, int) else p for p in parts])
+def _issue(cond: Column, path: Column, code: str, message, order: Column, received=None) -> Column:
+    text = F.lit(message) if isinstance(message, str) else message
+    got = F.lit(received) if received is None or isinstance(received, str) else received
+    return F.when(cond, F.struct(path.alias("path"), F.lit(code).alias("code"), text.alias("message"),
+                                 got.cast("string").alias("received"), order.alias("ord")))
 
 
-def issues(parsed: DataFrame) -> DataFrame:
-    """One row per failed check with its full path, in validation order.
+def _wrong_type(kind: Column, expected: str, path: Column, order: Column) -> Column:
+    message = F.when(kind == "undefined", MSG_REQUIRED).otherwise(F.concat(F.lit(f"Expected {expected}, received "), kind))
+    return _issue(kind != expected, path, "invalid_type", message, order, kind)
 
-    All checks of a batch are built as one array with higher-order functions
-    over the parsed struct (``transform`` with element indexes) and exploded
-    once, so the JSON is parsed and scanned a single time. ``ord`` sorts
-    issues as the validator reports them: batch id, the device array size,
-    then per device its id, reading array size and each reading's fields in
-    schema order.
+
+def _field(x: Column, name: str) -> Column:
+    return F.variant_get(x, f"$.{name}", "variant")
+
+
+def _text_issues(x: Column, path: Column, order) -> list[Column]:
+    """Checks of a non-empty string; ``order`` gives the place of its first and second check."""
+    kind = _kind(x)
+    short = (kind == "string") & (F.length(F.try_variant_get(x, "$", "string")) < 1)
+    return [_wrong_type(kind, "string", path, order(0)), _issue(short, path, "too_small", MSG_MIN_STRING, order(1))]
+
+
+def _elements(x: Column) -> Column:
+    return F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def issues(docs: DataFrame, key: str = "event_id", text: str = "doc") -> DataFrame:
+    """One row per failed check of a document with its full path, in validation order.
+
+    Returns ``(key, path, code, message, received, ord)``; documents are told
+    apart by their own ``key``, never by the batch id they carry. The JSON is
+    parsed once into a VARIANT, so missing fields, nulls and wrong types are
+    told apart; text that is not JSON is a missing root. Checks below a value
+    of the wrong type are skipped. All checks of a document are one array of
+    higher-order functions, exploded once. ``received`` is the type found,
+    for type issues only. ``ord`` sorts issues as the validator reports them:
+    root, batch id, device array, then per device itself, its id, its reading
+    array and each reading's fields in schema order.
     """
-    t = F.col("batch.telemetry")
-    batch_id = t["batchId"]
-    devices = F.coalesce(t["devices"], F.array())
-
-    def nonempty(x):
-        return F.length(F.coalesce(x, F.lit(""))) < 1
-
-    top = F.array(
-        _issue(nonempty(batch_id), F.lit("telemetry.batchId"), "too_small", MSG_MIN_STRING, _ord(0, -1, -1, 0)),
-        _issue(F.size(devices) > MAX_DEVICES_PER_BATCH, F.lit("telemetry.devices"), "too_big", MSG_TOO_MANY_DEVICES,
-               _ord(1, -1, -1, 0)),
-    )
-
-    def reading_issues(r, d, i):
-        rpath = F.concat(F.lit("telemetry.devices["), d.cast("string"), F.lit("].readings["), i.cast("string"), F.lit("]"))
-        v, ra = r["value"], r["recordedAt"]
+    d = docs.select(key, F.try_parse_json(F.col(text)).alias("_v"))
+    d = d.withColumn("_t", _field(F.col("_v"), "telemetry"))
+    d = d.withColumn("_devices", _field(F.col("_t"), "devices"))
+    root, telemetry, devices = (_kind(F.col(c)) for c in ("_v", "_t", "_devices"))
+
+    def place(*parts) -> Column:
+        return F.array(*[F.lit(p) if isinstance(p, int) else p for p in parts])
+
+    def at(name: str, i: Column) -> Column:
+        return F.concat(F.lit(name), i.cast("string"), F.lit("]"))
+
+    def only(condition: Column, checks: list[Column]) -> list[Column]:
+        return [F.when(condition, c) for c in checks]
+
+    top = [_wrong_type(root, "object", F.lit("(root)"), place(0, -1, -1, 0)),
+           *only(root == "object", [_wrong_type(telemetry, "object", F.lit("telemetry"), place(0, -1, -1, 1))]),
+           *only(telemetry == "object", [
+               *_text_issues(_field(F.col("_t"), "batchId"), F.lit("telemetry.batchId"), lambda n: place(1, -1, -1, n)),
+               _wrong_type(devices, "array", F.lit("telemetry.devices"), place(2, -1, -1, 0)),
+               _issue((devices == "array") & (F.size(_elements(F.col("_devices"))) > MAX_DEVICES_PER_BATCH), F.lit("telemetry.devices"), "too_big",
+                      MSG_TOO_MANY_DEVICES, place(2, -1, -1, 1))])]
+
+    def reading_issues(r: Column, path: Column, d: Column, i: Column) -> Column:
+        def field(name: str) -> Column:
+            return F.concat(path, F.lit(f".{name}"))
+
+        def order(n: int) -> Column:
+            return place(3, d, i, n)
+
+        kind, value, when = _kind(r), _field(r, "value"), _field(r, "recordedAt")
+        number = F.try_variant_get(value, "$", "double")
+        moment, moment_kind = F.try_variant_get(when, "$", "double"), _kind(when)
+        whole = (moment == F.floor(moment)) & (F.abs(moment) != F.lit(float("inf")))
         return F.array(
-            _issue(nonempty(r["metricId"]), F.concat(rpath, F.lit(".metricId")), "too_small", MSG_MIN_STRING,
-                   _ord(2, d, i, 0)),
-            _issue(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.concat(rpath, F.lit(".value")),
-                   "not_finite", MSG_NOT_FINITE, _ord(2, d, i, 1)),
-            _issue(nonempty(r["unit"]), F.concat(rpath, F.lit(".unit")), "too_small", MSG_MIN_STRING, _ord(2, d, i, 2)),
-            _issue(ra != F.floor(ra), F.concat(rpath, F.lit(".recordedAt")), "invalid_type", MSG_NOT_INT,
-                   _ord(2, d, i, 3)),
-            _issue(ra < 0, F.concat(rpath, F.lit(".recordedAt")), "too_small", MSG_NEGATIVE, _ord(2, d, i, 4)),
-        )
-
-    def device_issues(dev, d):
-        dpath = F.concat(F.lit("telemetry.devices["), d.cast("string"), F.lit("]"))
-        readings = F.coalesce(dev["readings"], F.array())
+            _wrong_type(kind, "object", path, order(0)),
+            *only(kind == "object", [
+                *_text_issues(_field(r, "metricId"), field("metricId"), lambda n: order(1 + n)),
+                _wrong_type(_kind(value), "number", field("value"), order(3)),
+                _issue((_kind(value) == "number") & (F.abs(number) == F.lit(float("inf"))), field("value"), "not_finite", MSG_NOT_FINITE, order(4)),
+                *_text_issues(_field(r, "unit"), field("unit"), lambda n: order(5 + n)),
+                _wrong_type(moment_kind, "number", field("recordedAt"), order(7)),
+                _issue((moment_kind == "number") & ~whole, field("recordedAt"), "invalid_type", MSG_NOT_INT, order(8), "float"),
+                _issue((moment_kind == "number") & (moment < 0), field("recordedAt"), "too_small", MSG_NEGATIVE, order(9))]))
+
+    def device_issues(dev: Column, d: Column) -> Column:
+        path, readings = at("telemetry.devices[", d), _field(dev, "readings")
+        kind, listed = _kind(dev), _kind(readings)
+
+        def order(n: int) -> Column:
+            return place(3, d, -1, n)
+
         own = F.array(
-            _issue(nonempty(dev["deviceId"]), F.concat(dpath, F.lit(".deviceId")), "too_small", MSG_MIN_STRING,
-                   _ord(2, d, -1, 0)),
-            _issue(F.size(readings) > MAX_READINGS_PER_DEVICE, F.concat(dpath, F.lit(".readings")), "too_big",
-                   MSG_TOO_MANY_READINGS, _ord(2, d, -1, 1)),
-        )
-        return F.concat(own, F.flatten(F.transform(readings, lambda r, i: reading_issues(r, d, i))))
-
-    every = F.concat(top, F.flatten(F.transform(devices, device_issues)))
+            _wrong_type(kind, "object", path, order(0)),
+            *only(kind == "object", [
+                *_text_issues(_field(dev, "deviceId"), F.concat(path, F.lit(".deviceId")), lambda n: order(1 + n)),
+                _wrong_type(listed, "array", F.concat(path, F.lit(".readings")), order(3)),
+                _issue((listed == "array") & (F.size(_elements(readings)) > MAX_READINGS_PER_DEVICE), F.concat(path, F.lit(".readings")), "too_big",
+                       MSG_TOO_MANY_READINGS, order(4))]))
+        inner = F.transform(_elements(readings), lambda r, i: reading_issues(r, F.concat(path, at(".readings[", i)), d, i))
+        return F.concat(own, F.flatten(inner))
+
+    every = F.concat(F.array(*top), F.flatten(F.transform(_elements(F.col("_devices")), device_issues)))
     found = F.filter(every, lambda x: x.isNotNull())
-    return (parsed.select(batch_id.alias("batch_id"), F.explode(found).alias("i"))
-                  .select("batch_id", "i.path", "i.code", "i.message", F.col("i.ord").alias("ord")))
+    return d.select(key, F.explode(found).alias("i")).select(key, "i.path", "i.code", "i.message", "i.received", F.col("i.ord").alias("ord"))
 
 
-def issue_budget(issue_rows: DataFrame, max_bytes: int = ISSUE_BYTES_BUDGET) -> DataFrame:
-    """Per batch, the longest front run of paths whose JSON list fits in
+def issue_budget(issue_rows: DataFrame, max_bytes: int = ISSUE_BYTES_BUDGET, key: str = "event_id") -> DataFrame:
+    """Per document, the longest front run of paths whose JSON list fits in
     ``max_bytes`` bytes, and whether paths were dropped.
 
     The JSON list ``["a","b"]`` takes ``2 + sum(len(json(path))) + (n - 1)``
-    bytes, so a running sum over the issue order decides inclusion. Issues of
-    one batch are few (bounded by the batch limits), so the per-batch window
-    and list stay small.
+    bytes, so a running sum over the issue order decides inclusion. The issues
+    of one document are as many as its own fields, so the window and the
+    list stay as small as a document.
     """
     from pyspark.sql import Window
-    w = Window.partitionBy("batch_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     one = F.octet_length(F.to_json(F.array(F.col("path")))) - 2  # the quoted, escaped path
     d = issue_rows.withColumn("_bytes", F.sum(one + 1).over(w) + 1)
-    return (d.groupBy("batch_id")
+    return (d.groupBy(key)
              .agg(F.count(F.lit(1)).alias("error_count"),
                   F.sort_array(F.collect_list(F.when(F.col("_bytes") <= max_bytes, F.struct("ord", "path")))).alias("_kept"),
                   F.max("_bytes").alias("_total"))
-             .select("batch_id", "error_count",
+             .select(key, "error_count",
                      F.to_json(F.transform("_kept", lambda x: x["path"])).alias("paths_json"),
                      (F.col("_total") > max_bytes).alias("truncated")))

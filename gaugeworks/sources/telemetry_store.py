@@ -66,8 +66,10 @@ def retention_filter(df: DataFrame, now: str | Column, retention_days: int = 365
 def compact_layout(spark: SparkSession, src: str, dst: str, older_than_day: str) -> DataFrame:
     """S3: rewrite aged partitions clustered by device and region, newest first.
 
-    Returns a size report ``(bytes_before, bytes_after)`` computed from file
-    metadata of the rewritten partitions.
+    ``dst`` gets the days before ``older_than_day`` only; ``src`` keeps all, and
+    ``read_layout`` gives the whole table from both. Returns a size report
+    ``(bytes_before, bytes_after)`` from file metadata of the same aged days on
+    both sides.
     """
     df = spark.read.parquet(src).where(F.col("day") < F.lit(older_than_day).cast("date"))
     (df.repartition("day", "region_bucket")
@@ -77,8 +79,9 @@ def compact_layout(spark: SparkSession, src: str, dst: str, older_than_day: str)
     # binaryFile reads file content only when the column is selected.
     sizes = None
     for side, path in (("before", src), ("after", dst)):
+        day = F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1)
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                 .where(F.col("path").endswith(".parquet"))
+                 .where(F.col("path").endswith(".parquet") & (day < F.lit(str(older_than_day))))
                  .select(F.lit(side).alias("side"), "length"))
         sizes = files if sizes is None else sizes.unionByName(files)
     rep = sizes.agg(F.sum(F.when(F.col("side") == "before", F.col("length"))).alias("bytes_before"),
@@ -87,6 +90,12 @@ def compact_layout(spark: SparkSession, src: str, dst: str, older_than_day: str)
                       compression_ratio(F.col("bytes_before"), F.col("bytes_after")).alias("compression_ratio_pct"))
 
 
+def read_layout(spark: SparkSession, src: str, aged: str, older_than_day: str) -> DataFrame:
+    """The whole table: days before ``older_than_day`` from the rewritten layout, later ones from ``src``."""
+    split = F.lit(older_than_day).cast("date")
+    return spark.read.parquet(aged).where(F.col("day") < split).unionByName(spark.read.parquet(src).where(F.col("day") >= split))
+
+
 def compression_ratio(before_bytes: Column, after_bytes: Column) -> Column:
     """``(1 - after/before) * 100``."""
     return (F.lit(1.0) - after_bytes / before_bytes) * 100

@@ -35,8 +35,10 @@ def parse_trace(lines: DataFrame, on_bad: str = "raise") -> DataFrame:
     t = F.trim(F.col("text"))
     first_field = F.trim(F.split(t, ",").getItem(0))
     ts = first_field.try_cast("double")
-    # The header test needs only the first line: one number fetched to the driver.
-    first_no = lines.agg(F.min("line_no")).first()[0]
+    # An empty first field counts as 0.
+    ts = F.when(first_field == "", F.lit(0.0)).otherwise(ts)
+    # The header test needs only the first line that is not blank: one number fetched to the driver.
+    first_no = lines.where(t != "").agg(F.min("line_no")).first()[0]
     d = lines.where((t != "") & ~((F.col("line_no") == F.lit(first_no)) & ts.isNull()))
     if on_bad == "raise":
         ts = F.when(ts.isNull(), F.raise_error(F.concat(F.lit("Invalid trace timestamp: "), first_field))).otherwise(ts)

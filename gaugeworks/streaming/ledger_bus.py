@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Read batch size and stream length cap.
+from ..sources.stored import read_if_exists, remove
+
+# Fixed value: read batch size.
 DEFAULT_COUNT = 64
-MAX_LEN = 100_000
 
 LOG_SCHEMA = "seq long, payload map<string,string>"
 
@@ -24,10 +25,8 @@ LOG_SCHEMA = "seq long, payload map<string,string>"
 def publish(spark: SparkSession, path: str, payloads: DataFrame) -> DataFrame:
     """Append ``payloads`` (a ``payload`` map column plus an ``order`` column)
     with sequence numbers continuing after the log's current maximum."""
-    try:
-        base = spark.read.schema(LOG_SCHEMA).parquet(path).agg(F.max("seq")).first()[0] or 0
-    except Exception:
-        base = 0
+    log = read_if_exists(spark, path)
+    base = (log.agg(F.max("seq")).first()[0] or 0) if log is not None else 0
     from ..functions.scan import global_row_number
     rows = global_row_number(payloads, ["order"], out="_rn")
     out = rows.select((F.col("_rn") + F.lit(base)).alias("seq"), "payload")
@@ -46,8 +45,10 @@ def consume(spark: SparkSession, path: str, checkpoint: str, handler, count: int
     return w.start()
 
 
-def trim(spark: SparkSession, path: str, max_len: int = MAX_LEN) -> list[str]:
-    """Retention job: delete whole files whose entries all fall below the newest ``max_len``.
+def trim(spark: SparkSession, path: str, max_len: int, consumed: int) -> list[str]:
+    """Retention job: delete whole files whose entries all fall below the newest
+    ``max_len`` and were all read: ``consumed`` is the sequence the slowest
+    consumer has acknowledged.
 
     Per-file sequence ranges come from one aggregate over the log (one row
     per file); files are removed through the Hadoop FileSystem of the path.
@@ -56,14 +57,11 @@ def trim(spark: SparkSession, path: str, max_len: int = MAX_LEN) -> list[str]:
     top = log.agg(F.max("seq")).first()[0]
     if top is None:
         return []
-    floor_seq = top - max_len
+    floor_seq = min(top - max_len, consumed)
     files = (log.groupBy(F.input_file_name().alias("file")).agg(F.max("seq").alias("hi"))
                 .where(F.col("hi") <= floor_seq).select("file"))
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = []
     for r in files.toLocalIterator():
-        p = jvm.org.apache.hadoop.fs.Path(r.file)
-        p.getFileSystem(conf).delete(p, False)
+        remove(spark, r.file)
         removed.append(r.file)
     return removed

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.timebuckets import RESOLUTIONS, time_bucket
 from ..operators.rollups import POLICIES, _finalize, _state_aggs, rollup_state
 from ..session import checkpoint_root
+from ..sources.stored import epochs, finished, read_epoch, read_if_exists, remove, write_epoch
 
 # ``window`` buckets follow the epoch (a Thursday); 4 days moves weeks to Monday.
 _WINDOW_START = {"1w": "4 days"}
@@ -43,41 +44,42 @@ def windowed_rollup(stream: DataFrame, resolution: str, watermark: str | None =
     return _finalize(g, ["bucket", "device_id"])
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # no table yet
-        return None
+def _replace_days(spark: SparkSession, path: str, merged: DataFrame, journal: str, epoch_id) -> None:
+    """Overwrite the day partitions of ``merged`` with a journal for recovery.
+
+    The rows are first committed to ``journal``; a crash while partitions are
+    being replaced leaves them there, and the replay puts them in place again
+    instead of merging with a half-replaced table.
+    """
+    entry = f"{journal}/epoch={epoch_id}"
+    if not finished(spark, entry):
+        merged.write.mode("overwrite").parquet(entry)
+    (spark.read.schema(merged.schema).parquet(entry).write.mode("overwrite")
+          .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+    remove(spark, entry)
 
 
 def merge_rollup(path: str, keys=("bucket", "device_id")):
     """``foreachBatch`` sink replacing rows by key in a day-partitioned table.
 
     Only the day partitions present in the micro-batch are rewritten
-    (dynamic partition overwrite). The merged rows are checkpointed to the
-    shared checkpoint folder before the overwrite so the job never reads
-    and overwrites the same files in one plan. Replaying an epoch writes the
-    same rows again, so the sink is idempotent.
+    (dynamic partition overwrite), and only they are read: a semi join on
+    the batch's days, which Spark prunes dynamically. The merged rows go through
+    a journal (:func:`_replace_days`), so the job neither reads and overwrites
+    the same files in one plan nor loses rows in a crash. Replaying an epoch
+    writes the same rows again, so the sink is idempotent.
     """
     keys = list(keys)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("day", F.to_date("bucket"))
-        # The days a micro-batch touches are few (bounded by the watermark
-        # delay); as literals they prune the table to those partitions.
-        days = [r.day for r in new.select("day").distinct().collect()]
-        if not days:
-            return
         merged = new
-        old = _read_or_none(spark, path)
+        old = read_if_exists(spark, path)
         if old is not None:
-            keep = (old.where(F.col("day").isin(days))
-                       .join(new.select(*keys), keys, "left_anti"))
-            merged = keep.unionByName(new)
-        merged = merged.checkpoint(eager=True)
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("day").parquet(path))
+            touched = old.join(new.select("day").distinct(), "day", "left_semi")
+            merged = touched.join(new.select(*keys), keys, "left_anti").unionByName(new)
+        _replace_days(spark, path, merged, f"{path.rstrip('/')}-journal", epoch_id)
 
     return write
 
@@ -159,17 +161,13 @@ def refresh_from_raw(spark: SparkSession, raw_path: str, rollup_paths: dict, bat
         s_lit, e_lit = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
         rows = raw.where((F.col("time") >= s_lit) & (F.col("time") < e_lit))
         fresh = _finalize(rollup_state(rows, res), ["bucket", "device_id"]).withColumn("day", F.to_date("bucket"))
-        days = []
-        d = _floor(start, res)
-        while d < end:  # bucket start days of the range
-            days.append(d.date())
-            d = _next(d, res) if res in ("1d", "1w", "1mo") else _next(_floor(d, "1d"), "1d")
-        old = _read_or_none(spark, path)
+        days = [start.date(), (end - timedelta(microseconds=1)).date()]  # first and last day of the range
+        old = read_if_exists(spark, path)
         if old is not None:
-            keep = old.where(F.col("day").isin(days) & ((F.col("bucket") < s_lit) | (F.col("bucket") >= e_lit)))
+            in_days = (F.col("day") >= F.lit(min(days))) & (F.col("day") <= F.lit(max(days)))
+            keep = old.where(in_days & ((F.col("bucket") < s_lit) | (F.col("bucket") >= e_lit)))
             fresh = keep.unionByName(fresh)
-        fresh = fresh.checkpoint(eager=True)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        _replace_days(spark, path, fresh, f"{path.rstrip('/')}-journal", f"{start:%Y%m%d%H%M}-{end:%Y%m%d%H%M}")
         done[res] = (start, end)
     return done
 
@@ -181,9 +179,9 @@ def ingest_with_refresh(raw_path: str, rollup_paths: dict, counter_path: str, ev
                         now=None, retention_days: int = 365, margin_days: int = 5):
     """R3 + R2 as one ``foreachBatch`` writer.
 
-    Each micro-batch is appended to the raw store (S2); a one-row counter
-    table keeps the running insert count and the time range touched since
-    the last refresh. When the count crosses a multiple of ``every`` the
+    Each micro-batch is appended to the raw store (S2); a counter row per
+    epoch keeps the running insert count and the time range touched since
+    the last refresh, and the newest committed epoch is the state. When the count crosses a multiple of ``every`` the
     touched range is refreshed from the raw store (R2) and the range resets.
     The raw rows of an epoch go to their own folder (overwritten when the
     epoch is replayed) and the counter skips epochs it already counted, so a
@@ -194,12 +192,10 @@ def ingest_with_refresh(raw_path: str, rollup_paths: dict, counter_path: str, ev
     def write(batch: DataFrame, epoch_id: int) -> None:
         import datetime as dt
         spark = batch.sparkSession
-        try:
-            c = spark.read.parquet(counter_path).first()
-        except Exception:
-            c = None
-        if c is not None and c["epoch_id"] >= epoch_id:
+        if epoch_id in epochs(spark, counter_path):
             return  # this epoch was already applied
+        state = read_epoch(spark, counter_path, before=epoch_id)
+        c = state.first() if state is not None else None
         total = c["total"] if c is not None else 0
         lo = c["pending_min"] if c is not None else None
         hi = c["pending_max"] if c is not None else None
@@ -216,8 +212,8 @@ def ingest_with_refresh(raw_path: str, rollup_paths: dict, counter_path: str, ev
                              retention_days, margin_days, bounds=(lo, hi))
             lo = hi = None
             refreshed = True
-        spark.createDataFrame([(epoch_id, total + stats["n"], lo, hi, refreshed)],
-                              "epoch_id long, total long, pending_min timestamp_ntz, pending_max timestamp_ntz, "
-                              "refreshed boolean").write.mode("overwrite").parquet(counter_path)
+        row = spark.createDataFrame([(epoch_id, total + stats["n"], lo, hi, refreshed)],
+                                    "epoch_id long, total long, pending_min timestamp_ntz, pending_max timestamp_ntz, refreshed boolean")
+        write_epoch(row.coalesce(1), counter_path, epoch_id)
 
     return write

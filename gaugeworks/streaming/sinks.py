@@ -13,13 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequence import insert_ignore
-
-
-def _read_or_none(spark, path: str):
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        return None
+from ..sources.stored import read_epoch, read_if_exists, write_epoch
 
 
 def insert_ignore_sink(path: str, keys: list[str], order: str | None = None, partition_by: list[str] | None = None):
@@ -31,18 +25,11 @@ def insert_ignore_sink(path: str, keys: list[str], order: str | None = None, par
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        target = _read_or_none(spark, path)
+        target = read_if_exists(spark, path)
         if target is not None and partition_by:
-            # Keys can only collide inside the partitions the batch touches.
-            parts = batch.select(*partition_by).distinct().collect()
-            cond = None
-            for r in parts:
-                c = None
-                for col in partition_by:
-                    e = F.col(col) == F.lit(r[col])
-                    c = e if c is None else c & e
-                cond = c if cond is None else cond | c
-            target = target.where(cond if cond is not None else F.lit(False))
+            # Keys can only collide inside the partitions the batch touches: a
+            # semi join on the partition columns, which Spark prunes dynamically.
+            target = target.join(batch.select(*partition_by).distinct(), partition_by, "left_semi")
         rows = insert_ignore(batch, target, keys, order) if target is not None else \
             insert_ignore(batch, batch.limit(0), keys, order)
         rows = rows.checkpoint(eager=True)
@@ -55,21 +42,31 @@ def insert_ignore_sink(path: str, keys: list[str], order: str | None = None, par
 
 
 def sync_state_sink(path: str, sync_id: str = "ledger", seq_col: str = "sequence"):
-    """Keep a one-row-per-sync-id table with the highest processed sequence."""
+    """The highest processed sequence, one row per sync id, as a folder per epoch.
+
+    Each epoch's state is the newest earlier one merged with the batch; nothing
+    is overwritten in place, and a replayed epoch gives the same folder again.
+    Read it with :func:`sync_state`.
+    """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         cur = batch.agg(F.max(seq_col).alias("last_synced")).withColumn("sync_id", F.lit(sync_id)) \
-                   .withColumn("epoch_id", F.lit(epoch_id))
-        old = _read_or_none(spark, path)
+                   .withColumn("epoch_id", F.lit(epoch_id).cast("bigint"))
+        old = read_epoch(spark, path, before=epoch_id)
         if old is not None:
             cur = old.unionByName(cur).groupBy("sync_id").agg(F.max("last_synced").alias("last_synced"),
                                                               F.max("epoch_id").alias("epoch_id"))
-        cur.checkpoint(eager=True).write.mode("overwrite").parquet(path)
+        write_epoch(cur, path, epoch_id)
 
     return write
 
 
+def sync_state(spark, path: str) -> DataFrame | None:
+    """The newest committed state of :func:`sync_state_sink`, or None."""
+    return read_epoch(spark, path)
+
+
 def with_current_config(load_config, apply):
     """Re-read a small config table at every micro-batch and apply it.
 

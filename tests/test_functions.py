@@ -193,8 +193,8 @@ def test_trace_parsing(spark):
         trace.parse_trace(bad).collect()
 
 
-def test_tier_asof_large_config_uses_day_join(spark):
-    """Above the broadcast bound the as-of join goes through (version, day) rows."""
+def test_tier_asof_searches_the_versions(spark):
+    """The latest version at or before the reading; the first one before that; none without versions."""
     import datetime as dt
     readings = spark.createDataFrame(
         [(1, dt.datetime(2024, 1, 5), 1200.0), (2, dt.datetime(2024, 1, 12), 1200.0), (3, dt.datetime(2024, 1, 25), 1200.0),
@@ -205,9 +205,12 @@ def test_tier_asof_large_config_uses_day_join(spark):
     versions = V.tier_versions(spark, [("v1", dt.datetime(2024, 1, 1), tiers_wide),
                                        ("v2", dt.datetime(2024, 1, 10), tiers_narrow),
                                        ("v3", dt.datetime(2024, 1, 20), tiers_wide)])
-    small = {r.id: (r.version_id, r.tier) for r in V.assign_tier_asof(readings, versions).collect()}
-    large = {r.id: (r.version_id, r.tier) for r in V.assign_tier_asof(readings, versions, max_versions=1).collect()}
-    assert small == large == {1: ("v1", "TIER_2"), 2: ("v2", "UNKNOWN_TIER"), 3: ("v3", "TIER_2"), 4: ("v1", "TIER_2")}
+    got = {r.id: (r.version_id, r.tier) for r in V.assign_tier_asof(readings, versions).collect()}
+    many = V.tier_versions(spark, [(f"d{i}", dt.datetime(2023, 12, 20) + dt.timedelta(days=i), tiers_wide) for i in range(33)])
+    assert {r.id: r.version_id for r in V.assign_tier_asof(readings, many).collect()} == {1: "d16", 2: "d23", 3: "d32", 4: "d0"}
+    none = V.assign_tier_asof(readings, versions.where("false")).collect()
+    assert {(r.version_id, r.tier) for r in none} == {(None, "UNKNOWN_TIER")}
+    assert got == {1: ("v1", "TIER_2"), 2: ("v2", "UNKNOWN_TIER"), 3: ("v3", "TIER_2"), 4: ("v1", "TIER_2")}
 
 
 def test_batch_pinned_tier_redoes_batch_after_version_change(spark):
@@ -240,3 +243,15 @@ def test_trace_file_read_in_file_order(spark, tmp_path):
     assert (out[0].device_id, out[0].offset_ms) == ("a", 1000.0)
     assert (out[1].device_id, out[1].offset_ms) == ("d0", 0.0)
     assert out[-1].device_id == "trace-device-5001" and out[-1].offset_ms == 500.0
+
+
+def test_kv_list_keeps_the_last_of_a_repeated_key(spark):
+    rows = spark.createDataFrame([(1, ["a", "1", "seq", "9", "a", "2", "b"]), (2, []), (3, ["seq", "1"])], "id int, kv array<string>")
+    got = {r.id: r.m for r in rows.select("id", V.kv_list_to_map(F.col("kv")).alias("m")).collect()}
+    assert got == {1: {"a": "2", "b": ""}, 2: {}, 3: {}}
+
+
+def test_trace_header_after_blank_lines_and_empty_first_field(spark):
+    lines = spark.createDataFrame([(0, "  "), (1, "timestampMs,deviceId"), (2, ",d"), (3, "40,e")], "line_no long, text string")
+    got = sorted((r.row_index, r.device_id, r.offset_ms) for r in trace.parse_trace(lines).collect())
+    assert got == [(0, "d", 0.0), (1, "e", 40.0)]

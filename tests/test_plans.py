@@ -60,16 +60,9 @@ def test_aggregations_are_partial_before_the_shuffle(spark):
     assert p.count("HashAggregate") >= 2 and "Exchange hashpartitioning" in p
 
 
-def test_bounded_broadcast_checks_size(spark):
-    from gaugeworks.operators.validation import bounded_broadcast
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "BroadcastExchange" in plan(spark.range(5000).join(bounded_broadcast(small, 100), "id"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastExchange" not in plan(spark.range(5000).join(bounded_broadcast(big, 100), "id"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_tier_versions_are_searched_without_a_join(spark):
+    for name in ("tier_asof", "tier_batch_pinned"):
+        assert "NestedLoopJoin" not in plan(registry.QUERIES[name](spark, SF_SMALL)), name
 
 
 def test_hot_key_scan_is_chunked(spark):
@@ -81,4 +74,4 @@ def test_hot_key_scan_is_chunked(spark):
 def test_no_cross_joins(spark):
     for name in sorted(set(registry.QUERIES) - SIDE_EFFECTING):
         p = plan(registry.QUERIES[name](spark, SF_SMALL))
-        assert "CartesianProduct" not in p, name
+        assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, name

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import folds, rollups
 from gaugeworks.sources import tables
+from gaugeworks.sources.stored import read_epoch
 from gaugeworks.streaming import rollups as srollups
 from gaugeworks.streaming import sinks, stateful
 
@@ -182,7 +183,8 @@ def test_sync_state_and_config_reload(spark):
     w = sinks.sync_state_sink(out)
     w(spark.createDataFrame([(5,), (9,)], "sequence long"), 0)
     w(spark.createDataFrame([(7,)], "sequence long"), 1)
-    r = spark.read.parquet(out).first()
+    w(spark.createDataFrame([(7,)], "sequence long"), 1)  # a replay changes nothing
+    r = sinks.sync_state(spark, out).first()
     assert (r.sync_id, r.last_synced, r.epoch_id) == ("ledger", 9, 1)
     seen = []
     cfg_path = tempfile.mkdtemp(prefix="gw-r12-") + "/cfg"
@@ -247,11 +249,11 @@ def test_ingest_with_refresh_every_n(spark, event_files):
     got = spark.read.parquet(f"{base}/h").drop("day")
     batch = rollups.device_rollup(tables.telemetry(spark, SF_SMALL), "1h")
     assert _rows(got) == _rows(batch)
-    c = spark.read.parquet(f"{base}/counter").first()
+    c = read_epoch(spark, f"{base}/counter").first()
     assert c.total == tables.telemetry(spark, SF_SMALL).count() and c.refreshed
     # Replaying the last epoch changes nothing.
     w(spark.read.parquet(f"{base}/raw").limit(3).drop("epoch", "day", "region_bucket"), c.epoch_id)
-    assert spark.read.parquet(f"{base}/counter").first().total == c.total
+    assert read_epoch(spark, f"{base}/counter").first().total == c.total
 
 
 def test_ledger_bus_publish_consume_restart_trim(spark):
@@ -274,7 +276,8 @@ def test_ledger_bus_publish_consume_restart_trim(spark):
     q.awaitTermination()
     got = sorted(r.seq for r in spark.read.parquet(sink).collect())
     assert got == list(range(1, 36))
-    removed = ledger_bus.trim(spark, log, max_len=10)
+    assert not ledger_bus.trim(spark, log, max_len=10, consumed=0)  # nothing unread goes
+    removed = ledger_bus.trim(spark, log, max_len=10, consumed=35)
     assert removed
     left = spark.read.parquet(log)
     assert left.agg(F.max("seq")).first()[0] == 35 and left.agg(F.min("seq")).first()[0] > 1
@@ -305,3 +308,53 @@ def test_exact_replay_guard_stream_equals_batch(spark, event_files):
                                ["ts_ms", "event_id"], window_ms=window)
     cols = ["nonce", "event_id", "replay"]
     assert _rows(spark.read.parquet(out), cols) == _rows(batch, cols)
+
+
+def test_writers_raise_on_a_damaged_target(spark):
+    """A read error is not an empty table: nothing is written and what is stored stays."""
+    import os
+
+    import pytest
+    from gaugeworks.streaming import ledger_bus
+    base = tempfile.mkdtemp(prefix="gw-damage-")
+    keyed = spark.createDataFrame([(1, "a")], "k int, v string")
+    hourly = spark.createDataFrame([(1, "dev-1", 2.0)], "h int, device_id string, total double").select(
+        F.to_timestamp_ntz(F.lit("2024-01-01 05:00:00")).alias("bucket"), "device_id", "total")
+    log = spark.range(2).select(F.col("id").alias("order"), F.create_map(F.lit("n"), F.lit("1")).alias("payload"))
+    cases = {"keys": lambda p: sinks.insert_ignore_sink(p, ["k"])(keyed, 0), "hours": lambda p: srollups.merge_rollup(p)(hourly, 0),
+             "log": lambda p: ledger_bus.publish(spark, p, log)}
+    for name, write in cases.items():
+        path = f"{base}/{name}"
+        write(path)
+        found = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")]
+        for f in found:
+            with open(f, "wb") as out:
+                out.write(b"damaged")
+            crc = os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc")
+            if os.path.exists(crc):
+                os.remove(crc)
+        with pytest.raises(Exception):
+            write(path)
+        left = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")]
+        assert sorted(left) == sorted(found)
+
+
+def test_merge_rollup_recovers_from_a_crash_while_replacing(spark, monkeypatch):
+    """The journal of a broken replacement is put in place by the replay, kept rows included."""
+    import shutil
+    base = tempfile.mkdtemp(prefix="gw-journal-")
+    path = f"{base}/t"
+
+    def rows(*hours):
+        return spark.createDataFrame([(h, "dev-1") for h in hours], "h int, device_id string").select(
+            F.expr("timestampadd(HOUR, h, timestamp_ntz'2024-01-01 00:00:00')").alias("bucket"), "device_id", F.col("h").alias("total"))
+
+    w = srollups.merge_rollup(path)
+    w(rows(1, 2), 0)
+    taken = []
+    monkeypatch.setattr(srollups, "remove", lambda s, p: taken.append(p))
+    w(rows(2, 3), 1)  # the journal entry of epoch 1 stays, as if the job had died before its end
+    monkeypatch.undo()
+    shutil.rmtree(f"{path}/day=2024-01-01")  # and the partition was already gone
+    w(rows(2, 3), 1)
+    assert sorted(r.total for r in spark.read.parquet(path).collect()) == [1, 2, 3] and len(taken) == 1
