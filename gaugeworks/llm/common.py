@@ -11,13 +11,19 @@ from ..session import checkpoint_root, configure
 
 #: Rows per Arrow batch: whole texts are long, so batches stay small.
 ARROW_ROWS = 256
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
+    # groups of small lists and sketches are hashed up to this many a task before they are sorted
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings, package shipping and the Arrow batch bound (idempotent)."""
     configure(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(ARROW_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is escaped (a space becomes U+2581, one is put in front) and falls apart
-into units: a run of U+2581 and the other characters up to the next one. No piece
-goes beyond a unit, so equal units have equal cuts wherever they stand, and only
-distinct units are worked on:
+into units: a run of U+2581 and either the plain letters or the other characters
+that follow it. No piece goes beyond a unit (checked when the vocabulary is read),
+so equal units have equal cuts wherever they stand, and only distinct units are
+worked on:
 
 1. explode each unit's substrings of at most the longest piece's length,
 2. equi-join them to the piece table (its size is that of the vocabulary),
@@ -18,11 +19,12 @@ edge spans exactly two. Its state is one 64-bit mask of the places still cut.
 
 Documents are dealt to parts of bounded bytes; a part meets the cuts of its own
 distinct units only and maps its texts to ids. Units over ``UNIT_CHARS``
-characters (no place for them in the mask) are encoded by the library itself.
+characters (no place for them in the mask) are merged in the task with a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIT_CHARS = 62
 #: Text bytes of a part; a part's texts and its units are held in memory together.
-PART_BYTES = 24 << 20
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+PART_BYTES = 32 << 20
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_UNITS = re.compile(f"{SPACE}*[{_LETTERS}]+|{SPACE}*[^{SPACE}{_LETTERS}]+|{SPACE}+")
+_BEYOND = re.compile(f"[^{SPACE}]{SPACE}|[{_LETTERS}][^{_LETTERS}]|[^{SPACE}{_LETTERS}][{_LETTERS}]")
 
 
 class Vocabulary:
@@ -56,8 +60,13 @@ class Vocabulary:
             else:
                 self.raw.append(piece.replace(SPACE, " ").encode())
                 self.score[piece], self.id_of[piece] = self.model.get_score(i), i
-        if any(SPACE in p.lstrip(SPACE) for p in self.score):
-            raise ValueError("a piece holds a space inside; units would not be independent")
+        beyond = [p for p in self.score if _BEYOND.search(p)]
+        if beyond:
+            raise ValueError(f"pieces go beyond a unit, so units would not be independent: {beyond[:5]}")
+        size = np.array([len(x) for x in self.raw], np.int64)
+        self._size, self._from = size, np.cumsum(size) - size
+        self._flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self._spans: dict[int, list[tuple[int, int]]] = {}
 
     def segment_ids(self, segment: str) -> list[int]:
         """Id of a piece; of an unknown character its bytes (or the unknown id)."""
@@ -65,17 +74,56 @@ class Vocabulary:
             return [self.id_of[segment]]
         return [self.byte_id.get(b, self.model.unk_id()) for b in segment.encode()] if self.byte_id else [self.model.unk_id()]
 
-    def library_ids(self, unit: str) -> list[int]:
-        """Ids of one unit by the library, which puts a space in front of what it is given."""
-        lead = unit.startswith(SPACE)
-        text = unit.replace(SPACE, " ")
-        if lead:
-            return self.model.encode(text[1:]) if len(text) > 1 else self.segment_ids(SPACE)
-        raise ValueError("a unit starts with a space")
+    def unit_ids(self, unit: str, cuts: int | None) -> bytes:
+        """Ids of a unit from the mask of its cuts; None: no piece of two characters lies in it."""
+        if len(unit) > UNIT_CHARS:
+            segments = self.merged(unit)
+        elif cuts is None:
+            segments = list(unit)
+        else:
+            spans = self._spans.get(cuts)
+            if spans is None:
+                at = [i for i in range(UNIT_CHARS + 1) if cuts >> i & 1]
+                spans = self._spans[cuts] = list(zip(at, at[1:]))
+            segments = [unit[a:b] for a, b in spans]
+        known = self.id_of
+        try:
+            ids = [known[x] for x in segments]
+        except KeyError:
+            ids = [i for x in segments for i in self.segment_ids(x)]
+        return np.array(ids, "<u4").tobytes()
+
+    def merged(self, unit: str) -> list[str]:
+        """Segments of a unit after all merges, best score first and leftmost among equals."""
+        text, after, before = list(unit), list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
+        heap = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < len(text) and (whole := text[a] + text[b]) in self.score:
+                heapq.heappush(heap, (-self.score[whole], a, whole))
+
+        for a in range(len(text)):
+            offer(a)
+        while heap:
+            _, a, whole = heapq.heappop(heap)
+            b = after[a]
+            if text[a] is None or b >= len(text) or text[a] + text[b] != whole:
+                continue  # one of its halves has been merged with another
+            text[a], text[b], after[a] = whole, None, after[b]
+            if after[a] < len(text):
+                before[after[a]] = a
+            offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        return [x for x in text if x is not None]
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        """The text of ids; bytes that are no UTF-8 become U+FFFD, the space put in front goes."""
+        size = self._size[ids]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._from[ids] - (ends - size), size)
+        text = self._flat[place].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -98,10 +146,14 @@ def piece_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
 
 
 def _merge_fold(edges: str, n: str) -> str:
-    """Mask of the places where the unit is cut after all merges; bit i is the place before character i."""
+    """Mask of the places where the unit is cut after all merges; bit i is the place before character i.
+
+    The sign bit marks that no edge fits any more, so the remaining steps are skipped.
+    """
     fits = "(b & x.need) = x.need AND bit_count(b & x.mid) = 1"
+    best = f"get(filter({edges}, x -> {fits}), 0).mid"
     return (f"aggregate(sequence(1, {n}), shiftleft(1L, {n}) - 1 + shiftleft(1L, {n}), "
-            f"(b, i) -> b & ~coalesce(get(filter({edges}, x -> {fits}), 0).mid, 0L))")
+            f"(b, i) -> IF(b < 0, b, coalesce(b & ~{best}, b | shiftleft(1L, 63)))) & 9223372036854775807L")
 
 
 def _viterbi_fold(edges: str, n: str, unknown: float) -> str:
@@ -132,17 +184,10 @@ def unit_cuts(words: DataFrame, table: DataFrame, max_piece: int, fold: str = "m
         edge = F.struct((-F.col("score")).alias("rank"), "s", F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("need"),
                         F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("mid"))
         folded = _merge_fold("edges", "n")
-    lattice = matched.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    lattice = matched.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return lattice.select("unit", F.expr(folded).alias("cuts"))
 
 
-def _segments(unit: str, cuts: int | None) -> list[str]:
-    if cuts is None:
-        return list(unit)  # no edge: single characters
-    at = [i for i in range(len(unit) + 1) if cuts >> i & 1]
-    return [unit[a:b] for a, b in zip(at, at[1:])]
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_ids, ids binary, decoded string)`` per row: ids as little-endian unsigned 32-bit values.
 
@@ -156,7 +201,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
     tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = max(parts, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) if total > PART_BYTES else 1)
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(parts)).cast("int")).repartition(tasks, "part")
     kind = dict(docs.dtypes)[id_col]
 
@@ -174,7 +218,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(unit, pa.string())], names=["part", "unit"])
 
     pairs = dealt.mapInArrow(distinct_units, "part int, unit string").repartition("unit")
-    cuts = unit_cuts(pairs.select("unit").distinct(), piece_table(spark, voc.score), max(map(len, voc.score)))
+    # the maximum keeps the part in both uses of the pairs, so one shuffle serves both
+    distinct = pairs.groupBy("unit").agg(F.max("part").alias("any")).where("any >= 0").select("unit")
+    cuts = unit_cuts(distinct, piece_table(spark, voc.score), max(map(len, voc.score)))
     needed = pairs.join(cuts, "unit").select("part", "unit", "cuts")
 
     def map_part(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -182,17 +228,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         known = dict(zip(right.column("unit").to_pylist(), right.column("cuts").to_pylist()))
         coded: dict[str, bytes] = {}
 
-        def code(u: str) -> bytes:
-            if len(u) > UNIT_CHARS:
-                ids = v.library_ids(u)
-            else:
-                ids = [i for s in _segments(u, known.get(u)) for i in v.segment_ids(s)]
-            coded[u] = raw = np.array(ids, "<u4").tobytes()
-            return raw
-
         out, texts = [], []
         for t in left.column("text").to_pylist():
-            out.append(b"".join([coded[u] if u in coded else code(u) for u in units(t)]))
+            found = units(t)
+            try:
+                out.append(b"".join([coded[u] for u in found]))
+            except KeyError:
+                for u in set(found).difference(coded):
+                    coded[u] = v.unit_ids(u, known.get(u))
+                out.append(b"".join([coded[u] for u in found]))
             texts.append(v.decode(np.frombuffer(out[-1], "<u4")))
         return pa.table({"id": left.column("id"), "n_ids": pa.array([len(x) // 4 for x in out], pa.int64()),
                          "ids": pa.array(out, pa.binary()), "decoded": pa.array(texts, pa.string())})
