@@ -85,15 +85,17 @@ def every_nth(df: DataFrame, order: list[str], n: int, chunk: Column | None = No
 
 
 def catchup_plan(spark, ledger_seqs: DataFrame, from_ledger: int, to_ledger: int,
-                 concurrency: int = DEFAULT_CONCURRENCY) -> DataFrame:
+                 concurrency: int = DEFAULT_CONCURRENCY, max_gap: int = MAX_GAP) -> DataFrame:
     """Batches of a catch-up from ``from_ledger`` to ``to_ledger``.
 
-    The target is capped at ``from + 172800``; batches of ``concurrency``
+    One run covers at most ``max_gap`` ledgers (the reference's rule);
+    ``left_over`` says how many ledgers up to ``to_ledger`` remain for later
+    runs, 0 if none. Batches of ``concurrency``
     ledgers start at ``from + 1``; a checkpoint follows a batch that crosses
     a multiple of 64 or ends the run. Ledgers not in ``ledger_seqs`` count
     as failed and are skipped; progress still advances.
     """
-    target = min(to_ledger, from_ledger + MAX_GAP)
+    target = min(to_ledger, from_ledger + max_gap)
     seqs = spark.range(from_ledger + 1, target + 1).withColumnRenamed("id", "seq")
     have = ledger_seqs.select(F.col("sequence").alias("seq")).distinct().withColumn("_have", F.lit(True))
     j = seqs.join(have, "seq", "left")
@@ -105,7 +107,8 @@ def catchup_plan(spark, ledger_seqs: DataFrame, from_ledger: int, to_ledger: int
     crossed = F.floor(F.col("batch_end") / CHECKPOINT_INTERVAL) > F.floor((F.col("batch_start") - 1) / CHECKPOINT_INTERVAL)
     return g.select("batch_no", "batch_start", "batch_end", "failed_count",
                     F.col("batch_end").alias("last_synced_ledger"),
-                    (crossed | (F.col("batch_end") == target)).alias("checkpoint"))
+                    (crossed | (F.col("batch_end") == target)).alias("checkpoint"),
+                    F.lit(to_ledger - target).cast("bigint").alias("left_over"))
 
 
 def ledger_lag(polls: DataFrame) -> DataFrame:

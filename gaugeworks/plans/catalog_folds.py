@@ -178,41 +178,29 @@ def reorder_prefix(spark, sf_dir):
 
 
 @register("rate_limit", with_views("telemetry", extra="""
-o AS (SELECT device_id, event_id, epoch_us(time) // 1000 AS now_ms,
-             CASE user_id % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 100.0 ELSE 500.0 END::DOUBLE AS base,
-             CASE user_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 100 ELSE 500 END AS mx,
-             LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, CAST(k % 100 AS DOUBLE) / 100.0::DOUBLE)) AS c,
-             row_number() OVER (PARTITION BY device_id ORDER BY epoch_us(time) // 1000, event_id) AS rn
-      FROM telemetry),
-r AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id,
-             CAST(NULL AS DOUBLE) AS tokens, CAST(NULL AS BIGINT) AS last_refill, 0.0::DOUBLE AS burst_at,
-             CAST(NULL AS BOOLEAN) AS allowed, CAST(NULL AS BIGINT) AS tokens_remaining,
-             CAST(NULL AS BIGINT) AS max_tokens, CAST(NULL AS BIGINT) AS reset_at_ms
-      FROM o
-      UNION ALL
-      SELECT device_id, rn, event_id, tok1, now_ms, new_burst_at, ok, CAST(floor(tok1) AS BIGINT), eff_max,
-             CASE WHEN eff_rate > 0 AND tok1 < 1 THEN now_ms + CAST(ceil((1 - tok1) / eff_rate * 1000) AS BIGINT)
-                  ELSE now_ms END
-      FROM (SELECT *, CASE WHEN ok THEN tok0 - 1 ELSE tok0 END AS tok1 FROM (
-        SELECT *, tok0 >= 1 AS ok FROM (
-          SELECT *, LEAST(CAST(eff_max AS DOUBLE),
-                          COALESCE(tokens, CAST(eff_max AS DOUBLE))
-                          + CAST(now_ms - COALESCE(last_refill, now_ms) AS DOUBLE) / 1000.0::DOUBLE * eff_rate) AS tok0
-          FROM (
-            SELECT *, CASE WHEN in_burst THEN mx * 3 ELSE mx END AS eff_max,
-                      CASE WHEN in_burst THEN rate * 3 ELSE rate END AS eff_rate
-            FROM (
-              SELECT *, in_burst0 OR can_burst AS in_burst,
-                        CASE WHEN can_burst AND NOT in_burst0 THEN now_s ELSE burst_at END AS new_burst_at
-              FROM (
-                SELECT r.device_id, o.rn, o.event_id, r.tokens, r.last_refill, r.burst_at, o.now_ms, o.mx,
-                       o.base * (0.5 + 0.5 * o.c) / 3600.0::DOUBLE AS rate,
-                       CAST(o.now_ms AS DOUBLE) / 1000.0::DOUBLE / 3600.0::DOUBLE AS now_s,
-                       r.burst_at > 0 AND (CAST(o.now_ms AS DOUBLE) / 1000.0::DOUBLE / 3600.0::DOUBLE - r.burst_at) < 5 AS in_burst0,
-                       o.c > 0.95 AND (r.burst_at = 0
-                           OR (CAST(o.now_ms AS DOUBLE) / 1000.0::DOUBLE / 3600.0::DOUBLE - r.burst_at) >= 60) AS can_burst
-                FROM r JOIN o ON o.device_id = r.device_id AND o.rn = r.rn + 1)))))))""", recursive=True) + """SELECT device_id, event_id, allowed, tokens_remaining, CAST(max_tokens AS BIGINT) AS max_tokens, reset_at_ms
-FROM r WHERE rn > 0""")
+req AS (SELECT device_id, event_id, epoch_us(time) // 1000 AS t, CAST(k % 100 AS DOUBLE) / 100 AS c,
+               [10, 100, 500][CAST(user_id % 3 AS INTEGER) + 1] AS tier FROM telemetry),
+eager AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t, event_id) AS n FROM req WHERE c > 0.95),
+clock AS (SELECT device_id, n, t, event_id, t AS began, true AS starts FROM eager WHERE n = 1
+          UNION ALL
+          SELECT e.device_id, e.n, e.t, e.event_id, CASE WHEN e.t - c.began >= 216000000 THEN e.t ELSE c.began END, e.t - c.began >= 216000000
+          FROM clock c JOIN eager e ON e.device_id = c.device_id AND e.n = c.n + 1),
+sized AS (SELECT r.device_id, r.event_id, r.t, CASE WHEN count(s.t) > 0 THEN 3 ELSE 1 END AS boost, any_value(r.tier) AS tier, any_value(r.c) AS c
+          FROM req r LEFT JOIN (SELECT * FROM clock WHERE starts) s
+            ON s.device_id = r.device_id AND (s.t, s.event_id) <= (r.t, r.event_id) AND r.t - s.t < 18000000
+          GROUP BY r.device_id, r.event_id, r.t),
+ready AS (SELECT *, CAST(tier * boost AS DOUBLE) AS cap, CAST(tier AS DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * c) / 3600.0::DOUBLE * boost::DOUBLE AS rate,
+                 row_number() OVER (PARTITION BY device_id ORDER BY t, event_id) AS n FROM sized),
+filled AS (SELECT device_id, n, event_id, t, cap, rate, cap AS before FROM ready WHERE n = 1
+           UNION ALL
+           SELECT r.device_id, r.n, r.event_id, r.t, r.cap, r.rate,
+                  CASE WHEN r.t - f.t >= 12960000000 THEN r.cap
+                       ELSE least(r.cap, f.before - CASE WHEN f.before >= 1 THEN 1 ELSE 0 END + CAST(r.t - f.t AS DOUBLE) / 1000.0::DOUBLE * r.rate) END
+           FROM filled f JOIN ready r ON r.device_id = f.device_id AND r.n = f.n + 1),
+spent AS (SELECT *, before - CASE WHEN before >= 1 THEN 1 ELSE 0 END AS after FROM filled)""", recursive=True) + """SELECT device_id, event_id, before >= 1 AS allowed,
+       CAST(floor(after) AS BIGINT) AS tokens_remaining, CAST(cap AS BIGINT) AS max_tokens,
+       t + CASE WHEN after < 1 THEN CAST(ceil((1 - after) / rate * 1000) AS BIGINT) ELSE 0 END AS reset_at_ms
+FROM spent""")
 def rate_limit(spark, sf_dir):
     """Token bucket per device; rates per hour at driver scale (``unit_s=3600``)."""
     t = tables.telemetry(spark, sf_dir)

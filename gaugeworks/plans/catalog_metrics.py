@@ -222,9 +222,7 @@ s AS (SELECT 'dev-' || CAST(e.user_id AS VARCHAR) AS device_id, o.outcome = 'acc
 FROM s GROUP BY device_id""")
 def compliance_score(spark, sf_dir):
     """A19 (no expiry): success ratio of the open window; window 50 at driver scale."""
-    e = tables.read_table(spark, sf_dir, "events").select("event_id", "user_id")
-    o = tables.outcomes(spark, sf_dir).join(e, "event_id")
-    subs = o.select(F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"), "time", "event_id",
+    subs = tables.outcomes(spark, sf_dir).select("device_id", "time", "event_id",
                     (F.col("outcome") == "accepted").alias("success"))
     return M.compliance_scores(subs, window=50, chunk=time_bucket("1 day", "time"))
 
@@ -304,9 +302,7 @@ def compliance_expiry(spark, sf_dir):
     submissions (driver scale) or after one hour without a write."""
     from ..functions.timebuckets import epoch_ms
     from ..operators import folds
-    e = tables.read_table(spark, sf_dir, "events").select("event_id", "user_id")
-    o = tables.outcomes(spark, sf_dir).join(e, "event_id")
-    subs = o.select(F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"), "event_id",
+    subs = tables.outcomes(spark, sf_dir).select("device_id", "event_id",
                     epoch_ms("time").alias("time_ms"), (F.col("outcome") == "accepted").alias("success"))
     out = folds.compliance_with_expiry(subs, order=["time_ms", "event_id"], window=50, ttl_ms=3_600_000)
     return out.select("device_id", "event_id", "score", "window_total")

@@ -215,6 +215,6 @@ j AS (SELECT r.request_id, r.view_used, r.start, r."end", t.device_id, t.time, t
 FROM j WHERE bucket >= start AND bucket <= "end"
 GROUP BY request_id, view_used, bucket, device_id""", bench=True)
 def analytics_range_q(spark, sf_dir):
-    """P2+P3: one multi-resolution read per device, answered in one pass."""
+    """P2+P3: one multi-resolution read per device from the rollup views."""
     tel = tables.telemetry(spark, sf_dir)
-    return analytics.analytics_batch(tel, _requests(tel))
+    return analytics.analytics_batch(rollups.rollup_chain(tel), _requests(tel))

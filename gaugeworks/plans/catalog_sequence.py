@@ -105,7 +105,8 @@ j AS (SELECT s.seq, s.f, l.sequence IS NOT NULL AS have FROM s LEFT JOIN (SELECT
 g AS (SELECT CAST(floor((seq - (f + 1)) / 10) AS BIGINT) AS batch_no, MIN(seq) AS batch_start, MAX(seq) AS batch_end,
              COUNT(*) FILTER (WHERE NOT have) AS failed_count FROM j GROUP BY 1)""") + """SELECT batch_no, batch_start, batch_end, failed_count, batch_end AS last_synced_ledger,
        floor(batch_end / 64) > floor((batch_start - 1) / 64)
-         OR batch_end = (SELECT LEAST(t, f + 172800) FROM b) AS checkpoint
+         OR batch_end = (SELECT LEAST(t, f + 172800) FROM b) AS checkpoint,
+       (SELECT CAST(GREATEST(t - f - 172800, 0) AS BIGINT) FROM b) AS left_over
 FROM g""")
 def ledger_catchup(spark, sf_dir):
     """Catch-up batches from the first to the last ledger; gaps are failed ledgers."""

@@ -8,11 +8,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..functions.timebuckets import time_bucket
 from ..session import checkpoint_root
 from ..sources import tables
 from ..streaming import rollups as srollups
-from ..streaming import sinks, stateful
+from ..streaming import sinks
 from .catalog_rollups import _rollup_sql
 from .oracle_views import with_views
 from .registry import register
@@ -23,11 +23,27 @@ def _scratch(spark, name: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/checkpoint"
 
 
+def _arriving(spark, sf_dir, base: str, delay=None, files: int = 4):
+    """The events as a stream of several files in order of arrival, ``delay`` seconds after their time.
+
+    The files are written one after the other, as a file stream reads them by age.
+    """
+    ev = tables.read_table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + (F.lit(0) if delay is None else delay * 1_000_000)
+    cuts = ev.select(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = ev if lo is None else ev.where(at >= lo)
+        (part if hi is None else part.where(at < hi)).write.mode("append").parquet(f"{base}/arrived")
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
+
+
 @register("stream_usage_1h", _rollup_sql("1h"))
 def stream_usage_1h(spark, sf_dir):
-    """Hourly rollup as a watermarked streaming aggregation merged into a table."""
+    """Hourly rollup as a watermarked streaming aggregation over several
+    micro-batches with late readings, merged into a table."""
     out, ckpt = _scratch(spark, "stream-usage-1h")
-    tel = tables.telemetry_from(tables.stream_table(spark, sf_dir, "events"))
+    late = F.get_json_object("props", "$.k").cast("int")
+    tel = tables.telemetry_from(_arriving(spark, sf_dir, ckpt + "-src", late))
     q = srollups.run_rollup_stream(spark, tel, "1h", out, checkpoint=ckpt)
     q.awaitTermination()
     return spark.read.parquet(out).drop("day")
@@ -40,15 +56,12 @@ FROM (SELECT *, MAX(sequence) OVER (PARTITION BY stream_id ORDER BY arrival_ts,
       FROM ledger)
 WHERE prev IS NOT NULL AND sequence > prev + 1""")
 def stream_seq_gaps(spark, sf_dir):
-    """Gap monitor keyed by stream with ``applyInPandasWithState``; gaps go
-    to an idempotent sink keyed by (stream, observed sequence)."""
+    """Gap monitor over several micro-batches: each is scanned by the hour,
+    one maximum per stream is carried, gaps go to an idempotent sink."""
     out, ckpt = _scratch(spark, "stream-gaps")
-    led = tables.ledger_from(tables.stream_table(spark, sf_dir, "events"))
-    gaps = (stateful.stream_fold(led, "stream_id", ["arrival_ts", "arrival_id"], folds.gap_spec("sequence"))
-            .where(F.col("expected_seq").isNotNull())
-            .select("stream_id", "expected_seq", F.col("sequence").alias("observed_seq"), "missing_count"))
-    q = (gaps.writeStream.foreachBatch(sinks.insert_ignore_sink(out, ["stream_id", "observed_seq"]))
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    led = tables.ledger_from(_arriving(spark, sf_dir, ckpt + "-src"))
+    sink = sinks.gap_sink(out, ckpt + "-state", chunk=time_bucket("1 hour", "arrival_ts"))
+    q = led.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
 

@@ -89,9 +89,9 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    A cluster sets ``spark.checkpoint.dir`` to a shared file system path; we
-    only fall back to a scratch folder when it is unset, which is the local
-    test situation.
+    A cluster sets ``spark.checkpoint.dir`` to a shared file system path; without
+    it only a local session gets a scratch folder, as in tests, and any other
+    raises, since executors do not share their disks.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
@@ -99,6 +99,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return path
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="gaugeworks-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

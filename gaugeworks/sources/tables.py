@@ -115,6 +115,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         local.alias("local_balance"),
         (local + F.when(F.col("c_custkey") % 7 == 0, F.lit(1)).otherwise(F.lit(0))).alias("onchain_balance"),
         F.col("c_custkey"),
+        F.col("c_nationkey"),
     )
 
 
@@ -131,6 +132,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_id"),
         F.col("ts").alias("time"),
+        F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"),
         F.col("value").alias("latency_ms"),
         F.when(et == "error", "error").when(et == "signup", "rejected").otherwise("accepted").alias("outcome"),
         et.alias("profile"),

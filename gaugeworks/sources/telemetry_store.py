@@ -29,9 +29,10 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     if "ingested_at" not in df.columns:
         df = df.withColumn("ingested_at", F.current_timestamp().cast("timestamp_ntz"))
     out = with_partition_columns(df)
-    # One shuffle groups each (day, region bucket) into few files; the sort
-    # inside a task clusters a device's rows for row-group skipping.
-    (out.repartition("day", "region_bucket")
+    # One shuffle groups each (day, region bucket) into few files, split by
+    # size where one is large (rebalance); the sort inside a task clusters a
+    # device's rows for row-group skipping.
+    (out.hint("rebalance", "day", "region_bucket")
         .sortWithinPartitions("device_id", "region", F.col("time").desc())
         .write.mode(mode).partitionBy("day", "region_bucket")
         .option("compression", "zstd").parquet(path))
@@ -72,7 +73,7 @@ def compact_layout(spark: SparkSession, src: str, dst: str, older_than_day: str)
     both sides.
     """
     df = spark.read.parquet(src).where(F.col("day") < F.lit(older_than_day).cast("date"))
-    (df.repartition("day", "region_bucket")
+    (df.hint("rebalance", "day", "region_bucket")
        .sortWithinPartitions("device_id", "region", F.col("time").desc())
        .write.mode("overwrite").partitionBy("day", "region_bucket")
        .option("compression", "zstd").parquet(dst))
@@ -136,7 +137,7 @@ def write_billing_records(df: DataFrame, path: str, mode: str = "append") -> Non
     chunk; a missing status is ``pending``."""
     out = (df.withColumn("status", F.coalesce(F.col("status"), F.lit("pending")))
              .withColumn("chunk", F.floor(F.unix_date(F.to_date("time")) / BILLING_CHUNK_DAYS).cast("int")))
-    (out.repartition("chunk")
+    (out.hint("rebalance", "chunk")
         .sortWithinPartitions("account_id", F.col("time").desc())
         .write.mode(mode).partitionBy("chunk").option("compression", "zstd").parquet(path))
 

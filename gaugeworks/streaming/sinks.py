@@ -41,6 +41,33 @@ def insert_ignore_sink(path: str, keys: list[str], order: str | None = None, par
     return write
 
 
+def gap_sink(path: str, state_path: str, stream: str = "stream_id", seq: str = "sequence", order: list[str] | None = None, chunk=None):
+    """``foreachBatch`` gap monitor; forward jumps go to ``path``, once each.
+
+    A micro-batch is scanned in chunks of its order (as in W2), so one busy
+    stream is many tasks; what earlier batches saw is one maximum per stream,
+    kept per epoch at ``state_path``. A replayed epoch starts from the same
+    state, finds the same gaps and adds none twice.
+    """
+    from ..functions import scan
+    order = order or ["arrival_ts", "arrival_id"]
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = batch.groupBy(stream).agg(F.max(seq).alias("_max"))
+        prev = read_epoch(spark, state_path, before=epoch_id)
+        rows = scan.running_max_before(batch, stream, order, seq, chunk=chunk, out="_prev")
+        if prev is not None:
+            rows = rows.join(prev, stream, "left").withColumn("_prev", F.greatest("_prev", "_max")).drop("_max")
+            seen = seen.unionByName(prev).groupBy(stream).agg(F.max("_max").alias("_max"))
+        gaps = rows.where(F.col("_prev").isNotNull() & (F.col(seq) > F.col("_prev") + 1)).select(
+            stream, (F.col("_prev") + 1).alias("expected_seq"), F.col(seq).alias("observed_seq"), (F.col(seq) - F.col("_prev") - 1).alias("missing_count"))
+        insert_ignore_sink(path, [stream, "observed_seq"])(gaps, epoch_id)
+        write_epoch(seen, state_path, epoch_id)
+
+    return write
+
+
 def sync_state_sink(path: str, sync_id: str = "ledger", seq_col: str = "sequence"):
     """The highest processed sequence, one row per sync id, as a folder per epoch.
 
