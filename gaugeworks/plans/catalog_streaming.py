@@ -23,18 +23,22 @@ def _scratch(spark, name: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/checkpoint"
 
 
-def _arriving(spark, sf_dir, base: str, delay=None, files: int = 4):
-    """The events as a stream of several files in order of arrival, ``delay`` seconds after their time.
+def arriving(df, base: str, at, files: int = 4):
+    """``df`` as a stream of several files in the order of the number ``at``.
 
     The files are written one after the other, as a file stream reads them by age.
     """
-    ev = tables.read_table(spark, sf_dir, "events")
-    at = F.unix_micros(F.col("ts").cast("timestamp")) + (F.lit(0) if delay is None else delay * 1_000_000)
-    cuts = ev.select(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    cuts = df.select(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
     for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = ev if lo is None else ev.where(at >= lo)
+        part = df if lo is None else df.where(at >= lo)
         (part if hi is None else part.where(at < hi)).write.mode("append").parquet(f"{base}/arrived")
-    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
+
+
+def arriving_events(spark, sf_dir, base: str, delay=0):
+    """The events in order of arrival, ``delay`` seconds after their time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + (F.lit(delay) if isinstance(delay, int) else delay) * 1_000_000
+    return arriving(tables.read_table(spark, sf_dir, "events"), base, at)
 
 
 @register("stream_usage_1h", _rollup_sql("1h"))
@@ -43,7 +47,7 @@ def stream_usage_1h(spark, sf_dir):
     micro-batches with late readings, merged into a table."""
     out, ckpt = _scratch(spark, "stream-usage-1h")
     late = F.get_json_object("props", "$.k").cast("int")
-    tel = tables.telemetry_from(_arriving(spark, sf_dir, ckpt + "-src", late))
+    tel = tables.telemetry_from(arriving_events(spark, sf_dir, ckpt + "-src", late))
     q = srollups.run_rollup_stream(spark, tel, "1h", out, checkpoint=ckpt)
     q.awaitTermination()
     return spark.read.parquet(out).drop("day")
@@ -59,7 +63,7 @@ def stream_seq_gaps(spark, sf_dir):
     """Gap monitor over several micro-batches: each is scanned by the hour,
     one maximum per stream is carried, gaps go to an idempotent sink."""
     out, ckpt = _scratch(spark, "stream-gaps")
-    led = tables.ledger_from(_arriving(spark, sf_dir, ckpt + "-src"))
+    led = tables.ledger_from(arriving_events(spark, sf_dir, ckpt + "-src"))
     sink = sinks.gap_sink(out, ckpt + "-state", chunk=time_bucket("1 hour", "arrival_ts"))
     q = led.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -34,4 +34,4 @@ def register(name: str, oracle: str | None = None, bench: bool = False):
 
 def load_all() -> None:
     """Import every catalog module so its ``register`` calls run."""
-    from . import catalog_rollups, catalog_billing, catalog_sequence, catalog_validation, catalog_metrics, catalog_folds, catalog_streaming  # noqa: F401
+    from . import catalog_rollups, catalog_billing, catalog_sequence, catalog_validation, catalog_metrics, catalog_folds, catalog_streaming, catalog_stored  # noqa: F401

@@ -18,8 +18,8 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "
                 "FlatMapGroupsInPandasWithState", "PythonMapInArrow")
 # Operators that are Python by design (ordered folds, binary decoding, sources with a driver-side bound).
 PYTHON_BY_DESIGN = {"reorder_deliver", "rate_limit", "login_limit", "storage_meter",
-                    "nonce_replay", "payload_verdict", "fragment_reassembly", "frame_decode", "compliance_expiry"}
-SIDE_EFFECTING = {"stream_usage_1h", "stream_seq_gaps", "stream_first_claims"}
+                    "nonce_replay", "payload_verdict", "fragment_reassembly", "frame_decode"}
+SIDE_EFFECTING = {n for n in registry.QUERIES if n.startswith("stream_") and n != "stream_dedup_batch"} | {"raw_append", "aged_layout"}
 
 
 def plan(df):
