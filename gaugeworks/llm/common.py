@@ -57,3 +57,12 @@ def spread(rows: int, per_task: int, spark: SparkSession) -> int:
 def text_bytes(col: str):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
+
+
+#: Largest table that is sent whole to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if its counted rows fit BROADCAST_BYTES; a shuffled join beyond it."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, staged
+from .common import broadcast_if_small, spread, staged
 from .components import components
 from .disjoint import union
 
@@ -124,10 +124,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spots = signed.select("*", F.posexplode("buckets").alias("turn", "bucket")).drop("buckets")
     crowded = spots.groupBy("turn", "bucket", "dim").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS) \
         .select("turn", "bucket", "dim", F.expr(f"cast(ceil(n / {BUCKET_ROWS}) as int)").alias("chunks"))
-    crowded = staged(crowded, "vector-crowded")
-    # 24 bytes a crowded bucket: broadcast while that is small, a shuffled join beyond it
-    if crowded.count() * 24 <= 8 << 20:
-        crowded = F.broadcast(crowded)
+    crowded = broadcast_if_small(staged(crowded, "vector-crowded"), 24)
     placed = spots.join(crowded, ["turn", "bucket", "dim"], "left") \
         .withColumn("own", F.expr("cast(pmod(xxhash64(unit), coalesce(chunks, 1)) as int)")) \
         .withColumn("with", F.explode(F.expr("sequence(0, coalesce(chunks, 1) - 1)"))) \

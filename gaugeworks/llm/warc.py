@@ -11,10 +11,12 @@ Reading. Files are read as pieces between magics (``WARC/1.1`` CR LF) in splits
 any size; the split totals give each piece its byte offset. Every piece whose
 header parses is a candidate record with an offset and the offset of its
 successor, by its Content-Length. A payload may hold the magic, even a whole
-forged record, so candidates prove nothing: pointer jumping from offset 0
-of each file doubles the reach per round, and only records reached that way are
-kept. A record whose payload holds a magic lies in several pieces; for those,
-and only if there are any, a second pass gathers the pieces of its span.
+forged record, so candidates prove nothing. Candidates of a split that follow
+each other without a gap are one run: the chain that enters a run passes all that
+is left of it. Pointer jumping over runs, from offset 0 of each file, doubles
+the reach per round, and only records reached that way are kept. A record whose
+payload holds a magic lies in several pieces; for those, and only if there are
+any, a second pass gathers the pieces of its span.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_path, staged
+from .common import broadcast_if_small, shared_path, staged
 
 MAGIC = "WARC/1.1\r\n"
 REVISIT_BYTES = 100
@@ -52,8 +54,9 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
     base = base.withColumn("size", F.octet_length("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     slim = base.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = slim.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
-    rows = base.join(again, ["page_id", "digest"], "left")
+    again = staged(slim.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct(), "warc-revisits")
+    # the payloads are shuffled only if the revisits are too many to send to every executor
+    rows = base.join(broadcast_if_small(again, 96), ["page_id", "digest"], "left")
     revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
@@ -105,18 +108,21 @@ def _pieces(spark: SparkSession, path: str, raw: bool) -> DataFrame:
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
 
     def scan(batches):
-        place, at = None, 0
+        place, at, run, expected = None, 0, 0, None
         for b in batches:
-            out = {c: [] for c in ("local", "size", "next", "whole", "page_id", "kind", "digest", "refers_to", "payload_bytes", "payload_sha")}
+            out = {c: [] for c in ("local", "size", "next", "run", "whole", "page_id", "kind", "digest", "refers_to", "payload_bytes", "payload_sha")}
             for file, split, piece in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if (file, split) != place:
-                    place, at = (file, split), 0
+                    place, at, expected = (file, split), 0, None
                 head = None if raw else parse_header(piece)
                 out["local"].append(at)
                 out["size"].append(len(piece))
-                at += len(piece) + len(MAGIC)
+                here, at = at, at + len(piece) + len(MAGIC)
                 if raw:
                     continue
+                run = run if here == expected else here
+                length = head["head"] + head["length"] + len(MAGIC) + 4 if head else None
+                expected = here + length if head else None
                 whole = head is not None and len(piece) >= head["head"] + head["length"]
                 n, sha = None, None
                 if whole:
@@ -124,7 +130,8 @@ def _pieces(spark: SparkSession, path: str, raw: bool) -> DataFrame:
                     if head["kind"] != "revisit":
                         n, sha = len(body), hashlib.sha256(body).hexdigest()
                 head = head or {}
-                out["next"].append(head["head"] + head["length"] + len(MAGIC) + 4 if head else None)
+                out["next"].append(length)
+                out["run"].append(run)
                 out["whole"].append(whole)
                 for c in ("page_id", "kind", "digest", "refers_to"):
                     out[c].append(head.get(c))
@@ -135,13 +142,13 @@ def _pieces(spark: SparkSession, path: str, raw: bool) -> DataFrame:
             if raw:
                 cols, names = [*cols, b.column(2)], [*names, "piece"]
             else:
-                cols += [pa.array(out["next"], pa.int64()), pa.array(out["whole"], pa.bool_()), pa.array(out["page_id"], pa.int64()),
+                cols += [pa.array(out["next"], pa.int64()), pa.array(out["run"], pa.int64()), pa.array(out["whole"], pa.bool_()), pa.array(out["page_id"], pa.int64()),
                          pa.array(out["kind"], pa.string()), pa.array(out["digest"], pa.string()), pa.array(out["refers_to"], pa.int64()),
                          pa.array(out["payload_bytes"], pa.int64()), pa.array(out["payload_sha"], pa.string())]
-                names += ["next", "whole", "page_id", "kind", "digest", "refers_to", "payload_bytes", "payload_sha"]
+                names += ["next", "run", "whole", "page_id", "kind", "digest", "refers_to", "payload_bytes", "payload_sha"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rest = "piece binary" if raw else f"next bigint, whole boolean, {_FIELDS}, payload_bytes bigint, payload_sha string"
+    rest = "piece binary" if raw else f"next bigint, run bigint, whole boolean, {_FIELDS}, payload_bytes bigint, payload_sha string"
     return text.mapInArrow(scan, f"file bigint, split bigint, local bigint, size bigint, {rest}")
 
 
@@ -170,6 +177,18 @@ def reachable(links: DataFrame) -> DataFrame:
             return nodes.where("reached").select("file", "off")
 
 
+def _on_chain(found: DataFrame) -> DataFrame:
+    """The candidates ``found(file, off, next, run, ...)`` on the chain from offset 0 of their file."""
+    runs = found.groupBy("file", "run").agg(F.max("next").alias("entry"))
+    land = found.select("file", F.col("off").alias("entry"), F.col("run").alias("to"))
+    edges = runs.join(land, ["file", "entry"], "left").checkpoint()
+    reached = reachable(edges.select("file", F.col("run").alias("off"), F.coalesce("to", F.lit(-1)).alias("next")))
+    entries = edges.join(reached.withColumnRenamed("off", "run"), ["file", "run"]).where("to is not null").select("file", F.col("to").alias("run"), "entry")
+    starts = reached.where("off = 0").select("file", F.col("off").alias("run"), F.lit(0).cast("bigint").alias("entry"))
+    entries = entries.unionByName(starts).groupBy("file", "run").agg(F.min("entry").alias("entry"))
+    return found.join(entries, ["file", "run"]).where("off >= entry").drop("entry")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives below ``path``.
 
@@ -179,9 +198,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = staged(_pieces(spark, path, raw=False), "warc-pieces")
     bases = _split_bases(pieces)
-    found = staged(_placed(pieces.where("next is not null"), bases).where("off >= 0")
-                   .withColumn("next", F.col("off") + F.col("next")), "warc-candidates")
-    records = found.join(reachable(found.select("file", "off", "next")), ["file", "off"])
+    found = _placed(pieces.where("next is not null"), bases).where("off >= 0")
+    found = staged(found.withColumn("next", F.col("off") + F.col("next")).withColumn("run", F.col("off") + F.col("run") - F.col("local")), "warc-candidates")
+    records = _on_chain(found)
     columns = ["page_id", "kind", "digest", "refers_to", "payload_bytes", "payload_sha"]
     whole = records.where("whole").select(*columns)
     broken = staged(records.where("not whole"), "warc-broken")
