@@ -156,11 +156,17 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Train on the ``sample_rows`` labelled rows of smallest id hash that are not held out."""
-    sample = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()) \
-        .select(text_bytes(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(id_col).alias("h")) \
-        .orderBy("h", "t").limit(sample_rows).collect()  # bounded by sample_rows
-    return train([(bytes(r["t"]), r["l"]) for r in sample])
+    """Train on about ``sample_rows`` labelled rows that are not held out, at most that many.
+
+    They are the rows whose id hash lies below a threshold set by their count,
+    so tasks send the sample only; rows that share an id give one.
+    """
+    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
+    share = min(1.0, sample_rows / max(labelled.count(), 1))
+    sample = labelled.withColumn("_h", F.xxhash64(id_col)).where(F.col(text_col).isNotNull() & (F.col("_h") <= F.lit(int(share * (2**64 - 1)) - 2**63))) \
+        .groupBy("_h").agg(F.min(F.struct(text_bytes(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))).alias("r"))
+    rows = sorted((r["_h"], bytes(r["r"]["t"]), r["r"]["l"]) for r in sample.collect())  # about sample_rows
+    return train([(t, lang) for _, t, lang in rows[:sample_rows]])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
