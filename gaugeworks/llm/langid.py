@@ -163,7 +163,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
     share = min(1.0, sample_rows / max(labelled.count(), 1))
-    sample = labelled.withColumn("_h", F.xxhash64(id_col)).where(F.col(text_col).isNotNull() & (F.col("_h") <= F.lit(int(share * (2**64 - 1)) - 2**63))) \
+    below = min(int(share * 2**64) - 2**63, 2**63 - 1)
+    sample = labelled.withColumn("_h", F.xxhash64(id_col)).where(F.col(text_col).isNotNull() & (F.col("_h") <= F.lit(below))) \
         .groupBy("_h").agg(F.min(F.struct(text_bytes(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))).alias("r"))
     rows = sorted((r["_h"], bytes(r["r"]["t"]), r["r"]["l"]) for r in sample.collect())  # about sample_rows
     return train([(t, lang) for _, t, lang in rows[:sample_rows]])
