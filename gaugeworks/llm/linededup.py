@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, staged
+
 MIN_SITES = 10
 #: Sketch size (2^12 registers: 1.6 % standard error) and the relative band that gets exact counts (3 errors).
 SKETCH_BITS = 12
@@ -32,10 +34,10 @@ def line_spread(lines: DataFrame, min_sites: int) -> DataFrame:
     spread = lines.groupBy(*key).agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(SKETCH_BITS))).alias("_sites"),
         F.min(F.struct("_id", "_pos")).alias("_first"))
-    spread = spread.where(F.col("_sites") >= int(min_sites * (1 - BAND)))
+    spread = staged(spread.where(F.col("_sites") >= int(min_sites * (1 - BAND))), "line-spread")
     sure = spread.where(F.col("_sites") > min_sites * (1 + BAND))
     near = spread.where(F.col("_sites") <= min_sites * (1 + BAND))
-    exact = lines.join(near.select(*key), key, "left_semi").select(*key, "_site").distinct() \
+    exact = lines.join(broadcast_if_small(near.select(*key), 32), key, "left_semi").select(*key, "_site").distinct() \
         .groupBy(*key).agg(F.count("_site").alias("_n")).where(F.col("_n") >= min_sites)
     return sure.select(*key, "_first").unionByName(near.join(exact, key, "left_semi").select(*key, "_first"))
 
@@ -54,8 +56,9 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = base.select(F.col(id_col).alias("_id"), F.col("_gw_row").alias("_row"), F.col(site_col).cast("string").alias("_site"),
                        F.col(text_col).alias("_text"))
     lines = _lines(slim)
-    spread = line_spread(lines, min_sites)
-    hits = lines.join(spread, ["_h1", "_h2"]).where(~F.struct("_id", "_pos").eqNullSafe(F.col("_first")))
+    # a written table on one side: a common line is broadcast away, or split as the skewed side of a shuffled join
+    spread = staged(line_spread(lines, min_sites), "line-boilerplate")
+    hits = lines.join(broadcast_if_small(spread, 64), ["_h1", "_h2"]).where(~F.struct("_id", "_pos").eqNullSafe(F.col("_first")))
     gone = hits.groupBy("_row").agg(F.collect_set("_pos").alias("_gone"))
     joined = base.join(gone, base["_gw_row"] == gone["_row"], "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
