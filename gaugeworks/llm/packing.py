@@ -111,11 +111,10 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = full.where("k > 1").withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
     out = [*pieces.columns, "sequence_id", "offset"]
     rest = placed.where("number >= bins * k")
-    spare = rest.withColumn("base", F.lit(0).cast("bigint"))
-    total = classes.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("base"))
+    filled = classes.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("bins")).scalar()
     # the left-over pieces: fewer than k per class, whatever the size of the input
-    first_fit = _first_fit(spare.select(*pieces.columns), capacity)
-    first_fit = first_fit.crossJoin(F.broadcast(total)).withColumn("sequence_id", F.col("sequence_id") + F.col("base"))
+    first_fit = _first_fit(rest.select(*pieces.columns), capacity)
+    first_fit = first_fit.withColumn("sequence_id", F.col("sequence_id") + filled)
     return single.select(*out).unionByName(shared.select(*out)).unionByName(first_fit.select(*out))
 
 
