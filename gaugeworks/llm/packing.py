@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import broadcast_if_small, staged
 
 CAPACITY = 4096
 SLACK = 0.01
@@ -50,10 +50,10 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
 
 
 def cut_pieces(docs: DataFrame, length_col: str = "n_ids", capacity: int = CAPACITY, ids_col: str | None = None,
-               id_col: str = "doc_id") -> DataFrame:
+               id_col: str = "doc_id", id_bytes: int = 4) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, class ``k``, ``part`` and ``rank`` in (part, k).
 
-    With ``ids_col`` (binary, 4 bytes an id) each piece also carries its ids.
+    With ``ids_col`` (binary, ``id_bytes`` an id) each piece also carries its ids.
     Rows whose length is null or 0 have no piece.
     """
     id_kind = dict(docs.dtypes)[id_col]
@@ -74,7 +74,7 @@ def cut_pieces(docs: DataFrame, length_col: str = "n_ids", capacity: int = CAPAC
                     rank.append(seen.get(k, 0))
                     seen[k] = rank[-1] + 1
                     if ids_col:
-                        ids.append(texts[i][4 * s:4 * (s + m)])
+                        ids.append(texts[i][id_bytes * s:id_bytes * (s + m)])
             pick = pa.array(row, pa.int64())
             cols = [b.column(0).take(pick), pa.array(start, pa.int64()), pa.array(length, pa.int64()), b.column(1).take(pick),
                     pa.array(cls, pa.int32()), pa.array([part] * len(row), pa.int32()), pa.array(rank, pa.int64())]
@@ -102,8 +102,9 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     classes = classes.select("k", "bins", F.coalesce("first_bin", F.lit(0)).alias("first_bin"))
     before = counts.withColumn("before", F.coalesce(F.sum("here").over(
         Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = before.join(classes, "k").select("k", "part", "before", "bins", "first_bin")
-    placed = pieces.join(place, ["k", "part"]).withColumn("number", F.col("before") + F.col("rank"))
+    place = staged(before.join(classes, "k").select("k", "part", "before", "bins", "first_bin"), "pack-places")
+    # a row per class and partition: pieces are shuffled for it only if that is too many to send to every executor
+    placed = pieces.join(broadcast_if_small(place, 48), ["k", "part"]).withColumn("number", F.col("before") + F.col("rank"))
     full = placed.where("number < bins * k")
     full = full.withColumn("sequence_id", F.expr("first_bin + number div k"))
     inside = Window.partitionBy("sequence_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,7 +140,7 @@ def _first_fit(rest: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, length_col: str = "n_ids", ids_col: str | None = None, id_col: str = "doc_id",
-         capacity: int = CAPACITY) -> DataFrame:
+         capacity: int = CAPACITY, id_bytes: int = 4) -> DataFrame:
     """Pack documents given by their token counts (and ids, if ``ids_col`` names them).
 
     Returns per piece: id, start, length, doc_tokens, sequence_id, offset (gapless
@@ -148,4 +149,4 @@ def pack(docs: DataFrame, length_col: str = "n_ids", ids_col: str | None = None,
     empty table gives no rows, repeated rows are packed once each, a null id is
     kept as it is, and extra columns are ignored.
     """
-    return place_pieces(staged(cut_pieces(docs, length_col, capacity, ids_col, id_col), "pack"), capacity)
+    return place_pieces(staged(cut_pieces(docs, length_col, capacity, ids_col, id_col, id_bytes), "pack"), capacity)

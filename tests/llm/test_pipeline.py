@@ -64,12 +64,12 @@ def test_near_dedup_stage_keeps_one_of_each_group(kept):
 
 
 def test_packing_stage_holds_every_token(kept):
-    enc = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), "word")
-    whole = {i: enc.encode(t or "") + np.array([2], "<u4").tobytes() for i, t in rows(kept["simhash_near_dedup"], "doc_id", "text")}
+    enc = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), "word", 2)
+    whole = {i: enc.encode(t or "") + np.array([2], "<u2").tobytes() for i, t in rows(kept["simhash_near_dedup"], "doc_id", "text")}
     pieces = kept["harmonic_packing"]
-    check_packing(rows(pieces, "doc_id", "start", "length", "sequence_id", "offset"), {i: len(x) // 4 for i, x in whole.items()})
+    check_packing(rows(pieces, "doc_id", "start", "length", "sequence_id", "offset"), {i: len(x) // 2 for i, x in whole.items()})
     for i, start, length, ids in rows(pieces, "doc_id", "start", "length", "ids"):
-        assert bytes(ids) == whole[i][4 * start:4 * (start + length)]
+        assert bytes(ids) == whole[i][2 * start:2 * (start + length)]
 
 
 def test_queries_match_their_sql(spark):
