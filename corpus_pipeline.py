@@ -43,10 +43,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a kept document in sequences of at most 4096 tokens, with its ids (unsigned 32-bit)."""
+    """One row per piece of a kept document in sequences of at most 4096 tokens, with its ids (unsigned, little-endian, 16-bit)."""
     prepare(spark)
-    ids = token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), "word")
-    return packing.pack(ids, ids_col="ids").drop("k", "part", "rank")
+    ids = token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), "word", id_bytes=2)
+    return packing.pack(ids, ids_col="ids", id_bytes=2).drop("k", "part", "rank")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", simhash_near_dedup), ("harmonic_packing", harmonic_packing)]
