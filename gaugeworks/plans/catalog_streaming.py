@@ -4,6 +4,7 @@ back. Each equals its batch twin's oracle."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.timebuckets import time_bucket
 from ..session import checkpoint_root
 from ..sources import tables
+from ..sources.stored import entries, modified
 from ..streaming import rollups as srollups
 from ..streaming import sinks
 from .catalog_rollups import _rollup_sql
@@ -23,16 +25,41 @@ def _scratch(spark, name: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/checkpoint"
 
 
+#: Rows of one arriving file, about.
+FILE_ROWS = 1_000_000
+
+
 def arriving(df, base: str, at, files: int = 4):
     """``df`` as a stream of several files in the order of the number ``at``.
 
-    The files are written one after the other, as a file stream reads them by age.
+    A file stream reads files by age, so the rows are range-partitioned by ``at``
+    first and each range is then one file, written by one sorted task after the
+    file before it is closed. There are ``files`` ranges at least and one per
+    FILE_ROWS rows; rows of equal ``at`` share a range, rows without one come last.
     """
-    cuts = df.select(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = df if lo is None else df.where(at >= lo)
-        (part if hi is None else part.where(at < hi)).write.mode("append").parquet(f"{base}/arrived")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
+    spark = df.sparkSession
+    ranges = max(files, -(-df.count() // FILE_ROWS))
+    df.repartitionByRange(ranges, at.asc_nulls_last()).withColumn("arrival_range", F.spark_partition_id()) \
+        .write.partitionBy("arrival_range").parquet(f"{base}/ranges")
+    parts = sorted(int(n.removeprefix("arrival_range=")) for n in entries(spark, f"{base}/ranges") if n.startswith("arrival_range="))
+    step = max(1, -(-len(parts) // ranges))
+    if not parts:
+        df.limit(0).write.parquet(f"{base}/arrived")
+    age = None
+    for i in range(0, len(parts), step):
+        part = spark.read.schema(df.schema).parquet(*[f"{base}/ranges/arrival_range={n}" for n in parts[i:i + step]])
+        part.coalesce(1).sortWithinPartitions(at.asc_nulls_last()).write.mode("append").parquet(f"{base}/arrived")
+        age = _younger(spark, f"{base}/arrived", age)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
+
+
+def _younger(spark, path: str, age: int | None) -> int:
+    """Time of the newest file in ``path``, which has to be later than ``age``; the clock moves on before this returns."""
+    newest = max(modified(spark, path))
+    if age is not None and newest <= age:
+        raise RuntimeError(f"{path}: file times do not follow the order of writing")
+    time.sleep(1.0 if newest % 1000 == 0 else 0.002)  # some stores keep whole seconds
+    return newest
 
 
 def arriving_events(spark, sf_dir, base: str, delay=0):

@@ -23,6 +23,12 @@ def entries(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if not n.startswith(("_", ".")))
 
 
+def modified(spark: SparkSession, path: str) -> list[int]:
+    """Modification times (ms) of the visible files directly below ``path``."""
+    p, fs = _root(spark, path)
+    return [s.getModificationTime() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))]
+
+
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at ``path``, or None if there are no files; read errors propagate."""
     return spark.read.parquet(path) if entries(spark, path) else None

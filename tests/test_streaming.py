@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import folds, rollups
+from gaugeworks.plans import catalog_streaming
 from gaugeworks.sources import tables
 from gaugeworks.sources.stored import read_epoch
 from gaugeworks.streaming import rollups as srollups
@@ -358,3 +359,26 @@ def test_merge_rollup_recovers_from_a_crash_while_replacing(spark, monkeypatch):
     shutil.rmtree(f"{path}/day=2024-01-01")  # and the partition was already gone
     w(rows(2, 3), 1)
     assert sorted(r.total for r in spark.read.parquet(path).collect()) == [1, 2, 3] and len(taken) == 1
+
+
+def test_arriving_files_follow_arrival_whatever_the_splits(spark, monkeypatch):
+    """Input of several files, row groups and splits in no order, with null times: file age follows arrival."""
+    monkeypatch.setattr(catalog_streaming, "FILE_ROWS", 500, raising=False)
+    src, base = tempfile.mkdtemp(prefix="gw-splits-"), tempfile.mkdtemp(prefix="gw-arrive-")
+    df = spark.range(3000, numPartitions=6).select("id", F.when(F.col("id") % 100 != 7, F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("at"))
+    df.write.mode("append").option("parquet.block.size", "1024").parquet(src)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        stream = catalog_streaming.arriving(spark.read.parquet(src), base, F.col("at"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert stream.isStreaming
+    files = spark.read.parquet(base + "/arrived").select("id", "at", "_metadata.file_path", "_metadata.file_modification_time") \
+        .groupBy("file_path", "file_modification_time").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"),
+                                                            F.count_if(F.col("at").isNull()).alias("nulls")).orderBy("file_modification_time").collect()
+    assert len({f["file_modification_time"] for f in files}) == len(files) >= 6 and max(f["n"] for f in files) <= 1000
+    assert sum(f["n"] for f in files) == 3000 and [f["nulls"] for f in files] == [0] * (len(files) - 1) + [30]
+    assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:]) if b["lo"] is not None)
