@@ -126,6 +126,38 @@ def test_extraction_keeps_unique_runs_only(spark):
     assert html.extract(empty(df)).count() == 0
 
 
+def test_copies_of_a_text_do_not_empty_each_other(spark):
+    prepare(spark)
+    foot, copied = "all rights are reserved by the owner of this site", "a whole text that somebody put on two pages without any element that says so"
+    rows = [(i, f"http://h/{i}", f"<nav>{'menu ' * i}</nav><p>{copied}</p><p>{foot}</p>") for i in (1, 2)]
+    rows += [(3, "http://h/3", f"<p>a page of its own</p><p>{foot}</p>"), (4, "http://i/4", f"<p>{copied}</p><p>{foot}</p>"),
+             (5, "http://i/5", f"<p>{copied}</p>"), (6, "http://i/6", f"<p>{foot}</p>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: copied, 2: copied, 3: "a page of its own", 4: f"{copied}\n\n{foot}", 5: copied, 6: foot}
+
+
+def test_windows_cover_what_maximal_repeats_cover(spark):
+    """Against the longest common run of every pair of places of two pages."""
+    prepare(spark)
+    rng = np.random.default_rng(5)
+    runs = ["".join(f"{w} " for w in rng.integers(0, 4, n)) for n in (3, 5, 6, 7, 9, 14, 20)]
+    texts = [" ".join(f"u{i}x{j} " + runs[k] for j, k in enumerate(rng.integers(0, len(runs), 5))).split() for i in range(12)]
+    want = {}
+    for i, x in enumerate(texts):
+        gone = set()
+        for y in texts[:i] + texts[i + 1:]:
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= html.MIN_TOKENS:
+                        gone.update(range(p, p + n))
+        want[i] = " ".join(t for p, t in enumerate(x) if p not in gone)
+    df = spark.createDataFrame([(i, "http://h/", f"<p>{' '.join(x)}</p>") for i, x in enumerate(texts)], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
+
+
 def test_extraction_of_the_pages_table(spark):
     prepare(spark)
     df = spark.read.parquet(f"{SF}/pages.parquet")
