@@ -34,11 +34,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group (3-word shingles, 3 bits); rows without an id stay."""
+    """One row of each near-duplicate group of texts (3-word shingles, 3 bits), that of smallest id; rows without an id stay.
+
+    Rows that share an id but not a text group are kept each for its group.
+    """
     prepare(spark)
-    groups = simhash.near_duplicates(docs, shingle=3, max_bits=3)
-    keep = groups.where("doc_id = component").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = simhash.survivors(docs, shingle=3, max_bits=3)
+    at = ["doc_id", "text_hash"]
+    kept = docs.withColumn("text_hash", simhash.text_hash("text")).join(keep, at, "left_semi").dropDuplicates(at).drop("text_hash")
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

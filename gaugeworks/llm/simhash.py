@@ -193,3 +193,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where = classes.join(comp, classes["rep"] == comp["node"], "left") \
         .select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(where, "fp", "left").select(id_col, "fp", "component")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``(id_col, text_hash)`` of one row per text group: the smallest id, then the smallest ``text_hash(text_col)``.
+
+    A text group is a component of fingerprints linked by at most ``max_bits``
+    differing bits. Shared ids link nothing, so rows of one id with unrelated
+    texts are judged each in its own group. Rows without an id are left out.
+    """
+    at = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col), text_hash(text_col).alias("text_hash")).alias("at"), text_col)
+    fps = fingerprints(at, "at", text_col, shingle)
+    classes = staged(fps.groupBy("fp").agg(F.min("at").alias("first")), "simhash-classes")
+    comp = components(trie_links(classes.select("fp", F.col("fp").alias("rep")), max_bits), "src", "dst")
+    return classes.join(comp, classes["fp"] == comp["node"], "left").groupBy(F.coalesce("component", "fp").alias("group")) \
+        .agg(F.min("first").alias("first")).select("first.*")
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(text_bytes(text_col))

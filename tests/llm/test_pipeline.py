@@ -63,6 +63,16 @@ def test_near_dedup_stage_keeps_one_of_each_group(kept):
     assert kept["simhash_near_dedup"].columns == kept["documents"].columns
 
 
+def test_near_dedup_stage_keeps_a_row_of_each_text_group_when_ids_clash(spark):
+    """Two rows share id 1 with unrelated texts, each has a copy of another id; id 7 repeats one text."""
+    prepare(spark)
+    x, y, z = ("".join(f"{w}{i} " for i in range(60)) for w in ("red", "blue", "green"))
+    rows_ = [(1, x), (1, y), (2, x), (3, y), (7, z), (7, z), (8, z), (None, z), (9, None), (9, ""), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows_], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = rows(corpus_pipeline.simhash_near_dedup(spark, docs, SF), "doc_id", "text")
+    assert sorted(((i, t or "") for i, t in got), key=str) == sorted([(1, x), (1, y), (7, z), (None, z), (9, "")], key=str)
+
+
 def test_packing_stage_holds_every_token(kept):
     enc = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), "word", 2)
     whole = {i: enc.encode(t or "") + np.array([2], "<u2").tobytes() for i, t in rows(kept["simhash_near_dedup"], "doc_id", "text")}
