@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, linededup, packing, phrases, pieces, simhash, tokenfile, vectors, warc
+from . import hardneg, html, langid, lexical, linededup, oracles, packing, phrases, pieces, simhash, tokenfile, urls, vectors, warc
 from .common import table
 from .tokens import token_ids
 
@@ -70,11 +70,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("part")
 
 
+#: (verdict, host and path) of the registered URL filter.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page URL judged by rules and, where none fits, by character models."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector against all vectors."""
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), label, anchor=F.expr("coalesce(vec_id % 100 = 0, false)"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ranked for every benchmark item."""
+    out = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_harmonic_packing, op3_warc_archive, op4_html_main_text, op5_embedding_near_dedup, op6_simhash_near_dedup,
-    op7_sentencepiece, op8_phrase_fingerprints, op9_language_id, op10_token_files)}
+    op7_sentencepiece, op8_phrase_fingerprints, op9_language_id, op10_token_files, op11_url_filter, op12_hard_negatives, op13_lexical_search)}
 
 ORACLE = {
+    "op11_url_filter": oracles.URL_FILTER,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_lexical_search": oracles.LEXICAL,
     "op1_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, source, pos, raw, trim(raw, ' ') AS line
