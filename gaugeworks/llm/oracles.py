@@ -96,9 +96,9 @@ scores AS (
 bins AS (
     SELECT bin, count(*) FILTER (side = 1) AS a, count(*) FILTER (side = 0) AS r
     FROM (SELECT side, floor(score::DOUBLE / 1000) AS bin FROM scores WHERE checks AND side IS NOT NULL) GROUP BY bin),
-marks AS (SELECT bin, a, r FROM bins UNION ALL SELECT max(bin) + 1, 0, 0 FROM bins HAVING count(*) > 0),
+marks AS (SELECT bin, a, r FROM bins UNION ALL SELECT 1e18, 0, 0),
 quality AS (
-    SELECT bin, (SELECT sum(a) FROM bins) AS all_a, (SELECT sum(r) FROM bins) AS all_r,
+    SELECT greatest(least(0, bin), lag(bin) OVER (ORDER BY bin) + 1) AS bin, (SELECT sum(a) FROM bins) AS all_a, (SELECT sum(r) FROM bins) AS all_r,
            sum(a) OVER (ORDER BY bin DESC) AS above, sum(r) OVER (ORDER BY bin) - r AS under FROM marks),
 least AS (
     SELECT coalesce(arg_min(bin, (-(above * all_r + under * all_a), abs(bin), bin)), 0) * 1000 AS score

@@ -113,11 +113,13 @@ def threshold(scored: DataFrame) -> int:
     all_a, all_r = sum(b["a"] for b in bins), sum(b["r"] for b in bins)
     if not all_a or not all_r:
         return 0
-    best, over, under = None, all_a, 0
-    for at, a, r in [*[(b["bin"], b["a"], b["r"]) for b in bins], (bins[-1]["bin"] + 1, 0, 0)]:
-        rank = (-(over * all_r + under * all_a), abs(at), at)
+    best, over, under, past = None, all_a, 0, None
+    for at, a, r in [*[(b["bin"], b["a"], b["r"]) for b in bins], (1 << 62, 0, 0)]:
+        # every bin after the last one seen up to this one parts the URLs alike
+        near = min(0, at) if past is None else max(past + 1, min(0, at))
+        rank = (-(over * all_r + under * all_a), abs(near), near)
         best = min(best or rank, rank)
-        over, under = over - a, under + r
+        over, under, past = over - a, under + r, at
     return best[2]
 
 

@@ -240,7 +240,7 @@ def plain_judge(all_urls, rules):
     a, r = (sum(v == x for _, v in held) for x in ("allow", "block"))
     least = 0
     if a and r:
-        marks = {b for b, _ in held} | {max(b for b, _ in held) + 1}
+        marks = range(min(0, *(b for b, _ in held)), max(0, *(b for b, _ in held)) + 2)
         least = min((-(sum(b >= m and v == "allow" for b, v in held) * r + sum(b < m and v == "block" for b, v in held) * a), abs(m), m) for m in marks)[2]
     return [(h, p_, rule, v or ("allow" if score(t) >= least * urls.BIN else "block")) for h, p_, t, rule, v in out]
 
