@@ -43,6 +43,28 @@ def running_max_before(df: DataFrame, keys, order: Sequence[str], value: str,
              .drop("_chunk", "_in_max", "_carry_max"))
 
 
+def running_sum_before(df: DataFrame, keys, order: Sequence[str], value: str | Column,
+                       chunk: Column | None = None, out: str = "prev_sum") -> DataFrame:
+    """Add ``out`` = sum of ``value`` over earlier rows of the same key (0 for the first)."""
+    keys = _cols(keys)
+    d = _with_chunk(df, chunk).withColumn("_add", F.col(value) if isinstance(value, str) else value)
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in_sum", F.sum("_add").over(inner))
+    summary = d.groupBy(*keys, "_chunk").agg(F.sum("_add").alias("_chunk_sum"))
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, "_chunk", F.sum("_chunk_sum").over(across).alias("_carry_sum"))
+    return (d.join(carry, [*keys, "_chunk"], "left")
+             .withColumn(out, (F.coalesce("_carry_sum", F.lit(0)) + F.coalesce("_in_sum", F.lit(0))).cast("bigint"))
+             .drop("_chunk", "_add", "_in_sum", "_carry_sum"))
+
+
+def even_chunks(lead: Column, low: float, high: float, rows: int, per_chunk: int) -> Column:
+    """Chunk number of a numeric order column: equal ranges of ``[low, high]``, about ``per_chunk`` rows each."""
+    n = max(1, -(-rows // per_chunk))
+    width = (high - low) / n
+    return F.floor((lead - F.lit(low)) / F.lit(width)).cast("bigint") if n > 1 and width > 0 else F.lit(0)
+
+
 def row_number_in_order(df: DataFrame, keys, order: Sequence[str], chunk: Column | None = None,
                         out: str = "rn") -> DataFrame:
     """Add ``out`` = 1-based position of the row in its key's order (dense, no ties)."""

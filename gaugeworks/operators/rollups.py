@@ -96,14 +96,18 @@ def rollup_chain(telemetry: DataFrame) -> dict[str, DataFrame]:
     return {k: _finalize(v, ["bucket", "device_id"]) for k, v in states.items()}
 
 
+def billing_aggs() -> list[Column]:
+    """Measures of the billing view."""
+    return [F.sum("usage_amount").cast("bigint").alias("total_usage"),
+            F.count(F.lit(1)).alias("transaction_count"),
+            F.count_if(F.col("status") == "settled").alias("settled_count"),
+            F.count_if(F.col("status") == "failed").alias("failed_count"),
+            F.max("time").alias("_aggregate_watermark")]
+
+
 def billing_daily(records: DataFrame) -> DataFrame:
     """Daily billing summary per (bucket, account, device)."""
-    return (records.groupBy(time_bucket("1 day", "time").alias("bucket"), "account_id", "device_id")
-                   .agg(F.sum("usage_amount").cast("bigint").alias("total_usage"),
-                        F.count(F.lit(1)).alias("transaction_count"),
-                        F.count_if(F.col("status") == "settled").alias("settled_count"),
-                        F.count_if(F.col("status") == "failed").alias("failed_count"),
-                        F.max("time").alias("_aggregate_watermark")))
+    return records.groupBy(time_bucket("1 day", "time").alias("bucket"), "account_id", "device_id").agg(*billing_aggs())
 
 
 def batch_compact(telemetry: DataFrame, window_ms: int = 300_000) -> DataFrame:

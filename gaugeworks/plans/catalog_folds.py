@@ -240,32 +240,28 @@ def login_limit(spark, sf_dir):
 
 
 @register("storage_meter", with_views("telemetry", extra="""
-o AS (SELECT device_id, event_id, epoch_us(time) // 1000000 AS t, CAST(k * 15 AS BIGINT) AS n,
+o AS (SELECT device_id, event_id, epoch_us(time) // 1000000 AS t, CAST(k * 15 AS BIGINT) AS n, CASE WHEN k % 8 = 5 THEN CAST(k * 2500 AS BIGINT) END AS freed,
              row_number() OVER (PARTITION BY device_id ORDER BY epoch_us(time) // 1000000, event_id) AS rn FROM telemetry),
-r AS (SELECT device_id, rn, event_id,
-             CASE WHEN n > 1000 THEN 'burst_exceeded' WHEN n * 512 > 524288 THEN 'capacity_exceeded' ELSE 'ok' END AS result,
-             CASE WHEN n <= 1000 AND n * 512 <= 524288 THEN n * 512 ELSE 0 END AS usage_bytes,
-             CASE WHEN n <= 1000 AND n * 512 <= 524288 THEN n ELSE 0 END AS metered_entries,
-             t + 604800 AS deadline
-      FROM o WHERE rn = 1
+r AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS result,
+             CAST(0 AS BIGINT) AS usage_bytes, CAST(0 AS BIGINT) AS metered_entries, CAST(NULL AS BIGINT) AS deadline
+      FROM o
       UNION ALL
-      SELECT o.device_id, o.rn, o.event_id,
-             CASE WHEN NOT r.deadline > o.t THEN 'ttl_expired' WHEN o.n > 1000 THEN 'burst_exceeded'
-                  WHEN r.usage_bytes + o.n * 512 > 524288 THEN 'capacity_exceeded' ELSE 'ok' END,
-             CASE WHEN r.deadline > o.t AND o.n <= 1000 AND r.usage_bytes + o.n * 512 <= 524288
-                  THEN r.usage_bytes + o.n * 512 ELSE r.usage_bytes END,
-             CASE WHEN r.deadline > o.t AND o.n <= 1000 AND r.usage_bytes + o.n * 512 <= 524288
-                  THEN r.metered_entries + o.n ELSE r.metered_entries END,
-             CASE WHEN r.deadline > o.t AND o.n <= 1000 AND r.usage_bytes + o.n * 512 <= 524288
-                  THEN o.t + 604800 ELSE r.deadline END
-      FROM r JOIN o ON o.device_id = r.device_id AND o.rn = r.rn + 1)""", recursive=True) + """SELECT device_id, event_id, result, CAST(usage_bytes AS BIGINT) AS usage_bytes, CAST(metered_entries AS BIGINT) AS metered_entries
-FROM r""")
+      SELECT device_id, rn, event_id, result,
+             CASE WHEN result = 'ok' THEN usage_bytes + n * 512 WHEN result <> 'freed' THEN usage_bytes WHEN freed > usage_bytes THEN 0 ELSE usage_bytes - freed END,
+             CASE WHEN result = 'ok' THEN metered_entries + n WHEN result <> 'freed' THEN metered_entries
+                  WHEN freed > usage_bytes THEN 0 ELSE greatest(0, metered_entries - freed // 512) END,
+             CASE WHEN result = 'ok' THEN t + 604800 WHEN result = 'freed' THEN deadline ELSE held END
+      FROM (SELECT o.device_id, o.rn, o.event_id, o.t, o.n, o.freed, r.usage_bytes, r.metered_entries, r.deadline, coalesce(r.deadline, o.t + 604800) AS held,
+                   CASE WHEN o.freed IS NOT NULL THEN 'freed' WHEN coalesce(r.deadline, o.t + 604800) <= o.t THEN 'ttl_expired'
+                        WHEN o.n > 1000 THEN 'burst_exceeded' WHEN r.usage_bytes + o.n * 512 > 524288 THEN 'capacity_exceeded' ELSE 'ok' END AS result
+            FROM r JOIN o ON o.device_id = r.device_id AND o.rn = r.rn + 1))""", recursive=True) + """SELECT device_id, event_id, result, usage_bytes, metered_entries
+FROM r WHERE rn > 0""")
 def storage_meter(spark, sf_dir):
-    """Metered storage per device (TTL, burst and capacity checks)."""
+    """Metered storage per device (TTL, burst and capacity checks); every eighth event or so frees bytes, which lifts the capacity check."""
     t = tables.telemetry(spark, sf_dir)
     b = t.select("device_id", "event_id", F.unix_seconds(F.col("time").cast("timestamp")).alias("time_s"),
-                 (F.col("k") * 15).cast("bigint").alias("n_events"))
-    return folds.storage_meter(b, order=["time_s", "event_id"]).select(
+                 (F.col("k") * 15).cast("bigint").alias("n_events"), F.when(F.col("k") % 8 == 5, (F.col("k") * 2500).cast("bigint")).alias("freed"))
+    return folds.storage_meter(b, order=["time_s", "event_id"], freed="freed").select(
         "device_id", "event_id", "result", "usage_bytes", "metered_entries")
 
 
@@ -294,39 +290,41 @@ def state_replay(spark, sf_dir):
 
 
 def _cycle_requests(spark, sf_dir):
+    """Finalize requests by record: some name no cycle, a third read their cycle before any request ran, some hold an older version."""
     r = tables.billing_records(spark, sf_dir)
-    cycle = F.when(F.col("record_id") % 17 == 0, F.concat(F.lit("missing:"), F.col("cycle_id"))).otherwise(F.col("cycle_id"))
-    req = r.select(F.col("record_id").alias("request_order"), cycle.alias("cycle_id"),
-                   F.concat(F.lit("key-"), (F.col("record_id") % 5000).cast("string")).alias("idempotency_key"))
+    k = F.col("record_id")
+    cycle = F.when(k % 17 == 0, F.concat(F.lit("missing:"), F.col("cycle_id"))).otherwise(F.col("cycle_id"))
     acct_no = F.regexp_replace("account_id", "acct-", "").cast("bigint")
-    cycles = (r.select("cycle_id", acct_no.alias("acct_no")).distinct()
-               .select("cycle_id", F.when(F.col("acct_no") % 10 == 0, "SETTLED").otherwise("OPEN").alias("state"),
-                       F.lit(1).alias("lock_version")))
+    state = F.when(acct_no % 10 == 0, "SETTLED").otherwise("OPEN")
+    early, older = (k % 17 != 0) & (k % 3 == 0), (k % 17 != 0) & (k % 11 == 0)
+    req = r.select(k.alias("request_order"), cycle.alias("cycle_id"), F.concat(F.lit("key-"), (k % 5000).cast("string")).alias("idempotency_key"),
+                   F.when(older, F.lit("OPEN")).when(early, state).alias("seen_state"),
+                   F.when(older, F.lit(0)).when(early, F.lit(1)).cast("bigint").alias("seen_version"))
+    cycles = r.select("cycle_id", state.alias("state")).distinct().withColumn("lock_version", F.lit(1))
     return req, cycles
 
 
 @register("cycle_finalize", with_views("billing_records", extra="""
-req AS (SELECT record_id AS request_order,
-               CASE WHEN record_id % 17 = 0 THEN 'missing:' || cycle_id ELSE cycle_id END AS cycle_id,
-               'key-' || CAST(record_id % 5000 AS VARCHAR) AS idempotency_key FROM billing_records),
+req AS (SELECT record_id AS request_order, CASE WHEN record_id % 17 = 0 THEN 'missing:' || cycle_id ELSE cycle_id END AS cycle_id,
+               'key-' || CAST(record_id % 5000 AS VARCHAR) AS idempotency_key,
+               CASE WHEN record_id % 17 = 0 THEN NULL WHEN record_id % 11 = 0 THEN 'older' WHEN record_id % 3 = 0 THEN 'early' END AS read FROM billing_records),
 cyc AS (SELECT DISTINCT cycle_id, CASE WHEN CAST(replace(account_id, 'acct-', '') AS BIGINT) % 10 = 0 THEN 'SETTLED' ELSE 'OPEN' END AS state
         FROM billing_records),
-r AS (SELECT req.*, cyc.state AS initial_state FROM req LEFT JOIN cyc ON req.cycle_id = cyc.cycle_id),
-cas AS (SELECT cycle_id, MIN(request_order) AS cas_order, arg_min(idempotency_key, request_order) AS cas_key
-        FROM r WHERE initial_state = 'OPEN' GROUP BY cycle_id),
-cas2 AS (SELECT *, row_number() OVER (PARTITION BY cas_key ORDER BY cas_order) = 1 AS fresh FROM cas),
-j AS (SELECT r.*, cas2.cas_order, cas2.fresh FROM r LEFT JOIN cas2 ON r.cycle_id = cas2.cycle_id)""") + """SELECT request_order, cycle_id, idempotency_key,
-       CASE WHEN initial_state IS NULL THEN 'not_found'
-            WHEN cas_order IS NOT NULL AND request_order = cas_order AND fresh THEN 'finalized'
-            WHEN cas_order IS NOT NULL AND request_order = cas_order THEN 'duplicate_replay'
-            ELSE 'not_open' END AS outcome,
-       COALESCE(initial_state IS NOT NULL AND cas_order IS NOT NULL AND request_order = cas_order AND fresh, false) AS finalized,
-       CASE WHEN initial_state IS NULL THEN NULL
-            WHEN cas_order IS NOT NULL THEN CASE WHEN fresh THEN 'FINALIZED' ELSE 'FINALIZING' END
-            ELSE initial_state END AS observed_state
-FROM j""")
+r AS (SELECT req.*, cyc.state AS initial FROM req LEFT JOIN cyc ON req.cycle_id = cyc.cycle_id),
+-- an older version never wins; all others that find the cycle OPEN do, and the first of them ends that
+winners AS (SELECT cycle_id, MIN(request_order) AS first_at, arg_min(idempotency_key, request_order) AS key
+            FROM r WHERE initial = 'OPEN' AND read IS DISTINCT FROM 'older' GROUP BY cycle_id),
+claims AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first_at) = 1 AS fresh FROM winners),
+j AS (SELECT r.*, c.first_at, c.fresh, CASE WHEN c.first_at <= r.request_order THEN CASE WHEN c.fresh THEN 'FINALIZED' ELSE 'FINALIZING' END ELSE initial END AS now
+      FROM r LEFT JOIN claims c ON r.cycle_id = c.cycle_id),
+k AS (SELECT *, CASE WHEN initial IS NULL THEN 'not_found'
+                     WHEN first_at = request_order THEN CASE WHEN fresh THEN 'finalized' ELSE 'duplicate_replay' END
+                     WHEN read IS NULL THEN 'not_open'
+                     WHEN read = 'early' AND initial <> 'OPEN' THEN 'not_open'
+                     ELSE 'lost_race' END AS outcome FROM j)""") + """SELECT request_order, cycle_id, idempotency_key, outcome, outcome = 'finalized' AS finalized, now AS observed_state
+FROM k""")
 def cycle_finalize(spark, sf_dir):
-    """Finalize requests applied in order; CAS winner per cycle, first key wins."""
+    """Finalize requests with the versions they saw; one compare-and-set winner per version, first claim per key."""
     req, cycles = _cycle_requests(spark, sf_dir)
     return folds.finalize_cycles(req, cycles)
 
@@ -448,11 +446,13 @@ def proof_audit(spark, sf_dir):
                     V.range_proof_ok(F.col("proof"), F.col("device_id"), F.col("lower"), F.col("upper")).alias("verified"))
 
 
-@register("fragment_reassembly", """WITH RECURSIVE c AS (
-  SELECT 'conn-' || CAST(conv_id AS VARCHAR) AS connection_id, turn * 10000 AS now_ms,
-         strlen(text) + CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS clen, turn % 3 <> 2 AS term,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
-  FROM conversations),
+_FRAGMENTS_SQL = """WITH RECURSIVE shaped AS (
+  SELECT *, conv_id % 4 = 2 AND turn >= 2 AS big FROM conversations),
+c AS (
+  SELECT 'conn-' || CAST(conv_id AS VARCHAR) AS connection_id, (turn + 1) * CASE WHEN conv_id % 4 = 1 THEN 40000 ELSE 10000 END AS now_ms,
+         CASE WHEN big THEN strlen(text) * (1 + 40000 // strlen(text)) ELSE strlen(text) END + CASE WHEN turn % 3 = 2 OR big THEN 0 ELSE 1 END AS clen,
+         turn % 3 <> 2 AND NOT big AS term, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+  FROM shaped),
 r AS (SELECT DISTINCT connection_id, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS buf, CAST(NULL AS BIGINT) AS armed,
              false AS closed, false AS fired, CAST(0 AS BIGINT) AS fired_buf, false AS was_closed, false AS too_big,
              CAST(0 AS BIGINT) AS big_buf, CAST(NULL AS BIGINT) AS msg
@@ -473,14 +473,25 @@ SELECT connection_id, pos AS event_pos, 'partial_message_timeout' AS kind, CAST(
        fired_buf AS buffer_bytes FROM r WHERE pos >= 0 AND fired
 UNION ALL SELECT connection_id, pos, 'closed', NULL, 0 FROM r WHERE pos >= 0 AND was_closed
 UNION ALL SELECT connection_id, pos, 'partial_message_too_large', NULL, big_buf FROM r WHERE pos >= 0 AND too_big
-UNION ALL SELECT connection_id, pos, 'message', CAST(msg AS INTEGER), NULL FROM r WHERE pos >= 0 AND msg IS NOT NULL""")
+UNION ALL SELECT connection_id, pos, 'message', CAST(msg AS INTEGER), NULL FROM r WHERE pos >= 0 AND msg IS NOT NULL"""
+
+
+def _chunks(conversations: DataFrame) -> DataFrame:
+    """Conversation turns as chunks of one connection each: every third turn lacks its terminator.
+
+    Turns are 10 s apart, on every fourth connection 40 s (over the 30 s that a partial message may wait); on
+    another fourth all turns from the third on are 40 KB without an end, so the 64 KiB limit closes it.
+    """
+    big = (F.col("conv_id") % 4 == 2) & (F.col("turn") >= 2)
+    raw = F.encode("text", "UTF-8")
+    long = F.encode(F.expr("repeat(text, cast(1 + 40000 div octet_length(text) as int))"), "UTF-8")
+    chunk = F.when(big, long).when(F.col("turn") % 3 == 2, raw).otherwise(F.concat(raw, F.unhex(F.lit("00"))))
+    return conversations.select(F.concat(F.lit("conn-"), F.col("conv_id").cast("string")).alias("connection_id"),
+                                ((F.col("turn") + 1) * F.when(F.col("conv_id") % 4 == 1, 40000).otherwise(10000)).alias("time_ms"), "turn", chunk.alias("chunk"))
+
+
+@register("fragment_reassembly", _FRAGMENTS_SQL)
 def fragment_reassembly(spark, sf_dir):
-    """R9 batch twin: conversation turns as chunks of one connection; every
-    third turn lacks its terminator; turns are 10 s apart (30 s timeout)."""
-    c = tables.read_table(spark, sf_dir, "conversations")
-    chunk = F.when(F.col("turn") % 3 == 2, F.encode("text", "UTF-8")).otherwise(
-        F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("00"))))
-    d = c.select(F.concat(F.lit("conn-"), F.col("conv_id").cast("string")).alias("connection_id"),
-                 (F.col("turn") * 10000).alias("time_ms"), chunk.alias("chunk"))
-    out = folds.reassemble(d)
+    """R9 batch twin: messages, timeouts, oversize partials and chunks after the closing."""
+    out = folds.reassemble(_chunks(tables.read_table(spark, sf_dir, "conversations")).drop("turn"))
     return out.select("connection_id", "event_pos", "kind", F.length("payload").alias("payload_bytes"), "buffer_bytes")

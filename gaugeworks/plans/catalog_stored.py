@@ -9,16 +9,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.timebuckets import epoch_ms
 from ..operators import billing, folds
 from ..sources import tables, telemetry_store
 from ..streaming import ledger_bus, sinks, stateful
 from ..streaming import rollups as srollups
 from . import catalog_folds, catalog_metrics, catalog_sequence  # noqa: F401  (their SQL is shared)
-from .catalog_folds import HOUR_MS, _frames
+from .catalog_folds import _FRAGMENTS_SQL, _chunks, _frames
 from .catalog_rollups import _rollup_sql
-from .catalog_streaming import _scratch, arriving, arriving_events
-from .oracle_views import with_views
+from .catalog_streaming import CLOCK_SQL, _clock, _scratch, arriving, arriving_events
+from .oracle_views import K, with_views
 from .registry import ORACLE, register
 
 
@@ -100,12 +99,22 @@ def stream_ledger(spark, sf_dir):
 # --------------------------------------------------------------------------- stateful streams
 
 
-@register("stream_replay_guard", ORACLE["nonce_replay"])
+@register("stream_replay_guard", "WITH RECURSIVE " + CLOCK_SQL + f""",
+o AS (SELECT event_id, CAST(user_id AS VARCHAR) || ':' || CAST({K} % 10 AS VARCHAR) AS nonce, time_ms,
+             row_number() OVER (PARTITION BY user_id, {K} % 10 ORDER BY time_ms, event_id) AS rn FROM clock),
+r AS (SELECT nonce, rn, event_id, time_ms, time_ms + 5000 AS expires, false AS replay FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.nonce, o.rn, o.event_id, o.time_ms, CASE WHEN r.expires > o.time_ms THEN r.expires ELSE o.time_ms + 5000 END, r.expires > o.time_ms
+      FROM r JOIN o ON o.nonce = r.nonce AND o.rn = r.rn + 1)
+SELECT event_id, nonce, time_ms, replay FROM r""")
 def stream_replay_guard(spark, sf_dir):
-    """The exact replay guard with one expiry per nonce in the state store."""
+    """The exact replay guard with its 5 s window; a nonce leaves the state store when its claim expires."""
     out, ckpt = _scratch(spark, "replay")
-    p = tables.payloads_from(arriving_events(spark, sf_dir, ckpt + "-src")).select("event_id", "nonce", "ts_ms")
-    return _run(stateful.stream_fold(p, "nonce", ["ts_ms", "event_id"], folds.replay_spec("ts_ms", HOUR_MS)), out, ckpt)
+    ev = _clock(spark, sf_dir, ckpt + "-src")
+    k = F.get_json_object("props", "$.k").cast("int")
+    p = ev.select("event_id", F.concat(F.col("user_id").cast("string"), F.lit(":"), (k % 10).cast("string")).alias("nonce"), "time_ms", "event_time")
+    rows = stateful.stream_fold(p, "nonce", ["time_ms", "event_id"], folds.replay_spec("time_ms"), expires=lambda expires: expires)
+    return _run(rows, out, ckpt).drop("event_time")
 
 
 @register("stream_reorder", ORACLE["reorder_deliver"])
@@ -116,27 +125,55 @@ def stream_reorder(spark, sf_dir):
     return _run(stateful.stream_fold(frames, "device_id", ["arrival"], folds.reorder_spec()), out, ckpt)
 
 
-@register("stream_rate_limit", ORACLE["rate_limit"])
+@register("stream_rate_limit", "WITH RECURSIVE " + CLOCK_SQL + f""",
+req AS (SELECT 'gw-' || CAST(user_id % 10 AS VARCHAR) AS device_id, event_id, time_ms AS t, CAST({K} % 100 AS DOUBLE) / 100 AS c,
+               [10, 100, 500][CAST(user_id % 10 % 3 AS INTEGER) + 1] AS tier FROM clock),
+eager AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t, event_id) AS n FROM req WHERE c > 0.95),
+bursts AS (SELECT device_id, n, t, event_id, t AS began, true AS starts FROM eager WHERE n = 1
+           UNION ALL
+           SELECT e.device_id, e.n, e.t, e.event_id, CASE WHEN e.t - b.began >= 60000 THEN e.t ELSE b.began END, e.t - b.began >= 60000
+           FROM bursts b JOIN eager e ON e.device_id = b.device_id AND e.n = b.n + 1),
+sized AS (SELECT r.device_id, r.event_id, r.t, CASE WHEN count(s.t) > 0 THEN 3 ELSE 1 END AS boost, any_value(r.tier) AS tier, any_value(r.c) AS c
+          FROM req r LEFT JOIN (SELECT * FROM bursts WHERE starts) s
+            ON s.device_id = r.device_id AND (s.t, s.event_id) <= (r.t, r.event_id) AND r.t - s.t < 5000
+          GROUP BY r.device_id, r.event_id, r.t),
+ready AS (SELECT *, CAST(tier * boost AS DOUBLE) AS cap, CAST(tier AS DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * c) * boost::DOUBLE AS rate,
+                 row_number() OVER (PARTITION BY device_id ORDER BY t, event_id) AS n FROM sized),
+filled AS (SELECT device_id, n, event_id, t, cap, rate, cap AS before FROM ready WHERE n = 1
+           UNION ALL
+           SELECT r.device_id, r.n, r.event_id, r.t, r.cap, r.rate,
+                  CASE WHEN r.t - f.t >= 3600000 THEN r.cap
+                       ELSE least(r.cap, f.before - CASE WHEN f.before >= 1 THEN 1 ELSE 0 END + CAST(r.t - f.t AS DOUBLE) / 1000.0::DOUBLE * r.rate) END
+           FROM filled f JOIN ready r ON r.device_id = f.device_id AND r.n = f.n + 1),
+spent AS (SELECT *, before - CASE WHEN before >= 1 THEN 1 ELSE 0 END AS after FROM filled)
+SELECT device_id, event_id, before >= 1 AS allowed, CAST(floor(after) AS BIGINT) AS tokens_remaining, CAST(cap AS BIGINT) AS max_tokens,
+       t + CASE WHEN after < 1 THEN CAST(ceil((1 - after) / rate * 1000) AS BIGINT) ELSE 0 END AS reset_at_ms
+FROM spent""")
 def stream_rate_limit(spark, sf_dir):
-    """The token bucket with burst clock and level in the state store."""
+    """The token bucket per gateway at its real rates; an idle gateway leaves the state store after 3600 s."""
     out, ckpt = _scratch(spark, "rate-limit")
-    t = tables.telemetry_from(arriving_events(spark, sf_dir, ckpt + "-src"))
+    ev = _clock(spark, sf_dir, ckpt + "-src")
+    gateway = F.col("user_id") % 10
     tiers = F.array(F.lit("free"), F.lit("standard"), F.lit("enterprise"))
-    req = t.select("device_id", "event_id", epoch_ms("time").alias("time_ms"),
-                   F.element_at(tiers, (F.col("user_id") % 3 + 1).cast("int")).alias("billing_tier"), ((F.col("k") % 100) / 100.0).alias("compliance"))
-    rows = _run(stateful.stream_fold(req, "device_id", ["time_ms", "event_id"], folds.token_bucket_spec(unit_s=3600.0)), out, ckpt)
+    k = F.get_json_object("props", "$.k").cast("int")
+    req = ev.select(F.concat(F.lit("gw-"), gateway.cast("string")).alias("device_id"), "event_id", "time_ms",
+                    F.element_at(tiers, (gateway % 3 + 1).cast("int")).alias("billing_tier"), ((k % 100) / 100.0).alias("compliance"), "event_time")
+    rows = _run(stateful.stream_fold(req, "device_id", ["time_ms", "event_id"], folds.token_bucket_spec(), expires=folds.bucket_expiry()), out, ckpt)
     return rows.select("device_id", "event_id", "allowed", "tokens_remaining", "max_tokens", "reset_at_ms")
 
 
-@register("stream_fragments", ORACLE["fragment_reassembly"])
+@register("stream_fragments", _FRAGMENTS_SQL + """
+UNION ALL SELECT connection_id, pos + 1, 'partial_message_timeout', NULL, buf FROM r
+WHERE armed IS NOT NULL AND armed + 30000 < (SELECT max(now_ms) - 1000 FROM c) AND (connection_id, pos) IN (SELECT connection_id, max(pos) FROM c GROUP BY 1)""")
 def stream_fragments(spark, sf_dir):
-    """Fragment reassembly per connection, turns arriving in several files."""
+    """Fragment reassembly per connection over several files; a partial message also times out when no chunk follows.
+
+    A connection is in the state store only while a message is incomplete or shortly after it was closed.
+    """
     out, ckpt = _scratch(spark, "fragments")
-    c = arriving(tables.read_table(spark, sf_dir, "conversations"), ckpt + "-src", F.col("turn"))
-    text = F.encode("text", "UTF-8")
-    d = c.select(F.concat(F.lit("conn-"), F.col("conv_id").cast("string")).alias("connection_id"), (F.col("turn") * 10000).alias("time_ms"),
-                 F.when(F.col("turn") % 3 == 2, text).otherwise(F.concat(text, F.unhex(F.lit("00")))).alias("chunk"))
-    rows = _run(stateful.stream_reassemble(d), out, ckpt)
+    chunks = _chunks(tables.read_table(spark, sf_dir, "conversations"))
+    d = arriving(chunks, ckpt + "-src", F.col("time_ms")).withColumn("event_time", F.timestamp_millis("time_ms")).withWatermark("event_time", "1 second")
+    rows = _run(stateful.stream_reassemble(d, timeout_ms=folds.MESSAGE_TIMEOUT_MS, position="turn"), out, ckpt)
     return rows.select("connection_id", "event_pos", "kind", F.length("payload").alias("payload_bytes"), "buffer_bytes")
 
 
@@ -150,6 +187,52 @@ def stream_refresh(spark, sf_dir):
     return spark.read.parquet(f"{out}/hourly").drop("day")
 
 
+# --------------------------------------------------------------------------- views by their refresh policy
+
+
+def _arriving_orders(spark, sf_dir, base: str):
+    orders = tables.read_table(spark, sf_dir, "orders")
+    return arriving(orders, base, F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+
+
+def _due_sql(rollup: str, width: str, end_offset: str, source: str) -> str:
+    """The rows of ``rollup`` that are closed for ``end_offset`` when the latest row has come."""
+    return f"SELECT * FROM ({rollup}) WHERE bucket + INTERVAL {width} + INTERVAL {end_offset} <= (SELECT max(time) FROM ({source}))"
+
+
+@register("stream_usage_due", _due_sql(_rollup_sql("1h"), "1 HOUR", "1 HOUR", "SELECT ts AS time FROM events"))
+def stream_usage_due(spark, sf_dir):
+    """The hourly view by its policy: a bucket appears an hour after its end, then late readings correct it."""
+    out, ckpt = _scratch(spark, "usage-due")
+    late = F.get_json_object("props", "$.k").cast("int")
+    tel = tables.telemetry_from(arriving_events(spark, sf_dir, ckpt + "-src", late))
+    srollups.run_policy_stream(spark, tel, "1h", out, ckpt).awaitTermination()
+    return spark.read.parquet(out).drop("day")
+
+
+@register("stream_usage_1mo", _due_sql("""SELECT date_trunc('month', o_orderdate) AS bucket, 'dev-' || CAST(o_custkey % 150 AS VARCHAR) AS device_id, COUNT(*) AS sample_count,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_value, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS avg_value,
+       CAST(MIN(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS min_value, CAST(MAX(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS max_value,
+       MAX(o_orderdate) AS _aggregate_watermark FROM orders GROUP BY 1, 2""", "1 MONTH", "1 MONTH", "SELECT o_orderdate AS time FROM orders"))
+def stream_usage_1mo(spark, sf_dir):
+    """The monthly view behind daily state; order amounts, which span years, are the readings."""
+    out, ckpt = _scratch(spark, "usage-1mo")
+    o = _arriving_orders(spark, sf_dir, ckpt + "-src")
+    tel = o.select(F.col("o_orderdate").alias("time"), F.concat(F.lit("dev-"), (F.col("o_custkey") % 150).cast("string")).alias("device_id"),
+                   F.col("o_totalprice").cast("decimal(18,2)").alias("metric_value"))
+    srollups.run_policy_stream(spark, tel, "1mo", out, ckpt).awaitTermination()
+    return spark.read.parquet(out).drop("day")
+
+
+@register("stream_billing_daily", _due_sql(ORACLE["billing_daily"], "1 DAY", "1 DAY", "SELECT o_orderdate AS time FROM orders"))
+def stream_billing_daily(spark, sf_dir):
+    """The daily billing view by its policy."""
+    out, ckpt = _scratch(spark, "billing-daily")
+    records = tables.billing_records_from(_arriving_orders(spark, sf_dir, ckpt + "-src"))
+    srollups.run_policy_stream(spark, records, "billing_1d", out, ckpt).awaitTermination()
+    return spark.read.parquet(out).drop("day")
+
+
 @register("stream_counter_flush", with_views("telemetry") + """SELECT date_trunc('minute', time) AS flush_minute, tenant_id, region, COUNT(*) AS increments
 FROM telemetry GROUP BY 1, 2, 3""")
 def stream_counter_flush(spark, sf_dir):

@@ -4,7 +4,6 @@ back. Each equals its batch twin's oracle."""
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.timebuckets import time_bucket
 from ..session import checkpoint_root
 from ..sources import tables
-from ..sources.stored import entries, modified
+from ..sources.stored import set_ages
 from ..streaming import rollups as srollups
 from ..streaming import sinks
 from .catalog_rollups import _rollup_sql
@@ -32,34 +31,34 @@ FILE_ROWS = 1_000_000
 def arriving(df, base: str, at, files: int = 4):
     """``df`` as a stream of several files in the order of the number ``at``.
 
-    A file stream reads files by age, so the rows are range-partitioned by ``at``
-    first and each range is then one file, written by one sorted task after the
-    file before it is closed. There are ``files`` ranges at least and one per
-    FILE_ROWS rows; rows of equal ``at`` share a range, rows without one come last.
+    A file stream reads files by age. One parallel job range-partitions the rows by
+    ``at`` and writes one sorted file per range; part files are named by their range,
+    so setting their times in name order makes age follow arrival. There are
+    ``files`` ranges at least and one per FILE_ROWS rows; rows of equal ``at``
+    share a range, rows without one come last.
     """
     spark = df.sparkSession
     ranges = max(files, -(-df.count() // FILE_ROWS))
-    df.repartitionByRange(ranges, at.asc_nulls_last()).withColumn("arrival_range", F.spark_partition_id()) \
-        .write.partitionBy("arrival_range").parquet(f"{base}/ranges")
-    parts = sorted(int(n.removeprefix("arrival_range=")) for n in entries(spark, f"{base}/ranges") if n.startswith("arrival_range="))
-    step = max(1, -(-len(parts) // ranges))
-    if not parts:
-        df.limit(0).write.parquet(f"{base}/arrived")
-    age = None
-    for i in range(0, len(parts), step):
-        part = spark.read.schema(df.schema).parquet(*[f"{base}/ranges/arrival_range={n}" for n in parts[i:i + step]])
-        part.coalesce(1).sortWithinPartitions(at.asc_nulls_last()).write.mode("append").parquet(f"{base}/arrived")
-        age = _younger(spark, f"{base}/arrived", age)
+    df.repartitionByRange(ranges, at.asc_nulls_last()).sortWithinPartitions(at.asc_nulls_last()).write.parquet(f"{base}/arrived")
+    set_ages(spark, f"{base}/arrived")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
 
 
-def _younger(spark, path: str, age: int | None) -> int:
-    """Time of the newest file in ``path``, which has to be later than ``age``; the clock moves on before this returns."""
-    newest = max(modified(spark, path))
-    if age is not None and newest <= age:
-        raise RuntimeError(f"{path}: file times do not follow the order of writing")
-    time.sleep(1.0 if newest % 1000 == 0 else 0.002)  # some stores keep whole seconds
-    return newest
+def _clock(spark, sf_dir, base: str):
+    """The events in order of arrival on a dense clock: a day's events fall within one second, days are two hours apart.
+
+    So the real windows of seconds and the hour after which a state expires both matter on the
+    driver's events, which are minutes apart. Adds ``time_ms`` and the event time of the watermark.
+    """
+    ev = arriving_events(spark, sf_dir, base)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = F.floor(at / 86_400_000_000)
+    ms = day * 7_200_000 + F.floor((at - day * 86_400_000_000) / 86_400_000)
+    return ev.withColumn("time_ms", ms.cast("bigint")).withColumn("event_time", F.timestamp_millis("time_ms")).withWatermark("event_time", "10 seconds")
+
+
+CLOCK_SQL = """clock AS (
+  SELECT *, (epoch_us(ts) // 86400000000) * 7200000 + (epoch_us(ts) % 86400000000) // 86400000 AS time_ms FROM events)"""
 
 
 def arriving_events(spark, sf_dir, base: str, delay=0):

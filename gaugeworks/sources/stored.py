@@ -23,10 +23,21 @@ def entries(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if not n.startswith(("_", ".")))
 
 
-def modified(spark: SparkSession, path: str) -> list[int]:
-    """Modification times (ms) of the visible files directly below ``path``."""
+def set_ages(spark: SparkSession, path: str) -> None:
+    """Give the files directly below ``path`` rising modification times in the order of their names.
+
+    A file stream takes older files first. Times are a second apart, as some stores
+    keep whole seconds, and end now; a store that cannot set times raises.
+    """
     p, fs = _root(spark, path)
-    return [s.getModificationTime() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))]
+    names = entries(spark, path)
+    newest = max((s.getModificationTime() for s in fs.listStatus(p)), default=0) // 1000 * 1000
+    at = {n: newest - 1000 * (len(names) - i) for i, n in enumerate(names)}
+    for n, t in at.items():
+        fs.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, n), t, -1)
+    found = {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(p)}
+    if any(found[n] != t for n, t in at.items()):
+        raise RuntimeError(f"{path}: this store does not keep file times, so files cannot be told apart by age")
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:

@@ -89,7 +89,11 @@ def ledger_from(ev: DataFrame) -> DataFrame:
 
 
 def billing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+    return billing_records_from(read_table(spark, sf_dir, "orders"))
+
+
+def billing_records_from(o: DataFrame) -> DataFrame:
+    """The billing projection of an ``orders`` DataFrame (batch or stream)."""
     status = None
     for code, name in BILLING_STATUS.items():
         status = (F.when(F.col("o_orderstatus") == code, F.lit(name)) if status is None

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timebuckets import RESOLUTIONS, time_bucket
-from ..operators.rollups import POLICIES, _finalize, _state_aggs, rollup_state
+from ..operators.rollups import POLICIES, _finalize, _state_aggs, billing_aggs, rollup_from_state, rollup_state
 from ..session import checkpoint_root
 from ..sources.stored import epochs, finished, read_epoch, read_if_exists, remove, write_epoch
 
@@ -25,12 +25,8 @@ from ..sources.stored import epochs, finished, read_epoch, read_if_exists, remov
 _WINDOW_START = {"1w": "4 days"}
 
 
-def windowed_rollup(stream: DataFrame, resolution: str, watermark: str | None = None) -> DataFrame:
-    """Tumbling-window device rollup over a telemetry stream.
-
-    ``watermark`` defaults to the view's refresh ``start_offset``. Months
-    have no fixed width, so the monthly view is derived from the daily one.
-    """
+def windowed_state(stream: DataFrame, resolution: str, watermark: str | None = None) -> DataFrame:
+    """Tumbling-window rollup state ``(bucket, device_id, count, sum, min, max, watermark)`` of a telemetry stream."""
     if resolution == "1mo":
         raise ValueError("monthly buckets are derived from the daily rollup (A7)")
     width = RESOLUTIONS[resolution]
@@ -39,9 +35,26 @@ def windowed_rollup(stream: DataFrame, resolution: str, watermark: str | None =
     w = F.window("time", width, startTime=_WINDOW_START.get(resolution)) if resolution in _WINDOW_START \
         else F.window("time", width)
     g = t.groupBy(w.alias("w"), "device_id").agg(*_state_aggs())
-    g = g.withColumn("bucket", F.col("w.start").cast("timestamp_ntz")).drop("w") \
-         .withColumn("_aggregate_watermark", F.col("_aggregate_watermark").cast("timestamp_ntz"))
-    return _finalize(g, ["bucket", "device_id"])
+    return g.withColumn("bucket", F.col("w.start").cast("timestamp_ntz")).drop("w") \
+            .withColumn("_aggregate_watermark", F.col("_aggregate_watermark").cast("timestamp_ntz"))
+
+
+def windowed_rollup(stream: DataFrame, resolution: str, watermark: str | None = None) -> DataFrame:
+    """Tumbling-window device rollup over a telemetry stream.
+
+    ``watermark`` defaults to the view's refresh ``start_offset``. Months
+    have no fixed width, so the monthly view is derived from the daily state
+    (:func:`month_sink`).
+    """
+    return _finalize(windowed_state(stream, resolution, watermark), ["bucket", "device_id"])
+
+
+def windowed_billing(stream: DataFrame, watermark: str | None = None) -> DataFrame:
+    """R1 for the billing view: one row per (day, account, device) over a stream of billing records."""
+    t = stream.withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", watermark or POLICIES["billing_1d"][0])
+    g = t.groupBy(F.window("time", "1 day").alias("w"), "account_id", "device_id").agg(*billing_aggs())
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "account_id", "device_id", "total_usage", "transaction_count", "settled_count",
+                    "failed_count", F.col("_aggregate_watermark").cast("timestamp_ntz").alias("_aggregate_watermark"))
 
 
 def _replace_days(spark: SparkSession, path: str, merged: DataFrame, journal: str, epoch_id) -> None:
@@ -59,10 +72,11 @@ def _replace_days(spark: SparkSession, path: str, merged: DataFrame, journal: st
     remove(spark, entry)
 
 
-def merge_rollup(path: str, keys=("bucket", "device_id")):
-    """``foreachBatch`` sink replacing rows by key in a day-partitioned table.
+def merge_rollup(path: str, keys=("bucket", "device_id"), chunk: str = "day"):
+    """``foreachBatch`` sink replacing rows by key in a table partitioned by ``day``.
 
-    Only the day partitions present in the micro-batch are rewritten
+    With ``chunk="month"`` a partition holds a month and ``day`` is its first day: coarse
+    views have few rows a day. Only the partitions present in the micro-batch are rewritten
     (dynamic partition overwrite), and only they are read: a semi join on
     the batch's days, which Spark prunes dynamically. The merged rows go through
     a journal (:func:`_replace_days`), so the job neither reads and overwrites
@@ -73,7 +87,7 @@ def merge_rollup(path: str, keys=("bucket", "device_id")):
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("day", F.to_date("bucket"))
+        new = batch.withColumn("day", F.to_date("bucket") if chunk == "day" else F.trunc(F.to_date("bucket"), chunk))
         merged = new
         old = read_if_exists(spark, path)
         if old is not None:
@@ -84,6 +98,86 @@ def merge_rollup(path: str, keys=("bucket", "device_id")):
     return write
 
 
+#: Bucket width and partition of the stored table per view.
+_VIEWS = {"15m": ("15 minutes", "day"), "1h": ("1 hour", "day"), "1d": ("1 day", "month"), "1w": ("7 days", "month"), "1mo": ("1 month", "year"),
+          "billing_1d": ("1 day", "month")}
+
+
+def policy_sink(path: str, view: str, keys=("bucket", "device_id")):
+    """``foreachBatch`` sink with both ends of a view's refresh policy, for updated rows of a rollup stream.
+
+    The clock is the latest event time seen. A bucket appears in the table at ``path`` once it has been
+    closed for ``end_offset``; until then its row waits in a pending table, which holds the buckets of the
+    last ``end_offset`` only. After that every update corrects it, until the stream's watermark
+    (``start_offset``) drops late rows. Pending rows and clock are a folder per epoch, so a replayed
+    epoch starts from the same state and merges the same rows.
+    """
+    keys = list(keys)
+    width, chunk = _VIEWS[view]
+    end_offset = POLICIES[view][1]
+    pending, clock = f"{path.rstrip('/')}-pending", f"{path.rstrip('/')}-clock"
+    merge = merge_rollup(path, keys, chunk)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            now = batch.agg(F.max("_aggregate_watermark").alias("now"))
+            told = read_epoch(spark, clock, before=epoch_id)
+            write_epoch(now if told is None else now.unionByName(told).agg(F.max("now").alias("now")), clock, epoch_id)
+            at = read_epoch(spark, clock, before=epoch_id + 1).first()["now"]
+            rows, old = batch, read_epoch(spark, pending, before=epoch_id)
+            if old is not None:
+                waiting = old.where("not due").drop("due")
+                rows = waiting.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+            closed = F.col("bucket") + F.expr(f"INTERVAL '{width}'") + F.expr(f"INTERVAL '{end_offset}'")
+            write_epoch(rows.withColumn("due", F.coalesce(closed.cast("timestamp_ntz") <= F.lit(at).cast("timestamp_ntz"), F.lit(False))), pending, epoch_id)
+        finally:
+            batch.unpersist()
+        merge(read_epoch(spark, pending, before=epoch_id + 1).where("due").drop("due"), epoch_id)
+
+    return write
+
+
+def month_sink(path: str, state_path: str):
+    """``foreachBatch`` sink of the monthly view, chained behind daily rollup state (:func:`windowed_state`).
+
+    Daily state is merged by key first; the calendar months it touches are then summed again from their stored
+    days (at most 31 rows per device, pruned by month) and go through the monthly policy.
+    """
+    daily, monthly = merge_rollup(state_path, chunk="month"), policy_sink(path, "1mo")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            daily(batch, epoch_id)
+            stored = read_if_exists(spark, state_path)
+            if stored is None:
+                return
+            touched = batch.select(F.trunc(F.to_date("bucket"), "month").alias("day"), "device_id").distinct()
+            state = rollup_from_state(stored.join(touched, ["day", "device_id"], "left_semi"), "1mo")
+            monthly(_finalize(state, ["bucket", "device_id"]), epoch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def run_policy_stream(spark: SparkSession, stream: DataFrame, view: str, out_path: str, checkpoint: str | None = None,
+                      available_now: bool = True):
+    """R1 with its policy: start the stream of ``view`` (15m, 1h, 1d, 1w, 1mo or billing_1d) into ``out_path``."""
+    checkpoint = checkpoint or f"{checkpoint_root(spark)}/policy-{view}-{uuid.uuid4().hex}"
+    if view == "billing_1d":
+        rows, sink = windowed_billing(stream), policy_sink(out_path, view, ("bucket", "account_id", "device_id"))
+    elif view == "1mo":
+        rows, sink = windowed_state(stream, "1d", POLICIES["1mo"][0]), month_sink(out_path, f"{out_path.rstrip('/')}-daily")
+    else:
+        rows, sink = windowed_rollup(stream, view), policy_sink(out_path, view)
+    q = rows.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")).start()
+
+
 def run_rollup_stream(spark: SparkSession, stream: DataFrame, resolution: str, out_path: str,
                       checkpoint: str | None = None, watermark: str | None = None, available_now: bool = True):
     """Start R1 into ``out_path``; returns the StreamingQuery."""

@@ -6,9 +6,10 @@ the key's new rows are sorted by the order columns and folded, and the
 state is saved back to the state store (checkpointed, so a restarted query
 resumes where it stopped). The state is one pickled Python value in a
 ``binary`` field; it is bounded by the fold (a timestamp, a counter, at
-most ``window`` buffered sequence numbers). With ``timeout_ms`` the key's
-state expires in event time ``timeout_ms`` after its latest row (the input
-needs a watermark); ``on_timeout`` may emit rows when that happens.
+most ``window`` buffered sequence numbers). With ``expires`` the fold itself
+says until when a state matters, and the store drops it when the watermark is
+there. With ``timeout_ms`` the key's state expires in event time ``timeout_ms``
+after its latest row; ``on_timeout`` may emit rows when that happens.
 """
 
 from __future__ import annotations
@@ -22,10 +23,20 @@ from pyspark.sql import types as T
 
 from ..operators.folds import _with_fields
 
+#: How long a closed connection is remembered, so that late chunks are still refused.
+CLOSED_LINGER_MS = 3_600_000
+
 
 def stream_fold(df: DataFrame, keys, order: list[str], spec, timeout_ms: int | None = None,
-                event_time_ms: str | None = None, on_timeout=None) -> DataFrame:
-    """Fold ``spec = (inputs, out_fields, start, step)`` over a streaming DataFrame per key."""
+                event_time_ms: str | None = None, on_timeout=None, expires=None) -> DataFrame:
+    """Fold ``spec = (inputs, out_fields, start, step)`` over a streaming DataFrame per key.
+
+    ``expires(state)`` gives the event time (ms) from which a state says no more
+    than a fresh one, or None if it says nothing already; the state store then
+    holds a key only until the watermark passes that time, so it is bounded by the
+    keys alive, not by all keys ever seen. The input needs a watermark; rows
+    are sorted within a micro-batch and key, whose rows are in memory together.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     inputs, out_fields, start, step = spec
     schema = _with_fields(df.schema, *out_fields)
@@ -55,16 +66,29 @@ def stream_fold(df: DataFrame, keys, order: list[str], spec, timeout_ms: int | N
                 res[j][i] = v
         for j, n in enumerate(names):
             pdf[n] = res[j]
-        state.update((pickle.dumps(st),))
-        if timeout_ms is not None:
-            latest = int(pdf[event_time_ms].max())
-            state.setTimeoutTimestamp(max(latest + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        if expires is not None:
+            _keep_until(state, st, expires(st))
+        else:
+            state.update((pickle.dumps(st),))
+            if timeout_ms is not None:
+                latest = int(pdf[event_time_ms].max())
+                state.setTimeoutTimestamp(max(latest + timeout_ms, state.getCurrentWatermarkMs() + 1))
         yield pdf[columns + names]
 
-    timeout = "EventTimeTimeout" if timeout_ms is not None else "NoTimeout"
+    timeout = "EventTimeTimeout" if timeout_ms is not None or expires is not None else "NoTimeout"
     return df.groupBy(*keys).applyInPandasWithState(func, schema, state_schema, "append", timeout)
 
 
+def _keep_until(state, value, due: int | None) -> None:
+    """Store ``value`` with a timer at ``due``, or drop it if the watermark is there already."""
+    if due is None or due <= state.getCurrentWatermarkMs():
+        if state.exists:
+            state.remove()
+        return
+    state.update((pickle.dumps(value),))
+    state.setTimeoutTimestamp(int(due))
+
+
 def dedup_within_watermark(df: DataFrame, key: str = "nonce", time_col: str = "time",
                            delay: str = "5 seconds") -> DataFrame:
     """R4 (fast form): keep the first claim per nonce while it is inside the
@@ -79,13 +103,17 @@ def event_time(df: DataFrame, ms_col: str, out: str = "event_time") -> DataFrame
 
 
 def stream_reassemble(df: DataFrame, conn: str = "connection_id", time_ms: str = "time_ms", chunk: str = "chunk",
-                      timeout_ms: int | None = None) -> DataFrame:
+                      timeout_ms: int | None = None, position: str | None = None, linger_ms: int = CLOSED_LINGER_MS) -> DataFrame:
     """Fragment reassembly per connection over a stream.
 
     The partial buffer, timer and closed flag live in the state store (the
     buffer is bounded by the 64 KiB limit). With ``timeout_ms`` (and a
-    watermark on the input) an idle partial message is also cleared when the
-    watermark passes its deadline, emitting ``partial_message_timeout``.
+    watermark on the input) an idle partial message is cleared when the
+    watermark passes its deadline, which emits ``partial_message_timeout`` at the
+    position after the chunk that left it, as the next chunk would. ``position`` names a
+    column that numbers a connection's chunks from 0; a connection is then in
+    the store only while a message is incomplete, or ``linger_ms`` after it was
+    closed. Without it the store keeps one counter per connection.
     """
     from ..operators.folds import MESSAGE_TIMEOUT_MS, REASSEMBLY_OUT, reassembly_spec
     start, step = reassembly_spec(timeout_ms=timeout_ms or MESSAGE_TIMEOUT_MS)
@@ -93,23 +121,45 @@ def stream_reassemble(df: DataFrame, conn: str = "connection_id", time_ms: str =
     state_schema = T.StructType([T.StructField("blob", T.BinaryType(), True)])
     cols = ["connection_id", "event_pos", "kind", "payload", "buffer_bytes"]
 
+    def due(st):
+        """Time of the connection's timer, if any: its message's deadline or the end of its closed mark."""
+        if st["closed"]:
+            return st["last"] + linger_ms
+        return st["armed"] + timeout_ms if st["armed"] is not None else None
+
+    def store(state, st):
+        if timeout_ms is None:
+            state.update((pickle.dumps(st),))
+        elif position is not None:
+            _keep_until(state, st, due(st))
+        else:
+            state.update((pickle.dumps(st),))
+            if due(st) is not None:
+                state.setTimeoutTimestamp(max(due(st), state.getCurrentWatermarkMs() + 1))
+
     def func(key, pdfs, state):
         cid = key[0]
+        st = pickle.loads(state.get[0]) if state.exists else start()
         if state.hasTimedOut:
-            st = pickle.loads(state.get[0])
-            state.remove()
-            if st["buf"]:
-                yield pd.DataFrame([(cid, st["pos"], "partial_message_timeout", None, len(st["buf"]))], columns=cols)
+            left, st["buf"], st["armed"] = len(st["buf"]), b"", None
+            if position is not None or st["closed"]:
+                state.remove()
+            else:
+                state.update((pickle.dumps(st),))
+            if left:
+                yield pd.DataFrame([(cid, st["pos"] + 1, "partial_message_timeout", None, left)], columns=cols)
             return
-        st = pickle.loads(state.get[0]) if state.exists else start()
-        pdf = pd.concat([p for p in pdfs], ignore_index=True).sort_values(time_ms, kind="mergesort")
+        by = [position] if position is not None else [time_ms]
+        pdf = pd.concat([p for p in pdfs], ignore_index=True).sort_values(by, kind="mergesort")
         out = []
-        for now, data in zip(pdf[time_ms].tolist(), pdf[chunk].tolist()):
+        places = pdf[position].tolist() if position is not None else [None] * len(pdf)
+        for now, data, place in zip(pdf[time_ms].tolist(), pdf[chunk].tolist(), places):
+            if place is not None:
+                st["pos"] = int(place) - 1
             st, events = step(st, now, data)
+            st["last"] = int(now)
             out.extend((cid, st["pos"], kind, payload, size) for kind, payload, size in events)
-        state.update((pickle.dumps(st),))
-        if timeout_ms is not None and st["armed"] is not None:
-            state.setTimeoutTimestamp(max(st["armed"] + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        store(state, st)
         if out:
             yield pd.DataFrame(out, columns=cols).astype({"event_pos": "int64", "buffer_bytes": "Int64"})
 
