@@ -121,20 +121,27 @@ def stream_dedup_batch(spark, sf_dir):
 
 
 def _frames(spark, sf_dir) -> DataFrame:
-    """Per device frames numbered 1..n by event id, delivered in reversed runs
-    of five; every frame whose ``k % 50 == 0`` is lost."""
-    t = tables.telemetry(spark, sf_dir).select("device_id", "event_id", "time", "k")
+    """Per gateway frames numbered 1..n by event id, delivered in reversed runs of five.
+
+    Frames whose ``k % 40 == 1`` come a second time, 37 runs later; gateways 0 to 2 lose those whose ``k % 50 == 0``,
+    so everything behind the first loss waits, and more than 256 waiting frames are evicted.
+    """
+    t = tables.telemetry(spark, sf_dir).select(F.concat(F.lit("gw-"), (F.col("user_id") % 10).cast("string")).alias("device_id"), "event_id", "time", "k", "user_id")
     n = scan.row_number_in_order(t, "device_id", ["event_id"], chunk=time_bucket("1 day", "time"), out="frame_seq")
-    return (n.where(F.col("k") % 50 != 0)
-             .select("device_id", "frame_seq", "event_id",
-                     (F.floor((F.col("frame_seq") - 1) / 5) * 10 - F.col("frame_seq") % 5).alias("arrival")))
+    sent = n.where(~((F.col("k") % 50 == 0) & (F.col("user_id") % 10 < 3)))
+    arrival = F.floor((F.col("frame_seq") - 1) / 5) * 10 - F.col("frame_seq") % 5
+    times = F.when(F.col("k") % 40 == 1, F.array(arrival, arrival + 375)).otherwise(F.array(arrival))
+    return sent.select("device_id", "frame_seq", "event_id", F.explode(times).alias("arrival"))
+
+
+_FRAMES_SQL = """
+f AS (SELECT 'gw-' || CAST(user_id % 10 AS VARCHAR) AS device_id, user_id % 10 AS gateway, event_id, k,
+             row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS frame_seq FROM telemetry),
+fr AS (SELECT device_id, frame_seq, event_id, CAST(floor((frame_seq - 1) / 5) AS BIGINT) * 10 - frame_seq % 5 + again AS arrival
+       FROM f, (VALUES (0), (375)) v(again) WHERE NOT (k % 50 = 0 AND gateway < 3) AND (again = 0 OR k % 40 = 1))"""
 
 
-@register("reorder_deliver", with_views("telemetry", extra="""
-f AS (SELECT device_id, event_id, k, row_number() OVER (PARTITION BY device_id ORDER BY event_id) AS frame_seq FROM telemetry),
-fr AS (SELECT device_id, frame_seq, event_id,
-              CAST(floor((frame_seq - 1) / 5) AS BIGINT) * 10 - frame_seq % 5 AS arrival
-       FROM f WHERE k % 50 <> 0),
+@register("reorder_deliver", with_views("telemetry", extra=_FRAMES_SQL + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY arrival) AS rn FROM fr),
 r AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS frame_seq, CAST(NULL AS BIGINT) AS event_id,
              CAST(NULL AS BIGINT) AS arrival, CAST(0 AS BIGINT) AS delivered, CAST([] AS BIGINT[]) AS buf,
@@ -163,9 +170,8 @@ def reorder_deliver(spark, sf_dir):
     return folds.reorder_buffer(_frames(spark, sf_dir), window=folds.REORDER_WINDOW)
 
 
-@register("reorder_prefix", with_views("telemetry", extra="""
-f AS (SELECT device_id, k, row_number() OVER (PARTITION BY device_id ORDER BY event_id) AS frame_seq FROM telemetry),
-kept AS (SELECT DISTINCT device_id, frame_seq FROM f WHERE k % 50 <> 0),
+@register("reorder_prefix", with_views("telemetry", extra=_FRAMES_SQL + """,
+kept AS (SELECT DISTINCT device_id, frame_seq FROM fr),
 isl AS (SELECT device_id, frame_seq - row_number() OVER (PARTITION BY device_id ORDER BY frame_seq) AS island FROM kept),
 run AS (SELECT device_id, COUNT(*) AS delivered FROM isl WHERE island = 0 GROUP BY device_id)""") + """SELECT d.device_id, CAST(COALESCE(run.delivered, 0) AS BIGINT) AS delivered
 FROM (SELECT DISTINCT device_id FROM kept) d LEFT JOIN run ON d.device_id = run.device_id""")

@@ -77,7 +77,12 @@ def model_login(rows, window):
 
 def model_storage(rows):
     out, state = {}, {}
-    for dev, t, i, n in sorted(rows):
+    for dev, t, i, n, freed in sorted(rows, key=lambda r: r[:3]):
+        if freed is not None:
+            if dev in state:
+                state[dev] = (state[dev][0], max(0, state[dev][1] - freed))
+            out[i] = ("freed", state[dev][1] if dev in state else 0)
+            continue
         deadline, usage = state.get(dev, (t + 7 * 86400, 0))
         if not deadline > t:
             r = "ttl_expired"
@@ -165,8 +170,8 @@ def test_storage_meter_matches_model(spark):
     t = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
         "event_id", F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("d"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
-        (F.get_json_object("props", "$.k").cast("int") * 15).alias("n")).collect()
-    assert got == model_storage([(r.d, r.t, r.event_id, r.n) for r in t])
+        F.get_json_object("props", "$.k").cast("int").alias("k")).collect()
+    assert got == model_storage([(r.d, r.t, r.event_id, r.k * 15, r.k * 2500 if r.k % 8 == 5 else None) for r in t])
 
 
 def test_token_bucket_basic_spend_and_refill(spark):
@@ -313,3 +318,90 @@ def test_idle_session_split_matches_unsplit_on_a_hot_key(spark):
     a = {r.id: tuple(r[c] for c in cols) for r in folds.token_bucket(tb, order=["time_ms", "id"]).collect()}
     b = {r.id: tuple(r[c] for c in cols) for r in folds.token_bucket(tb, order=["time_ms", "id"], split_idle=False).collect()}
     assert a == b
+
+
+# --------------------------------------------------------------------------- hot keys
+
+
+def _as_frames(rows):
+    return {(r.device_id, r.arrival): (r.status, list(r.released), r.evicted, r.delivered_mark, r.drops) for r in rows}
+
+
+@pytest.mark.parametrize("window", [4, 30, 256])
+def test_reorder_of_a_hot_device_in_runs_equals_the_model(spark, window):
+    """A device with most rows is cut where its buffer is empty; losses, duplicates, evictions and numbers below 1 among them."""
+    rnd = random.Random(11)
+    frames, seqs = [], []
+    for c in range(60):
+        block = list(range(c * 20 + 1, c * 20 + 21))
+        rnd.shuffle(block)
+        seqs += block + [rnd.randint(-2, c * 20 + 20) for _ in range(3)]
+    frames += [("hot", i, s) for i, s in enumerate(seqs)]
+    frames += [("late", i, s) for i, s in enumerate([2, 3, 4, 5, 6, 7, 8, 1, 9, 11, 12, 10, 10, 13])]
+    lost = [s for s in range(1, 400) if s not in (150, 222)]
+    frames += [("lost", i, s) for i, s in enumerate(lost + [150] + list(range(400, 420)))]
+    df = spark.createDataFrame(frames, "device_id string, arrival long, frame_seq long")
+    got = _as_frames(folds.reorder_buffer(df, window=window, run_rows=25).collect())
+    assert got == model_reorder(frames, window)
+
+
+def test_hot_device_is_many_runs(spark):
+    from gaugeworks.functions import scan
+    df = spark.createDataFrame([("hot", i, s) for i, s in enumerate(range(1, 1001))], "device_id string, arrival long, frame_seq long")
+    runs = folds.reorder_runs(df, "device_id", "frame_seq", ["arrival"], 256, scan.even_chunks(F.col("arrival").cast("double"), 0, 999, 1000, 50))
+    assert runs.select("_run").distinct().count() == 1000 and runs.where("_mark <> frame_seq - 1").count() == 0
+
+
+@pytest.mark.parametrize("rows", [7, 40])
+def test_storage_meter_in_rounds_with_deallocation_equals_the_model(spark, rows):
+    rnd = random.Random(5)
+    data = [(f"d{d}", 1000 * i, i, rnd.choice([3, 200, 600, 1001]), rnd.choice([None, None, None, 100, 400_000, 999_999])) for d in range(3)
+            for i in range(120 if d == 0 else 9)]
+    data += [("d1", 700_000_000 + i, 50 + i, 1, None) for i in range(3)]
+    df = spark.createDataFrame(data, "device_id string, time_s long, event_id long, n_events long, freed long")
+    out = folds.storage_meter(df, order=["time_s", "event_id"], freed="freed", rows=rows).collect()
+    want = model_storage([(d, t, (d, i), n, f) for d, t, i, n, f in data])
+    assert {(r.device_id, r.event_id): (r.result, r.usage_bytes) for r in out} == want
+    assert {r.result for r in out} == {"ok", "freed", "ttl_expired", "burst_exceeded", "capacity_exceeded"}
+    # freed storage lifts the capacity check
+    order = [r.result for r in sorted(out, key=lambda r: r.time_s) if r.device_id == "d0"]
+    assert "ok" in order[order.index("capacity_exceeded"):]
+
+
+def test_reassembly_of_a_hot_connection_in_runs_equals_one_fold(spark):
+    rnd = random.Random(9)
+    rows = []
+    for c, n in (("hot", 300), ("big", 60), ("few", 5)):
+        t = 1_000_000
+        for _ in range(n):
+            t += rnd.choice([1, 5, 900, 29_999, 30_000, 45_000])
+            body = rnd.choice([b"", b"ab", b"\x00", b"x\x00y", b"q" * 9000, b"end\x00", b"a\x00b\x00"])
+            rows.append((c, t, body if c != "big" else body + b"z" * 20_000))
+    df = spark.createDataFrame(rows, "connection_id string, time_ms long, chunk binary")
+    cols = ["connection_id", "event_pos", "kind", "payload", "buffer_bytes"]
+
+    def events(d):
+        return sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in d.select(*cols).collect()), key=str)
+
+    got = events(folds.reassemble(df, run_rows=20))
+    assert got == events(folds.reassemble(df))
+    assert {r[2] for r in got} == {"message", "partial_message_timeout", "partial_message_too_large", "closed"}
+
+
+def test_finalize_outcomes_by_versions(spark):
+    req = spark.createDataFrame([
+        (1, "a", "k1", None, None), (2, "a", "k2", "OPEN", 1), (3, "a", "k3", None, None), (4, "a", "k4", "FINALIZING", 2),
+        (5, "b", "k5", "OPEN", 0), (6, "b", "k1", "OPEN", 1), (7, "b", "k6", "OPEN", 1), (8, "x", "k7", None, None),
+        (9, "c", "k8", "SETTLED", 5), (10, "c", "k9", "OPEN", 5), (11, "d", "k1", "OPEN", 4), (12, "d", "k2", "OPEN", 4)],
+        "request_order long, cycle_id string, idempotency_key string, seen_state string, seen_version long")
+    cyc = spark.createDataFrame([("a", "OPEN", 1), ("b", "OPEN", 1), ("c", "SETTLED", 5), ("d", "OPEN", 4)], "cycle_id string, state string, lock_version int")
+    out = folds.finalize_cycles(req, cyc)
+    got = {r.request_order: (r.outcome, r.observed_state) for r in out.collect()}
+    assert got == {1: ("finalized", "FINALIZED"), 2: ("lost_race", "FINALIZED"), 3: ("not_open", "FINALIZED"), 4: ("not_open", "FINALIZING"),
+                   5: ("lost_race", "OPEN"), 6: ("duplicate_replay", "FINALIZING"), 7: ("lost_race", "FINALIZING"), 8: ("not_found", None),
+                   9: ("not_open", "SETTLED"), 10: ("lost_race", "SETTLED"), 11: ("duplicate_replay", "FINALIZING"), 12: ("lost_race", "FINALIZING")}
+    final = {r.cycle_id: (r.state, r.lock_version) for r in folds.final_cycle_states(out, cyc).collect()}
+    assert final == {"a": ("FINALIZED", 3), "b": ("FINALIZING", 2), "c": ("SETTLED", 5), "d": ("FINALIZING", 5)}
+    # without the read columns every request reads at its turn
+    plain = {r.request_order: r.outcome for r in folds.finalize_cycles(req.drop("seen_state", "seen_version"), cyc).collect()}
+    assert plain[2] == "not_open" and plain[5] == "finalized" and "lost_race" not in plain.values()

@@ -382,3 +382,142 @@ def test_arriving_files_follow_arrival_whatever_the_splits(spark, monkeypatch):
     assert len({f["file_modification_time"] for f in files}) == len(files) >= 6 and max(f["n"] for f in files) <= 1000
     assert sum(f["n"] for f in files) == 3000 and [f["nulls"] for f in files] == [0] * (len(files) - 1) + [30]
     assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:]) if b["lo"] is not None)
+
+
+# --------------------------------------------------------------------------- expiry and refresh policies
+
+
+def _files(spark, rows_by_file, schema):
+    """One file per list of rows, ages in order; returns the folder."""
+    from gaugeworks.sources.stored import set_ages
+    src = tempfile.mkdtemp(prefix="gw-aged-") + "/in"
+    for i, rows in enumerate(rows_by_file):
+        tmp = tempfile.mkdtemp(prefix="gw-one-") + "/f"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(tmp)
+        os.makedirs(src, exist_ok=True)
+        part = next(n for n in os.listdir(tmp) if n.startswith("part-"))
+        os.link(f"{tmp}/{part}", f"{src}/part-{i:05d}.parquet")
+    set_ages(spark, src)
+    return src
+
+
+def _state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def _run_all(stream, out):
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", tempfile.mkdtemp(prefix="gw-ckpt-")) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def _aged(spark, src, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src) \
+        .withColumn("event_time", F.timestamp_millis("time_ms")).withWatermark("event_time", "1 second")
+
+
+def test_replay_state_falls_after_the_window(spark):
+    """Every file brings 40 new nonces and repeats; a nonce is held for its 5 s only, and results equal the batch guard."""
+    rows = [[(f"{i}:{n}", 10_000 + i * 20_000 + n * 10 + r, i * 100 + n * 2 + r) for n in range(40) for r in range(2)] for i in range(6)]
+    schema = "nonce string, time_ms long, event_id long"
+    s = _aged(spark, _files(spark, rows, schema), schema)
+    out = tempfile.mkdtemp(prefix="gw-out-") + "/t"
+    q = _run_all(stateful.stream_fold(s, "nonce", ["time_ms", "event_id"], folds.replay_spec("time_ms"), expires=lambda e: e), out)
+    held = _state_rows(q)
+    assert max(held) <= 80 and held[-1] <= 40, held
+    batch = folds.replay_guard(spark.createDataFrame([r for f in rows for r in f], schema), "nonce", "time_ms", ["time_ms", "event_id"])
+    assert _rows(spark.read.parquet(out), ["event_id", "replay"]) == _rows(batch, ["event_id", "replay"])
+
+
+def test_token_bucket_state_falls_after_the_ttl(spark):
+    """Gateways speak in one file each and then fall silent for over 3600 s."""
+    rows = [[(f"g{i}:{d}", i * 100 + d * 10 + n, 1_000_000 + i * 7_200_000 + n * 7, "free", 0.99 if n == 3 else 0.5) for d in range(5) for n in range(10)]
+            + [("busy", 9000 + i, 1_000_500 + i * 7_200_000, "free", 0.2)] for i in range(5)]
+    schema = "device_id string, event_id long, time_ms long, billing_tier string, compliance double"
+    s = _aged(spark, _files(spark, rows, schema), schema)
+    out = tempfile.mkdtemp(prefix="gw-out-") + "/t"
+    q = _run_all(stateful.stream_fold(s, "device_id", ["time_ms", "event_id"], folds.token_bucket_spec(), expires=folds.bucket_expiry()), out)
+    held = _state_rows(q)
+    assert max(held) <= 12 and held[-1] <= 6, held
+    batch = folds.token_bucket(spark.createDataFrame([r for f in rows for r in f], schema), order=["time_ms", "event_id"])
+    cols = ["event_id", "allowed", "tokens_remaining", "max_tokens", "reset_at_ms"]
+    assert _rows(spark.read.parquet(out), cols) == _rows(batch, cols)
+
+
+def test_connections_leave_the_state_store_and_partials_time_out_alone(spark):
+    rows = [[(f"c{i}", 0, 1_000_000 + i * 100_000, b"done\x00"), (f"p{i}", 0, 1_000_000 + i * 100_000, b"part")] for i in range(5)]
+    rows[1].append(("p0", 1, 1_100_001, b"more\x00"))
+    rows[2] += [("x", 0, 1_200_000, b"z" * 70_000), ("x", 1, 1_200_010, b"y\x00")]
+    schema = "connection_id string, turn int, time_ms long, chunk binary"
+    s = _aged(spark, _files(spark, rows, schema), schema)
+    out = tempfile.mkdtemp(prefix="gw-out-") + "/t"
+    q = _run_all(stateful.stream_reassemble(s, timeout_ms=30_000, position="turn", linger_ms=100_000), out)
+    held = _state_rows(q)
+    assert max(held) <= 3 and held[-1] == 1, held  # the last partial alone
+    got = sorted((r.connection_id, r.event_pos, r.kind) for r in spark.read.parquet(out).collect())
+    want = [(f"c{i}", 0, "message") for i in range(5)] + [("p0", 1, "message"), ("x", 0, "partial_message_too_large"), ("x", 1, "closed")] + \
+           [(f"p{i}", 1, "partial_message_timeout") for i in range(4)]
+    assert got == sorted(want)
+
+
+def _telemetry_file(hours):
+    import datetime as dt
+    at = dt.datetime(2024, 1, 1)
+    return [(at + dt.timedelta(hours=h), d, v) for h, d, v in hours]
+
+
+_TEL = "time timestamp_ntz, device_id string, metric_value decimal(18,2)"
+
+
+def _policy_run(spark, src, view, out, ckpt, schema=_TEL):
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = srollups.run_policy_stream(spark, s, view, out, ckpt)
+    q.awaitTermination()
+
+
+def test_no_bucket_is_visible_before_its_end_offset(spark):
+    """Hourly view: a bucket appears an hour after its end; a late reading corrects it; one behind start_offset does not."""
+    from decimal import Decimal as D
+    src, out, ckpt = tempfile.mkdtemp(prefix="gw-pol-"), tempfile.mkdtemp(prefix="gw-pol-out-") + "/v", tempfile.mkdtemp(prefix="gw-ckpt-")
+    steps = [([(0.1, "a", D(1)), (0.5, "b", D(2)), (1.5, "a", D(3))], set()),
+             ([(2.0, "a", D(4))], {(0, "a", 1, 1.0), (0, "b", 1, 2.0)}),
+             ([(0.7, "a", D(10)), (2.9, "b", D(5))], {(0, "a", 2, 11.0), (0, "b", 1, 2.0)}),
+             ([(80.0, "a", D(6))], {(0, "a", 2, 11.0), (0, "b", 1, 2.0), (1, "a", 1, 3.0), (2, "a", 1, 4.0), (2, "b", 1, 5.0)}),
+             ([(1.2, "a", D(100)), (81.0, "c", D(7))], {(0, "a", 2, 11.0), (0, "b", 1, 2.0), (1, "a", 1, 3.0), (2, "a", 1, 4.0), (2, "b", 1, 5.0)})]
+    for i, (hours, want) in enumerate(steps):
+        one = tempfile.mkdtemp(prefix="gw-one-") + "/f"
+        spark.createDataFrame(_telemetry_file(hours), _TEL).coalesce(1).write.parquet(one)
+        os.link(f"{one}/" + next(n for n in os.listdir(one) if n.startswith("part-")), f"{src}/part-{i}.parquet")
+        os.utime(f"{src}/part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+        _policy_run(spark, src, "1h", out, ckpt)
+        rows = spark.read.parquet(out).collect() if os.path.exists(out) and any(n.startswith("day=") for n in os.listdir(out)) else []
+        got = {((r.bucket.day - 1) * 24 + r.bucket.hour, r.device_id, r.sample_count, r.total_value) for r in rows}
+        assert got == want, (i, got)
+
+
+def test_months_are_summed_behind_daily_state(spark):
+    import datetime as dt
+    from decimal import Decimal as D
+    days = [[(dt.datetime(2024, 1, 5), "a", D(1)), (dt.datetime(2024, 1, 31, 23), "a", D(2)), (dt.datetime(2024, 2, 1), "a", D(4))],
+            [(dt.datetime(2024, 1, 20), "b", D(8)), (dt.datetime(2024, 2, 29, 23, 59), "a", D(16)), (dt.datetime(2024, 3, 1), "a", D(32))],
+            [(dt.datetime(2024, 1, 6), "a", D(64)), (dt.datetime(2024, 4, 1), "b", D(128))]]
+    src, out, ckpt = _files(spark, days, _TEL), tempfile.mkdtemp(prefix="gw-mo-") + "/v", tempfile.mkdtemp(prefix="gw-ckpt-")
+    _policy_run(spark, src, "1mo", out, ckpt)
+    got = {(r.bucket.month, r.device_id, r.sample_count, r.total_value) for r in spark.read.parquet(out).collect()}
+    # January and February are closed for a month on the first of March and April; March is not
+    assert got == {(1, "a", 3, 67.0), (1, "b", 1, 8.0), (2, "a", 2, 20.0)}
+
+
+def test_policy_sink_replays_an_epoch_without_effect(spark):
+    import datetime as dt
+    out = tempfile.mkdtemp(prefix="gw-rep-") + "/v"
+    sink = srollups.policy_sink(out, "1h")
+    schema = "bucket timestamp_ntz, device_id string, sample_count long, _aggregate_watermark timestamp_ntz"
+    at = dt.datetime(2024, 1, 1)
+    one = spark.createDataFrame([(at, "a", 1, at + dt.timedelta(hours=3)), (at + dt.timedelta(hours=3), "b", 1, at + dt.timedelta(hours=3))], schema)
+    two = spark.createDataFrame([(at + dt.timedelta(hours=9), "b", 2, at + dt.timedelta(hours=9))], schema)
+    for epoch, batch in ((0, one), (0, one), (1, two), (1, two)):
+        sink(batch, epoch)
+    assert {(r.bucket.hour, r.device_id) for r in spark.read.parquet(out).collect()} == {(0, "a"), (3, "b")}
+    assert spark.read.parquet(out).count() == 2
