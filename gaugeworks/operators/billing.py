@@ -31,6 +31,45 @@ def enrich_records(records: DataFrame, accounts: DataFrame, nations: DataFrame |
     return out
 
 
+def store_bucketed(df: DataFrame, by: str, buckets: int, tag: str) -> DataFrame:
+    """Store ``df`` as a table bucketed and sorted by ``by`` (one file per bucket) in the shared folder; equi-joins on ``by`` then need no shuffle.
+
+    Null keys join nothing, so they are spread over the buckets under keys of their own (``_key``).
+    """
+    import uuid
+
+    from ..session import checkpoint_root
+
+    spark, name = df.sparkSession, f"gw_{tag}_{uuid.uuid4().hex}"
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string"))
+    out = df.withColumn("_key", F.coalesce(F.col(by).cast("string"), own)).repartition(buckets, "_key")
+    out.write.bucketBy(buckets, "_key").sortBy("_key").option("path", f"{checkpoint_root(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def billing_links(records: DataFrame, devices: DataFrame, cycles: DataFrame, accounts: DataFrame, logs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The foreign keys of the billing tables as joins; rows whose key points nowhere are kept.
+
+    Returns records with their device, account, cycle and the cycle's account, and log entries with their cycle
+    and its account. Records, cycles and log entries are stored bucketed by cycle, accounts and cycles by account, so the
+    cycle joins and the account join of cycles read co-located buckets; only the cycles with their accounts, one row a
+    cycle, and the small sides of the device and account links move.
+    """
+    buckets = buckets or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = accounts.select("account_id", F.col("address").alias("cycle_address"))
+    owned = store_bucketed(cycles.select("cycle_id", F.col("account_id").alias("cycle_account_id"), F.col("state").alias("cycle_state")), "cycle_account_id", buckets, "cycles")
+    owned = owned.join(store_bucketed(held, "account_id", buckets, "accounts").drop("account_id"), "_key", "left").drop("_key")
+    owned = store_bucketed(owned, "cycle_id", buckets, "owned").drop("cycle_id")
+    recs = store_bucketed(records, "cycle_id", buckets, "records").join(owned, "_key", "left")
+    dev = devices.select("device_id", F.lit(True).alias("_device"))
+    acc = accounts.select("account_id", F.col("address").alias("account_address"))
+    recs = recs.join(dev, "device_id", "left").join(acc, "account_id", "left")
+    recs = recs.select("record_id", "device_id", F.col("_device").isNotNull().alias("device_known"), "account_id", "account_address",
+                       "cycle_id", "cycle_state", "cycle_account_id", "cycle_address")
+    entries = store_bucketed(logs, "cycle_id", buckets, "logs").join(owned, "_key", "left")
+    return recs, entries.select("log_id", "cycle_id", "cycle_state", "cycle_account_id", "cycle_address")
+
+
 def cycle_totals(records: DataFrame) -> DataFrame:
     """Exact usage per billing cycle with a 64-bit overflow flag."""
     g = records.groupBy("cycle_id", "account_id").agg(

@@ -96,14 +96,14 @@ def is_fresh(ts_ms: Column, received_ms: Column, window_ms: int = NONCE_WINDOW_M
 
 
 def verdict(malformed: Column, public_key: Column, signature: Column, ts_ms: Column, received_ms: Column,
-            signature_ok: Column, replay: Column | None = None) -> Column:
+            signature_ok: Column, replay: Column | None = None, window_ms: int = NONCE_WINDOW_MS) -> Column:
     """First failing check wins; ``replay`` is evaluated only for rows that
     pass the rest (so a failing payload never claims its nonce)."""
     v = (F.when(malformed, F.lit(REASON_MALFORMED))
           .when(public_key.isNull(), F.lit(REASON_MISSING_KEY))
           .when(hex_decoded_length(public_key) != PUBLIC_KEY_BYTES, F.lit(REASON_KEY_LENGTH))
           .when(hex_decoded_length(signature) != SIGNATURE_BYTES, F.lit(REASON_SIGNATURE_LENGTH))
-          .when(~is_fresh(ts_ms, received_ms), F.lit(REASON_STALE))
+          .when(~is_fresh(ts_ms, received_ms, window_ms), F.lit(REASON_STALE))
           .when(~signature_ok, F.lit(REASON_SIGNATURE_MISMATCH)))
     if replay is not None:
         v = v.when(replay, F.lit(REASON_REPLAY))

@@ -46,6 +46,46 @@ def billing_enriched(spark, sf_dir):
                 .select("record_id", "account_id", "device_id", "cycle_id", "usage_amount", "address", "n_name"))
 
 
+_LINKS_SQL = """
+devices AS (SELECT DISTINCT 'dev-' || CAST(c_custkey % 150 AS VARCHAR) AS device_id FROM customer WHERE c_custkey % 150 % 37 <> 0),
+recs AS (SELECT record_id, device_id, account_id, CASE WHEN record_id % 19 <> 0 THEN cycle_id END AS cycle_id, time,
+                CAST(replace(account_id, 'acct-', '') AS BIGINT) AS n FROM billing_records),
+every AS (SELECT DISTINCT account_id || ':' || strftime(time, '%Y-%m') AS cycle_id, account_id, n, month(time) AS m FROM recs),
+cycles AS (SELECT cycle_id, CASE WHEN n % 23 = 0 THEN 'closed-' || CAST(n AS VARCHAR) ELSE account_id END AS account_id,
+                  CASE WHEN n % 3 = 0 THEN 'FINALIZED' ELSE 'OPEN' END AS state FROM every WHERE NOT (m = 2 AND n % 5 = 0)),
+logs AS (SELECT 'fin-' || cycle_id AS log_id, cycle_id FROM every WHERE n % 3 = 0),
+owned AS (SELECT c.cycle_id, c.state AS cycle_state, c.account_id AS cycle_account_id, a.address AS cycle_address FROM cycles c LEFT JOIN accounts a USING (account_id))"""
+
+
+def _links(spark, sf_dir):
+    """Billing tables with keys that point nowhere: missing devices and cycles, cycles of closed accounts, records without a cycle."""
+    r = tables.billing_records(spark, sf_dir).withColumn("n", F.regexp_replace("account_id", "acct-", "").cast("bigint"))
+    number = F.col("c_custkey") % 150
+    devices = tables.read_table(spark, sf_dir, "customer").where(number % 37 != 0).select(F.concat(F.lit("dev-"), number.cast("string")).alias("device_id")).distinct()
+    every = r.select("cycle_id", "account_id", "n", F.month("time").alias("m")).distinct()
+    owner = F.when(F.col("n") % 23 == 0, F.concat(F.lit("closed-"), F.col("n").cast("string"))).otherwise(F.col("account_id"))
+    cycles = every.where(~((F.col("m") == 2) & (F.col("n") % 5 == 0))).select(
+        "cycle_id", owner.alias("account_id"), F.when(F.col("n") % 3 == 0, "FINALIZED").otherwise("OPEN").alias("state"))
+    logs = every.where(F.col("n") % 3 == 0).select(F.concat(F.lit("fin-"), F.col("cycle_id")).alias("log_id"), "cycle_id")
+    recs = r.select("record_id", "device_id", "account_id", F.when(F.col("record_id") % 19 != 0, F.col("cycle_id")).alias("cycle_id"))
+    return billing.billing_links(recs, devices, cycles, tables.accounts(spark, sf_dir), logs)
+
+
+@register("billing_links", with_views("billing_records", "accounts", extra=_LINKS_SQL) + """SELECT r.record_id, r.device_id, d.device_id IS NOT NULL AS device_known, r.account_id, a.address AS account_address,
+       r.cycle_id, o.cycle_state, o.cycle_account_id, o.cycle_address
+FROM recs r LEFT JOIN devices d ON r.device_id = d.device_id LEFT JOIN accounts a ON r.account_id = a.account_id LEFT JOIN owned o ON r.cycle_id = o.cycle_id""")
+def billing_links(spark, sf_dir):
+    """Record to device, account and cycle, and cycle to account, over stored bucketed tables; orphans are kept."""
+    return _links(spark, sf_dir)[0]
+
+
+@register("finalization_links", with_views("billing_records", "accounts", extra=_LINKS_SQL) + """SELECT l.log_id, l.cycle_id, o.cycle_state, o.cycle_account_id, o.cycle_address
+FROM logs l LEFT JOIN owned o ON l.cycle_id = o.cycle_id""")
+def finalization_links(spark, sf_dir):
+    """Finalization log to cycle and the cycle's account; entries of missing cycles are kept."""
+    return _links(spark, sf_dir)[1]
+
+
 @register("cycle_totals", with_views("billing_records") + """SELECT cycle_id, account_id, COUNT(*) AS record_count,
        MIN(time) AS period_first, MAX(time) AS period_last,
        CASE WHEN SUM(CAST(usage_amount AS HUGEINT)) > 9223372036854775807

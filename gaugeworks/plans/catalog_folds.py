@@ -88,7 +88,7 @@ FROM r JOIN o ON r.event_id = o.event_id""")
 def payload_verdict(spark, sf_dir):
     """Ordered verdict; replay (one-hour window at driver scale) only among passing rows."""
     parsed = payloads.parse_bodies(_bodies(spark, sf_dir)).drop("body")
-    v = payloads.payload_verdicts(parsed, window_ms=HOUR_MS, replay_window_ms=HOUR_MS)
+    v = payloads.payload_verdicts(parsed, replay_window_ms=HOUR_MS)
     return v.select("event_id", "nonce", "verdict")
 
 

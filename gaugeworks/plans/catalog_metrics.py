@@ -163,7 +163,7 @@ def histogram_le(spark, sf_dir):
 
 
 def _metric_events(spark, sf_dir) -> DataFrame:
-    """A long metric-event table: tx status, rate-limit decisions, gap losses."""
+    """A long metric-event table: tx status, rate-limit decisions, gap losses, config transitions, pool rejections, poll errors."""
     from ..operators import sequence
     r = tables.billing_records(spark, sf_dir)
     tx = r.select(F.lit("blockchain_transactions_total").alias("metric"),
@@ -176,17 +176,30 @@ def _metric_events(spark, sf_dir) -> DataFrame:
     gl = gaps.where(F.col("missing_count") > 0).select(
         F.lit("ledger_gap_events_lost_total").alias("metric"),
         F.create_map(F.lit("stream"), F.col("stream_id")).alias("labels"), F.col("missing_count").cast("bigint").alias("value"))
-    return tx.unionByName(rl).unionByName(gl)
-
-
-@register("labelled_counts", with_views("billing_records", "outcomes", "ledger", extra="""
+    t, k, one = tables.telemetry(spark, sf_dir), F.col("k"), F.lit(1).cast("bigint").alias("value")
+    version = [F.concat(F.lit("v"), F.pmod(k + i, F.lit(3)).cast("string")) for i in (0, 1)]
+    moved = t.where("event_type = 'signup'").select(F.lit("config_transition_events").alias("metric"), F.create_map(
+        F.lit("start_version"), version[0], F.lit("end_version"), version[1]).alias("labels"), one)
+    refused = t.where("event_type = 'error'").select(F.lit("tenant_pool_rejections_total").alias("metric"),
+                                                     F.create_map(F.lit("tenant_id"), "tenant_id").alias("labels"), one)
+    polls = t.where(k % 10 == 0).select(F.lit("ledger_sync_poll_errors_total").alias("metric"), F.create_map(
+        F.lit("sync_id"), F.lit("ledger"), F.lit("phase"), F.when(k % 20 == 0, "poll").otherwise("fetch")).alias("labels"), one)
+    return tx.unionByName(rl).unionByName(gl).unionByName(moved).unionByName(refused).unionByName(polls)
+
+
+@register("labelled_counts", with_views("billing_records", "outcomes", "ledger", "telemetry", extra="""
 gaps AS (SELECT stream_id, sequence - prev - 1 AS missing FROM (
            SELECT *, MAX(sequence) OVER (PARTITION BY stream_id ORDER BY arrival_ts, arrival_id
                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM ledger)
          WHERE prev IS NOT NULL AND sequence > prev + 1),
 ev AS (SELECT 'blockchain_transactions_total' AS metric, 'status=' || status AS labels, CAST(1 AS BIGINT) AS value FROM billing_records
        UNION ALL SELECT 'rate_limiter_redis_hits_total', 'decision=' || CASE WHEN outcome = 'accepted' THEN 'allowed' ELSE 'denied' END, 1 FROM outcomes
-       UNION ALL SELECT 'ledger_gap_events_lost_total', 'stream=' || stream_id, missing FROM gaps WHERE missing > 0)""") + """SELECT metric, labels, CAST(SUM(value) AS BIGINT) AS value FROM ev GROUP BY metric, labels""")
+       UNION ALL SELECT 'ledger_gap_events_lost_total', 'stream=' || stream_id, missing FROM gaps WHERE missing > 0
+       UNION ALL SELECT 'config_transition_events', 'end_version=v' || CAST((k + 1) % 3 AS VARCHAR) || ',start_version=v' || CAST(k % 3 AS VARCHAR), 1
+       FROM telemetry WHERE event_type = 'signup'
+       UNION ALL SELECT 'tenant_pool_rejections_total', 'tenant_id=' || tenant_id, 1 FROM telemetry WHERE event_type = 'error'
+       UNION ALL SELECT 'ledger_sync_poll_errors_total', 'phase=' || CASE WHEN k % 20 = 0 THEN 'poll' ELSE 'fetch' END || ',sync_id=ledger', 1
+       FROM telemetry WHERE k % 10 = 0)""") + """SELECT metric, labels, CAST(SUM(value) AS BIGINT) AS value FROM ev GROUP BY metric, labels""")
 def labelled_counts(spark, sf_dir):
     """Labelled event counts summed per (metric, label set)."""
     ev = _metric_events(spark, sf_dir)

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from ..operators import billing, folds
+from ..operators import billing, folds, stored_views
+from ..operators.rollups import POLICIES
 from ..sources import tables, telemetry_store
-from ..streaming import ledger_bus, sinks, stateful
+from ..sources.stored import entries
+from ..streaming import ledger_bus, resync, sinks, stateful
 from ..streaming import rollups as srollups
 from . import catalog_folds, catalog_metrics, catalog_sequence  # noqa: F401  (their SQL is shared)
 from .catalog_folds import _FRAGMENTS_SQL, _chunks, _frames
@@ -62,6 +65,20 @@ def aged_layout(spark, sf_dir):
     return telemetry_store.read_layout(spark, path, f"{path}-aged", day).select(*_READING_COLUMNS)
 
 
+@register("tenant_reads", with_views("telemetry") + """SELECT 'tenant_' || tenant_id AS tenant_schema, device_id, COUNT(*) AS readings, MAX(time) AS last_time
+FROM telemetry GROUP BY 1, 2""")
+def tenant_reads(spark, sf_dir):
+    """Readings in a store partitioned by tenant; every read names one tenant and scans its partition alone."""
+    path, _ = _scratch(spark, "tenants")
+    telemetry_store.write_tenants(tables.telemetry(spark, sf_dir).select("tenant_id", *_READING_COLUMNS), path)
+    out = None
+    for n in range(5):
+        rows = telemetry_store.tenant_scan(spark, path, F.col("tenant_schema") == telemetry_store.schema_of(f"t{n}"))
+        part = rows.groupBy("tenant_schema", "device_id").agg(F.count(F.lit(1)).alias("readings"), F.max("time").alias("last_time"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("known_states", with_views("billing_records", extra="""
 s AS (SELECT record_id AS id, ['OPEN', 'FINALIZING', 'FINALIZED', 'SETTLED', 'BOGUS', NULL][CAST(record_id % 6 AS INTEGER) + 1] AS state FROM billing_records)""") + """SELECT id, state, state IS NOT NULL AND state <> 'BOGUS' AS known FROM s""")
 def known_states(spark, sf_dir):
@@ -90,12 +107,92 @@ def stream_ledger(spark, sf_dir):
     out, ckpt = _scratch(spark, "ledger-log")
     led = tables.ledger(spark, sf_dir).select(F.col("sequence").alias("order"), F.create_map(F.lit("ledger"), F.col("sequence").cast("string")).alias("payload"))
     half = led.select(F.percentile_approx("order", 0.5)).first()[0] or 0
+    segment = max(64, led.count() // 8)
     for part in (led.where(F.col("order") <= half), led.where(F.col("order") > half)):
-        ledger_bus.publish(spark, ckpt + "-log", part)
-    ledger_bus.consume(spark, ckpt + "-log", ckpt, sinks.insert_ignore_sink(out, ["seq"]), count=1).awaitTermination()
+        ledger_bus.publish(spark, ckpt + "-log", part, segment)
+    ledger_bus.consume(spark, ckpt + "-log", ckpt, sinks.insert_ignore_sink(out, ["seq"]), count=2 * segment, segment=segment).awaitTermination()
     return spark.read.parquet(out).select("seq", F.col("payload")["ledger"].alias("ledger"))
 
 
+@register("ledger_pending", with_views("ledger", extra="""
+n AS (SELECT COUNT(*) AS entries FROM ledger), s AS (SELECT entries, greatest(64, entries // 5) AS bound FROM n)""") + """SELECT entries AS published, 2 * bound AS acknowledged_before,
+       least(bound, entries - 2 * bound) AS pending_after_stop, CAST(0 AS BIGINT) AS pending_after_resume, entries AS consumed, bound AS largest_read FROM s""")
+def ledger_pending(spark, sf_dir):
+    """A consumer of bounded reads fails in its third read; that read is pending until the resumed consumer acknowledges it."""
+    out, ckpt = _scratch(spark, "ledger-pending")
+    led = tables.ledger(spark, sf_dir).select(F.col("sequence").alias("order"), F.create_map(F.lit("ledger"), F.col("sequence").cast("string")).alias("payload"))
+    published = led.count()
+    bound = max(64, published // 5)
+    log = f"{ckpt}-log"
+    ledger_bus.publish(spark, log, led.repartition(1), bound)
+    store = sinks.insert_ignore_sink(f"{out}/entries", ["seq"])
+
+    def handle(batch, epoch_id):
+        store(batch, epoch_id)
+        batch.agg(F.count(F.lit(1)).alias("n")).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(f"{out}/reads")
+
+    def fails(batch, epoch_id):
+        handle(batch, epoch_id) if epoch_id < 2 else 1 // 0
+
+    stopped = ledger_bus.consume(spark, log, ckpt, fails, count=bound, segment=bound)
+    try:
+        stopped.awaitTermination()
+    except StreamingQueryException:
+        pass  # the planned failure
+    waiting = ledger_bus.pending_count(spark, ckpt)
+    before = spark.read.parquet(f"{out}/entries").count()
+    ledger_bus.consume(spark, log, ckpt, handle, count=bound, segment=bound).awaitTermination()
+    left = ledger_bus.pending_count(spark, ckpt)
+    stored = spark.read.parquet(f"{out}/entries").agg(F.count(F.lit(1)).alias("consumed"))
+    reads = spark.read.parquet(f"{out}/reads").agg(F.max("n").alias("largest_read"))
+    known = [F.lit(v).cast("bigint").alias(n) for n, v in (("published", published), ("acknowledged_before", before), ("pending_after_stop", waiting), ("pending_after_resume", left))]
+    return stored.select(*known, "consumed", F.lit(reads.first()[0]).cast("bigint").alias("largest_read"))
+
+
+_VIEW_STATS = {"15m": ("time_bucket(INTERVAL 15 MINUTE, time)", "INTERVAL 15 MINUTE + INTERVAL 15 MINUTE", "INTERVAL 12 HOUR", "day"),
+               "1h": ("date_trunc('hour', time)", "INTERVAL 1 HOUR + INTERVAL 1 HOUR", "INTERVAL 5 DAY", "day"),
+               "1d": ("date_trunc('day', time)", "INTERVAL 1 DAY + INTERVAL 1 DAY", "INTERVAL 21 DAY", "month"),
+               "1w": ("date_trunc('week', time)", "INTERVAL 7 DAY + INTERVAL 7 DAY", "INTERVAL 90 DAY", "month"),
+               "1mo": ("date_trunc('month', time)", "INTERVAL 1 MONTH + INTERVAL 1 MONTH", "INTERVAL 270 DAY", "month")}
+
+
+def _aged_sql() -> str:
+    views = "".join(f"""
+UNION ALL SELECT 'usage_{v}', COUNT(DISTINCT part) FILTER (aged), COUNT(*), COUNT(DISTINCT part) FILTER (aged) > 0 FROM (
+  SELECT date_trunc('{part}', bucket) AS part, date_trunc('{part}', bucket) + INTERVAL 1 {part.upper()} <= (SELECT moment FROM now) - {age} AS aged
+  FROM (SELECT DISTINCT {bucket} AS bucket, device_id FROM telemetry) WHERE bucket + {closed} <= (SELECT moment FROM now))""" for v, (bucket, closed, age, part) in _VIEW_STATS.items())
+    return f"""SELECT 'telemetry' AS table_name, COUNT(DISTINCT day) FILTER (day + INTERVAL 1 DAY <= (SELECT moment FROM now) - INTERVAL 7 DAY) AS partitions, COUNT(*) AS rows_kept,
+       COUNT(DISTINCT day) FILTER (day + INTERVAL 1 DAY <= (SELECT moment FROM now) - INTERVAL 7 DAY) > 0 AS ratio_known
+FROM (SELECT date_trunc('day', time) AS day FROM telemetry)
+UNION ALL SELECT 'billing_records', COUNT(DISTINCT chunk) FILTER (aged), COUNT(*), COUNT(DISTINCT chunk) FILTER (aged) > 0 FROM (
+  SELECT chunk, TIMESTAMP '1970-01-01' + to_days(CAST((chunk + 1) * 7 AS INTEGER)) <= (SELECT max(time) FROM billing_records) - INTERVAL 30 DAY AS aged
+  FROM (SELECT epoch_us(time) // 604800000000 AS chunk FROM billing_records)){views}"""
+
+
+@register("aged_policies", with_views("telemetry", "billing_records", extra="now AS (SELECT max(ts) AS moment FROM events)") + _aged_sql())
+def aged_policies(spark, sf_dir):
+    """Telemetry, billing and the five stored views rewritten by their ages, with the compression ratio of what was rewritten."""
+    base, _ = _scratch(spark, "aged-policies")
+    t = tables.telemetry(spark, sf_dir)
+    now, paid = t.agg(F.max("time")).first()[0], tables.billing_records(spark, sf_dir).agg(F.max("time")).first()[0]
+    telemetry_store.write_telemetry(t.select(*_READING_COLUMNS, "ingested_at"), f"{base}/telemetry")
+    telemetry_store.write_billing_records(tables.billing_records(spark, sf_dir), f"{base}/billing")
+    stored_views.store_views(t, f"{base}/views", now)
+    newest = F.col("time").desc()
+    ages = telemetry_store.COMPRESS_AFTER
+    jobs = [("telemetry", f"{base}/telemetry", "day", now, ages["telemetry"], [F.col("device_id"), F.col("region"), newest], "day"),
+            ("billing_records", f"{base}/billing", "chunk", paid, ages["billing_records"], [F.col("account_id"), newest], "day")]
+    jobs += [(f"usage_{v}", f"{base}/views/resolution={v}", "day", now, POLICIES[v][3], [F.col("device_id"), F.col("bucket").desc()], part)
+             for v, (_, _, _, part) in _VIEW_STATS.items()]
+    out = None
+    for name, path, partition, at, age, order, width in jobs:
+        report = telemetry_store.compact_aged(spark, path, name, partition, at, age, order, width)
+        kept = spark.read.parquet(path).count() if entries(spark, path) else 0
+        row = report.select("table_name", "partitions", F.lit(kept).cast("bigint").alias("rows_kept"), F.col("compression_ratio_pct").isNotNull().alias("ratio_known"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --------------------------------------------------------------------------- stateful streams
 
 
@@ -177,6 +274,31 @@ def stream_fragments(spark, sf_dir):
     return rows.select("connection_id", "event_pos", "kind", F.length("payload").alias("payload_bytes"), "buffer_bytes")
 
 
+@register("stream_resync", "WITH RECURSIVE " + CLOCK_SQL + f""",
+asked AS (SELECT 'dev-' || CAST(user_id AS VARCHAR) AS entity, time_ms AS t, ['GAP_DETECTED', 'PENDING', 'TENTATIVE', 'GAP_DETECTED'][CAST({K} % 4 AS INTEGER) + 1] AS to_state,
+                 row_number() OVER (PARTITION BY user_id ORDER BY time_ms, event_id) AS rn FROM clock),
+legal AS (SELECT * FROM (VALUES ('PENDING', 'TENTATIVE'), ('PENDING', 'GAP_DETECTED'), ('TENTATIVE', 'GAP_DETECTED'), ('GAP_DETECTED', 'PENDING')) l(a, b)),
+r AS (SELECT DISTINCT entity, CAST(0 AS BIGINT) AS rn, 'PENDING' AS state, CAST(NULL AS BIGINT) AS since, false AS moved, CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS t
+      FROM asked
+      UNION ALL
+      SELECT r.entity, a.rn, CASE WHEN l.a IS NULL THEN r.state ELSE a.to_state END,
+             CASE WHEN l.a IS NOT NULL THEN CASE WHEN a.to_state = 'GAP_DETECTED' THEN a.t END WHEN a.t - r.since >= 60000 THEN NULL ELSE r.since END,
+             l.a IS NOT NULL, CASE WHEN a.t - r.since >= 60000 THEN r.since + 60000 END, a.t
+      FROM r JOIN asked a ON a.entity = r.entity AND a.rn = r.rn + 1 LEFT JOIN legal l ON l.a = r.state AND l.b = a.to_state)
+SELECT entity, 'transition' AS kind, state, t AS at_ms FROM r WHERE moved
+UNION ALL SELECT entity, 'resync_request', 'GAP_DETECTED', due FROM r WHERE due IS NOT NULL
+UNION ALL SELECT entity, 'resync_request', 'GAP_DETECTED', since + 60000 FROM r
+WHERE since + 60000 < (SELECT max(t) - 10000 FROM asked) AND (entity, rn) IN (SELECT entity, max(rn) FROM asked GROUP BY 1)""")
+def stream_resync(spark, sf_dir):
+    """Transitions over several files; an entity in GAP_DETECTED for 60 s gives one resync request, by timer if nothing else comes."""
+    out, ckpt = _scratch(spark, "resync")
+    states = F.array(*[F.lit(x) for x in ("GAP_DETECTED", "PENDING", "TENTATIVE", "GAP_DETECTED")])
+    k = F.get_json_object("props", "$.k").cast("int")
+    asked = _clock(spark, sf_dir, ckpt + "-src").select(F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("entity"), F.get(states, k % 4).alias("to_state"),
+                                                        "time_ms", "event_id", "event_time")
+    return _run(resync.resync_requests(asked, order=["time_ms", "event_id"]), out, ckpt)
+
+
 @register("stream_refresh", _rollup_sql("1h"))
 def stream_refresh(spark, sf_dir):
     """Readings stored, the touched buckets of the hourly view rebuilt every 100 inserts."""

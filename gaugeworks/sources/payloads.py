@@ -61,28 +61,18 @@ def payload_verdicts(parsed: DataFrame, received_ms: str = "received_ms", signat
                      window_ms: int = V.NONCE_WINDOW_MS, replay_window_ms: int | None = None) -> DataFrame:
     """Ordered verdict; the nonce is claimed only by payloads that pass
     every other check (replay guard W1 over those rows, keyed by nonce).
-    Returns ``(event_id, nonce, received_ms, replay, verdict)``."""
-    from ..operators.folds import _session_fold
+    Returns ``(event_id, nonce, received_ms, replay, verdict)``.
+
+    ``window_ms`` is the freshness window and, without ``replay_window_ms``, the
+    replay window too. Bodies are judged once, into a narrow checkpointed table; only
+    eligible rows, which all have a nonce, are folded.
+    """
+    from ..operators.folds import replay_guard
     pre = V.verdict(F.col("malformed"), F.col("public_key"), F.col("signature"), F.col("ts_ms"),
-                    F.col(received_ms), F.col(signature_ok))
-    window = replay_window_ms or window_ms
-    # Only the columns the fold and verdict need travel through Python.
-    d = parsed.select("event_id", "nonce", received_ms, pre.alias("_pre")).withColumn("_eligible", F.col("_pre") == V.VALID)
-
-    def step(expires, now, eligible):
-        if not eligible:
-            return expires, (False,)
-        if expires is not None and expires > now:
-            return expires, (True,)
-        return now + window, (False,)
-
-    # One ordered pass per nonce (split at gaps of one window, after which no
-    # claim can still be unexpired); rows that failed earlier checks pass
-    # through without claiming the nonce.
-    out = _session_fold(d.withColumn("_nonce_key", F.coalesce("nonce", F.lit(""))), "_nonce_key",
-                        [received_ms, "event_id"],
-                        ([received_ms, "_eligible"], [("replay", "boolean")], (lambda: None), step),
-                        received_ms, window, strict=False)
-    verdict = F.when(~F.col("_eligible"), F.col("_pre")).when(
-        F.col("replay"), F.lit(V.REASON_REPLAY)).otherwise(F.lit(V.VALID))
-    return out.withColumn("verdict", verdict).drop("_pre", "_eligible", "_nonce_key")
+                    F.col(received_ms), F.col(signature_ok), window_ms=window_ms)
+    judged = parsed.select("event_id", "nonce", received_ms, pre.alias("verdict")).checkpoint()
+    claims = replay_guard(judged.where(F.col("verdict") == V.VALID), "nonce", received_ms, [received_ms, "event_id"], replay_window_ms or window_ms)
+    claims = claims.withColumn("verdict", F.when(F.col("replay"), F.lit(V.REASON_REPLAY)).otherwise(F.lit(V.VALID)))
+    rest = judged.where(F.col("verdict") != V.VALID).withColumn("replay", F.lit(False))
+    cols = ["event_id", "nonce", received_ms, "replay", "verdict"]
+    return claims.select(*cols).unionByName(rest.select(*cols))

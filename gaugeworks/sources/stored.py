@@ -23,6 +23,42 @@ def entries(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if not n.startswith(("_", ".")))
 
 
+def modified(spark: SparkSession, path: str) -> list[int]:
+    """Modification times (ms) of the visible files directly below ``path``; none if it does not exist."""
+    p, fs = _root(spark, path)
+    if not fs.exists(p):
+        return []
+    return [s.getModificationTime() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))]
+
+
+def set_time(spark: SparkSession, path: str, at_ms: int) -> None:
+    """Set a file's modification time; a store that does not keep it raises."""
+    p, fs = _root(spark, path)
+    fs.setTimes(p, at_ms, -1)
+    if fs.getFileStatus(p).getModificationTime() != at_ms:
+        raise RuntimeError(f"{path}: this store does not keep file times, so files cannot be told apart by age")
+
+
+def move_file(spark: SparkSession, src: str, dst: str) -> None:
+    p, fs = _root(spark, src)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dst)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"{src} could not be moved to {dst}")
+
+
+def read_lines(spark: SparkSession, path: str) -> list[str]:
+    """Lines of a small text file, such as a checkpoint's list of one read; none if it does not exist."""
+    p, fs = _root(spark, path)
+    if not fs.exists(p):
+        return []
+    stream = fs.open(p)
+    try:
+        return str(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).splitlines()
+    finally:
+        stream.close()
+
+
 def set_ages(spark: SparkSession, path: str) -> None:
     """Give the files directly below ``path`` rising modification times in the order of their names.
 
@@ -34,10 +70,23 @@ def set_ages(spark: SparkSession, path: str) -> None:
     newest = max((s.getModificationTime() for s in fs.listStatus(p)), default=0) // 1000 * 1000
     at = {n: newest - 1000 * (len(names) - i) for i, n in enumerate(names)}
     for n, t in at.items():
-        fs.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, n), t, -1)
-    found = {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(p)}
-    if any(found[n] != t for n, t in at.items()):
-        raise RuntimeError(f"{path}: this store does not keep file times, so files cannot be told apart by age")
+        set_time(spark, f"{path}/{n}", t)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path``; 0 if it does not exist."""
+    p, fs = _root(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def replace_parts(spark: SparkSession, journal: str, path: str) -> None:
+    """Put every partition folder of a finished ``journal`` in the place of its namesake below ``path``, by renames."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    p, fs = _root(spark, journal)
+    for n in entries(spark, journal):
+        fs.delete(new(path, n), True)
+        if not fs.rename(new(p, n), new(path, n)):
+            raise OSError(f"{journal}/{n} could not be put in place")
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:

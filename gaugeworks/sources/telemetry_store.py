@@ -148,3 +148,98 @@ def billing_range(df: DataFrame, start: str, end: str) -> DataFrame:
     lo = F.floor(F.unix_date(F.to_date(s)) / BILLING_CHUNK_DAYS)
     hi = F.floor(F.unix_date(F.to_date(e)) / BILLING_CHUNK_DAYS)
     return df.where((F.col("time") >= s) & (F.col("time") < e) & (F.col("chunk") >= lo) & (F.col("chunk") <= hi))
+
+
+# --------------------------------------------------------------------------- maintenance by age
+
+# Age after which a table's partitions are rewritten; the views' ages are in their policies.
+COMPRESS_AFTER = {"telemetry": "7 days", "billing_records": "30 days"}
+
+
+def aged_before(partition: str, width: str, now, age: str) -> Column:
+    """Whether a partition (``day`` of a day or month, or ``chunk`` of seven days) ended ``age`` before ``now``."""
+    limit = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL '{age}'")
+    if partition == "chunk":
+        end = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("chunk") + 1) * BILLING_CHUNK_DAYS)
+    else:
+        end = F.add_months("day", 1) if width == "month" else F.date_add("day", 1)
+    return end.cast("timestamp_ntz") <= limit.cast("timestamp_ntz")
+
+
+def compact_aged(spark: SparkSession, path: str, name: str, partition: str, now, age: str, order: list[Column], width: str = "day") -> DataFrame:
+    """S3: rewrite the partitions of a stored table that are older than ``age``, clustered by ``order`` and compressed with zstd.
+
+    Aged partitions that were not rewritten yet are written beside the table first; each then takes the old one's
+    place by a rename, so data is copied once. A crash leaves either the old or the new partition in place or the new
+    one in the journal, from which the next run puts it in place before anything else. What was rewritten is a
+    small table beside the data. Returns one row ``(table_name, partitions, bytes_before, bytes_after, compression_ratio_pct)``.
+    """
+    from .stored import entries, epochs, finished, read_epoch, remove, replace_parts, size_of, write_epoch
+
+    journal, marks = f"{path.rstrip('/')}-compacting", f"{path.rstrip('/')}-compacted"
+    if finished(spark, journal):
+        replace_parts(spark, journal, path)
+    remove(spark, journal)
+    done = read_epoch(spark, marks)
+    before = after = 0
+    parts: list[str] = []
+    if entries(spark, path):
+        table = spark.read.parquet(path)
+        keys = [c for c in table.columns if c in (partition, "region_bucket")]
+        names = table.select(F.concat(F.lit(f"{partition}="), F.col(partition).cast("string")).alias("part"), partition).distinct().where(aged_before(partition, width, now, age))
+        if done is not None:
+            names = names.join(done, "part", "left_anti")
+        parts = sorted(r["part"] for r in names.select("part").collect())  # one name per aged partition
+    if parts:
+        before = sum(size_of(spark, f"{path}/{p}") for p in parts)
+        old = table.where(F.concat(F.lit(f"{partition}="), F.col(partition).cast("string")).isin(parts))
+        old.hint("rebalance", *keys).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).option("compression", "zstd").parquet(journal)
+        replace_parts(spark, journal, path)
+        after = sum(size_of(spark, f"{path}/{p}") for p in parts)
+        mark = spark.createDataFrame([(p,) for p in parts], "part string")
+        write_epoch(mark if done is None else done.unionByName(mark), marks, (epochs(spark, marks) or [-1])[-1] + 1)
+        remove(spark, journal)
+    row = spark.createDataFrame([(name, len(parts), before, after)], "table_name string, partitions long, bytes_before long, bytes_after long")
+    return row.withColumn("compression_ratio_pct", F.when(F.col("bytes_before") > 0, compression_ratio(F.col("bytes_before"), F.col("bytes_after"))))
+
+
+# --------------------------------------------------------------------------- tenants
+
+
+def schema_of(tenant_id: str) -> str:
+    """P13 for one id: its schema name; an id without a usable character raises."""
+    import re
+
+    from ..operators.validation import TENANT_INVALID, TENANT_MAX_CHARS, TENANT_PREFIX
+    clean = re.sub(r"[^a-zA-Z0-9_]", "", tenant_id or "")[:TENANT_MAX_CHARS]
+    if not clean:
+        raise ValueError(TENANT_INVALID)
+    return TENANT_PREFIX + clean
+
+
+def write_tenants(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Store rows partitioned by tenant schema and day; an invalid tenant id raises."""
+    from ..operators.validation import tenant_schema_name
+    out = df.withColumn("tenant_schema", tenant_schema_name(F.col("tenant_id"), on_invalid="raise")).withColumn("day", F.to_date("time"))
+    out.hint("rebalance", "tenant_schema", "day").sortWithinPartitions("device_id", F.col("time").desc()) \
+       .write.mode(mode).partitionBy("tenant_schema", "day").option("compression", "zstd").parquet(path)
+
+
+class TenantRequired(PermissionError):
+    """A read of tenant data that is not bound to one tenant."""
+
+
+def tenant_scan(spark: SparkSession, path: str, condition: Column) -> DataFrame:
+    """Rows of a tenant store that satisfy ``condition``, which has to name one tenant.
+
+    The optimized plan is asked, not the caller: without an equality on ``tenant_schema`` among the
+    scan's partition filters (a condition on other columns, on several tenants, or one that an OR loosens) it raises.
+    """
+    rows = spark.read.parquet(path).where(condition)
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    import re
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan, re.S)
+    bound = filters is not None and any(re.fullmatch(r"\(tenant_schema#\d+ = [^()]+\)", f.strip()) for f in filters.group(1).split(", "))
+    if not bound and "LocalTableScan <empty>" not in plan:
+        raise TenantRequired("every read of tenant data has to name one tenant")
+    return rows

@@ -24,29 +24,36 @@ STATE = T.StructType([T.StructField("state", T.StringType()), T.StructField("gap
 
 
 def resync_requests(transitions: DataFrame, entity: str = "entity", to: str = "to_state", time_ms: str = "time_ms",
-                    timeout_ms: int = AUTO_RESYNC_TIMEOUT_MS) -> DataFrame:
+                    timeout_ms: int = AUTO_RESYNC_TIMEOUT_MS, order: list[str] | None = None) -> DataFrame:
     """``transitions`` needs a watermark on an event-time column. Emits one
-    ``transition`` row per applied request and a ``resync_request`` row when
-    an entity stays in GAP_DETECTED for ``timeout_ms``."""
+    ``transition`` row per applied request and one ``resync_request`` row when
+    an entity stays in GAP_DETECTED for ``timeout_ms``, whether the watermark passes the
+    timer first or a later request shows it; the entity keeps its state.
+    ``order`` tells requests of equal time apart."""
 
     def func(key, pdfs, state):
         ent = key[0]
-        if state.hasTimedOut:
-            cur, since = state.get
-            state.remove()
-            if cur == "GAP_DETECTED" and since is not None:
-                yield pd.DataFrame([(ent, "resync_request", cur, int(since) + timeout_ms)],
-                                   columns=["entity", "kind", "state", "at_ms"])
-            return
         cur, since = state.get if state.exists else ("PENDING", None)
         rows = []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(time_ms, kind="mergesort")
-        for t, nxt in zip(pdf[time_ms].tolist(), pdf[to].tolist()):
-            if (cur, nxt) not in _LEGAL:
-                continue
-            cur = nxt
-            since = int(t) if cur == "GAP_DETECTED" else None
-            rows.append((ent, "transition", cur, int(t)))
+
+        def overdue(by):
+            """Fire the timer once if it was due at ``by``; the entity stays where it is."""
+            nonlocal since
+            if since is not None and by - since >= timeout_ms:
+                rows.append((ent, "resync_request", cur, int(since) + timeout_ms))
+                since = None
+
+        if state.hasTimedOut:
+            overdue(float("inf"))
+        else:
+            pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order or [time_ms], kind="mergesort")
+            for t, nxt in zip(pdf[time_ms].tolist(), pdf[to].tolist()):
+                overdue(t)
+                if (cur, nxt) not in _LEGAL:
+                    continue
+                cur = nxt
+                since = int(t) if cur == "GAP_DETECTED" else None
+                rows.append((ent, "transition", cur, int(t)))
         state.update((cur, since))
         if since is not None:
             state.setTimeoutTimestamp(max(since + timeout_ms, state.getCurrentWatermarkMs() + 1))
