@@ -1,11 +1,10 @@
 """Tokenizer access inside tasks.
 
-A text is cut where no token can cross: in front of each run of white space
-(byte-level kind) or at white space (word kind, which drops it), and after a
-run of plain letters that ends at a full stop or the like. Each distinct
-chunk goes through the tokenizers library once per worker and its ids are kept
-in a bounded table, so whole texts are encoded at dictionary speed with ids
-equal to those of ``encode`` on the whole text (``tests/llm``).
+A text is cut where no token can cross: in front of white space (byte-level kind) or
+at white space (word kind, which drops it). Each distinct chunk goes through the
+tokenizers library once per worker and its ids are kept in a bounded table, so whole
+texts are encoded at dictionary speed with ids equal to those of ``encode`` on the whole
+text (``tests/llm``). Texts are looked up first and learned from on a miss only.
 """
 
 from __future__ import annotations
@@ -22,15 +21,42 @@ from .common import text_bytes
 
 # Unicode White_Space, the set of the tokenizers' \s (Python's \s has four more control characters).
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_CHUNK = {"byte": re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall, "word": re.compile(f"[^{_WS}]+").findall}
+_RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+
+def split_words(text: str) -> list[str]:
+    """Runs without white space; the four control characters that Python alone takes for white space stay inside."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return _CHUNK["word"](text)
+    return text.split()
+
+
+def split_spaced(text: str) -> list[str]:
+    """Chunks that begin with the white space in front of them; joined they give the text.
+
+    A run of white space before a word gives its last character to a chunk of its own in the byte-level pattern: a
+    blank goes with the word, a line feed stands alone. So a cut in front of a single blank or of one or two line
+    feeds is a cut between tokens (but for two at the end of a text); texts with other white space are cut in front of whole runs.
+    """
+    if ("  " in text or "\n\n\n" in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
+            or "\0" in text or text.endswith("\n\n") or not text.isascii() and _RARE_SPACE(text)):
+        return _CHUNK["byte"](text)
+    return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+
+
+_SPLIT = {"byte": split_spaced, "word": split_words}
+# A new chunk is cut further after a run of plain letters that ends at a full stop or the like: "end." is learned as "end" and ".".
+# (not U+0130, whose lower case ends in a mark that is no letter)
+_LETTERS = r"A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ"
 _STOPS = ".,;:!?"
-_CHUNK = {
-    "byte": re.compile(f"[{_WS}]*[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+"),
-    "word": re.compile(f"[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[^{_WS}]+"),
+_PARTS = {
+    "byte": re.compile(f"[{_WS}]*[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+").findall,
+    "word": re.compile(f"[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[^{_WS}]+").findall,
 }
 #: Most chunks kept per worker; the later half goes beyond it (memory bound, not a result bound).
 CACHE_CHUNKS = 500_000
-#: Characters whose chunks are looked up together.
+#: Bytes of text that are learned from together.
 _TOGETHER = 1 << 20
 END_ID = 2
 
@@ -47,38 +73,55 @@ class ChunkEncoder:
         if id_bytes == 2 and self._tok.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary needs more than 2 bytes an id")
         self._dtype = f"<u{id_bytes}"
-        self._split = _CHUNK[kind].findall
+        self._split, self._cut = _SPLIT[kind], _PARTS[kind]
         # a vocabulary of lower case: A-Z are folded first, which leaves fewer chunks to learn
         self._folds = self._tok.normalizer is not None and self._tok.normalizer.normalize_str("AZ") == "az"
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}  # chunks
+        self._parts: dict[str, bytes] = {}  # what they are made of
 
     def _learn(self, new: set[str]) -> None:
-        for part in batched(new, 8192):
-            for c, e in zip(part, self._tok.encode_batch_fast(list(part), add_special_tokens=False)):
-                self._known[c] = np.array(e.ids, self._dtype).tobytes()
+        cuts = {c: self._cut(c) for c in new}
+        for some in batched(set().union(*cuts.values()).difference(self._parts), 8192):
+            for c, e in zip(some, self._tok.encode_batch_fast(list(some), add_special_tokens=False)):
+                self._parts[c] = np.array(e.ids, self._dtype).tobytes()
+        parts = self._parts
+        for c, cut in cuts.items():
+            self._known[c] = b"".join([parts[p] for p in cut])
+
+    def encode_raw(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text."""
+        split, out, missed, chars = self._split, [], [], 0
+        for raw in texts:
+            chunks = split((raw.lower() if self._folds else raw).decode("utf-8", "replace"))
+            try:
+                out.append(b"".join([self._known[c] for c in chunks]))
+            except KeyError:
+                missed.append((len(out), chunks))
+                out.append(b"")
+                chars += len(raw)
+                if chars > _TOGETHER:
+                    self._settle(missed, out)
+                    missed, chars = [], 0
+        self._settle(missed, out)
+        return out
+
+    def _settle(self, missed: list[tuple[int, list[str]]], out: list[bytes]) -> None:
+        """Learn the unknown chunks of the texts that missed, and encode these."""
+        need = set().union(*[c for _, c in missed])
+        new = need.difference(self._known)
+        if len(self._known) + len(new) > CACHE_CHUNKS or len(self._parts) > CACHE_CHUNKS:
+            # frequent chunks are met early: keep the earlier half
+            self._known = dict(islice(self._known.items(), CACHE_CHUNKS // 2))
+            self._parts = dict(islice(self._parts.items(), CACHE_CHUNKS // 2))
+            new = need.difference(self._known)
+        self._learn(new)
+        known = self._known
+        for at, chunks in missed:
+            out[at] = b"".join([known[c] for c in chunks])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if self._folds:
-            texts = [t.encode("utf-8", "replace").lower().decode("utf-8") for t in texts]
-        out, lo = [], 0
-        while lo < len(texts):
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= _TOGETHER):
-                chars += len(texts[hi])
-                hi += 1
-            chunks = [self._split(t) for t in texts[lo:hi]]
-            need = set().union(*chunks)
-            new = need.difference(self._known)
-            if len(self._known) + len(new) > CACHE_CHUNKS:
-                # frequent chunks are met early: keep the earlier half
-                self._known = dict(islice(self._known.items(), CACHE_CHUNKS // 2))
-                new = need.difference(self._known)
-            self._learn(new)
-            known = self._known
-            out += [b"".join([known[c] for c in x]) for x in chunks]
-            lo = hi
-        return out
+        return self.encode_raw([t.encode("utf-8", "replace") for t in texts])
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -106,9 +149,9 @@ def token_ids(docs: DataFrame, path: str, kind: str, id_col: str = "doc_id", tex
     end = b"" if end_id is None else np.array([end_id], f"<u{id_bytes}").tobytes()
 
     def run(batches):
-        enc = encoder(path, kind, id_bytes).encode_all
+        enc = encoder(path, kind, id_bytes).encode_raw
         for b in batches:
-            ids = [x + end for x in enc([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])]
+            ids = [x + end for x in enc(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) // id_bytes for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=[id_col, "n_ids", "ids"])

@@ -45,19 +45,35 @@ _FIELDS = "page_id bigint, kind string, digest string, refers_to bigint"
 def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
     """Write one record per row of ``pages(page_id, url, html)`` below ``path``.
 
-    Null html is an empty payload; white space and control characters of a url
-    are percent-encoded; a null url has no target field; a null page id gives an
-    empty record number. Rows that repeat the smallest id are responses too.
+    Of rows with an equal payload of REVISIT_BYTES or more one is the response: that with the smallest
+    page id, null ids last, equal ids by url; all others revisit it, further rows of the same id
+    and url among them. A revisit of a response without an id refers to no number. Null html is an
+    empty payload; white space and control characters of a url are percent-encoded; a null url has
+    no target field; a null page id gives an empty record number.
     """
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("size", F.octet_length("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    slim = base.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = staged(slim.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct(), "warc-revisits")
-    # the payloads are shuffled only if the revisits are too many to send to every executor
-    rows = base.join(broadcast_if_small(again, 96), ["page_id", "digest"], "left")
-    revisit = F.col("first").isNotNull()
+    slim = base.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    # null ids last: a struct with the null flag in front
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
+    first = slim.groupBy("digest").agg(F.min(place)["page_id"].alias("first"), F.min_by("n", place).alias("same"), F.sum("n").alias("n")).where("n > 1")
+    first = staged(first.select("digest", "first", (F.col("same") > 1).alias("tied")), "warc-copies")
+    # the payloads are shuffled only if the copied ones are too many to send to every executor
+    rows = base.join(broadcast_if_small(first, 96), "digest", "left").withColumn("copied", F.col("tied").isNotNull())
+    plain = rows.where("not coalesce(tied, false)").withColumn("revisit", F.col("copied") & ~F.col("page_id").eqNullSafe(F.col("first")))
+    # several rows hold the smallest id: equal rows are counted, so a group of copies is one row until it is written
+    alike = rows.where("tied").groupBy("digest", "page_id", "url").agg(F.first("html").alias("html"), F.first("size").alias("size"), F.first("first").alias("first"),
+                                                                       F.count("*").alias("n"))
+    alike = staged(alike, "warc-ties")
+    lead = alike.where(F.col("page_id").eqNullSafe(F.col("first"))).groupBy("digest") \
+        .agg(F.min(F.struct(F.col("url").isNull().alias("none"), "url"))["url"].alias("lead"))
+    alike = alike.join(broadcast_if_small(staged(lead, "warc-leads"), 512), "digest").withColumn("copied", F.lit(True))
+    alike = alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    chosen = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("lead")) & (F.col("nth") == 1)
+    cols = ["page_id", "url", "html", "size", "digest", "first", "revisit"]
+    rows = plain.select(*cols).unionByName(alike.withColumn("revisit", ~chosen).select(*cols))
+    revisit = F.col("revisit")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))
@@ -67,7 +83,7 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
         F.lit(f">\r\nWARC-Date: {date}"),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), url), F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <{RECORD_ID}"), F.col("first"), F.lit(">"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: <{RECORD_ID}"), F.coalesce(F.col("first").cast("string"), F.lit("")), F.lit(">"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), length,
         F.lit("\r\n\r\n"), http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)

@@ -33,18 +33,29 @@ def pages(spark):
 
 
 def plain_records(rows):
-    first = {}
-    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        if len((t or "").encode()) >= 100:
-            first.setdefault(t, i)
-    out = []
-    for i, t in rows:
+    """(id, bytes, digest, type, refers to) of (id, url, html) rows: the first of equal payloads in (id, url) order, nulls last, is the response."""
+    seen, out = {}, []
+    for i, u, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")):
         raw = (t or "").encode()
-        again = i is not None and len(raw) >= 100 and first[t] != i
-        out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[t] if again else None))
+        again = len(raw) >= 100 and t in seen
+        seen.setdefault(t, i)
+        out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", seen[t] if again else None))
     return sorted(out, key=str)
 
 
+def test_one_response_per_payload_with_null_and_repeated_ids(spark):
+    """Equal payloads under repeated ids, null ids, other urls and null urls: one response each, all others revisit it."""
+    prepare(spark)
+    a, b, c, d = ("payload %s " % x * 30 for x in "abcd")
+    rows = [(5, "u", a), (5, "u", a), (None, "u", a), (7, "u", a), (5, "v", a), (5, None, a), (None, "u", b), (None, "u", b), (None, None, b),
+            (1, "u", c), (None, "u", c), (2, "u", d), (3, "x", "short"), (3, "x", "short")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, first string, digest int")
+    got = warc.round_trip(df)
+    cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted((tuple(r) for r in got.select(*cols).collect()), key=str) == plain_records(rows)
+    assert got.where("record_type = 'response'").count() == 6
+
+
 @pytest.mark.parametrize("split", ["128m", "700"])
 def test_archives_round_trip_in_any_split(spark, pages, split):
     """Payloads hold magics and whole forged records; splits cut records and magics anywhere."""
@@ -60,7 +71,7 @@ def test_archives_round_trip_in_any_split(spark, pages, split):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert all(r["verified"] for r in got)
-    want = plain_records([(r["page_id"], r["html"]) for r in some.collect()])
+    want = plain_records([(r["page_id"], r["url"], r["html"]) for r in some.collect()])
     assert sorted((tuple(r)[:5] for r in got), key=str) == want
     assert {r["record_type"] for r in got} == {"response", "revisit"}
 
