@@ -18,31 +18,41 @@ from gaugeworks.llm.common import prepare, staged, table
 from gaugeworks.llm.tokens import token_ids
 
 
+def _held(docs: DataFrame, *needed: str) -> tuple[DataFrame, list]:
+    """The needed columns and all others as one struct, so no name of an operator meets a user's; and the columns that restore ``docs``."""
+    others = [c for c in docs.columns if c not in needed]
+    held = docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_gw_rest")) if others else docs
+    return held, [F.col(f"_gw_rest.`{c}`") if c in others else F.col(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; rejected ones (no letter, or under the calibrated threshold) go."""
+    """Documents whose language is recognised; rejected ones (no letter, or under the calibrated threshold) go. Other columns are kept, whatever their names."""
     prepare(spark)
-    judged = langid.predict(docs, langid.fit(docs))
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    held, columns = _held(docs, "doc_id", "text", "lang")
+    judged = langid.predict(held, langid.fit(held))
+    return judged.where(~F.col("rejected")).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, boilerplate lines removed but for their first occurrence; ``n_chars`` is counted anew."""
+    """All documents, boilerplate lines removed but for their first occurrence; ``n_chars`` is counted anew. Other columns are kept, whatever their names."""
     prepare(spark)
-    out = linededup.remove_boilerplate(docs)
+    held, columns = _held(docs, "doc_id", "text", "source", "n_chars")
+    out = linededup.remove_boilerplate(held)
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", size).select(*docs.columns)
+    return out.withColumn("n_chars", size).select(*columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group of texts (3-word shingles, 3 bits), that of smallest id; rows without an id stay.
 
-    Rows that share an id but not a text group are kept each for its group.
+    Rows that share an id but not a text group are kept each for its group. Other columns are kept, whatever their names.
     """
     prepare(spark)
-    keep = simhash.survivors(docs, shingle=3, max_bits=3)
+    held, columns = _held(docs, "doc_id", "text")
+    keep = simhash.survivors(held, shingle=3, max_bits=3)
     at = ["doc_id", "text_hash"]
-    kept = docs.withColumn("text_hash", simhash.text_hash("text")).join(keep, at, "left_semi").dropDuplicates(at).drop("text_hash")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = held.withColumn("text_hash", simhash.text_hash("text")).join(keep, at, "left_semi").dropDuplicates(at).drop("text_hash")
+    return kept.unionByName(held.where("doc_id is null")).select(*columns)
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,22 @@ def test_queries_run_from_another_working_directory(tmp_path):
         "print('ROWS', q['nonce_replay'](s, '/root/testdata/sf0.001').count(), q['frame_decode'](s, '/root/testdata/sf0.001').count())\n")
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
     assert "ROWS 1000" in out.stdout, out.stderr[-2000:]
+
+
+def test_other_queries_stay_when_the_training_data_queries_cannot_be_imported(monkeypatch, capsys):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+    real = builtins.__import__
+
+    def broken(name, *args, **kwargs):
+        if name.split(".")[0] in ("public_tokenizers", "corpus_pipeline"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        return real(name, *args, **kwargs)
+
+    for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("gaugeworks.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", broken)
+    q, o = entry.queries(), entry.oracle_sql()
+    assert len(q) >= 100 and set(o) <= set(q) and "pipeline" not in q and not any(n.startswith("op1_") for n in q)
