@@ -137,6 +137,14 @@ def test_extraction_keeps_unique_runs_only(spark):
     assert html.extract(empty(df)).count() == 0
 
 
+def test_a_word_inside_a_class_name_does_not_cost_an_article_its_text():
+    page = ('<article><p class="notice-period">The notice period is a month.</p><p class="share-price">The share price rose.</p><div class="header-text">Top.</div>'
+            '<div class="share">Share this</div><p class="comment">nice</p><p>End.</p></article><div class="ad-box">Buy</div><aside>x</aside>')
+    assert html.main_text(html.blocks(page)) == "The notice period is a month.\n\nThe share price rose.\n\nTop.\n\nEnd."
+    bare = '<main><p class="share-price">The share price rose.</p><div class="related-posts">More of this</div><div class="ad-box">Buy</div></main>'
+    assert html.main_text(html.blocks(bare)) == "The share price rose."
+
+
 def test_copies_of_a_text_do_not_empty_each_other(spark):
     prepare(spark)
     foot, copied = "all rights are reserved by the owner of this site", "a whole text that somebody put on two pages without any element that says so"
