@@ -113,29 +113,26 @@ def prev_in_order(df: DataFrame, keys, order_col: str, value: str, chunk: Column
              .drop("_chunk", "_in_prev", "_prev_chunk_last"))
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], num_chunks: int | None = None,
-                      out: str = "position", rel_error: float = 0.01) -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[str], num_chunks: int | None = None, out: str = "position") -> DataFrame:
     """1-based position of each row in a global order, without a single-task window.
 
-    The leading order column is cut into about ``num_chunks`` ranges of
-    similar size at its approximate quantiles (``approxQuantile``: one pass,
-    the cut points come back to the driver). The chunk of a row is a
-    deterministic expression of its value, so a retried task lands every row
-    in the same chunk; ``row_number_in_order`` then numbers chunks in
-    parallel and adds the counts of earlier chunks. ``order`` must be unique.
+    The rows are range-partitioned on the full order (which must be unique), sorted and written once to the
+    shared checkpoint folder with their range and number in it, so a retried task or a second use meets the
+    same numbers; a row's position adds the counts of earlier ranges, one row each.
     """
+    import uuid
+
+    from ..session import checkpoint_root
+
     spark = df.sparkSession
     n = num_chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lead = order[0]
-    dtype = dict(df.dtypes)[lead]
-    numeric = F.col(lead)
-    if dtype.startswith("timestamp"):
-        numeric = F.unix_micros(F.col(lead).cast("timestamp"))
-    elif dtype == "date":
-        numeric = F.unix_date(F.col(lead))
-    probe = df.select(numeric.cast("double").alias("_v"))
-    cuts = sorted(set(probe.approxQuantile("_v", [i / n for i in range(1, n)], rel_error))) if n > 1 else []
-    chunk = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= numeric.cast("double"))) if cuts \
-        else F.lit(0)
-    d = df.withColumn("_all", F.lit(1))
-    return row_number_in_order(d, ["_all"], order, chunk=chunk, out=out).drop("_all")
+    path = f"{checkpoint_root(spark)}/numbered-{uuid.uuid4().hex}"
+    # the low 33 bits of the generated id count the rows of a partition
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    counts = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return stored.join(base, "_range").withColumn(out, (F.col("_before") + F.col("_at") + 1).cast("bigint")).select(*df.columns, out)

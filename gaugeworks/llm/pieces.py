@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIT_CHARS = 62
 #: Text bytes of a part; a part's texts and its units are held in memory together.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
+#: Masks whose spans are kept per worker.
+CUT_MASKS = 100_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _UNITS = re.compile(f"{SPACE}*[{_LETTERS}]+|{SPACE}*[^{SPACE}{_LETTERS}]+|{SPACE}+")
 _BEYOND = re.compile(f"[^{SPACE}]{SPACE}|[{_LETTERS}][^{_LETTERS}]|[^{SPACE}{_LETTERS}][{_LETTERS}]")
@@ -83,6 +85,8 @@ class Vocabulary:
         else:
             spans = self._spans.get(cuts)
             if spans is None:
+                if len(self._spans) >= CUT_MASKS:
+                    self._spans.clear()
                 at = [i for i in range(UNIT_CHARS + 1) if cuts >> i & 1]
                 spans = self._spans[cuts] = list(zip(at, at[1:]))
             segments = [unit[a:b] for a, b in spans]
@@ -145,6 +149,15 @@ def piece_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(list(scores.items()), "piece string, score double")
 
 
+def prefix_table(spark: SparkSession, scores: dict[str, float], chars: int) -> DataFrame:
+    """``(prefix, longest)``: the first ``chars`` characters of the pieces that have so many, with the length of the longest such piece."""
+    longest: dict[str, int] = {}
+    for p in scores:
+        if len(p) >= chars:
+            longest[p[:chars]] = max(len(p), longest.get(p[:chars], 0))
+    return spark.createDataFrame(list(longest.items()), "prefix string, longest int")
+
+
 def _merge_fold(edges: str, n: str) -> str:
     """Mask of the places where the unit is cut after all merges; bit i is the place before character i.
 
@@ -166,15 +179,21 @@ def _viterbi_fold(edges: str, n: str, unknown: float) -> str:
     return f"element_at(transform(array({forward}), path -> {back}), 1)"
 
 
-def unit_cuts(words: DataFrame, table: DataFrame, max_piece: int, fold: str = "merge", unknown: float = -100.0) -> DataFrame:
+def unit_cuts(words: DataFrame, table: DataFrame, max_piece: int, fold: str = "merge", unknown: float = -100.0,
+              prefixes: DataFrame | None = None) -> DataFrame:
     """``(unit, cuts long)`` for distinct ``words(unit)`` of at most UNIT_CHARS characters.
 
     Bit i of ``cuts`` is set if the segmentation cuts before character i (0 and
-    the length included).
+    the length included). With ``prefixes`` (:func:`prefix_table` of the least edge) a place
+    where no piece starts is left out, and its substrings end where the longest piece does.
     """
     least = 1 if fold == "viterbi" else 2
     spots = words.withColumn("n", F.char_length("unit")).withColumn("s", F.explode(F.expr(f"sequence(0, greatest(n - {least}, 0))")))
-    spans = spots.withColumn("e", F.explode(F.expr(f"sequence(least(s + {least}, n), least(s + {max_piece}, n))"))) \
+    longest = str(max_piece)
+    if prefixes is not None:
+        spots = spots.withColumn("prefix", F.expr(f"substring(unit, s + 1, {least})")).join(F.broadcast(prefixes), "prefix")
+        longest = "longest"
+    spans = spots.withColumn("e", F.explode(F.expr(f"sequence(least(s + {least}, n), least(s + {longest}, n))"))) \
         .withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     # the piece table is as large as the vocabulary, whatever the corpus
     matched = spans.join(F.broadcast(table), "piece")
@@ -220,26 +239,31 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     pairs = dealt.mapInArrow(distinct_units, "part int, unit string").repartition("unit")
     # the maximum keeps the part in both uses of the pairs, so one shuffle serves both
     distinct = pairs.groupBy("unit").agg(F.max("part").alias("any")).where("any >= 0").select("unit")
-    cuts = unit_cuts(distinct, piece_table(spark, voc.score), max(map(len, voc.score)))
+    cuts = unit_cuts(distinct, piece_table(spark, voc.score), max(map(len, voc.score)), prefixes=prefix_table(spark, voc.score, 2))
     needed = pairs.join(cuts, "unit").select("part", "unit", "cuts")
 
     def map_part(left: pa.Table, right: pa.Table) -> pa.Table:
         v = vocabulary(path)
-        known = dict(zip(right.column("unit").to_pylist(), right.column("cuts").to_pylist()))
-        coded: dict[str, bytes] = {}
-
-        out, texts = [], []
-        for t in left.column("text").to_pylist():
-            found = units(t)
-            try:
-                out.append(b"".join([coded[u] for u in found]))
-            except KeyError:
-                for u in set(found).difference(coded):
-                    coded[u] = v.unit_ids(u, known.get(u))
-                out.append(b"".join([coded[u] for u in found]))
-            texts.append(v.decode(np.frombuffer(out[-1], "<u4")))
-        return pa.table({"id": left.column("id"), "n_ids": pa.array([len(x) // 4 for x in out], pa.int64()),
-                         "ids": pa.array(out, pa.binary()), "decoded": pa.array(texts, pa.string())})
+        # units with an edge; every other unit falls into characters or is long
+        coded = {}
+        for b in right.select(["unit", "cuts"]).to_batches(max_chunksize=10_000):
+            coded.update((u, v.unit_ids(u, c)) for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        done = []
+        for b in left.select(["id", "text"]).to_batches(max_chunksize=64):
+            out, texts = [], []
+            for t in b.column(1).to_pylist():
+                found = units(t)
+                try:
+                    out.append(b"".join([coded[u] for u in found]))
+                except KeyError:
+                    for u in set(found).difference(coded):
+                        coded[u] = v.unit_ids(u, None)
+                    out.append(b"".join([coded[u] for u in found]))
+                texts.append(v.decode(np.frombuffer(out[-1], "<u4")))
+            done.append(pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()),
+                                                    pa.array(texts, pa.string())], names=["id", "n_ids", "ids", "decoded"]))
+        schema = pa.schema([("id", left.schema.field("id").type), ("n_ids", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+        return pa.Table.from_batches(done, schema)
 
     return dealt.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(
         lambda a, b: map_part(a, b), f"id {kind}, n_ids bigint, ids binary, decoded string").withColumnRenamed("id", id_col)

@@ -86,13 +86,11 @@ SELECT 'refresh', position, CAST(event_id AS VARCHAR) FROM (
   SELECT event_id, row_number() OVER (ORDER BY ingested_at, event_id) AS position FROM telemetry) WHERE position % 1000 = 0""")
 def nth_trigger(spark, sf_dir):
     """Every 100th billing transaction triggers a reconcile; every 1000th
-    ingested reading a refresh. Global positions via per-day counts + offsets."""
+    ingested reading a refresh. Global positions by range partitions and their counts."""
     recs = tables.billing_records(spark, sf_dir)
-    r = sequence.every_nth(recs.select("record_id", "time"), ["time", "record_id"], 100,
-                           chunk=time_bucket("1 day", "time"))
+    r = sequence.every_nth(recs.select("record_id", "time"), ["time", "record_id"], 100)
     tel = tables.telemetry(spark, sf_dir)
-    t = sequence.every_nth(tel.select("event_id", "ingested_at"), ["ingested_at", "event_id"], 1000,
-                           chunk=time_bucket("1 day", "ingested_at"))
+    t = sequence.every_nth(tel.select("event_id", "ingested_at"), ["ingested_at", "event_id"], 1000)
     return (r.select(F.lit("reconcile").alias("kind"), "position", F.col("record_id").cast("string").alias("row_key"))
              .unionByName(t.select(F.lit("refresh").alias("kind"), "position",
                                    F.col("event_id").cast("string").alias("row_key"))))

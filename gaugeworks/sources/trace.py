@@ -46,9 +46,11 @@ def parse_trace(lines: DataFrame, on_bad: str = "raise") -> DataFrame:
                  F.nullif(F.trim(F.get(F.split(t, ","), 1)), F.lit("")).alias("device_raw"))
     if on_bad != "raise":
         d = d.where(F.col("timestamp_ms").isNotNull())
-    d = scan.global_row_number(d.drop("line_chunk"), ["line_no"], out="_rn")
+    # rows are counted per chunk of lines; the file is one key, its chunks are one row each
+    d = scan.row_number_in_order(d.withColumn("_file", F.lit(1)), ["_file"], ["line_no"], chunk=F.col("line_chunk"), out="_rn")
     min_ts = d.agg(F.min("timestamp_ms")).first()[0]
-    return d.select((F.col("_rn") - 1).alias("row_index"), "timestamp_ms",
+    rows = d.select((F.col("_rn") - 1).alias("row_index"), "timestamp_ms",
                     F.coalesce("device_raw", F.concat(F.lit(MISSING_DEVICE_PREFIX), (F.col("_rn") - 1).cast("string")))
                     .alias("device_id"),
                     (F.col("timestamp_ms") - F.lit(min_ts)).alias("offset_ms"))
+    return rows.orderBy("offset_ms", "row_index")
