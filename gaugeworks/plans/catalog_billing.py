@@ -86,17 +86,21 @@ def finalization_links(spark, sf_dir):
     return _links(spark, sf_dir)[1]
 
 
-@register("cycle_totals", with_views("billing_records") + """SELECT cycle_id, account_id, COUNT(*) AS record_count,
+@register("cycle_totals", with_views("billing_records", extra="""
+recs AS (SELECT * REPLACE (CASE WHEN CAST(replace(account_id, 'acct-', '') AS BIGINT) % 10 = 0 THEN usage_amount + 9200000000000000000 ELSE usage_amount END AS usage_amount)
+         FROM billing_records)""") + """SELECT cycle_id, account_id, COUNT(*) AS record_count,
        MIN(time) AS period_first, MAX(time) AS period_last,
        CASE WHEN SUM(CAST(usage_amount AS HUGEINT)) > 9223372036854775807
               OR SUM(CAST(usage_amount AS HUGEINT)) < -9223372036854775808 THEN NULL
             ELSE CAST(SUM(CAST(usage_amount AS HUGEINT)) AS BIGINT) END AS total_usage,
        SUM(CAST(usage_amount AS HUGEINT)) > 9223372036854775807
          OR SUM(CAST(usage_amount AS HUGEINT)) < -9223372036854775808 AS overflow
-FROM billing_records GROUP BY cycle_id, account_id""", bench=True)
+FROM recs GROUP BY cycle_id, account_id""", bench=True)
 def cycle_totals(spark, sf_dir):
-    """Exact usage per billing cycle."""
-    return billing.cycle_totals(tables.billing_records(spark, sf_dir))
+    """Exact usage per billing cycle; accounts ending in 0 use so much that two records overflow 64 bits."""
+    heavy = F.regexp_replace("account_id", "acct-", "").cast("bigint") % 10 == 0
+    recs = tables.billing_records(spark, sf_dir)
+    return billing.cycle_totals(recs.withColumn("usage_amount", F.when(heavy, F.col("usage_amount") + F.lit(9_200_000_000_000_000_000)).otherwise(F.col("usage_amount"))))
 
 
 # --------------------------------------------------------------------------- reconciliation

@@ -211,7 +211,9 @@ def labelled_counts(spark, sf_dir):
        COUNT(DISTINCT 'device_tier=' || device_tier || ',region=' || region || ',status=' || status || ',tenant_id=' || tenant) AS series,
        false AS over_limit FROM lab
 UNION ALL
-SELECT 'device_last_seen', COUNT(DISTINCT 'device_id=' || device_id), COUNT(DISTINCT device_id) > 100000 FROM lab""")
+SELECT 'device_last_seen', COUNT(DISTINCT 'device_id=' || device_id), COUNT(DISTINCT device_id) > 100000 FROM lab
+UNION ALL
+SELECT 'request_trace', COUNT(*) * 12, COUNT(*) * 12 > 100000 FROM lab""")
 def series_cardinality(spark, sf_dir):
     """Series per metric (distinct label sets), flagged above 100 000."""
     d = _labelled(spark, sf_dir)
@@ -219,7 +221,11 @@ def series_cardinality(spark, sf_dir):
                    F.create_map(F.lit("tenant_id"), "tenant", F.lit("device_tier"), "device_tier",
                                 F.lit("region"), "region", F.lit("status"), "status").alias("labels"))
     dev = d.select(F.lit("device_last_seen").alias("metric"), F.create_map(F.lit("device_id"), "device_id").alias("labels"))
-    return M.series_cardinality(ing.unionByName(dev))
+    # a label set per request and retry: the kind of metric the guard is there for
+    retry = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("retry")
+    trace = d.select("event_id", retry).select(F.lit("request_trace").alias("metric"), F.create_map(
+        F.lit("request_id"), F.col("event_id").cast("string"), F.lit("retry"), F.col("retry").cast("string")).alias("labels"))
+    return M.series_cardinality(ing.unionByName(dev).unionByName(trace))
 
 
 @register("compliance_score", with_views("outcomes", extra="""

@@ -187,7 +187,10 @@ def open_batch(spark, sf_dir):
 @register("batch_contiguity", with_views("telemetry", extra=_BATCHES_SQL) + """SELECT device_id, id, batch_start, batch_end, next_start,
        CASE WHEN next_start IS NULL THEN 'last' WHEN next_start = batch_end THEN 'contiguous'
             WHEN next_start > batch_end THEN 'gap' ELSE 'overlap' END AS status
-FROM (SELECT *, lead(batch_start) OVER (PARTITION BY device_id ORDER BY batch_start) AS next_start FROM batches)""")
+FROM (SELECT * REPLACE (CASE WHEN CAST(replace(device_id, 'dev-', '') AS BIGINT) % 7 = 3 THEN batch_start + INTERVAL 1 DAY ELSE batch_end END AS batch_end),
+             lead(batch_start) OVER (PARTITION BY device_id ORDER BY batch_start) AS next_start FROM batches)""")
 def batch_contiguity(spark, sf_dir):
-    """Successor of each batch; chunked by day so a hot device stays parallel."""
-    return sequence.batch_contiguity(_batches(spark, sf_dir), chunk=time_bucket("1 day", "batch_start"))
+    """Successor of each batch; chunked by day so a hot device stays parallel. Every seventh device closes its batches a day late."""
+    late = F.regexp_replace("device_id", "dev-", "").cast("bigint") % 7 == 3
+    end = F.when(late, F.col("batch_start") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("batch_end"))
+    return sequence.batch_contiguity(_batches(spark, sf_dir).withColumn("batch_end", end), chunk=time_bucket("1 day", "batch_start"))

@@ -228,20 +228,21 @@ def _version_sql(t: str) -> str:
 
 
 @register("tier_batch_pinned", with_views("telemetry", extra=f"""
-b AS (SELECT date_trunc('hour', ingested_at) AS batch_start, MIN(time) AS t0, MAX(time) AS t1 FROM telemetry GROUP BY 1),
+b AS (SELECT date_trunc('day', ingested_at + INTERVAL 12 HOUR) AS batch_start, MIN(time) AS t0, MAX(time) AS t1 FROM telemetry GROUP BY 1),
 bv AS (SELECT batch_start, {_version_sql('t0')} AS start_version, {_version_sql('t1')} AS version_id FROM b)""") + f"""SELECT t.event_id, bv.batch_start, CAST(t.metric_value * 25 AS DOUBLE) AS value, bv.version_id,
        CASE bv.version_id WHEN 'v3' THEN {_tier_sql('CAST(t.metric_value * 25 AS DOUBLE)', '1500')}
                           WHEN 'v2' THEN {_tier_sql('CAST(t.metric_value * 25 AS DOUBLE)', '50000')}
                           ELSE {_tier_sql('CAST(t.metric_value * 25 AS DOUBLE)', '10000')} END AS tier,
        bv.start_version <> bv.version_id AS transitioned
-FROM telemetry t JOIN bv ON date_trunc('hour', t.ingested_at) = bv.batch_start""")
+FROM telemetry t JOIN bv ON date_trunc('day', t.ingested_at + INTERVAL 12 HOUR) = bv.batch_start""")
 def tier_batch_pinned(spark, sf_dir):
-    """Readings processed in hourly ingestion batches, each tiered under
+    """Readings processed in daily ingestion batches from noon to noon, each tiered under
     one config version (redone under the newer version when the version
-    changed between the batch's first and last reading)."""
+    changed at a midnight between the batch's first and last reading)."""
     import datetime as dt
     t = tables.telemetry(spark, sf_dir)
-    r = t.select("event_id", time_bucket("1h", "ingested_at").alias("batch_start"), "time",
+    half_day = F.col("ingested_at") + F.make_dt_interval(hours=F.lit(12))
+    r = t.select("event_id", time_bucket("1d", half_day).alias("batch_start"), "time",
                  (F.col("metric_value") * 25).cast("double").alias("value"))
     versions = V.tier_versions(spark, [(v, dt.datetime.fromisoformat(vf), tiers) for v, vf, tiers in _TIER_VERSIONS])
     out = V.assign_tier_per_batch(r, versions, batch="batch_start")
