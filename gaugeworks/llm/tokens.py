@@ -1,10 +1,12 @@
 """Tokenizer access inside tasks.
 
-A text is cut where no token can cross: in front of white space (byte-level kind) or
-at white space (word kind, which drops it). Each distinct chunk goes through the
-tokenizers library once per worker and its ids are kept in a bounded table, so whole
-texts are encoded at dictionary speed with ids equal to those of ``encode`` on the whole
-text (``tests/llm``). Texts are looked up first and learned from on a miss only.
+A text is cut where no token can cross: in front of each run of white space
+(byte-level kind) or at white space (word kind, which drops it), and after a
+run of plain letters that ends at a full stop or the like. Each distinct
+chunk goes through the tokenizers library once per worker and its ids are kept
+in a bounded table, so whole texts are encoded at dictionary speed with ids
+equal to those of ``encode`` on the whole text (``tests/llm``). Texts are looked up
+first and learned from on a miss only; plain new chunks go to the library joined by a separator.
 """
 
 from __future__ import annotations
@@ -21,41 +23,21 @@ from .common import text_bytes
 
 # Unicode White_Space, the set of the tokenizers' \s (Python's \s has four more control characters).
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = {"byte": re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall, "word": re.compile(f"[^{_WS}]+").findall}
-_RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-
-
-def split_words(text: str) -> list[str]:
-    """Runs without white space; the four control characters that Python alone takes for white space stay inside."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return _CHUNK["word"](text)
-    return text.split()
-
-
-def split_spaced(text: str) -> list[str]:
-    """Chunks that begin with the white space in front of them; joined they give the text.
-
-    A run of white space before a word gives its last character to a chunk of its own in the byte-level pattern: a
-    blank goes with the word, a line feed stands alone. So a cut in front of a single blank or of one or two line
-    feeds is a cut between tokens (but for two at the end of a text); texts with other white space are cut in front of whole runs.
-    """
-    if ("  " in text or "\n\n\n" in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
-            or "\0" in text or text.endswith("\n\n") or not text.isascii() and _RARE_SPACE(text)):
-        return _CHUNK["byte"](text)
-    return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-
-
-_SPLIT = {"byte": split_spaced, "word": split_words}
-# A new chunk is cut further after a run of plain letters that ends at a full stop or the like: "end." is learned as "end" and ".".
 # (not U+0130, whose lower case ends in a mark that is no letter)
 _LETTERS = r"A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ"
 _STOPS = ".,;:!?"
-_PARTS = {
-    "byte": re.compile(f"[{_WS}]*[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+").findall,
-    "word": re.compile(f"[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[^{_WS}]+").findall,
+_CHUNK = {
+    "byte": re.compile(f"[{_WS}]*[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+"),
+    "word": re.compile(f"[{_LETTERS}]+(?=[{_STOPS}{_WS}])|[^{_WS}]+"),
 }
+# What may stand between chunks that are learned together, and the chunks that may be: a line feed is a token of
+# its own between a word and a blank or word; a control character is a word of its own between blanks.
+_JOINT = {"byte": ("\n", re.compile(r" ?[!-~]+").fullmatch), "word": (" \x01 ", re.compile(r"[!-~]+").fullmatch)}
+#: Chunks that are learned in one call, and that are joined to one text.
+_LEARN = 4096
+_JOINED = 64
 #: Most chunks kept per worker; the later half goes beyond it (memory bound, not a result bound).
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 700_000
 #: Bytes of text that are learned from together.
 _TOGETHER = 1 << 20
 END_ID = 2
@@ -73,20 +55,28 @@ class ChunkEncoder:
         if id_bytes == 2 and self._tok.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary needs more than 2 bytes an id")
         self._dtype = f"<u{id_bytes}"
-        self._split, self._cut = _SPLIT[kind], _PARTS[kind]
+        self._split = _CHUNK[kind].findall
+        self._between, self._plain = _JOINT[kind]
+        mark = self._tok.encode(self._between, add_special_tokens=False).ids
+        self._mark = mark[0] if len(mark) == 1 else None
         # a vocabulary of lower case: A-Z are folded first, which leaves fewer chunks to learn
         self._folds = self._tok.normalizer is not None and self._tok.normalizer.normalize_str("AZ") == "az"
-        self._known: dict[str, bytes] = {}  # chunks
-        self._parts: dict[str, bytes] = {}  # what they are made of
+        self._known: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
-        cuts = {c: self._cut(c) for c in new}
-        for some in batched(set().union(*cuts.values()).difference(self._parts), 8192):
+        plain = [c for c in new if self._plain(c)] if self._mark is not None else []
+        for groups in batched(batched(plain, _JOINED), _LEARN // _JOINED):
+            for some, e in zip(groups, self._tok.encode_batch_fast([self._between.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, self._dtype)
+                cuts = np.flatnonzero(ids == self._mark)
+                if len(cuts) != len(some) - 1:
+                    raise ValueError("the separator of chunks is not a token of its own")
+                raw, size = ids.tobytes(), ids.itemsize
+                starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
+                self._known.update(zip(some, [raw[a:b] for a, b in zip(starts, ends)]))
+        for some in batched(new.difference(plain), _LEARN):
             for c, e in zip(some, self._tok.encode_batch_fast(list(some), add_special_tokens=False)):
-                self._parts[c] = np.array(e.ids, self._dtype).tobytes()
-        parts = self._parts
-        for c, cut in cuts.items():
-            self._known[c] = b"".join([parts[p] for p in cut])
+                self._known[c] = np.array(e.ids, self._dtype).tobytes()
 
     def encode_raw(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text."""
@@ -109,10 +99,9 @@ class ChunkEncoder:
         """Learn the unknown chunks of the texts that missed, and encode these."""
         need = set().union(*[c for _, c in missed])
         new = need.difference(self._known)
-        if len(self._known) + len(new) > CACHE_CHUNKS or len(self._parts) > CACHE_CHUNKS:
+        if len(self._known) + len(new) > CACHE_CHUNKS:
             # frequent chunks are met early: keep the earlier half
             self._known = dict(islice(self._known.items(), CACHE_CHUNKS // 2))
-            self._parts = dict(islice(self._parts.items(), CACHE_CHUNKS // 2))
             new = need.difference(self._known)
         self._learn(new)
         known = self._known
