@@ -82,9 +82,32 @@ def test_packing_stage_holds_every_token(kept):
         assert bytes(ids) == whole[i][2 * start:2 * (start + length)]
 
 
+CLASHES = ["score", "lang_pred", "rejected", "n_removed", "text_hash", "_gw_row", "_lang", "_gone", "fp", "component", "_h", "Text_Hash2"]
+
+
+def test_stages_keep_columns_whose_names_they_use_themselves(spark):
+    """Columns named like an operator's own come through every filtering stage as they are, in their places."""
+    prepare(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = [docs]
+    extra = docs.select(*[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES[:6]], "*",
+                        *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES[6:]])
+    at = staged(extra, "t")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        at = staged(stage(spark, at, SF), "t")
+        assert at.columns == extra.columns
+        plain.append(staged(stage(spark, plain[-1], SF), "t"))
+        assert rows(at, *docs.columns) and sorted(rows(at, *docs.columns), key=str) == sorted(rows(plain[-1], *docs.columns), key=str)
+    for c in CLASHES:
+        assert at.where(F.col(c) != F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string"))).count() == 0, c
+    packed = corpus_pipeline.STAGES[3][1](spark, at, SF)
+    assert packed.count() > 0
+
+
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, SF)
         want = con.execute(sql)
@@ -93,7 +116,7 @@ def test_queries_match_their_sql(spark):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "harmonic_packing"]
 
 
