@@ -63,7 +63,8 @@ def store_views(telemetry: DataFrame, path: str, now: datetime) -> None:
         tel = telemetry.where(F.col("time") >= start)
     states, rows = {}, None
     for res in VIEWS:
-        state = rollup_state(tel, res) if res not in FINER else rollup_from_state(states[FINER[res]], res)
+        # the finest state is cut from its readings, so they are scanned once for all five views
+        state = rollup_state(tel, res).checkpoint() if res not in FINER else rollup_from_state(states[FINER[res]], res)
         states[res] = state = state.withColumn("sum_value", F.col("sum_value").cast("decimal(38,2)"))
         part = state.where(F.col("bucket") < watermark(res, now))
         if start is not None:  # a week that began before the month was closed then

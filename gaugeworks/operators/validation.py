@@ -241,6 +241,15 @@ def pick_tier(value: Column, tiers: Column) -> Column:
     return F.coalesce(F.get(hit, 0)["tier"], F.lit(UNKNOWN_TIER))
 
 
+def pick_listed_tier(value: Column, tiers) -> Column:
+    """:func:`pick_tier` for a tier list known on the driver: a chain of conditions that compiles into the stage."""
+    out = F.lit(UNKNOWN_TIER)
+    for tier, low, high in reversed([tuple(t) for t in tiers]):
+        inside = value >= F.lit(float(low))
+        out = F.when(inside if high is None else inside & (value <= F.lit(float(high))), F.lit(tier)).otherwise(out)
+    return out
+
+
 def tiers_literal(tiers) -> Column:
     """A pinned tier list as a literal ``array<struct<tier,min,max>>`` column."""
     return F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(lo).cast("double").alias("min"),
@@ -251,7 +260,7 @@ def assign_tier(readings: DataFrame, tiers=DEFAULT_TIERS, value: str = "value",
     """J2/J3 (pinned): the whole job uses one config version, compiled into
     the plan as a literal, so tiering is a projection with no join."""
     return readings.select("*", F.lit(version_id).alias("version_id"),
-                           pick_tier(F.col(value), tiers_literal(tiers)).alias("tier"))
+                           pick_listed_tier(F.col(value), tiers).alias("tier"))
 
 
 def _version_history(versions: DataFrame) -> Column:
@@ -270,13 +279,26 @@ def _version_at(history: str, time: str) -> Column:
     return F.expr(f"get({history}, cast(greatest({place}, 1L) - 1 as int))")
 
 
+#: Longest version history that is compiled into the plan; a longer one is searched as an array.
+LISTED_VERSIONS = 64
+
+
 def assign_tier_asof(readings: DataFrame, versions: DataFrame, time: str = "time", value: str = "value") -> DataFrame:
     """J3 history: each reading uses the latest version with ``valid_from <= time``.
 
     Readings before the first version fall back to the first (current default)
-    version. The versions are one sorted array that each reading searches, so
-    there is no join and no shuffle of readings.
+    version. There is no join and no shuffle of readings: a history of up to LISTED_VERSIONS
+    versions becomes conditions of the plan, a longer one is one sorted array that each reading searches.
     """
+    listed = versions.select("valid_from", "version_id", "tiers").limit(LISTED_VERSIONS + 1).collect()
+    if 0 < len(listed) <= LISTED_VERSIONS:
+        listed.sort(key=lambda r: (r["valid_from"], r["version_id"]))
+        version, tier = F.lit(listed[0]["version_id"]), pick_listed_tier(F.col(value), listed[0]["tiers"])
+        for r in listed[1:]:
+            since = F.col(time) >= F.lit(r["valid_from"]).cast(dict(versions.dtypes)["valid_from"])
+            version = F.when(since, F.lit(r["version_id"])).otherwise(version)
+            tier = F.when(since, pick_listed_tier(F.col(value), r["tiers"])).otherwise(tier)
+        return readings.withColumn("version_id", version).withColumn("tier", tier)
     found = readings.withColumn("_history", _version_history(versions)).withColumn("_version", _version_at("_history", time))
     return (found.withColumn("version_id", F.col("_version.version_id"))
                  .withColumn("tier", pick_tier(F.col(value), F.col("_version.tiers"))).drop("_history", "_version"))

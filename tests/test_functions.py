@@ -193,8 +193,10 @@ def test_trace_parsing(spark):
         trace.parse_trace(bad).collect()
 
 
-def test_tier_asof_searches_the_versions(spark):
-    """The latest version at or before the reading; the first one before that; none without versions."""
+@pytest.mark.parametrize("listed", [64, 0])
+def test_tier_asof_searches_the_versions(spark, monkeypatch, listed):
+    """The latest version at or before the reading; the first one before that; none without versions. Compiled or searched."""
+    monkeypatch.setattr(V, "LISTED_VERSIONS", listed)
     import datetime as dt
     readings = spark.createDataFrame(
         [(1, dt.datetime(2024, 1, 5), 1200.0), (2, dt.datetime(2024, 1, 12), 1200.0), (3, dt.datetime(2024, 1, 25), 1200.0),
