@@ -2,10 +2,11 @@
 
 Equal vectors are first merged into classes (smallest id, number of rows), so a
 vector in a third of all rows is one point. Each class vector is signed by
-``TABLES`` x ``BITS`` random hyperplanes; it goes to one bucket per table. At
-cosine 0.95 two vectors agree in a bit with probability 0.899, so they share
-at least one of 20 buckets of 14 bits with probability 0.994 (more when
-closer). Inside a bucket all pairs are verified by their cosine in double
+random hyperplanes, so many bits a table that a bucket holds about ``BUCKET_FILL`` unrelated vectors
+whatever the size of the table, and goes to one bucket per table. At cosine 0.95
+two vectors agree in a bit with probability 0.899; there are so many tables that a pair at the threshold
+shares a bucket with probability ``RECALL`` (closer pairs with more): 13 tables of
+10 bits for 50 000 vectors, 59 of 23 for 400 million. Inside a bucket all pairs are verified by their cosine in double
 precision, as blocks of a matrix product. A pair that shares several buckets
 counts in the first one only, which both signatures tell without a shuffle, so
 a task returns per vector its number of new links and a spanning forest, never
@@ -24,8 +25,9 @@ from .components import components
 from .disjoint import union
 
 THRESHOLD = 0.95
-BITS = 14
-TABLES = 20
+RECALL = 0.995
+BUCKET_FILL = 64
+BITS = (8, 30)
 SEED = 20_011
 #: Buckets beyond this many class vectors are split into pairs of chunks (a task size, not a cap).
 BUCKET_ROWS = 2_048
@@ -33,19 +35,26 @@ GROUP_ROWS = 16_000
 _BLOCK = 512
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).normal(size=(dim, TABLES * BITS))
+def layout(classes: int, threshold: float) -> tuple[int, int]:
+    """Bits of a bucket and number of tables for so many distinct vectors."""
+    bits = int(min(max(np.ceil(np.log2(max(classes, 1) / BUCKET_FILL)), BITS[0]), BITS[1]))
+    together = (1 - np.arccos(threshold) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(1 - RECALL) / np.log1p(-together))) if together < 1 else 1
 
 
-def sign(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _planes(dim: int, count: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).normal(size=(dim, count))
+
+
+def sign(vectors: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors and their bucket number in each table."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
-    bits = (unit @ _planes(vectors.shape[1]) > 0).reshape(len(unit), TABLES, BITS)
-    return unit, bits @ (1 << np.arange(BITS))
+    side = (unit @ _planes(vectors.shape[1], tables * bits) > 0).reshape(len(unit), tables, bits)
+    return unit, side @ (1 << np.arange(bits))
 
 
-def _signed(classes: DataFrame, kind: str) -> DataFrame:
+def _signed(classes: DataFrame, kind: str, bits: int, tables: int) -> DataFrame:
     def run(batches):
         for b in batches:
             lists = b.column("_v")
@@ -53,13 +62,13 @@ def _signed(classes: DataFrame, kind: str) -> DataFrame:
             flat, start = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
             for dim in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dim)
-                unit, sig = sign(flat[start[rows][:, None] + np.arange(dim)])
+                unit, sig = sign(flat[start[rows][:, None] + np.arange(dim)], bits, tables)
                 pick = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("rep").take(pick), b.column("mult").take(pick), pa.array(np.full(len(rows), dim, np.int32)),
                      pa.array([u.tobytes() for u in unit], pa.binary()),
-                     pa.array([s.astype("<i2").tobytes() for s in sig], pa.binary()),
-                     pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * TABLES, pa.array(sig.ravel().astype(np.int32)))],
+                     pa.array([s.astype("<i4").tobytes() for s in sig], pa.binary()),
+                     pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * tables, pa.array(sig.ravel().astype(np.int32)))],
                     names=["rep", "mult", "dim", "unit", "sig", "buckets"])
 
     return classes.select("rep", "mult", "_v").mapInArrow(
@@ -82,7 +91,7 @@ def _links_of_group(table: pa.Table, threshold: float) -> pa.Table:
         rows = task[at:end]
         turn = int(col["turn"][rows[0]])
         u = np.frombuffer(b"".join([unit[i] for i in rows]), "<f8").reshape(len(rows), -1)
-        s = np.frombuffer(b"".join([sig[i] for i in rows]), "<i2").reshape(len(rows), -1)[:, :turn]
+        s = np.frombuffer(b"".join([sig[i] for i in rows]), "<i4").reshape(len(rows), -1)[:, :turn]
         first = int(np.searchsorted(col["own"][rows], col["hi"][rows[0]]))  # rows of the second chunk start here
         alone = col["lo"][rows[0]] == col["hi"][rows[0]]
         for r in range(0, len(rows) if alone else first, _BLOCK):
@@ -120,7 +129,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kind = dict(vectors.dtypes)[id_col]
     classes = rows.where("_v is not null").groupBy("_v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
     classes = staged(classes, "vector-classes")
-    signed = staged(_signed(classes, kind), "vector-signs")
+    total = classes.count()
+    bits, tables = layout(total, threshold)
+    signed = staged(_signed(classes, kind, bits, tables), "vector-signs")
     spots = signed.select("*", F.posexplode("buckets").alias("turn", "bucket")).drop("buckets")
     crowded = spots.groupBy("turn", "bucket", "dim").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS) \
         .select("turn", "bucket", "dim", F.expr(f"cast(ceil(n / {BUCKET_ROWS}) as int)").alias("chunks"))
@@ -130,7 +141,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .withColumn("with", F.explode(F.expr("sequence(0, coalesce(chunks, 1) - 1)"))) \
         .withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
     tasks = placed.select("rep", "mult", "dim", "unit", "sig", "turn", "bucket", "own", "lo", "hi")
-    groups = spread(classes.count() * TABLES, GROUP_ROWS, spark)
+    groups = spread(total * tables, GROUP_ROWS, spark)
     told = tasks.withColumn("_g", F.pmod(F.xxhash64("turn", "bucket", "dim", "lo", "hi"), F.lit(groups))) \
         .groupBy("_g").applyInArrow(lambda t: _links_of_group(t, threshold), f"node {kind}, other {kind}, links bigint")
     told = staged(told, "vector-links")

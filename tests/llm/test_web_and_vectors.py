@@ -226,6 +226,15 @@ def test_vector_links_match_brute_force(spark, monkeypatch, bucket_rows):
     assert found <= there and found >= 0.97 * there and all(got[k][0] <= want[k][0] for k in got)
 
 
+def test_tables_follow_the_number_of_vectors():
+    """Buckets stay as full and pairs as likely to meet, whatever the size of the table."""
+    for n in (1, 500, 50_000, 400_000_000):
+        bits, tables = vectors.layout(n, 0.95)
+        meet = 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables
+        assert meet >= vectors.RECALL and n / 2 ** bits <= vectors.BUCKET_FILL
+    assert vectors.layout(50_000, 0.95) == (10, 13) and vectors.layout(400_000_000, 0.95) == (23, 59)
+
+
 def test_vectors_of_the_table_and_odd_rows(spark):
     prepare(spark)
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
