@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.timebuckets import time_bucket
 from ..operators import analytics, rollups, stored_views
 from ..session import checkpoint_root
@@ -189,6 +190,18 @@ def raw_range(spark, sf_dir):
                .select("request_id", "device_id", "metric_id", "metric_value", "time"))
 
 
+@register("raw_range_ordered", with_views("telemetry", extra=_REQUESTS_SQL) + """SELECT r.request_id, row_number() OVER (PARTITION BY r.request_id ORDER BY t.time, t.event_id) AS place,
+       t.event_id, t.metric_id, t.metric_value, t.time
+FROM telemetry t JOIN requests r ON t.device_id = r.device_id WHERE t.time >= r.start AND t.time < r."end" """)
+def raw_range_ordered(spark, sf_dir):
+    """The readings of every request in order of time, with their places (counted in daily chunks), sorted by range partitions."""
+    tel = tables.telemetry(spark, sf_dir).select("event_id", "device_id", "metric_id", "metric_value", "time")
+    rows = tel.join(_requests(tables.telemetry(spark, sf_dir)), "device_id") \
+        .where((F.col("time") >= F.col("start")) & (F.col("time") < F.col("end"))).select("request_id", "event_id", "metric_id", "metric_value", "time")
+    placed = scan.row_number_in_order(rows, "request_id", ["time", "event_id"], chunk=time_bucket("1 day", "time"), out="place")
+    return placed.select("request_id", "place", "event_id", "metric_id", "metric_value", "time").orderBy("request_id", "place")
+
+
 @register("resolution_pick", with_views("telemetry", extra=_REQUESTS_SQL + """,
 req2 AS (SELECT request_id, start, "end" FROM requests
          UNION ALL SELECT request_id || '-reversed', "end", start FROM requests)""") + f"""SELECT request_id, start, "end",

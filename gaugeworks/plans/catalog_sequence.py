@@ -64,6 +64,15 @@ def event_page(spark, sf_dir):
     return analytics.event_pages(log, after, limit=3).select("tenant_id", "sequence", "event_type", "page_pos")
 
 
+@register("ledger_page", with_views("ledger") + """SELECT sequence, arrival_ts FROM ledger
+WHERE sequence > (SELECT max(sequence) // 2 FROM ledger) ORDER BY sequence LIMIT 100""")
+def ledger_page(spark, sf_dir):
+    """The page of 100 entries after the cursor in the middle of the ledger, lowest sequences first."""
+    log = tables.ledger(spark, sf_dir).select("sequence", "arrival_ts")
+    cursor = (log.agg(F.max("sequence")).first()[0] or 0) // 2
+    return log.where(F.col("sequence") > cursor).orderBy("sequence").limit(100)
+
+
 # --------------------------------------------------------------------------- ledger
 
 
