@@ -100,11 +100,12 @@ def stream_seq_gaps(spark, sf_dir):
 FROM payloads GROUP BY nonce""")
 def stream_first_claims(spark, sf_dir):
     """At-least-once payload stream into an exactly-once sink: the first
-    claim per nonce is stored once, however often a batch is replayed."""
+    claim per nonce is stored once, however often a batch is replayed. The target is
+    partitioned by a part of the nonce, so a batch reads the parts it touches."""
     out, ckpt = _scratch(spark, "stream-claims")
-    p = tables.payloads_from(tables.stream_table(spark, sf_dir, "events")).select("nonce", "event_id", "ts_ms") \
-              .withColumn("_order", F.struct("ts_ms", "event_id"))
-    q = (p.writeStream.foreachBatch(sinks.insert_ignore_sink(out, ["nonce"], order="_order"))
+    p = tables.payloads_from(arriving_events(spark, sf_dir, ckpt + "-src")).select("nonce", "event_id", "ts_ms") \
+              .withColumn("_order", F.struct("ts_ms", "event_id")).withColumn("part", F.pmod(F.xxhash64("nonce"), F.lit(16)))
+    q = (p.writeStream.foreachBatch(sinks.insert_ignore_sink(out, ["part", "nonce"], order="_order", partition_by=["part"]))
           .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).select("nonce", "event_id", "ts_ms")
