@@ -16,6 +16,8 @@ gathers the values with numpy. The ranks are a small table beside the files.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -131,13 +133,18 @@ def write_tokens(tokens: DataFrame, path: str, id_col: str = "doc_id", id_bytes:
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/files")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Decode token files: ``(doc_id, part, place, n_ids, ids)``; ``place`` is the ids before the row in its part."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """Decode token files: ``(doc_id, part, place, n_ids, ids)``; ``place`` is the ids before the row in its part.
+
+    With ``digest`` the last column is ``ids_crc32 long`` instead, taken where the ids are decoded.
+    """
     ranks = spark.read.schema("id bigint, rank bigint").parquet(f"{path}/ranks").collect()  # bounded by the vocabulary
     id_of = np.zeros(len(ranks), "<u4")
     for r in ranks:
         id_of[r["rank"]] = r["id"]
 
+    column = "ids_crc32 bigint" if digest else "ids binary"
+
     def decode(batches):
         for b in batches:
             for content in b.column(0).to_pylist():
@@ -146,15 +153,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ids = id_of[v] if len(v) else v
                     ends = np.cumsum(lengths, dtype=np.int64)
                     starts = ends - lengths
-                    raw = [ids[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
+                    whole, size = memoryview(ids.tobytes()), ids.itemsize
+                    raw = [whole[s * size:e * size] for s, e in zip(starts.tolist(), ends.tolist())]
+                    last = pa.array([crc32(x) for x in raw], pa.int64()) if digest else pa.array([bytes(x) for x in raw], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(numbers, pa.int64()), pa.array([part] * len(numbers), pa.int64()), pa.array(before + starts),
-                         pa.array(lengths.astype(np.int64)), pa.array(raw, pa.binary())],
-                        names=["doc_id", "part", "place", "n_ids", "ids"])
+                         pa.array(lengths.astype(np.int64)), last],
+                        names=["doc_id", "part", "place", "n_ids", column.split()[0]])
                     before += len(v)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/files")
-    return files.select("content").mapInArrow(decode, "doc_id bigint, part bigint, place bigint, n_ids bigint, ids binary")
+    return files.select("content").mapInArrow(decode, f"doc_id bigint, part bigint, place bigint, n_ids bigint, {column}")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +178,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     tokens = staged(token_ids(docs, vocabulary, "byte", id_col, text_col, id_bytes=2), "tokens")
     path = shared_path(spark, "tokenfiles")
     write_tokens(tokens, path, id_col, id_bytes=2)
-    rows = read_tokens(spark, path).select("doc_id", "part", "place", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    rows = read_tokens(spark, path, digest=True).select("doc_id", "part", "place", F.col("n_ids").alias("n_tokens"), "ids_crc32")
     rows = staged(rows, "tokenrows")
     sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # one number a file
     base, table = 0, []
