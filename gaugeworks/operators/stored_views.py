@@ -61,19 +61,37 @@ def store_views(telemetry: DataFrame, path: str, now: datetime) -> None:
     if last is not None:
         start = F.date_trunc("month", F.least(*[watermark(r, last) for r in VIEWS])).cast("timestamp_ntz")
         tel = telemetry.where(F.col("time") >= start)
-    states, rows = {}, None
-    for res in VIEWS:
-        # the finest state is cut from its readings, so they are scanned once for all five views
-        state = rollup_state(tel, res).checkpoint() if res not in FINER else rollup_from_state(states[FINER[res]], res)
-        states[res] = state = state.withColumn("sum_value", F.col("sum_value").cast("decimal(38,2)"))
-        part = state.where(F.col("bucket") < watermark(res, now))
+    def closed(state: DataFrame, res: str) -> DataFrame:
+        part = state.withColumn("sum_value", F.col("sum_value").cast("decimal(38,2)")).where(F.col("bucket") < watermark(res, now))
         if start is not None:  # a week that began before the month was closed then
             part = part.where(F.col("bucket") >= start)
-        part = part.withColumn("resolution", F.lit(res)).withColumn("day", _partition(res, F.col("bucket")))
-        rows = part if rows is None else rows.unionByName(part)
-    rows.repartition("resolution", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resolution", "day").parquet(path)
-    clock = spark.createDataFrame([(now,)], "now timestamp_ntz").coalesce(1)
-    write_epoch(clock, f"{path.rstrip('/')}-clock", int(now.timestamp() * 1000))
+        return part.withColumn("resolution", F.lit(res)).withColumn("day", _partition(res, F.col("bucket")))
+
+    def write(rows: DataFrame) -> None:
+        rows.repartition("resolution", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resolution", "day").parquet(path)
+
+    # readings are scanned once; a closed bucket of a coarser view is made of closed buckets of the finest
+    write(closed(rollup_state(tel, "15m"), "15m"))
+    finest = stored(spark, path).where(F.col("resolution") == "15m")
+    if start is not None:
+        finest = finest.where((F.col("bucket") >= start) & (F.col("day") >= F.to_date(start)))
+    # one aggregate for the four coarser views: every finest bucket counts in one bucket of each, combined before the shuffle
+    at = F.explode(F.array(*[F.struct(F.lit(r).alias("resolution"), time_bucket(r, "bucket").alias("to")) for r in FINER])).alias("v")
+    spread = finest.select("device_id", "sample_count", "sum_value", "min_value", "max_value", "_aggregate_watermark", at)
+    coarse = spread.groupBy("v.resolution", F.col("v.to").alias("bucket"), "device_id").agg(
+        F.sum("sample_count").alias("sample_count"), F.sum("sum_value").cast("decimal(38,2)").alias("sum_value"), F.min("min_value").alias("min_value"),
+        F.max("max_value").alias("max_value"), F.max("_aggregate_watermark").alias("_aggregate_watermark"))
+    limit = day = None
+    for r in FINER:
+        limit = F.when(F.col("resolution") == r, watermark(r, now)) if limit is None else limit.when(F.col("resolution") == r, watermark(r, now))
+        part = _partition(r, F.col("bucket"))
+        day = F.when(F.col("resolution") == r, part) if day is None else day.when(F.col("resolution") == r, part)
+    coarse = coarse.where(F.col("bucket") < limit)
+    if start is not None:
+        coarse = coarse.where(F.col("bucket") >= start)
+    write(coarse.withColumn("day", day))
+    clock = spark.range(1).select(F.lit(now).cast("timestamp_ntz").alias("now"))
+    write_epoch(clock.coalesce(1), f"{path.rstrip('/')}-clock", int(now.timestamp() * 1000))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
