@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIT_CHARS = 62
 #: Text bytes of a part; a part's texts and its units are held in memory together.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 #: Masks whose spans are kept per worker.
 CUT_MASKS = 100_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -236,7 +236,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part += [p] * len(fresh)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(unit, pa.string())], names=["part", "unit"])
 
-    pairs = dealt.mapInArrow(distinct_units, "part int, unit string").repartition("unit")
+    # the filter is what the joins below would infer, each for its own use of the pairs, which would then be cut twice
+    pairs = dealt.mapInArrow(distinct_units, "part int, unit string").where("unit is not null").repartition("unit")
     # the maximum keeps the part in both uses of the pairs, so one shuffle serves both
     distinct = pairs.groupBy("unit").agg(F.max("part").alias("any")).where("any >= 0").select("unit")
     cuts = unit_cuts(distinct, piece_table(spark, voc.score), max(map(len, voc.score)), prefixes=prefix_table(spark, voc.score, 2))
