@@ -521,3 +521,17 @@ def test_policy_sink_replays_an_epoch_without_effect(spark):
         sink(batch, epoch)
     assert {(r.bucket.hour, r.device_id) for r in spark.read.parquet(out).collect()} == {(0, "a"), (3, "b")}
     assert spark.read.parquet(out).count() == 2
+
+
+def test_many_keys_share_the_buckets_of_the_state_store(spark):
+    """2500 nonces alive take at most a state row per bucket; big and null whole numbers come out as they went in."""
+    big = 2 ** 53
+    rows = [[(f"n{n}" if n else None, 10_000 + f * 2_000 + n % 7, big + f * 10_000 + n if n % 5 else None) for n in range(2500)] for f in range(4)]
+    schema = "nonce string, time_ms long, event_id long"
+    s = _aged(spark, _files(spark, rows, schema), schema)
+    out = tempfile.mkdtemp(prefix="gw-out-") + "/t"
+    q = _run_all(stateful.stream_fold(s, "nonce", ["time_ms", "event_id"], folds.replay_spec("time_ms"), expires=lambda e: e), out)
+    assert 0 < max(_state_rows(q)) <= 1024
+    got = sorted((r.nonce or "", r.time_ms, r.event_id or 0, r.replay) for r in spark.read.parquet(out).collect())
+    want = sorted((n or "", t, e or 0, f in (1, 2)) for f, part in enumerate(rows) for n, t, e in part)
+    assert got == want
