@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..operators.validation import TRANSITIONS
+from .stateful import bucket_fold, values_of
 
 # Fixed value: resync timeout.
 AUTO_RESYNC_TIMEOUT_MS = 60000
@@ -20,7 +21,6 @@ _LEGAL = {(a, b) for a, b in TRANSITIONS["ingestion"]}
 
 OUT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("kind", T.StringType()),
                     T.StructField("state", T.StringType()), T.StructField("at_ms", T.LongType())])
-STATE = T.StructType([T.StructField("state", T.StringType()), T.StructField("gap_since_ms", T.LongType())])
 
 
 def resync_requests(transitions: DataFrame, entity: str = "entity", to: str = "to_state", time_ms: str = "time_ms",
@@ -31,33 +31,27 @@ def resync_requests(transitions: DataFrame, entity: str = "entity", to: str = "t
     timer first or a later request shows it; the entity keeps its state.
     ``order`` tells requests of equal time apart."""
 
-    def func(key, pdfs, state):
-        ent = key[0]
-        cur, since = state.get if state.exists else ("PENDING", None)
-        rows = []
-
-        def overdue(by):
-            """Fire the timer once if it was due at ``by``; the entity stays where it is."""
-            nonlocal since
-            if since is not None and by - since >= timeout_ms:
-                rows.append((ent, "resync_request", cur, int(since) + timeout_ms))
+    def fold(pdf, held, watermark):
+        pdf = pdf.sort_values(order or [time_ms], kind="mergesort").reset_index(drop=True)
+        states, rows = {}, []
+        for key, ent, t, nxt in zip(pdf["_gw_key"].tolist(), values_of(pdf, entity), values_of(pdf, time_ms), pdf[to].tolist()):
+            if key not in states:
+                states[key] = held[key][0] if key in held else (ent, "PENDING", None)
+            ent, cur, since = states[key]
+            if since is not None and t - since >= timeout_ms:  # due before this request: fired once, the entity stays where it is
+                rows.append((ent, "resync_request", cur, since + timeout_ms))
                 since = None
-
-        if state.hasTimedOut:
-            overdue(float("inf"))
-        else:
-            pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order or [time_ms], kind="mergesort")
-            for t, nxt in zip(pdf[time_ms].tolist(), pdf[to].tolist()):
-                overdue(t)
-                if (cur, nxt) not in _LEGAL:
-                    continue
+            if (cur, nxt) in _LEGAL:
                 cur = nxt
                 since = int(t) if cur == "GAP_DETECTED" else None
                 rows.append((ent, "transition", cur, int(t)))
-        state.update((cur, since))
-        if since is not None:
-            state.setTimeoutTimestamp(max(since + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=["entity", "kind", "state", "at_ms"])
+            states[key] = ent, cur, since
+        for key, (ent, cur, since) in states.items():
+            held[key] = (ent, cur, since), None if since is None else max(since + timeout_ms, watermark + 1)
+        return pd.DataFrame(rows, columns=OUT.names) if rows else None
+
+    def fired(key, value):
+        ent, cur, since = value
+        return [pd.DataFrame([(ent, "resync_request", cur, since + timeout_ms)], columns=OUT.names)], ((ent, cur, None), None)
 
-    return transitions.groupBy(entity).applyInPandasWithState(func, OUT, STATE, "append", "EventTimeTimeout")
+    return bucket_fold(transitions, entity, OUT, fold, fired)

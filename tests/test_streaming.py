@@ -535,3 +535,20 @@ def test_many_keys_share_the_buckets_of_the_state_store(spark):
     got = sorted((r.nonce or "", r.time_ms, r.event_id or 0, r.replay) for r in spark.read.parquet(out).collect())
     want = sorted((n or "", t, e or 0, f in (1, 2)) for f, part in enumerate(rows) for n, t, e in part)
     assert got == want
+
+
+def test_entities_of_a_bucket_keep_their_own_timers(spark):
+    """2500 entities in few state rows: a timer fires for the entity that waits and for no other of its bucket."""
+    from gaugeworks.streaming.resync import resync_requests
+    t0 = 1_700_000_000_000
+    waits = [f"w{n}" for n in range(2500)]
+    rows = [[(e, "GAP_DETECTED", t0 + i) for i, e in enumerate(waits)],
+            [(e, "PENDING", t0 + 30_000 + i) for i, e in enumerate(waits) if i % 3 == 0] + [(None, "GAP_DETECTED", t0 + 59_000)],
+            [("z", "TENTATIVE", t0 + 64_000)], [("z", "TENTATIVE", t0 + 300_000)]]
+    schema = "entity string, to_state string, time_ms long"
+    s = _aged(spark, _files(spark, rows, schema), schema)
+    out = tempfile.mkdtemp(prefix="gw-out-") + "/t"
+    q = _run_all(resync_requests(s), out)
+    assert 0 < max(_state_rows(q)) <= 1024
+    got = sorted((r.entity or "", r.at_ms) for r in spark.read.parquet(out).where("kind = 'resync_request'").collect())
+    assert got == sorted([(e, t0 + i + 60_000) for i, e in enumerate(waits) if i % 3] + [("", t0 + 119_000)])
