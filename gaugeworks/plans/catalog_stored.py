@@ -26,13 +26,18 @@ from .registry import ORACLE, register
 
 def _run(stream, out: str, checkpoint: str):
     """Run an append stream to its end and read its files."""
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    w = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with sinks.batch_partitions(stream.sparkSession):
+        q = w.start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def _run_batches(stream, sink, checkpoint: str, mode: str = "append") -> None:
-    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    w = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with sinks.batch_partitions(stream.sparkSession):
+        q = w.start()
+    q.awaitTermination()
 
 
 # --------------------------------------------------------------------------- stores

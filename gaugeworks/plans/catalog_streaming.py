@@ -91,7 +91,9 @@ def stream_seq_gaps(spark, sf_dir):
     out, ckpt = _scratch(spark, "stream-gaps")
     led = tables.ledger_from(arriving_events(spark, sf_dir, ckpt + "-src"))
     sink = sinks.gap_sink(out, ckpt + "-state", chunk=time_bucket("1 hour", "arrival_ts"))
-    q = led.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    w = led.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    with sinks.batch_partitions(spark):
+        q = w.start()
     q.awaitTermination()
     return spark.read.parquet(out)
 
@@ -105,7 +107,9 @@ def stream_first_claims(spark, sf_dir):
     out, ckpt = _scratch(spark, "stream-claims")
     p = tables.payloads_from(arriving_events(spark, sf_dir, ckpt + "-src")).select("nonce", "event_id", "ts_ms") \
               .withColumn("_order", F.struct("ts_ms", "event_id")).withColumn("part", F.pmod(F.xxhash64("nonce"), F.lit(16)))
-    q = (p.writeStream.foreachBatch(sinks.insert_ignore_sink(out, ["part", "nonce"], order="_order", partition_by=["part"]))
-          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    w = (p.writeStream.foreachBatch(sinks.insert_ignore_sink(out, ["part", "nonce"], order="_order", partition_by=["part"]))
+          .option("checkpointLocation", ckpt).trigger(availableNow=True))
+    with sinks.batch_partitions(spark):
+        q = w.start()
     q.awaitTermination()
     return spark.read.parquet(out).select("nonce", "event_id", "ts_ms")

@@ -20,6 +20,7 @@ from ..functions.timebuckets import RESOLUTIONS, time_bucket
 from ..operators.rollups import POLICIES, _finalize, _state_aggs, billing_aggs, rollup_from_state, rollup_state
 from ..session import checkpoint_root
 from ..sources.stored import epochs, finished, read_epoch, read_if_exists, remove, write_epoch
+from .sinks import batch_partitions
 
 # ``window`` buckets follow the epoch (a Thursday); 4 days moves weeks to Monday.
 _WINDOW_START = {"1w": "4 days"}
@@ -175,7 +176,8 @@ def run_policy_stream(spark: SparkSession, stream: DataFrame, view: str, out_pat
     else:
         rows, sink = windowed_rollup(stream, view), policy_sink(out_path, view)
     q = rows.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return (q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")).start()
+    with batch_partitions(spark):
+        return (q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")).start()
 
 
 def run_rollup_stream(spark: SparkSession, stream: DataFrame, resolution: str, out_path: str,
@@ -187,7 +189,8 @@ def run_rollup_stream(spark: SparkSession, stream: DataFrame, resolution: str, o
          .foreachBatch(merge_rollup(out_path))
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 minute")
-    return q.start()
+    with batch_partitions(spark):
+        return q.start()
 
 
 def counter_flush(stream: DataFrame, labels, watermark: str = "2 minutes", period: str = "60 seconds") -> DataFrame:

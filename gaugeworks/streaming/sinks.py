@@ -9,6 +9,8 @@ micro-batch keeps the first row per key, drops keys already in the target
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,24 @@ from ..operators.sequence import insert_ignore
 from ..sources.stored import read_epoch, read_if_exists, write_epoch
 
 
+@contextmanager
+def batch_partitions(spark, per_core: int = 2):
+    """Start streams in here: their shuffles get at most ``per_core`` partitions per core.
+
+    ``spark.sql.shuffle.partitions`` is set for a job's whole input, while a micro-batch has a bounded
+    number of rows. Every micro-batch commits each partition's state and writes each one's files, so with
+    a count that grows with the input, as the number of micro-batches does, the time grows with its square.
+    A started stream keeps the count it began with, also after a restart.
+    """
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(old), max(2, per_core * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def insert_ignore_sink(path: str, keys: list[str], order: str | None = None, partition_by: list[str] | None = None):
     """``foreachBatch`` writer with ``ON CONFLICT (keys) DO NOTHING`` semantics.
 

@@ -552,3 +552,21 @@ def test_entities_of_a_bucket_keep_their_own_timers(spark):
     assert 0 < max(_state_rows(q)) <= 1024
     got = sorted((r.entity or "", r.at_ms) for r in spark.read.parquet(out).where("kind = 'resync_request'").collect())
     assert got == sorted([(e, t0 + i + 60_000) for i, e in enumerate(waits) if i % 3] + [("", t0 + 119_000)])
+
+
+def test_a_streams_partitions_follow_the_cores_not_the_whole_input(spark):
+    """With a shuffle count set for a large input, a micro-batch still commits a few state partitions, and the setting is left as it was."""
+    import datetime as dt
+    from decimal import Decimal as D
+    src = _files(spark, [[(dt.datetime(2024, 1, 1), "a", D(1))], [(dt.datetime(2024, 1, 2), "a", D(2))]], _TEL)
+    s = spark.readStream.schema(_TEL).option("maxFilesPerTrigger", 1).parquet(src)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        q = srollups.run_policy_stream(spark, s, "1h", tempfile.mkdtemp(prefix="gw-few-") + "/v")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "300"
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    used = {p["stateOperators"][0]["numShufflePartitions"] for p in q.recentProgress if p["stateOperators"]}
+    assert used == {2 * spark.sparkContext.defaultParallelism}
