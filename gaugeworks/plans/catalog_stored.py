@@ -274,7 +274,8 @@ def stream_fragments(spark, sf_dir):
     """
     out, ckpt = _scratch(spark, "fragments")
     chunks = _chunks(tables.read_table(spark, sf_dir, "conversations"))
-    d = arriving(chunks, ckpt + "-src", F.col("time_ms")).withColumn("event_time", F.timestamp_millis("time_ms")).withWatermark("event_time", "1 second")
+    # a conversation's turns are at the same few times as all others', so a time has a share of the whole input
+    d = arriving(chunks, ckpt + "-src", F.col("time_ms"), ties=F.xxhash64("connection_id")).withColumn("event_time", F.timestamp_millis("time_ms")).withWatermark("event_time", "1 second")
     rows = _run(stateful.stream_reassemble(d, timeout_ms=folds.MESSAGE_TIMEOUT_MS, position="turn"), out, ckpt)
     return rows.select("connection_id", "event_pos", "kind", F.length("payload").alias("payload_bytes"), "buffer_bytes")
 

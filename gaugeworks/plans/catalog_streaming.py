@@ -26,20 +26,31 @@ def _scratch(spark, name: str) -> tuple[str, str]:
 
 #: Rows of one arriving file, about.
 FILE_ROWS = 1_000_000
+#: Bytes of one arriving file before compression, about.
+FILE_BYTES = 128 * 1024 * 1024
 
 
-def arriving(df, base: str, at, files: int = 4):
+def _row_bytes(df):
+    """Bytes of a row, about: the length of its texts and binaries, 8 for any other column."""
+    return sum((F.coalesce(F.octet_length(f"`{n}`").cast("bigint"), F.lit(0)) if t in ("string", "binary") else F.lit(8) for n, t in df.dtypes), F.lit(0).cast("bigint"))
+
+
+def arriving(df, base: str, at, files: int = 4, ties=None):
     """``df`` as a stream of several files in the order of the number ``at``.
 
     A file stream reads files by age. One parallel job range-partitions the rows by
     ``at`` and writes one sorted file per range; part files are named by their range,
     so setting their times in name order makes age follow arrival. There are
-    ``files`` ranges at least and one per FILE_ROWS rows; rows of equal ``at``
-    share a range, rows without one come last.
+    ``files`` ranges at least and one per FILE_ROWS rows or FILE_BYTES bytes, so no task or
+    micro-batch grows with the input; rows of equal ``at`` share a range, rows without one come
+    last. Where few values of ``at`` hold many rows, ``ties`` (the key whose rows may not
+    be parted, such as its hash) says how a value is cut into several ranges.
     """
     spark = df.sparkSession
-    ranges = max(files, -(-df.count() // FILE_ROWS))
-    df.repartitionByRange(ranges, at.asc_nulls_last()).sortWithinPartitions(at.asc_nulls_last()).write.parquet(f"{base}/arrived")
+    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    ranges = max(files, -(-n // FILE_ROWS), -(-(size or 0) // FILE_BYTES))
+    order = [at.asc_nulls_last()] + ([ties] if ties is not None else [])
+    df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.parquet(f"{base}/arrived")
     set_ages(spark, f"{base}/arrived")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
 

@@ -570,3 +570,15 @@ def test_a_streams_partitions_follow_the_cores_not_the_whole_input(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     used = {p["stateOperators"][0]["numShufflePartitions"] for p in q.recentProgress if p["stateOperators"]}
     assert used == {2 * spark.sparkContext.defaultParallelism}
+
+
+def test_arriving_files_are_bounded_in_bytes_and_cut_equal_times(spark, monkeypatch):
+    """Wide rows at one time, far under FILE_ROWS: files stay near FILE_BYTES, and a key's rows of that time share a file."""
+    monkeypatch.setattr(catalog_streaming, "FILE_BYTES", 50_000, raising=False)
+    base = tempfile.mkdtemp(prefix="gw-wide-")
+    df = spark.range(1000).select(F.concat(F.lit("c"), F.col("id") % 500).alias("key"), F.lit(7).cast("long").alias("at"), F.expr("repeat('x', 1000)").alias("text"))
+    catalog_streaming.arriving(df, base, F.col("at"), ties=F.xxhash64("key"))
+    rows = spark.read.parquet(base + "/arrived").select("key", "_metadata.file_path").groupBy("file_path").agg(
+        F.count("*").alias("n"), F.collect_set("key").alias("keys")).collect()
+    assert sum(r.n for r in rows) == 1000 and max(r.n for r in rows) <= 200
+    assert sum(len(r["keys"]) for r in rows) == 500
