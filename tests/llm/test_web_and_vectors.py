@@ -177,6 +177,50 @@ def test_windows_cover_what_maximal_repeats_cover(spark):
     assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
 
 
+def test_suffix_order_gives_the_longest_repeats(spark):
+    """Against every pair of places of two texts of a host; equal texts are one, repeats are seen up to the length of a key."""
+    prepare(spark)
+    rng = np.random.default_rng(8)
+    runs = [list(rng.choice(["a", "b", "ab", "a\x01", "é"], n)) for n in (4, 6, 8, 15, 16, 17, 40)]
+    texts = [("h" if i % 3 else "g", [t for j in rng.integers(0, len(runs), 4) for t in [f"u{rng.integers(0, 9)}", *runs[j]]]) for i in range(14)]
+    texts.append(("h", ["a"] * 50))
+    rows, want = [], {}
+    for i, (host, x) in enumerate(texts):
+        for p in range(len(x) - html.MIN_TOKENS + 1):
+            longest = 0
+            for j, (other, y) in enumerate(texts):
+                if j != i and other == host:
+                    for q in range(len(y)):
+                        n = 0
+                        while n < html.KEY_TOKENS and p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                            n += 1
+                        longest = max(longest, n)
+            key = "".join(t + " " for t in x[p:p + html.KEY_TOKENS])
+            rows += [(hash((host, key)), host, key, i)] * 2
+            if longest >= html.MIN_TOKENS:
+                want[hash((host, key))] = longest
+    found = html.longest_repeats(spark.createDataFrame(rows, "id bigint, host string, key string, name bigint")).collect()
+    assert {r["id"]: r["n"] for r in found} == want and len(found) == len(want) > 100
+
+
+def test_repeats_decide_boxes_inside_articles(spark):
+    """A box with a boilerplate word in its class goes where one repeat covers it whole; its own words and plain paragraphs stay."""
+    prepare(spark)
+    box = "pass this page on to your friends by mail or by letter"
+    long = " ".join(f"term{i}" for i in range(40))
+    kept = "a paragraph that stands in two articles word for word"
+    rows = [(i, f"http://h/{i}", f'<article><p>{kept}</p><p>Story {i}.</p><div class="share-box"><p>{box}</p></div><div class="notice-box">{long}</div>'
+             f'<div class="share-price">On day {i} the price was {i} and nobody knew why it rose.</div><p>End {i}.</p></article>') for i in (1, 2)]
+    rows.append((3, "http://i/3", f'<article><p>{kept}</p><div class="share-box">{box}</div></article>'))  # another host: no repeat
+    rows += [(i, f"http://j/{i}", f'<article><div class="share-box">{box}</div></article><p>{i}</p>') for i in (4, 5)]  # nothing else: stays
+    rows += [(6, "http://k/6", f'<article><p>x</p><div class="share-box">{box} {long}</div></article>'),  # its parts are repeats, the whole is none
+             (7, "http://k/7", f"<p>{box}</p><p>y</p><p>{long}</p>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    day = "On day {0} the price was {0} and nobody knew why it rose."
+    assert got == {**{i: f"{kept}\n\nStory {i}.\n\n{day.format(i)}\n\nEnd {i}." for i in (1, 2)}, 3: f"{kept}\n\n{box}", 4: box, 5: box,
+                   6: f"x\n\n{box} {long}", 7: "y"}
+
+
 def test_extraction_of_the_pages_table(spark):
     prepare(spark)
     df = spark.read.parquet(f"{SF}/pages.parquet")
