@@ -17,8 +17,8 @@ ranks and whose library does not maximise their sum: each step joins the two
 neighbours whose piece has the best score, the leftmost among equals, until no
 edge spans exactly two. Its state is one 64-bit mask of the places still cut.
 
-Documents are dealt to parts of bounded bytes; a part meets the cuts of its own
-distinct units only and maps its texts to ids. Units over ``UNIT_CHARS``
+Documents are packed into compressed blobs and dealt to parts of bounded bytes; a part
+meets the cuts of its own distinct units only and maps its texts to ids. Units over ``UNIT_CHARS``
 characters (no place for them in the mask) are merged in the task with a heap.
 """
 
@@ -29,17 +29,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNIT_CHARS = 62
-#: Text bytes of a part; a part's texts and its units are held in memory together.
-PART_BYTES = 16 << 20
+#: Text bytes of a part; a part's blobs, units, ids and decoded texts are held in memory together.
+PART_BYTES = 28 << 20
+#: Text bytes of a blob, if it has more than one text.
+BLOB_BYTES = 256 << 10
 #: Masks whose spans are kept per worker.
 CUT_MASKS = 100_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_UNITS = re.compile(f"{SPACE}*[{_LETTERS}]+|{SPACE}*[^{SPACE}{_LETTERS}]+|{SPACE}+")
+_UNITS = re.compile(f" *[{_LETTERS}]+| *[^ {_LETTERS}]+| +")
 _BEYOND = re.compile(f"[^{SPACE}]{SPACE}|[{_LETTERS}][^{_LETTERS}]|[^{SPACE}{_LETTERS}][{_LETTERS}]")
 
 
@@ -68,7 +71,8 @@ class Vocabulary:
         size = np.array([len(x) for x in self.raw], np.int64)
         self._size, self._from = size, np.cumsum(size) - size
         self._flat = np.frombuffer(b"".join(self.raw), np.uint8)
-        self._spans: dict[int, list[tuple[int, int]]] = {}
+        self._spans: dict[int, list[slice]] = {}
+        self._id_bytes = {p: i.to_bytes(4, "little") for p, i in self.id_of.items()}
 
     def segment_ids(self, segment: str) -> list[int]:
         """Id of a piece; of an unknown character its bytes (or the unknown id)."""
@@ -88,14 +92,13 @@ class Vocabulary:
                 if len(self._spans) >= CUT_MASKS:
                     self._spans.clear()
                 at = [i for i in range(UNIT_CHARS + 1) if cuts >> i & 1]
-                spans = self._spans[cuts] = list(zip(at, at[1:]))
-            segments = [unit[a:b] for a, b in spans]
-        known = self.id_of
+                spans = self._spans[cuts] = [slice(x, y) for x, y in zip(at, at[1:])]
+            segments = [unit[x] for x in spans]
+        known = self._id_bytes
         try:
-            ids = [known[x] for x in segments]
+            return b"".join([known[x] for x in segments])
         except KeyError:
-            ids = [i for x in segments for i in self.segment_ids(x)]
-        return np.array(ids, "<u4").tobytes()
+            return np.array([i for x in segments for i in self.segment_ids(x)], "<u4").tobytes()
 
     def merged(self, unit: str) -> list[str]:
         """Segments of a unit after all merges, best score first and leftmost among equals."""
@@ -142,11 +145,39 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def units(text: str) -> list[str]:
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """Units of a text, with plain spaces: most are Latin-1 then, in a third less memory."""
+    return _UNITS.findall(" " + text.replace(SPACE, " ")) if text else []
+
+
+def pack(batches):
+    """Blobs of rows of ``(id, text)``, compressed, numbered within the task: at most BLOB_BYTES of text each or one text."""
+    options, no = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)), 0
+    for b in batches:
+        size = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
+        starts, held = [], BLOB_BYTES
+        for i, n in enumerate(size.tolist()):
+            if i == 0 or held + n > BLOB_BYTES:
+                starts.append(i)
+                held = 0
+            held += n
+        blobs = []
+        for i, j in zip(starts, [*starts[1:], len(size)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=options) as out:
+                out.write_batch(b.slice(i, j - i))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(range(no, no + len(blobs)), pa.int64()), pa.array(blobs, pa.binary())], names=["no", "blob"])
+        no += len(blobs)
+
+
+def unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 def piece_table(spark: SparkSession, scores: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(list(scores.items()), "piece string, score double")
+    """``(piece, score, rank)``: rank 0 has the best score, equal scores have equal ranks."""
+    rank = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
+    return spark.createDataFrame([(p, x, rank[x]) for p, x in scores.items()], "piece string, score double, rank bigint")
 
 
 def prefix_table(spark: SparkSession, scores: dict[str, float], chars: int) -> DataFrame:
@@ -200,9 +231,11 @@ def unit_cuts(words: DataFrame, table: DataFrame, max_piece: int, fold: str = "m
     if fold == "viterbi":
         edge, folded = F.struct("e", "s", "score"), _viterbi_fold("edges", "n", unknown)
     else:
-        edge = F.struct((-F.col("score")).alias("rank"), "s", F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("need"),
-                        F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("mid"))
-        folded = _merge_fold("edges", "n")
+        # an edge is one number that sorts by rank, then start, so the lattices are grouped and sorted as plain numbers
+        edge = F.expr("shiftleft(rank, 12) | shiftleft(s, 6) | e")
+        masks = ("transform(edges, x -> struct(shiftleft(1L, cast(shiftright(x, 6) & 63 AS int)) | shiftleft(1L, cast(x & 63 AS int)) AS need, "
+                 "shiftleft(1L, cast(x & 63 AS int)) - shiftleft(1L, cast(shiftright(x, 6) & 63 AS int) + 1) AS mid))")
+        folded = f"element_at(transform(array({masks}), m -> {_merge_fold('m', 'n')}), 1)"
     lattice = matched.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return lattice.select("unit", F.expr(folded).alias("cuts"))
 
@@ -220,21 +253,24 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
     tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(parts)).cast("int")).repartition(tasks, "part")
+    dealt = rows.mapInArrow(pack, "no bigint, blob binary") \
+        .select(F.pmod(F.xxhash64("no", "blob"), F.lit(parts)).cast("int").alias("part"), "blob").repartition(tasks, "part")
     kind = dict(docs.dtypes)[id_col]
 
     def distinct_units(batches):
         seen: dict[int, set] = {}
         for b in batches:
             part, unit = [], []
-            for p, t in zip(b.column("part").to_pylist(), b.column("text").to_pylist()):
-                known = seen.setdefault(p, set())
-                fresh = set(units(t)) - known
+            for p, blob in zip(b.column("part").to_pylist(), b.column("blob")):
+                known, fresh = seen.setdefault(p, set()), set()
+                for t in unpack(blob.as_py()).column("text").to_pylist():
+                    fresh.update(units(t))
+                fresh -= known
                 known |= fresh
                 fresh = [u for u in fresh if len(u) <= UNIT_CHARS]
                 unit += fresh
                 part += [p] * len(fresh)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(unit, pa.string())], names=["part", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pc.replace_substring(pa.array(unit, pa.string()), " ", SPACE)], names=["part", "unit"])
 
     # the filter is what the joins below would infer, each for its own use of the pairs, which would then be cut twice
     pairs = dealt.mapInArrow(distinct_units, "part int, unit string").where("unit is not null").repartition("unit")
@@ -248,23 +284,24 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         # units with an edge; every other unit falls into characters or is long
         coded = {}
         for b in right.select(["unit", "cuts"]).to_batches(max_chunksize=10_000):
-            coded.update((u, v.unit_ids(u, c)) for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            plain = pc.replace_substring(b.column(0), SPACE, " ").to_pylist()
+            coded.update((u, v.unit_ids(x, c)) for u, x, c in zip(plain, b.column(0).to_pylist(), b.column(1).to_pylist()))
         done = []
-        for b in left.select(["id", "text"]).to_batches(max_chunksize=64):
+        for blob in left.column("blob"):
+            b = unpack(blob.as_py())
             out, texts = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column("text").to_pylist():
                 found = units(t)
                 try:
                     out.append(b"".join([coded[u] for u in found]))
                 except KeyError:
                     for u in set(found).difference(coded):
-                        coded[u] = v.unit_ids(u, None)
+                        coded[u] = v.unit_ids(u.replace(" ", SPACE), None)
                     out.append(b"".join([coded[u] for u in found]))
                 texts.append(v.decode(np.frombuffer(out[-1], "<u4")))
-            done.append(pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()),
-                                                    pa.array(texts, pa.string())], names=["id", "n_ids", "ids", "decoded"]))
-        schema = pa.schema([("id", left.schema.field("id").type), ("n_ids", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-        return pa.Table.from_batches(done, schema)
+            done.append(pa.RecordBatch.from_arrays([b.column("id").combine_chunks(), pa.array([len(x) // 4 for x in out], pa.int64()),
+                                                    pa.array(out, pa.binary()), pa.array(texts, pa.string())], names=["id", "n_ids", "ids", "decoded"]))
+        return pa.Table.from_batches(done)
 
     return dealt.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(
         lambda a, b: map_part(a, b), f"id {kind}, n_ids bigint, ids binary, decoded string").withColumnRenamed("id", id_col)

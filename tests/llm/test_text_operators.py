@@ -348,6 +348,38 @@ def test_long_units_merge_like_the_library():
         assert len(unit) > pieces.UNIT_CHARS and ids == v.model.encode(unit[1:])
 
 
+def test_texts_travel_in_small_compressed_blobs():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 400, 4000]))) for _ in range(150)] + ["x" * (pieces.BLOB_BYTES + 1), "", "é"]
+    ids = [None if i % 9 == 0 else i for i in range(len(texts))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i:i + 64], pa.int64()), pa.array(texts[i:i + 64])], names=["id", "text"]) for i in range(0, len(texts), 64)]
+    out = [(n, x) for b in pieces.pack(iter(batches)) for n, x in zip(b.column("no").to_pylist(), b.column("blob").to_pylist())]
+    assert [n for n, _ in out] == list(range(len(out))) and len(out) > 5
+    tables = [pieces.unpack(x) for _, x in out]
+    assert [r for t in tables for r in zip(t["id"].to_pylist(), t["text"].to_pylist())] == list(zip(ids, texts))
+    assert all(t.num_rows == 1 or sum(len(x.encode()) for x in t["text"].to_pylist()) <= pieces.BLOB_BYTES for t in tables)
+    assert sum(len(x) for _, x in out) < sum(map(len, texts)) / 2
+
+
+def test_merge_fold_takes_the_best_then_the_leftmost_edge(spark):
+    """Against the heap, with equal scores, fractions and pieces of worse score inside better ones."""
+    rng = random.Random(6)
+    v = object.__new__(pieces.Vocabulary)
+    v.score = {p: rng.choice([-0.5, -1.0, -1.25, -2.0, -7.0]) for p in ["".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(40)]}
+    words = {"".join(rng.choice("abc") for _ in range(rng.choice([2, 3, 5, 8, 13, 30, 62]))) for _ in range(200)}
+    df = spark.createDataFrame([(w,) for w in words], "unit string")
+    table = pieces.piece_table(spark, v.score)
+    assert "rank" in table.columns
+    got = dict(rows_of(pieces.unit_cuts(df, table, 5, prefixes=pieces.prefix_table(spark, v.score, 2)), "unit", "cuts"))
+    assert len(got) > 150
+    for w, cuts in got.items():
+        at = [i for i in range(len(w) + 1) if cuts >> i & 1]
+        assert [w[a:b] for a, b in zip(at, at[1:])] == v.merged(w)
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     rng = random.Random(4)
     scores = {p: -rng.random() * 5 for p in {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(40)} - {"c"}}
