@@ -18,8 +18,9 @@ neighbours whose piece has the best score, the leftmost among equals, until no
 edge spans exactly two. Its state is one 64-bit mask of the places still cut.
 
 Documents are packed into compressed blobs and dealt to parts of bounded bytes; a part
-meets the cuts of its own distinct units only and maps its texts to ids. Units over ``UNIT_CHARS``
-characters (no place for them in the mask) are merged in the task with a heap.
+meets the cuts of its own distinct units only and maps its texts to ids. Tasks hold texts, units and
+ids as Arrow columns and cut them at byte offsets, so no unit becomes a Python object. Units over
+``UNIT_CHARS`` characters (no place for them in the mask) are merged in the task with a heap.
 """
 
 from __future__ import annotations
@@ -39,10 +40,13 @@ UNIT_CHARS = 62
 PART_BYTES = 28 << 20
 #: Text bytes of a blob, if it has more than one text.
 BLOB_BYTES = 256 << 10
-#: Masks whose spans are kept per worker.
-CUT_MASKS = 100_000
+#: Units whose masks are unfolded together.
+MASK_ROWS = 50_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_UNITS = re.compile(f" *[{_LETTERS}]+| *[^ {_LETTERS}]+| +")
+#: What a byte of UTF-8 belongs to: a space, a letter, another character, or whatever the byte before it does.
+_SPACE, _LETTER, _OTHER, _SAME = range(4)
+_KIND = np.array([_SAME if 0x80 <= b < 0xC0 else _LETTER if chr(b).isascii() and chr(b).isalpha() or 0xC3 <= b < 0xC9 else
+                  _SPACE if b == 32 else _OTHER for b in range(256)], np.uint8)
 _BEYOND = re.compile(f"[^{SPACE}]{SPACE}|[{_LETTERS}][^{_LETTERS}]|[^{SPACE}{_LETTERS}][{_LETTERS}]")
 
 
@@ -68,11 +72,9 @@ class Vocabulary:
         beyond = [p for p in self.score if _BEYOND.search(p)]
         if beyond:
             raise ValueError(f"pieces go beyond a unit, so units would not be independent: {beyond[:5]}")
-        size = np.array([len(x) for x in self.raw], np.int64)
-        self._size, self._from = size, np.cumsum(size) - size
-        self._flat = np.frombuffer(b"".join(self.raw), np.uint8)
-        self._spans: dict[int, list[slice]] = {}
-        self._id_bytes = {p: i.to_bytes(4, "little") for p, i in self.id_of.items()}
+        self._raw = pa.array(self.raw, pa.binary())
+        self._pieces = pa.array(list(self.id_of), pa.string())
+        self._codes = _column(pa.binary(), np.arange(0, 4 * len(self.id_of) + 1, 4), np.array(list(self.id_of.values()), "<u4").view(np.uint8))
 
     def segment_ids(self, segment: str) -> list[int]:
         """Id of a piece; of an unknown character its bytes (or the unknown id)."""
@@ -87,18 +89,36 @@ class Vocabulary:
         elif cuts is None:
             segments = list(unit)
         else:
-            spans = self._spans.get(cuts)
-            if spans is None:
-                if len(self._spans) >= CUT_MASKS:
-                    self._spans.clear()
-                at = [i for i in range(UNIT_CHARS + 1) if cuts >> i & 1]
-                spans = self._spans[cuts] = [slice(x, y) for x, y in zip(at, at[1:])]
-            segments = [unit[x] for x in spans]
-        known = self._id_bytes
-        try:
-            return b"".join([known[x] for x in segments])
-        except KeyError:
-            return np.array([i for x in segments for i in self.segment_ids(x)], "<u4").tobytes()
+            at = [i for i in range(UNIT_CHARS + 1) if cuts >> i & 1]
+            segments = [unit[x:y] for x, y in zip(at, at[1:])]
+        return np.array([i for x in segments for i in self.segment_ids(x)], "<u4").tobytes()
+
+    def codes(self, units: pa.Array, unit: pa.Array, cuts: pa.Array) -> pa.Array:
+        """:meth:`unit_ids` of every one of ``units``, with the cuts of those that are a ``unit``."""
+        chars = pc.utf8_length(units).to_numpy()
+        # one bit per segment, at its first character; a long unit is one segment until it is merged
+        first = np.where(chars > UNIT_CHARS, 1, (1 << np.minimum(chars, UNIT_CHARS).astype(np.int64)) - 1)
+        place = pc.index_in(units, value_set=unit)
+        first[np.flatnonzero(pc.is_valid(place).to_numpy(zero_copy_only=False))] &= cuts.take(place.drop_null()).to_numpy()
+        done = [self._coded(units.slice(i, MASK_ROWS), first[i:i + MASK_ROWS]) for i in range(0, len(units), MASK_ROWS)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.binary())
+
+    def _coded(self, units: pa.Array, first: np.ndarray) -> pa.Array:
+        at, data = _bytes(units)
+        row, char = np.nonzero(np.unpackbits(first.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(bool))
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        begin = starts[np.searchsorted(starts, at[:-1])[row] + char]
+        segments = _column(pa.string(), np.append(begin, len(data)), data)
+        place = pc.index_in(segments, value_set=self._pieces)
+        codes = self._codes
+        # a segment of over UNIT_CHARS characters is a long unit, even if a piece is written like it
+        odd = pc.or_(pc.is_null(place), pc.greater(pc.utf8_length(segments), UNIT_CHARS))
+        if pc.any(odd).as_py():
+            rest = segments.filter(odd).dictionary_encode()
+            codes = pa.concat_arrays([codes, pa.array([self.unit_ids(x, None) for x in rest.dictionary.to_pylist()], pa.binary())])
+            place = pc.replace_with_mask(place, odd, pc.add(rest.indices, pa.scalar(len(self._pieces), pa.int32())))
+        ends, ids = _bytes(codes.take(place))
+        return _column(pa.binary(), ends[np.searchsorted(row, np.arange(len(units) + 1))], ids)
 
     def merged(self, unit: str) -> list[str]:
         """Segments of a unit after all merges, best score first and leftmost among equals."""
@@ -125,13 +145,31 @@ class Vocabulary:
                 offer(before[a])
         return [x for x in text if x is not None]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD, the space put in front goes."""
-        size = self._size[ids]
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._from[ids] - (ends - size), size)
-        text = self._flat[place].tobytes().decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The texts of rows of ids; bytes that are no UTF-8 become U+FFFD, the space put in front goes."""
+        at, data = _bytes(ids)
+        ends, text = _bytes(self._raw.take(pa.array(data.view("<u4"))))
+        ends = ends[at // 4]
+        spaced = np.zeros(len(ids), bool)
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        spaced[full] = text[ends[full]] == 32
+        out = _column(pa.binary(), ends - np.append(0, np.cumsum(spaced)), np.delete(text, ends[:-1][spaced]))
+        try:
+            return out.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of a column of strings or binary values without nulls."""
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return at - at[0], np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]]
+
+
+def _column(kind: pa.DataType, at: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The column of these offsets and bytes."""
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -144,9 +182,25 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def units(text: str) -> list[str]:
-    """Units of a text, with plain spaces: most are Latin-1 then, in a third less memory."""
-    return _UNITS.findall(" " + text.replace(SPACE, " ")) if text else []
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts one after another, with plain spaces, and the offsets of the texts in them."""
+    full = pc.greater(pc.binary_length(texts), 0)
+    at, data = _bytes(pc.replace_substring(pc.if_else(full, pc.binary_join_element_wise(" ", texts, ""), texts), SPACE, " "))
+    if not len(data):
+        return pa.array([], pa.string()), np.zeros(len(at), np.int64)
+    kind = _KIND[data]
+    if data.max() >= 0x80:
+        for lead, odd, as_odd in ((0xC3, lambda x: (x == 0x97) | (x == 0xB7), _OTHER), (0xC9, lambda x: x < 0x90, _LETTER)):
+            found = np.flatnonzero(data[:-1] == lead)
+            kind[found[odd(data[found + 1])]] = as_odd
+        for _ in range(3):
+            found = np.flatnonzero(kind == _SAME)
+            kind[found] = kind[found - 1]
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+    begins[at[:-1][at[1:] > at[:-1]]] = True
+    begins = np.flatnonzero(begins)
+    return _column(pa.string(), np.append(begins, len(data)), data), np.searchsorted(begins, at)
 
 
 def pack(batches):
@@ -258,19 +312,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = dict(docs.dtypes)[id_col]
 
     def distinct_units(batches):
-        seen: dict[int, set] = {}
+        held: dict[int, list[pa.Array]] = {}
         for b in batches:
-            part, unit = [], []
             for p, blob in zip(b.column("part").to_pylist(), b.column("blob")):
-                known, fresh = seen.setdefault(p, set()), set()
-                for t in unpack(blob.as_py()).column("text").to_pylist():
-                    fresh.update(units(t))
-                fresh -= known
-                known |= fresh
-                fresh = [u for u in fresh if len(u) <= UNIT_CHARS]
-                unit += fresh
-                part += [p] * len(fresh)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pc.replace_substring(pa.array(unit, pa.string()), " ", SPACE)], names=["part", "unit"])
+                held.setdefault(p, []).append(units(unpack(blob.as_py()).column("text").combine_chunks())[0].unique())
+            held = {p: [pa.concat_arrays(x).unique()] for p, x in held.items()}
+        for p, (unit,) in held.items():
+            unit = pc.replace_substring(unit.filter(pc.less_equal(pc.utf8_length(unit), UNIT_CHARS)), " ", SPACE)
+            for i in range(0, len(unit), MASK_ROWS):
+                some = unit.slice(i, MASK_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int32)), some], names=["part", "unit"])
 
     # the filter is what the joins below would infer, each for its own use of the pairs, which would then be cut twice
     pairs = dealt.mapInArrow(distinct_units, "part int, unit string").where("unit is not null").repartition("unit")
@@ -281,26 +332,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def map_part(left: pa.Table, right: pa.Table) -> pa.Table:
         v = vocabulary(path)
-        # units with an edge; every other unit falls into characters or is long
-        coded = {}
-        for b in right.select(["unit", "cuts"]).to_batches(max_chunksize=10_000):
-            plain = pc.replace_substring(b.column(0), SPACE, " ").to_pylist()
-            coded.update((u, v.unit_ids(x, c)) for u, x, c in zip(plain, b.column(0).to_pylist(), b.column(1).to_pylist()))
-        done = []
+        texts, found = [], []
         for blob in left.column("blob"):
             b = unpack(blob.as_py())
-            out, texts = [], []
-            for t in b.column("text").to_pylist():
-                found = units(t)
-                try:
-                    out.append(b"".join([coded[u] for u in found]))
-                except KeyError:
-                    for u in set(found).difference(coded):
-                        coded[u] = v.unit_ids(u.replace(" ", SPACE), None)
-                    out.append(b"".join([coded[u] for u in found]))
-                texts.append(v.decode(np.frombuffer(out[-1], "<u4")))
-            done.append(pa.RecordBatch.from_arrays([b.column("id").combine_chunks(), pa.array([len(x) // 4 for x in out], pa.int64()),
-                                                    pa.array(out, pa.binary()), pa.array(texts, pa.string())], names=["id", "n_ids", "ids", "decoded"]))
+            unit, ends = units(b.column("text").combine_chunks())
+            unit = unit.dictionary_encode()
+            texts.append((b.column("id").combine_chunks(), ends, unit.indices))
+            found.append(unit.dictionary)
+        sizes = [len(x) for x in found]
+        found = pa.concat_arrays(found).dictionary_encode()
+        codes = v.codes(pc.replace_substring(found.dictionary, " ", SPACE), right.column("unit").combine_chunks(), right.column("cuts").combine_chunks())
+        done, at = [], 0
+        for (ids, ends, unit), size in zip(texts, sizes):
+            starts, data = _bytes(codes.take(found.indices.slice(at, size).take(unit)))
+            at += size
+            coded = _column(pa.binary(), starts[ends], data)
+            done.append(pa.RecordBatch.from_arrays([ids, pa.array(np.diff(starts[ends]) // 4, pa.int64()), coded, v.decode(coded)],
+                                                   names=["id", "n_ids", "ids", "decoded"]))
         return pa.Table.from_batches(done)
 
     return dealt.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(

@@ -348,6 +348,49 @@ def test_long_units_merge_like_the_library():
         assert len(unit) > pieces.UNIT_CHARS and ids == v.model.encode(unit[1:])
 
 
+def test_units_of_a_column_are_those_of_the_plain_pattern():
+    import pyarrow as pa
+
+    letters = "A-Za-zÀ-ÖØ-öø-ɏ"
+    plain = re.compile(f" *[{letters}]+| *[^ {letters}]+| +")
+    rng = random.Random(2)
+    alphabet = [*"aZ[@`{1\n\x00×÷ÀÖØöøÿĀȿɀɏɐʰé¿\u0301中😀▁", " ", "  "]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 20))) for _ in range(3000)] + [f"a{chr(c)}b-{chr(c)}-" for c in range(0x80, 0x400)]
+    column, ends = pieces.units(pa.array(["cut off", *texts]).slice(1))
+    found = column.to_pylist()
+    assert len(ends) == len(texts) + 1 and ends[0] == 0 and ends[-1] == len(found)
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert found[a:b] == (plain.findall(" " + text.replace("▁", " ")) if text else []), repr(text)
+    assert pieces.units(pa.array(["", ""]))[1].tolist() == [0, 0, 0] and pieces.units(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_codes_of_a_column_of_units_are_those_of_each_unit(monkeypatch):
+    """With cuts for some units only, characters outside the vocabulary, long units, and more units than are unfolded at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "MASK_ROWS", 100)
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    units = sorted({rng.choice(["▁", "▁▁", ""]) + "".join(rng.choices(["th", "e", "in", "qu", "é", "Ω", "中", "😀", "\x00"], k=rng.choice([1, 2, 5, 9, 40, 90]))) for _ in range(700)})
+    assert min(map(len, units)) == 1 and max(map(len, units)) > pieces.UNIT_CHARS
+    known = {u: sum(1 << i for i in np.cumsum([0, *map(len, v.merged(u))]).tolist()) for u in units[::2] if len(u) <= pieces.UNIT_CHARS}
+    got = v.codes(pa.array(units), pa.array(list(known)), pa.array(list(known.values()), pa.int64())).to_pylist()
+    assert got == [v.unit_ids(u, known.get(u)) for u in units]
+    assert v.codes(pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())).to_pylist() == []
+    assert all(np.frombuffer(x, "<u4").tolist() == v.model.encode(u[1:]) for u, x in zip(units, got) if u in known and u[0] == "▁" != u[1])
+
+
+def test_decoded_columns_lose_one_space_and_mark_broken_bytes():
+    import pyarrow as pa
+
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["", "a", "  two  spaces ", "中😀", "x"]
+    ids = [*map(v.model.encode, texts), [v.byte_id[0xE4], v.byte_id[0xB8]], [v.byte_id[0x41]]]
+    for rows, want in ((ids[:5], texts), (ids, [*texts, "\ufffd", "A"])):
+        column = pa.array([b"", *(np.array(x, "<u4").tobytes() for x in rows)], pa.binary())
+        assert v.decode(column).to_pylist() == ["", *want] and v.decode(column.slice(1)).to_pylist() == want
+
+
 def test_texts_travel_in_small_compressed_blobs():
     import pyarrow as pa
 
