@@ -221,6 +221,50 @@ def test_repeats_decide_boxes_inside_articles(spark):
                    6: f"x\n\n{box} {long}", 7: "y"}
 
 
+def test_article_text_is_in_the_suffix_order(spark, monkeypatch):
+    """Text of an article is a repeat for pages without one and for boxes, and articles alone go through the order as well."""
+    prepare(spark)
+    lead, line = "the river rose by two metres in one night", "a paragraph that stands in two articles word for word"
+    rows = [(1, "http://h/1", f"<article><p>{lead}</p><p>One.</p></article>"), (2, "http://h/2", f"<p>{lead}</p><p>news of the day</p>"),
+            (3, "http://i/3", f"<article><p>{lead}</p></article>"), (4, "http://i/4", f'<article><p>Four.</p><div class="related-box">{lead}</div></article>'),
+            (5, "http://j/5", f"<article><p>{line}</p></article>"), (6, "http://j/6", f"<article><p>{line}</p><p>Six.</p></article>"),
+            (7, "http://k/7", "<p>a b</p>"), (8, "http://k/8", "")]
+    seen, order = [], html.longest_repeats
+    monkeypatch.setattr(html, "longest_repeats", lambda suffixes: seen.extend(r["key"] for r in suffixes.collect()) or order(suffixes))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    assert got == {1: f"{lead}\n\nOne.", 2: "news of the day", 3: lead, 4: "Four.", 5: line, 6: f"{line}\n\nSix.", 7: "a b", 8: ""}
+    assert any(key.startswith(line[:40]) for key in seen)
+
+
+def test_extraction_against_every_pair_of_places(spark):
+    """All kinds of blocks, repeats longer than a key, several tokens before equal runs, copies and long tokens."""
+    prepare(spark)
+    rng = np.random.default_rng(11)
+    runs = [" ".join(rng.choice(["a", "b", "é", "t" * 70, "t" * 70 + "u"], n)) for n in (5, 6, 7, 9, 16, 17, 33, 70)]
+    marks = ["<article><p>{}</p></article>", '<article><p>x</p><div class="share-box">{}</div></article>', "<nav>{}</nav>", "<p>{}</p>", "<div>{}</div>"]
+    pages = []
+    for i in range(26):
+        text = "".join(marks[k if i % 3 else max(k, 2)].format(" ".join(([f"u{i}"] if rng.random() < 0.6 else []) + [runs[j] for j in rng.integers(0, len(runs), 1 + k % 2)]))
+                       for k in rng.integers(0, len(marks), 4))
+        pages += [("h" if i % 4 else "g", text)] * (2 if i % 5 == 0 else 1)
+    found = [html.blocks(page) for _, page in pages]
+    tokens = [[t for _, text in f for t in text.split()] for f in found]
+    want = []
+    for i, x in enumerate(tokens):
+        longest = [0] * len(x)
+        for j, y in enumerate(tokens):
+            if pages[i][0] == pages[j][0] and html.text_name(found[i]) != html.text_name(found[j]):
+                row = [0] * (len(y) + 1)
+                for p in range(len(x) - 1, -1, -1):
+                    row = [row[q + 1] + 1 if x[p] == y[q] else 0 for q in range(len(y))] + [0]
+                    longest[p] = max(longest[p], *row)
+        want.append(html.main_text(found[i], [(p, min(n, html.SEEN_TOKENS)) for p, n in enumerate(longest) if n >= html.MIN_TOKENS]))
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", page) for i, (h, page) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df.repartition(6)).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+    assert sum(w != html.main_text(f) for w, f in zip(want, found)) > 8
+
+
 def test_extraction_of_the_pages_table(spark):
     prepare(spark)
     df = spark.read.parquet(f"{SF}/pages.parquet")
